@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from skein.llm import chat, decontaminate, mixing, url_filter, warc
+from skein.llm import chat, decontaminate, line_dedup, mixing, url_filter, warc
 
 
 def _op1(spark, sf_dir):
@@ -15,6 +15,7 @@ QUERIES = {
     "op4_warc": warc.query,
     "op5_mix": mixing.query,
     "op8_chat_collapse": chat.query,
+    "op9_line_dedup": line_dedup.query,
     "op10_url_filter": url_filter.query,
 }
 
@@ -23,5 +24,6 @@ ORACLES = {
     "op4_warc": warc.ORACLE,
     "op5_mix": mixing.ORACLE,
     "op8_chat_collapse": chat.ORACLE,
+    "op9_line_dedup": line_dedup.ORACLE,
     "op10_url_filter": url_filter.ORACLE,
 }
