@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from skein.llm import chat, decontaminate, jaccard, line_dedup, mixing, url_filter, warc
+from skein.llm import chat, decontaminate, jaccard, line_dedup, mixing, pq, url_filter, warc
 
 
 def _op1(spark, sf_dir):
@@ -12,6 +12,7 @@ def _op1(spark, sf_dir):
 
 QUERIES = {
     "op1_decontaminate": _op1,
+    "op2_embedding_dedup": pq.query,
     "op3_jaccard_join": jaccard.query,
     "op4_warc": warc.query,
     "op5_mix": mixing.query,
@@ -22,6 +23,7 @@ QUERIES = {
 
 ORACLES = {
     "op1_decontaminate": decontaminate.ORACLE,
+    "op2_embedding_dedup": pq.ORACLE,
     "op3_jaccard_join": jaccard.ORACLE,
     "op4_warc": warc.ORACLE,
     "op5_mix": mixing.ORACLE,
