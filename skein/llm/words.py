@@ -75,12 +75,26 @@ class Hasher:
         starts, ends = np.flatnonzero(start[:-1]), np.flatnonzero(end)
         return low, starts, ends, np.searchsorted(starts, offs)
 
-    def hashes(self, low: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """A well-mixed 64-bit hash of each word's bytes."""
+    def running(self, low: np.ndarray) -> np.ndarray:
+        """Running polynomial of the bytes, from which any stretch's hash can be taken."""
         self._powers(len(low) + 1)
         run = np.zeros(len(low) + 1, np.uint64)
         np.cumsum((low.astype(np.uint64) + np.uint64(1)) * self.up[: len(low)], out=run[1:])
-        return mix((run[ends] - run[starts]) * self.down[starts])
+        return run
+
+    def stretches(self, run: np.ndarray, starts: np.ndarray, ends: np.ndarray, kind: int = 0) -> np.ndarray:
+        """A well-mixed 64-bit hash of each stretch of bytes; hashes of different kinds differ."""
+        return mix((run[ends] - run[starts]) * self.down[starts] ^ np.uint64(kind))
+
+    def hashes(self, low: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        return self.stretches(self.running(low), starts, ends)
+
+    def with_prefixes(self, texts: pa.Array, lengths: tuple[int, ...]) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+        """(first text, last + 1, first word of each text, hashes): a row of word hashes, then one for each prefix length in bytes."""
+        for lo, hi, data, offs in self.slices(texts):
+            low, starts, ends, first = self.bounds(data, offs)
+            run = self.running(low)
+            yield lo, hi, first, np.stack([self.stretches(run, starts, ends), *(self.stretches(run, starts, np.minimum(starts + n, ends), n) for n in lengths)])
 
     def words(self, texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
         """(first text, last + 1, lower-cased bytes, starts, ends, first word of each text, hashes) of each slice."""
