@@ -59,8 +59,8 @@ def plan_records(pages: DataFrame) -> DataFrame:
 def chunk_table(pages: DataFrame, chunk: int = CHUNK) -> DataFrame:
     """The archive: rows (page_id, chunk_no, last, bytes); a record's bytes are its chunks' in order.
 
-    Chunk 0 is the header block, the payload follows in chunks of ``chunk`` bytes (none for
-    a revisit), and the last chunk ends with the record's closing line ends. Rows with a
+    Chunk 0 begins with the header block; each chunk has ``chunk`` bytes of the payload at
+    most (a revisit has none), and the last ends with the record's closing line ends. Rows with a
     null page_id can't be told apart and are left out; a repeated page_id is one record,
     of the largest of its rows by (url, html).
     """
@@ -84,16 +84,15 @@ def chunk_table(pages: DataFrame, chunk: int = CHUNK) -> DataFrame:
         F.lit(nl * 2),
     ).cast("binary")
     payload = F.coalesce("html", F.lit("")).cast("binary")
-    n = F.ceil(length / chunk).cast("int")
-    return full.select("page_id", header.alias("header"), F.when(length > 0, payload).alias("payload"), n.alias("n"), F.explode(F.sequence(F.lit(0), n)).alias("chunk_no")).select(
-        "page_id",
-        "chunk_no",
-        (F.col("chunk_no") == F.col("n")).alias("last"),
-        F.concat(
-            F.when(F.col("chunk_no") == 0, F.col("header")).otherwise(F.substring("payload", (F.col("chunk_no") - 1) * chunk + 1, F.lit(chunk))),
-            F.when(F.col("chunk_no") == F.col("n"), F.lit(nl * 2).cast("binary")).otherwise(F.lit(b"")),
-        ).alias("bytes"),
+    n = F.greatest(F.ceil(length / chunk), F.lit(1)).cast("int")
+    cut = full.select("page_id", header.alias("header"), F.when(length > 0, payload).otherwise(F.lit(b"")).alias("payload"), n.alias("n"), F.explode(F.sequence(F.lit(0), n - 1)).alias("chunk_no"))
+    last = F.col("chunk_no") == F.col("n") - 1
+    pieces = (
+        F.when(F.col("chunk_no") == 0, F.col("header")).otherwise(F.lit(b"")),
+        F.substring("payload", F.col("chunk_no") * chunk + 1, F.lit(chunk)),
+        F.when(last, F.lit(nl * 2).cast("binary")).otherwise(F.lit(b"")),
     )
+    return cut.select("page_id", "chunk_no", last.alias("last"), F.concat(*pieces).alias("bytes"))
 
 
 class RecordReader:
@@ -154,11 +153,13 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def read_records(chunks: DataFrame) -> DataFrame:
     """One row per record of the archive, its lengths and digest checked chunk by chunk.
 
-    A response's digest is that of the bytes read. The chunks of a record meet in one task
-    and stream through it in order.
+    A response's digest is that of the bytes read. Records of one chunk are read where they
+    lie; the chunks of a longer record meet in one task and stream through it in order.
     """
     schema = "page_id long, record_id string, url string, payload_bytes long, payload_digest string, record_type string, refers_to long"
-    return chunks.repartition("page_id").sortWithinPartitions("page_id", "chunk_no").select("bytes", "last").mapInArrow(_read, schema)
+    whole = F.col("last") & (F.col("chunk_no") == 0)
+    long = chunks.where(~whole).repartition("page_id").sortWithinPartitions("page_id", "chunk_no")
+    return chunks.where(whole).union(long).select("bytes", "last").mapInArrow(_read, schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
