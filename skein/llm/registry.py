@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from skein.llm import chat, decontaminate, jaccard, line_dedup, mixing, pq, toxicity, url_filter, warc
+from skein.llm import chat, decontaminate, jaccard, line_dedup, lm, mixing, pq, toxicity, url_filter, warc
 
 
 def _op1(spark, sf_dir):
@@ -16,6 +16,7 @@ QUERIES = {
     "op3_jaccard_join": jaccard.query,
     "op4_warc": warc.query,
     "op5_mix": mixing.query,
+    "op6_lm_score": lm.query,
     "op7_toxicity": toxicity.query,
     "op8_chat_collapse": chat.query,
     "op9_line_dedup": line_dedup.query,
