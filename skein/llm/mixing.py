@@ -184,13 +184,14 @@ def shard_rows(mixed: DataFrame) -> DataFrame:
     return rows.repartition("shard").sortWithinPartitions("shard", "order_key", "doc_id")
 
 
-def digest(mixed: DataFrame) -> DataFrame:
-    taken = F.aggregate("draws", F.lit(0).cast("long"), lambda a, d: a + d["n_words"])
-    return mixed.select("doc_id", "size", "source_size", "target", taken.alias("taken"))
+def with_taken(mixed: DataFrame) -> DataFrame:
+    """``mixed`` with ``taken``: the words that the mix takes of each document, repeats counted."""
+    return mixed.withColumn("taken", F.aggregate("draws", F.lit(0).cast("long"), lambda a, d: a + d["n_words"]))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return digest(mix(spark, spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source", "text")))
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source", "text")
+    return with_taken(mix(spark, docs)).select("doc_id", "size", "source_size", "target", "taken")
 
 
 ORACLE = rf"""
