@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 from skein.llm.shared import stored
 from skein.llm.words import PLAIN, Hasher
 
-#: Labelled rows (about, by hash) that the model is fitted on; every document is scored.
-MAX_TRAIN = 8000
+#: Labelled rows (about, by hash; half of them toxic if there are so many) that the model is fitted on; every document is scored.
+MAX_TRAIN = 5000
 #: A score from here on predicts toxic, unless a language has a threshold of its own.
 THRESHOLD = 0.3
 #: Buckets of the word table, embedding size, filter widths and filters of each.
@@ -32,13 +32,13 @@ EPOCHS, BATCH, RATE, SEED = 5, 64, 0.02, 3
 
 @dataclass
 class Tables:
-    """Which word hashes have an embedding: a direct table of buckets and a tag against collisions. Row 0 is any other word."""
+    """Which word hashes (32 bits) have an embedding: a direct table of buckets and a tag against collisions. Row 0 is any other word."""
 
     slots: np.ndarray
     tags: np.ndarray
 
     def rows(self, h: np.ndarray) -> np.ndarray:
-        row = self.slots[(h % np.uint64(len(self.slots))).astype(np.int64)]
+        row = self.slots[h % np.uint32(len(self.slots))]
         return np.where(self.tags[row] == h, row, 0)
 
 
@@ -89,24 +89,29 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(np.asarray(x, np.float64), -30, 30)))
 
 
+def short(h: np.ndarray) -> np.ndarray:
+    return h.astype(np.uint32)
+
+
 def _vocabulary(texts: list[np.ndarray], y: np.ndarray) -> tuple[Tables, np.ndarray]:
     """Word tables and each word's smoothed log-odds of standing in a toxic text."""
     sets = [np.unique(t) for t in texts]  # words and prefixes alike
-    words, which = np.unique(np.concatenate([np.zeros(0, np.uint64), *sets]), return_inverse=True)
+    words, which = np.unique(np.concatenate([np.zeros(0, np.uint32), *sets]), return_inverse=True)
     n = np.bincount(which, minlength=len(words))
     toxic = np.bincount(which, weights=np.repeat(y, [len(s) for s in sets]), minlength=len(words))
     rate = y.mean()
     odds = np.log((toxic + 10 * rate) / (n + 10) / rate)
     keep = np.flatnonzero(n >= LEAST_DOCS)
     keep = keep[np.argsort(np.abs(odds[keep]), kind="stable")]  # in a shared bucket the more telling word stays
-    slots, tags = np.zeros(BUCKETS, np.int32), np.zeros(len(keep) + 1, np.uint64)
+    slots, tags = np.zeros(BUCKETS, np.int32), np.zeros(len(keep) + 1, np.uint32)
     tags[1:] = words[keep]
-    slots[(words[keep] % np.uint64(BUCKETS)).astype(np.int64)] = np.arange(1, len(keep) + 1)
+    slots[words[keep] % np.uint32(BUCKETS)] = np.arange(1, len(keep) + 1)
     return Tables(slots, tags), np.concatenate([[0.0], odds[keep]])
 
 
-def train(texts: list[np.ndarray], y: np.ndarray, langs: list[str | None], seed: int = SEED) -> Model:
-    """Fit on hash arrays and 0/1 labels. A fifth of the texts is kept apart to calibrate
+def train(texts: list[np.ndarray], y: np.ndarray, langs: list[str | None], weights: tuple[float, float] = (1.0, 1.0), seed: int = SEED) -> Model:
+    """Fit on hash arrays and 0/1 labels; ``weights`` says how many labelled rows a clean and a
+    toxic one stand for, which matters to what a score means. A fifth of the texts is kept apart to calibrate
     the score and the languages' thresholds; ``langs`` has no other use."""
     rng = np.random.default_rng(seed)
     order = rng.permutation(len(texts))
@@ -163,28 +168,29 @@ def train(texts: list[np.ndarray], y: np.ndarray, langs: list[str | None], seed:
             np.add.at(total, inverse, np.concatenate(grads))
             total[ids == 0] = 0  # unknown words stay at the origin
             step("embedding", model.embedding, total, ids)
-    calibrate(model, [rows[i] for i in held], y[held], [langs[i] for i in held])
+    calibrate(model, [rows[i] for i in held], y[held], [langs[i] for i in held], np.where(y[held] > 0, weights[1], weights[0]))
     return model
 
 
-def calibrate(model: Model, rows: list[np.ndarray], y: np.ndarray, langs: list[str | None]) -> None:
+def calibrate(model: Model, rows: list[np.ndarray], y: np.ndarray, langs: list[str | None], weight: np.ndarray) -> None:
     """Platt scaling of the score, then for each language the threshold of the best F1 (THRESHOLD where there are few)."""
     if not len(y):
         return
     x = np.array([float(model.logits(r, np.array([0, r.shape[1]]))[0]) for r in rows])
+    w = weight / weight.sum()
     a, b = 1.0, 0.0
-    for _ in range(300):
-        miss = _sigmoid(a * x + b) - y
-        a, b = a - 0.05 * (float((miss * x).mean()) + 0.01 * (a - 1)), b - 0.2 * float(miss.mean())
+    for _ in range(500):
+        miss = w * (_sigmoid(a * x + b) - y)
+        a, b = a - 0.1 * (float((miss * x).sum()) + 0.01 * (a - 1)), b - 0.5 * float(miss.sum())
     model.scale = (max(a, 0.1), b)
     score = _sigmoid(model.scale[0] * x + b)
     for lang in sorted({v for v in langs if v is not None}):
         own = np.array([v == lang for v in langs])
         if y[own].sum() < 20:
             continue
-        s, t = score[own], y[own]
+        s, t, u = score[own], y[own], w[own]
         tries = np.linspace(0.1, 0.9, 17)
-        f1 = [2 * (t[s >= c].sum()) / max(1, (s >= c).sum() + t.sum()) for c in tries]
+        f1 = [2 * (u * t)[s >= c].sum() / max(1e-9, u[s >= c].sum() + (u * t).sum()) for c in tries]
         good = [c for c, f in zip(tries, f1, strict=True) if f >= max(f1) - 1e-9]
         model.thresholds[lang] = float(min(good, key=lambda c: abs(c - THRESHOLD)))
 
@@ -195,7 +201,7 @@ def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         out = []
         for lo, hi, first, h in hasher.with_prefixes(b.column("text"), PREFIXES):
-            out += [h[:, first[i] : first[i + 1]].tobytes() for i in range(hi - lo)]
+            out += [short(h[:, first[i] : first[i + 1]]).tobytes() for i in range(hi - lo)]
         names = [n for n in b.schema.names if n != "text"]
         yield pa.RecordBatch.from_arrays([*(b.column(n) for n in names), pa.array(out, pa.binary())], [*names, "words"])
 
@@ -203,22 +209,23 @@ def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, fold=None, max_train: int = MAX_TRAIN) -> Model | float:
     """A model of the labelled rows where ``fold`` (a condition on doc_id) holds: about ``max_train`` of them, by hash.
 
-    A doc_id with several labels is toxic if one of them says so; null labels don't count.
+    Up to half of them toxic. A doc_id with several labels is toxic if one of them says so; null labels don't count.
     With labels of one kind only there is nothing to learn: then the rate is returned, as
     the score of every text.
     """
     marked = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("y"))
     marked = marked.where(fold) if fold is not None else marked
-    n = marked.count()
-    share = min(1.0, max_train / max(n, 1))
-    some = marked.where(F.pmod(F.xxhash64(F.lit(SEED), "doc_id"), F.lit(1_000_000)) < int(1_000_000 * share)).limit(2 * max_train)
+    n = {bool(r.t): r.n for r in marked.groupBy((F.col("y") > 0).alias("t")).agg(F.count("*").alias("n")).collect()}
+    share = {t: min(1.0, max_train / 2 / max(n.get(t, 0), 1)) for t in (False, True)}
+    place = F.pmod(F.xxhash64(F.lit(SEED), "doc_id"), F.lit(1_000_000))
+    some = marked.where(place < F.when(F.col("y") > 0, int(1_000_000 * share[True])).otherwise(int(1_000_000 * share[False]))).limit(2 * max_train)
     some = stored(spark, some, "train")
     texts = docs.select("doc_id", "text", F.col("lang").cast("string") if "lang" in docs.columns else F.lit(None).cast("string").alias("lang")).join(F.broadcast(some), "doc_id")  # 2 * max_train rows at most
     rows = sorted(texts.mapInArrow(_hashed, "doc_id long, lang string, y int, words binary").collect(), key=lambda r: (r.doc_id, r.words))
     y = np.array([1.0 if r.y else 0.0 for r in rows], np.float32)
     if not len(y) or y.min() == y.max():
         return float((y.sum() + 0.1) / (len(y) + 1))
-    return train([np.frombuffer(bytes(r.words), np.uint64).reshape(1 + len(PREFIXES), -1) for r in rows], y, [r.lang for r in rows])
+    return train([np.frombuffer(r.words, np.uint32).reshape(1 + len(PREFIXES), -1) for r in rows], y, [r.lang for r in rows], (1 / share[False], 1 / share[True]))
 
 
 def score(spark: SparkSession, docs: DataFrame, model: Model | float) -> DataFrame:
@@ -232,7 +239,7 @@ def score(spark: SparkSession, docs: DataFrame, model: Model | float) -> DataFra
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher, m = Hasher(PLAIN, 1 << 18), shared.value
         for b in batches:
-            out = [np.full(b.num_rows, m)] if isinstance(m, float) else [m.scores(h, first) for _, _, first, h in hasher.with_prefixes(b.column("text"), PREFIXES)]
+            out = [np.full(b.num_rows, m)] if isinstance(m, float) else [m.scores(short(h), first) for _, _, first, h in hasher.with_prefixes(b.column("text"), PREFIXES)]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.concatenate([np.zeros(0), *out]))], [*b.schema.names, "score"])
 
     return own.mapInArrow(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in own.schema) + ", score double")
