@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from skein.llm.shared import packed, unpacked
 from skein.llm.words import PLAIN, Hasher, plain_words, text_of
 
 #: Words of an item that make a window; a shorter item is one window.
@@ -258,11 +259,13 @@ def decontaminate(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, wi
 
     Documents without a hit stay as they are, nulls and empty texts included.
     """
-    found = scan(spark, docs, benchmark, window, clean=True)
+    found = scan(spark, packed(docs, "text"), benchmark, window, clean=True)
     n_hit = F.aggregate("spans", F.lit(0), lambda a, x: a + x["end"] - x["start"])
     kept = found.where(n_hit <= F.col("n_words") * F.lit(max_coverage))
-    cols = [F.coalesce("cleaned", "text").alias("text") if c == "text" else F.when(F.col("cleaned").isNull(), F.col("n_chars")).otherwise(F.length("cleaned").cast("long")).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns]
-    return kept.select(*cols)
+    changed = {"text": F.coalesce("cleaned", "text")}
+    if "n_chars" in docs.columns:
+        changed["n_chars"] = F.when(F.col("cleaned").isNull(), F.col("row.n_chars")).otherwise(F.length("cleaned").cast("long"))
+    return unpacked(kept, docs.columns, **changed)
 
 
 _WORDS = r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"

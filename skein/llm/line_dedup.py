@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from skein.llm.shared import small, stored
+from skein.llm.shared import packed, small, stored, unpacked
 
 #: One line in MODULUS, about, ends a chunk.
 MODULUS = 2
@@ -113,14 +113,15 @@ def dedup(spark: SparkSession, docs: DataFrame) -> DataFrame:
     repeated becomes empty. Rows with equal doc_id and text count as one and get the same
     result. Columns named n_lines or n_removed give way to the new ones.
     """
-    rest = docs.drop("n_lines", "n_removed")
+    rest = packed(docs, "doc_id", "text")
     joined = _keyed(rest).join(small(removals(spark, docs)), "_key", "left")
     kept = F.filter("_lines", lambda x, i: ~F.exists("_ranges", lambda r: i.between(r["s"], r["e"])))
-    kept = F.when(F.col("_ranges").isNull(), F.col("_lines")).otherwise(kept)
-    n_lines = F.coalesce(F.size("_lines"), F.lit(0)).cast("long")
-    out = joined.withColumn("_kept", kept)
-    cols = [F.when(F.col("_ranges").isNull(), F.col("text")).otherwise(F.array_join("_kept", "\n")).alias("text") if c == "text" else F.col(c) for c in rest.columns]
-    return out.select(*cols, F.when(F.col("text").isNull(), F.lit(0).cast("long")).otherwise(n_lines).alias("n_lines"), F.when(F.col("text").isNull(), F.lit(0).cast("long")).otherwise(n_lines - F.size("_kept")).alias("n_removed"))
+    out = joined.withColumn("_kept", F.when(F.col("_ranges").isNotNull(), kept))
+    text = F.when(F.col("_ranges").isNull(), F.col("text")).otherwise(F.array_join("_kept", "\n"))
+    n_lines = F.when(F.col("text").isNull(), 0).otherwise(F.size("_lines")).cast("long")
+    n_removed = F.when(F.col("_ranges").isNull(), 0).otherwise(F.size("_lines") - F.size("_kept")).cast("long")
+    old = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
+    return unpacked(out.withColumns({"n_lines": n_lines, "n_removed": n_removed, "text": text}), [*old, "n_lines", "n_removed"], n_lines=F.col("n_lines"), n_removed=F.col("n_removed"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

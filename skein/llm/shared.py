@@ -42,6 +42,16 @@ def stored(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def packed(docs: DataFrame, *keep: str) -> DataFrame:
+    """``keep``, and all columns but the text in a struct ``row``: names in it can't clash with added ones."""
+    return docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != "text")).alias("row"), *keep)
+
+
+def unpacked(df: DataFrame, columns: list[str], **changed) -> DataFrame:
+    """The ``columns`` that packed() had, with ``changed`` expressions in the place of some."""
+    return df.select(*(changed[c].alias(c) if c in changed else F.col("text") if c == "text" else F.col(f"row.`{c}`") for c in columns))
+
+
 def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     """``df`` with a broadcast hint if it has at most ``limit`` rows, else as it is (a shuffle join)."""
     return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df

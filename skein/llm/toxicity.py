@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skein.llm.shared import stored
+from skein.llm.shared import packed, stored, unpacked
 from skein.llm.words import PLAIN, Hasher
 
 #: Labelled rows (about, by hash; half of them toxic if there are so many) that the model is fitted on; every document is scored.
@@ -249,9 +249,9 @@ def reject(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> DataFrame
     """``docs`` without those whose score reaches the threshold of their language."""
     model = fit(spark, docs, labels)
     limit = F.lit(THRESHOLD)
-    for lang, t in (model.thresholds if isinstance(model, Model) else {}).items():
-        limit = F.when(F.col("lang") == lang, F.lit(t)).otherwise(limit)
-    return score(spark, docs, model).where(F.col("score") < limit).select(*docs.columns)
+    for lang, t in (model.thresholds if isinstance(model, Model) and "lang" in docs.columns else {}).items():
+        limit = F.when(F.col("row.lang") == lang, F.lit(t)).otherwise(limit)
+    return unpacked(score(spark, packed(docs, "text"), model).where(F.col("score") < limit), docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
