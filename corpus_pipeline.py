@@ -19,8 +19,9 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     cleaned = line_dedup.dedup(spark, docs)
     emptied = (F.col("n_removed") > 0) & (F.trim(F.translate("text", "\r\n\t", "")) == "")
     kept = cleaned.where(~F.coalesce(emptied, F.lit(False)))
-    n_chars = F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")).alias("n_chars")
-    return kept.select(*(n_chars if c == "n_chars" else F.col(c) for c in docs.columns))
+    if "n_chars" in docs.columns:
+        kept = kept.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
+    return kept.select(*docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
