@@ -289,8 +289,8 @@ def _relationship_answers(spark: SparkSession, sf: str) -> DataFrame:
     found = extract.extracted(extract.parse_entities(_answers(spark, sf))).select("meeting_id", "name").distinct()
     types = F.array(*(F.lit(k) for k in ("worksFor", "PARTOF", "works_for", "owns")))
     listed = found.groupBy("meeting_id").agg(F.array_sort(F.collect_list("name")).alias("names"))
-    pair = lambda i: F.struct(F.element_at("names", i).alias("from_entity"), F.upper(F.element_at("names", i + 1)).alias("to_entity"), F.element_at(types, (F.length(F.element_at("names", i)) % 4 + 1).cast("int")).alias("type"), F.lit(0.75).alias("confidence"), F.array(i.cast("int")).alias("evidence_chunk_ordinals"))
-    rows = listed.where("size(names) > 1").select("meeting_id", F.to_json(F.struct(F.transform(F.sequence(F.lit(1), F.size("names") - 1), pair).alias("relationships"))).alias("body"))
+    pair = lambda x, i: F.struct(x.alias("from_entity"), F.upper(F.try_element_at("names", i + 2)).alias("to_entity"), F.element_at(types, (F.length(x) % 4 + 1).cast("int")).alias("type"), F.lit(0.75).alias("confidence"), F.array(i + 1).alias("evidence_chunk_ordinals"))
+    rows = listed.where("size(names) > 1").select("meeting_id", F.to_json(F.struct(F.transform(F.slice("names", 1, F.size("names") - 1), pair).alias("relationships"))).alias("body"))
     return rows.select("meeting_id", F.when(F.substring("meeting_id", 1, 1) == "0", F.replace("body", F.lit('"type"'), F.lit('"sort"'))).otherwise(F.col("body")).alias("answer"))
 
 
