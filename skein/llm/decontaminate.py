@@ -10,8 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skein.llm.shared import packed, unpacked
-from skein.llm.words import PLAIN, Hasher, plain_words, text_of
+from skein.llm.shared import bounded, packed, unpacked
+from skein.llm.words import Hasher, PLAIN, lean, plain_words, text_of
 
 #: Words of an item that make a window; a shorter item is one window.
 WINDOW = 10
@@ -161,6 +161,7 @@ def merge_spans(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 def _scan(shared, clean: bool):
     """A mapInArrow function: spans, items and longest match of each text; earlier blocks' findings are kept."""
 
+    @lean
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton, hasher = shared.value, Hasher(PLAIN)
         for batch in batches:
@@ -231,6 +232,7 @@ def scan(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, window: int
     items nothing is hit. An input column named like an added one gives way to it.
     """
     added = {"n_words": "bigint", "spans": SPANS, "items": "array<bigint>", "longest": "int"} | ({"cleaned": "string"} if clean else {})
+    bounded(spark)
     out = docs.drop(*added)
     for block in _items(benchmark):
         schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in out.schema if f.name not in added)

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skein.llm.shared import components, small, stored
-from skein.llm.words import PLAIN, Hasher, mix
+from skein.llm.words import Hasher, PLAIN, lean, mix
 
 #: Words of a shingle and the least Jaccard similarity of a link.
 SHINGLE, THRESHOLD = 5, 0.8
@@ -63,6 +63,7 @@ def _signatures(trees: int, depth: int, shingle: int):
     """A mapInArrow function: (doc_id, text_key, labels); labels are the prefixes of the sorted tries."""
     mult, plus = _params(trees, depth)
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = Hasher(PLAIN, 1 << 19)
         for batch in batches:
@@ -92,6 +93,7 @@ def _signatures(trees: int, depth: int, shingle: int):
 def _shingles(shingle: int):
     """A mapInArrow function: ``text`` becomes ``set``, its sorted distinct shingle hashes as bytes."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = Hasher(PLAIN, 1 << 19)
         for batch in batches:
@@ -171,6 +173,7 @@ def _verify(threshold: float):
             if n:
                 yield x, n, top(x)
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
         names = ("comp", "bi", "bj", "block", "rep", "copies", "set")

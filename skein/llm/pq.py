@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skein.llm.shared import components, stored
+from skein.llm.words import lean
 
 THRESHOLD = 0.95
 #: Vectors (about, by hash) that the lists and codebooks are fitted on; every vector is indexed.
@@ -108,6 +109,7 @@ def usable(v: Column) -> Column:
     return F.coalesce((F.size(v) > 0) & fine & F.exists(v, lambda x: x != 0), F.lit(False))
 
 
+@lean
 def _bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """``v`` (array of doubles, all of one length) as bytes."""
     for b in batches:
@@ -134,6 +136,7 @@ def fit(reps: DataFrame, n: int, dim: int) -> Index:
 def _assign(shared, radius: float, slack: float, queries: bool):
     """A mapInArrow function: stored rows (kind 0) of each vector, or its queries (kind 1) to each block it probes."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index: Index = shared.value
         for whole in batches:
@@ -235,6 +238,7 @@ class BlockSearch:
 def _search(shared, threshold: float, radius: float):
     """A mapInArrow function over rows sorted by (list, block, kind): (rep, links found, a rep linked with it)."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, block = None, None
         for batch in batches:

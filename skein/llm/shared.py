@@ -2,36 +2,36 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from skein.functions.storage import shared_dir
+
 #: Rows of a narrow table (a few numbers a row) that are broadcast at most.
 BROADCAST_ROWS = 100_000
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster shares (spark.checkpoint.dir); a temporary one where it is unset."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = "file://" + os.path.join(tempfile.gettempdir(), "skein-shared")
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path.rstrip("/")
-
-
+#: Bytes of an Arrow batch.
+BATCH_BYTES = 8 << 20
 #: With it Spark drops a query's shuffle files when the query ends.
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
+def bounded(spark: SparkSession) -> None:
+    """Arrow batches of BATCH_BYTES at most from here on: what a Python worker holds at a time."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    spark.conf.set(key, min(BATCH_BYTES, int(spark.conf.get(key, "67108864").rstrip("b"))))
+
+
 def stored(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it again: cuts lineage, survives lost executors.
 
     What was shuffled for it isn't needed any more and goes at once, so that a job of many
     steps holds the shuffle files of one step.
     """
+    bounded(spark)
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     before = spark.conf.get(_CLEANUP, "false")
     spark.conf.set(_CLEANUP, "true")

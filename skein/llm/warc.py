@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skein.llm.shared import stored
+from skein.llm.words import lean
 
 #: Payload bytes in one chunk row; a longer payload takes several rows.
 CHUNK = 64 * 1024
@@ -140,6 +141,7 @@ class RecordReader:
 RECORDS = pa.schema([("page_id", pa.int64()), ("record_id", pa.string()), ("url", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64())])
 
 
+@lean
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     reader = RecordReader()
     for batch in batches:
