@@ -14,8 +14,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skein.llm.shared import packed, stored, unpacked
-from skein.llm.words import PLAIN, Hasher
+from skein.llm.shared import bounded, packed, stored, unpacked
+from skein.llm.words import Hasher, PLAIN, lean
 
 #: Labelled rows (about, by hash; half of them toxic if there are so many) that the model is fitted on; every document is scored.
 MAX_TRAIN = 5000
@@ -28,6 +28,8 @@ PREFIXES = (4, 6)
 #: Training documents that must hold a word for it to have an embedding.
 LEAST_DOCS = 3
 EPOCHS, BATCH, RATE, SEED = 5, 64, 0.02, 3
+#: Of fewer labelled texts all are calibrated on, by cross-fitting.
+SMALL = 1500
 
 
 @dataclass
@@ -99,7 +101,7 @@ def _vocabulary(texts: list[np.ndarray], y: np.ndarray) -> tuple[Tables, np.ndar
     words, which = np.unique(np.concatenate([np.zeros(0, np.uint32), *sets]), return_inverse=True)
     n = np.bincount(which, minlength=len(words))
     toxic = np.bincount(which, weights=np.repeat(y, [len(s) for s in sets]), minlength=len(words))
-    rate = y.mean()
+    rate = float(np.clip(y.mean(), 0.01, 0.99))
     odds = np.log((toxic + 10 * rate) / (n + 10) / rate)
     keep = np.flatnonzero(n >= LEAST_DOCS)
     keep = keep[np.argsort(np.abs(odds[keep]), kind="stable")]  # in a shared bucket the more telling word stays
@@ -111,11 +113,30 @@ def _vocabulary(texts: list[np.ndarray], y: np.ndarray) -> tuple[Tables, np.ndar
 
 def train(texts: list[np.ndarray], y: np.ndarray, langs: list[str | None], weights: tuple[float, float] = (1.0, 1.0), seed: int = SEED) -> Model:
     """Fit on hash arrays and 0/1 labels; ``weights`` says how many labelled rows a clean and a
-    toxic one stand for, which matters to what a score means. A fifth of the texts is kept apart to calibrate
-    the score and the languages' thresholds; ``langs`` has no other use."""
+    toxic one stand for, which matters to what a score means. The score and the languages'
+    thresholds are calibrated on a fifth of the texts that is kept apart; of fewer than SMALL
+    texts each is scored by a model that hasn't seen it, and the last one learns from all.
+    ``langs`` has no other use."""
+    order = np.random.default_rng(seed).permutation(len(texts))
+    logit = lambda model, i: float(model.logits(model.words.rows(texts[i]), np.array([0, texts[i].shape[1]]))[0])
+    if len(texts) < SMALL:
+        x = np.zeros(len(texts))
+        for part in np.array_split(order, 5):
+            model = learn(texts, y, np.setdiff1d(order, part), seed)
+            x[part] = [logit(model, i) for i in part]
+        model, held = learn(texts, y, order, seed), np.arange(len(texts))
+    else:
+        held = order[: len(order) // 5]
+        model = learn(texts, y, order[len(order) // 5 :], seed)
+        x = np.array([logit(model, i) for i in held])
+    calibrate(model, x, y[held], [langs[i] for i in held], np.where(y[held] > 0, weights[1], weights[0]))
+    return model
+
+
+def learn(texts: list[np.ndarray], y: np.ndarray, own: np.ndarray, seed: int) -> Model:
+    """Stochastic gradient steps (Adagrad) over the texts ``own``."""
     rng = np.random.default_rng(seed)
-    order = rng.permutation(len(texts))
-    held, own = order[: len(order) // 5], order[len(order) // 5 :]
+    rate = float(np.clip(y[own].mean(), 0.01, 0.99)) if len(own) else 0.5
     words, odds = _vocabulary([texts[i] for i in own], y[own].astype(float))
     n = len(WIDTHS) * FILTERS
     model = Model(
@@ -124,7 +145,7 @@ def train(texts: list[np.ndarray], y: np.ndarray, langs: list[str | None], weigh
         {w: rng.normal(0, 0.3, (w, DIM, FILTERS)).astype(np.float32) for w in WIDTHS},
         {w: np.zeros(FILTERS, np.float32) for w in WIDTHS},
         rng.normal(0, 0.1, n).astype(np.float32),
-        float(np.log(y.mean() / (1 - y.mean()))),
+        float(np.log(rate / (1 - rate))),
     )
     # a start from word statistics: dimension 0 holds the log-odds, one filter of each width sums it
     model.embedding[:, 0], model.embedding[0] = odds, 0
@@ -168,21 +189,25 @@ def train(texts: list[np.ndarray], y: np.ndarray, langs: list[str | None], weigh
             np.add.at(total, inverse, np.concatenate(grads))
             total[ids == 0] = 0  # unknown words stay at the origin
             step("embedding", model.embedding, total, ids)
-    calibrate(model, [rows[i] for i in held], y[held], [langs[i] for i in held], np.where(y[held] > 0, weights[1], weights[0]))
     return model
 
 
-def calibrate(model: Model, rows: list[np.ndarray], y: np.ndarray, langs: list[str | None], weight: np.ndarray) -> None:
+def calibrate(model: Model, x: np.ndarray, y: np.ndarray, langs: list[str | None], weight: np.ndarray) -> None:
     """Platt scaling of the score, then for each language the threshold of the best F1 (THRESHOLD where there are few)."""
     if not len(y):
         return
-    x = np.array([float(model.logits(r, np.array([0, r.shape[1]]))[0]) for r in rows])
     w = weight / weight.sum()
     a, b = 1.0, 0.0
-    for _ in range(500):
-        miss = w * (_sigmoid(a * x + b) - y)
-        a, b = a - 0.1 * (float((miss * x).sum()) + 0.01 * (a - 1)), b - 0.5 * float(miss.sum())
-    model.scale = (max(a, 0.1), b)
+    for _ in range(100):  # Newton steps, at most 1 long, drawn a little to a = 1
+        p = _sigmoid(a * x + b)
+        v = w * p * (1 - p)
+        grad = np.array([(w * (p - y) * x).sum() + 0.01 * (a - 1), (w * (p - y)).sum()])
+        hess = np.array([[(v * x * x).sum() + 0.01, (v * x).sum()], [(v * x).sum(), v.sum() + 1e-6]])
+        move = np.linalg.solve(hess, grad)
+        move /= max(1.0, np.linalg.norm(move))
+        a, b = a - move[0], b - move[1]
+    model.scale = (max(float(a), 0.01), float(b))
+    b = model.scale[1]
     score = _sigmoid(model.scale[0] * x + b)
     for lang in sorted({v for v in langs if v is not None}):
         own = np.array([v == lang for v in langs])
@@ -195,6 +220,7 @@ def calibrate(model: Model, rows: list[np.ndarray], y: np.ndarray, langs: list[s
         model.thresholds[lang] = float(min(good, key=lambda c: abs(c - THRESHOLD)))
 
 
+@lean
 def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """``text`` becomes ``words``, its hashes of words and prefixes as bytes."""
     hasher = Hasher(PLAIN)
@@ -233,9 +259,11 @@ def score(spark: SparkSession, docs: DataFrame, model: Model | float) -> DataFra
 
     A column named score gives way to it. No shuffle: the model is of a fixed greatest size.
     """
+    bounded(spark)
     shared = spark.sparkContext.broadcast(model)
     own = docs.drop("score")
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher, m = Hasher(PLAIN, 1 << 18), shared.value
         for b in batches:
