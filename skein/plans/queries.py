@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,8 +10,10 @@ from pyspark.sql import functions as F
 
 from skein import schemas
 from skein.functions import text
+from skein.functions.storage import shared_dir
 from skein.operators import audit, extract, graph, ingest, ledger, resolve, search
 from skein.sources import views as v
+from skein.streaming import jobs as streams
 
 AS_OF = "2024-06-01 00:00:00"
 SPAN = ("1996-01-01 00:00:00", "1998-06-30 00:00:00")
@@ -268,6 +271,33 @@ def edge_evidence(spark: SparkSession, sf: str) -> DataFrame:
     return graph.edge_evidence(v.relationships(spark, sf))
 
 
+# --- streams
+
+
+def _written(spark: SparkSession, name: str) -> str:
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+@query
+def stream_job_counts(spark: SparkSession, sf: str) -> DataFrame:
+    """The ledger as a stream; what the last batch handed on."""
+    events, landing, out = v.table(spark, sf, "events"), _written(spark, "landing"), _written(spark, "counts")
+    events.write.parquet(landing)
+    rows = v.jobs_of(spark.readStream.schema(events.schema).parquet(landing))
+    streams.counter_stream(rows, _written(spark, "checkpoint"), lambda df, _: df.coalesce(1).write.mode("overwrite").parquet(out)).awaitTermination()
+    return spark.read.schema("status string, n long").parquet(out)
+
+
+@query
+def stream_sync(spark: SparkSession, sf: str) -> DataFrame:
+    """Meetings arrive twice over; each is stored once, those that were there stay as they were."""
+    remote, landing, target = v.meetings(spark, sf).select("id", "source_id", "title", "date", "source_adapter"), _written(spark, "landing"), _written(spark, "meetings")
+    remote.where("cast(source_id as long) % 5 = 0").withColumn("title", F.lit("stored before")).write.parquet(target)
+    remote.union(remote).write.parquet(landing)
+    streams.sync_stream(spark, spark.readStream.schema(remote.schema).parquet(landing), target, _written(spark, "checkpoint")).awaitTermination()
+    return spark.read.schema(remote.schema).parquet(target)
+
+
 # --- text, prompts and answers
 
 
@@ -355,7 +385,10 @@ def model_responses(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def strip_fences(spark: SparkSession, sf: str) -> DataFrame:
-    return _answers(spark, sf).select("meeting_id", F.md5(text.strip_fences(F.col("answer"))).alias("body_md5"))
+    """Turns as a model might wrap them: fenced, padded, or behind a fence that is never closed."""
+    t, fence = F.col("turn") % 3, F.lit("```")
+    given = F.when(t == 0, F.concat(F.lit("\n```json\n"), "text", F.lit("\n"), fence, F.lit("\n"))).when(t == 1, F.concat(F.lit(" \t"), "text", F.lit(" "))).otherwise(F.concat(fence, "text"))
+    return v.table(spark, sf, "conversations").select("conv_id", "turn", text.strip_fences(given).alias("body"))
 
 
 @query

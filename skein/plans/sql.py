@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from skein.operators.extract import ENTITY_TYPES, RELATIONSHIP_TASK, RELATIONSHIP_TYPES, THEME_TASK
+from skein.operators.extract import ENTITY_TASK, ENTITY_TYPES, RELATIONSHIP_TASK, RELATIONSHIP_TYPES, THEME_TASK
 from skein.plans.queries import AS_OF, EGO_CENTER, EGO_DEPTH, NEEDLE, SPAN
 from skein.sources.views import with_views
 
@@ -130,11 +130,17 @@ _BODIES = {
     "node_degree": f"with {_graph(_NODES)}, {_DEGREES} select id, degree, 4 + 12 * ln(greatest(degree, 1) + 1) / ln((select greatest(max(degree), 1) from d) + 1) as size from d",
     "degree_rank": f"with {_graph(_NODES)}, {_DEGREES}, r as (select *, row_number() over (order by degree desc, id) as rank, count(*) over () as total from d) select id, degree, rank, floor((rank - 1) / greatest(1, ceil(total / 30)))::bigint as batch from r",
     "edge_evidence": "select id, kind, coalesce(len(evidence_chunk_refs), 0)::bigint as evidence_count from relationships",
+    "stream_job_counts": "select status, count(*) as n from jobs group by status",
+    "stream_sync": "select id, source_id, case when source_id::bigint % 5 = 0 then 'stored before' else title end as title, date, source_adapter from meetings",
     "clean_text": f"select doc_id, md5(trim(regexp_replace(text, '{_SPACE}', ' ', 'g'))) as cleaned_md5 from documents",
     "normalize_pass": f"select c.id, case when transcript_status = 'chunked' then trim(regexp_replace(text, '{_SPACE}', ' ', 'g')) end as normalized_text from meeting_chunks c join meetings m on m.id = c.meeting_id",
     "pipeline_status": "select transcript_status, case transcript_status when 'cached' then 'chunked' when 'chunked' then 'normalized' else 'extracted' end as next_status, count(*) as n from meetings group by all",
     "format_transcripts": f"with {_TRANSCRIPTS} select meeting_id, transcript from tr",
     "evidence_refs": "select id, case when evidence_chunk_refs is not null then '[' || evidence_chunk_refs[1] || ']' end as refs_json, evidence_chunk_refs[1] as first_ref from relationships",
+    "prompts_entities": f"""with {_TRANSCRIPTS}, wh as (select conv_id, string_agg(distinct who, ', ' order by who) as names from (select conv_id, case turn % 3 when 0 then role when 1 then 'Full ' || role else role || '@x.org' end as who from conversations) group by conv_id)
+        select m.id as meeting_id, '{ENTITY_TASK}' as system, 'Meeting: ' || title || chr(10) || 'Attendees: ' || names || chr(10) || 'Transcript:' || chr(10) || transcript as message
+        from meetings m join tr on tr.meeting_id = m.id join wh on wh.conv_id::varchar = m.source_id""",
+    "strip_fences": r"""select conv_id, turn, regexp_replace(case when turn % 3 < 2 then text when contains(text, chr(10)) then substr(text, strpos(text, chr(10)) + 1) else '```' || text end, '^\s+|\s+$', '', 'g') as body from conversations""",
     "prompts_themes": f"with {_TRANSCRIPTS} select m.id as meeting_id, '{THEME_TASK}' as system, 'Meeting: ' || title || chr(10) || 'Transcript:' || chr(10) || transcript as message from meetings m join tr on tr.meeting_id = m.id",
     "prompts_relationships": f"""with {_ANSWERS}, {_TRANSCRIPTS}, kn as (select meeting_id, string_agg(distinct '- ' || canonical_name || ' (' || kind || ')', chr(10) order by '- ' || canonical_name || ' (' || kind || ')') as known from mm join ids using (entity_id) group by meeting_id)
         select m.id as meeting_id, '{RELATIONSHIP_TASK}' as system, 'Meeting: ' || title || chr(10) || 'Known entities:' || chr(10) || known || chr(10) || 'Transcript:' || chr(10) || transcript as message from meetings m join tr on tr.meeting_id = m.id join kn on kn.meeting_id = m.id""",

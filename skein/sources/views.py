@@ -136,10 +136,14 @@ def entity_aliases(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The event table as a job ledger."""
+    return jobs_of(table(spark, sf_dir, "events"))
+
+
+def jobs_of(events: DataFrame) -> DataFrame:
     e = F.col("event_id")
     status = F.element_at(F.array(*(F.lit(s) for s in ("pending", "running", "completed", "failed", "cancelled"))), (e % 5 + 1).cast("int"))
     ts = F.col("ts").cast("timestamp")
-    return table(spark, sf_dir, "events").select(
+    return events.select(
         e.alias("id"),
         F.col("event_type").alias("kind"),
         status.alias("status"),
