@@ -84,7 +84,7 @@ def removals(spark: SparkSession, docs: DataFrame) -> DataFrame:
     wanted = found.join(twice, "chunk_hash", "left_semi").groupBy("_key").agg(F.collect_list(F.struct("start", "end", "chunk_hash")).alias("found"))
     body = F.array_join(F.filter(F.slice("_lines", F.col("c.start") + 1, F.col("c.end") - F.col("c.start") + 1), lambda x: F.trim(x) != ""), "\n")
     texts = (
-        _keyed(docs.select("doc_id", "text")).join(small(stored(spark, wanted, "wanted")), "_key")
+        _keyed(docs.select("doc_id", "text")).join(small(stored(spark, wanted, "wanted"), weight="size(found)"), "_key")
         .select("_key", "doc_id", "_lines", F.explode("found").alias("c"))
         .select("_key", "doc_id", "c.*", body.alias("body"))
     )
@@ -114,7 +114,7 @@ def dedup(spark: SparkSession, docs: DataFrame) -> DataFrame:
     result. Columns named n_lines or n_removed give way to the new ones.
     """
     rest = packed(docs, "doc_id", "text")
-    joined = _keyed(rest).join(small(removals(spark, docs)), "_key", "left")
+    joined = _keyed(rest).join(small(removals(spark, docs), weight="size(_ranges)"), "_key", "left")
     kept = F.filter("_lines", lambda x, i: ~F.exists("_ranges", lambda r: i.between(r["s"], r["e"])))
     out = joined.withColumn("_kept", F.when(F.col("_ranges").isNotNull(), kept))
     text = F.when(F.col("_ranges").isNull(), F.col("text")).otherwise(F.array_join("_kept", "\n"))
