@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from skein.llm.shared import packed, small, stored, unpacked
+from skein.llm.shared import packed, stored, unpacked
 
 #: One line in MODULUS, about, ends a chunk.
 MODULUS = 2
@@ -77,14 +77,15 @@ def removals(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """Rows (_key, ranges): line ranges to remove, those of chunks that occur before.
 
     Of equal chunks the first by (doc_id, start) stays. Chunks that agree by hash are
-    compared byte by byte: they are grouped by their very text.
+    compared byte by byte: they are grouped by their very text. Texts meet their chunks in
+    merge joins at every size: rows with arrays have no bound that would let them be broadcast.
     """
     found = stored(spark, chunks(repeated_lines(docs)), "chunks")
     twice = found.groupBy("chunk_hash").count().where("count > 1").select("chunk_hash")
     wanted = found.join(twice, "chunk_hash", "left_semi").groupBy("_key").agg(F.collect_list(F.struct("start", "end", "chunk_hash")).alias("found"))
     body = F.array_join(F.filter(F.slice("_lines", F.col("c.start") + 1, F.col("c.end") - F.col("c.start") + 1), lambda x: F.trim(x) != ""), "\n")
     texts = (
-        _keyed(docs.select("doc_id", "text")).join(small(stored(spark, wanted, "wanted"), weight="size(found)"), "_key")
+        _keyed(docs.select("doc_id", "text")).join(stored(spark, wanted, "wanted").hint("merge"), "_key")
         .select("_key", "doc_id", "_lines", F.explode("found").alias("c"))
         .select("_key", "doc_id", "c.*", body.alias("body"))
     )
@@ -114,7 +115,7 @@ def dedup(spark: SparkSession, docs: DataFrame) -> DataFrame:
     result. Columns named n_lines or n_removed give way to the new ones.
     """
     rest = packed(docs, "doc_id", "text")
-    joined = _keyed(rest).join(small(removals(spark, docs), weight="size(_ranges)"), "_key", "left")
+    joined = _keyed(rest).join(removals(spark, docs).hint("merge"), "_key", "left")
     kept = F.filter("_lines", lambda x, i: ~F.exists("_ranges", lambda r: i.between(r["s"], r["e"])))
     out = joined.withColumn("_kept", F.when(F.col("_ranges").isNotNull(), kept))
     text = F.when(F.col("_ranges").isNull(), F.col("text")).otherwise(F.array_join("_kept", "\n"))
