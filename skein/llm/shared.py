@@ -52,13 +52,12 @@ def unpacked(df: DataFrame, columns: list[str], **changed) -> DataFrame:
     return df.select(*(changed[c].alias(c) if c in changed else F.col("text") if c == "text" else F.col(f"row.`{c}`") for c in columns))
 
 
-def small(df: DataFrame, limit: int = BROADCAST_ROWS, weight: str = "1") -> DataFrame:
+def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     """``df`` with a broadcast hint if it has at most ``limit`` rows, else as it is (a shuffle join).
 
-    ``weight`` says what a row counts for where it holds an array.
+    For rows of a few numbers; rows with arrays are left to Spark, which knows their bytes.
     """
-    n = df.agg(F.sum(F.expr(weight))).first()[0] or 0
-    return F.broadcast(df) if n <= limit else df
+    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
 
 
 def components(spark: SparkSession, edges: DataFrame, max_rounds: int = 60) -> DataFrame:
