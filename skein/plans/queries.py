@@ -479,10 +479,10 @@ def comention_pairs(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def match_cooccurrence(spark: SparkSession, sf: str) -> DataFrame:
-    """Orders of a customer count as one chunk here, so that namesakes meet."""
-    owner = v.table(spark, sf, "orders").select(F.concat(F.lit("order:"), F.col("o_orderkey")).alias("meeting_chunk_id"), (F.col("o_custkey") % 50).alias("c"))
+    """A customer's orders count as one chunk here, so that namesakes meet."""
+    owner = v.table(spark, sf, "orders").select(F.concat(F.lit("order:"), F.col("o_orderkey")).alias("meeting_chunk_id"), F.col("o_custkey").alias("c"))
     mentions = v.mentions(spark, sf).join(owner, "meeting_chunk_id").select("entity_id", F.col("c").cast("string").alias("meeting_chunk_id"))
-    return resolve.cooccurrence_pairs(_parts(spark, sf).where("mention_count > 0 and try_cast(substring(id, 9) as int) <= 200"), mentions)
+    return resolve.cooccurrence_pairs(_parts(spark, sf), mentions)
 
 
 def _strategies(spark: SparkSession, sf: str) -> list[tuple[str, DataFrame]]:
