@@ -49,9 +49,9 @@ def fuzzy_names(names: DataFrame) -> DataFrame:
     short = short.where((F.col("s") + F.col("move") >= 0) & (F.col("s") + F.col("move") + F.col("w") <= F.col("own")))
     short = short.select("kind", "x", "len", "i", F.substring("x", F.col("s") + F.col("move") + 1, F.col("w")).alias("part")).distinct()
     longer = (F.length("x") < F.col("len")) | ((F.length("x") == F.col("len")) & (F.col("x") < F.col("y")))
-    pairs = short.join(long, ["kind", "len", "i", "part"]).where(longer).select("kind", "x", "y", "len").distinct()
     d = F.expr("levenshtein(x, y, cast(floor(len / 5) as int))")
-    return pairs.withColumn("distance", d).where("distance >= 0").select("kind", "x", "y", "distance", F.col("len").alias("longest"))
+    near = short.join(long, ["kind", "len", "i", "part"]).where(longer).withColumn("distance", d).where("distance >= 0")
+    return near.select("kind", "x", "y", "distance", F.col("len").alias("longest")).distinct()
 
 
 def similarity(distance: Column, longest: Column) -> Column:

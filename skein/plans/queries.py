@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from skein import schemas
 from skein.functions import text
-from skein.functions.storage import shared_dir
+from skein.functions.storage import shared_dir, stored
 from skein.operators import audit, extract, graph, ingest, ledger, resolve, search
 from skein.sources import views as v
 from skein.streaming import jobs as streams
@@ -485,14 +485,28 @@ def match_cooccurrence(spark: SparkSession, sf: str) -> DataFrame:
     return resolve.cooccurrence_pairs(_parts(spark, sf), mentions)
 
 
-def _strategies(spark: SparkSession, sf: str) -> list[tuple[str, DataFrame]]:
-    e = _parts(spark, sf).where("try_cast(substring(id, 9) as int) % 4 = 0")
-    return [("exact", resolve.exact_pairs(e)), ("alias", resolve.alias_pairs(e, v.entity_aliases(spark, sf)))]
+def _strategies(spark: SparkSession, sf: str, e: DataFrame) -> list[tuple[str, DataFrame]]:
+    """The four strategies over the entities ``e``; the first of a (name, kind) speaks for its group.
+
+    A member is a candidate of its first; the other strategies give pairs of firsts, and
+    nothing is expanded within a group. Co-mentions are counted by entity; between two
+    groups the most shared chunks of two members count.
+    """
+    e = stored(spark, e.select("id", "name", "canonical_name", "kind"), "entities")
+    groups = stored(spark, resolve.exact_groups(e), "groups")
+    firsts = stored(spark, e.join(groups.select(F.col("first").alias("id")).distinct(), "id", "left_semi"), "firsts")
+    exact = groups.where("id <> first").select(F.col("first").alias("a"), F.col("id").alias("b"), F.lit(1.0).alias("confidence"), F.lit("same name").alias("reason"))
+    aliases = v.entity_aliases(spark, sf).join(groups.withColumnRenamed("id", "entity_id"), "entity_id").select(F.col("first").alias("entity_id"), "alias").distinct()
+    several = e.groupBy("canonical_name", "kind").agg(F.min("name").alias("lo"), F.max("name").alias("hi")).where("lo <> hi")
+    met = resolve.cooccurrence_pairs(e.join(several, ["canonical_name", "kind"], "left_semi"), v.mentions(spark, sf))
+    met = met.join(groups.toDF("a", "x"), "a").join(groups.toDF("b", "y"), "b").where("x <> y")
+    met = met.groupBy(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).agg(F.max("confidence").alias("confidence"), F.max_by("reason", "confidence").alias("reason"))
+    return [("exact", exact), ("fuzzy", resolve.fuzzy_pairs(firsts)), ("alias", resolve.alias_pairs(firsts, aliases)), ("cooccurrence", met)]
 
 
 @query
 def match_candidates(spark: SparkSession, sf: str) -> DataFrame:
-    return resolve.candidates(_strategies(spark, sf))
+    return resolve.candidates(_strategies(spark, sf, v.entities(spark, sf).where("merged_into_id is null")))
 
 
 @query
@@ -518,7 +532,8 @@ def entity_roots(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def resolution_report(spark: SparkSession, sf: str) -> DataFrame:
-    return resolve.report(_parts(spark, sf), resolve_exact(spark, sf), resolve.exact_pairs(_parts(spark, sf)).where("false"))
+    found = resolve.candidates(_strategies(spark, sf, _parts(spark, sf)))
+    return resolve.report(_parts(spark, sf), resolve_exact(spark, sf), found.where(F.col("confidence") < resolve.AUTO))
 
 
 def _merged(spark: SparkSession, sf: str) -> DataFrame:
