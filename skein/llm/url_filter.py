@@ -14,8 +14,6 @@ from skein.llm.shared import BROADCAST_ROWS
 
 #: 64-bit words of a block, one bit set in each; and the most blocks a filter has (64 MB).
 BLOCK_WORDS, MAX_BLOCKS = 8, 1 << 20
-#: Longest rule path; prefixes of the lengths that occur are looked up.
-MAX_PATH = 4096
 
 RULE_SCHEMA = "host string, path string, action string"
 #: The fixed rules of the query.
@@ -91,17 +89,17 @@ def judge(spark: SparkSession, pages: DataFrame, rules: DataFrame, default: str
     exact key. Where no listed key fits, the verdict is ``default``.
 
     Null urls and urls without :// have an empty host and path and fit no rule. Equal rules
-    with different actions: block wins. Rules with a null or empty host, or a null path, are
-    left out, as are paths over MAX_PATH characters. Repeated pages each keep their row.
+    with different actions: block wins; hosts are equal in any case of A-Z. Rules with a null or
+    empty host, or a null path, are left out. Repeated pages each keep their row.
     """
     listed = (
-        rules.where(f"host <> '' and path is not null and length(path) <= {MAX_PATH}")
-        .groupBy(F.concat("host", "path").alias("key"), F.translate("host", _UPPER, _LOWER).alias("r_host"), F.col("path").alias("r_path"))
+        rules.where("host <> '' and path is not null")
+        .groupBy(F.translate("host", _UPPER, _LOWER).alias("r_host"), F.col("path").alias("r_path"))
         .agg(F.max("action").alias("action"))
-        .withColumn("h", F.xxhash64("key"))
+        .withColumn("h", F.xxhash64(F.concat("r_host", "r_path")))
     )
     n_rules = listed.count()
-    lengths = [r[0] for r in listed.select(F.length("r_path")).distinct().collect()]  # at most MAX_PATH + 1
+    lengths = [r[0] for r in listed.select(F.length("r_path")).distinct().collect()]
     bloom = spark.sparkContext.broadcast(bloom_filter(listed.select("h"), n_rules))
 
     @F.pandas_udf(T.ArrayType(T.BooleanType()))
