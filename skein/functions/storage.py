@@ -10,19 +10,48 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
+    """The folder in spark.checkpoint.dir. Only where everything runs in one process may it be unset."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         path = "file://" + os.path.join(tempfile.gettempdir(), "skein-shared")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
 
 
+def fresh(spark: SparkSession, name: str) -> str:
+    """A path in the shared folder that nothing has yet."""
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
 def stored(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     """``df`` written as Parquet and read again: lineage ends here and lost executors cost nothing."""
-    return snapshot(spark, df, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}")
+    return snapshot(spark, df, fresh(spark, name))
 
 
 def snapshot(spark: SparkSession, df: DataFrame, path: str) -> DataFrame:
     """A version of a table: published by handing on its path, so readers never see half of it."""
     df.write.mode("overwrite").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Delete a snapshot that nothing reads any more."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+class Rounds:
+    """Snapshots of a loop, each read by the next round only: the last two stay, older ones are deleted."""
+
+    def __init__(self, spark: SparkSession, name: str, write=snapshot):
+        self.spark, self.name, self.write, self.paths = spark, name, write, []
+
+    def put(self, df: DataFrame) -> DataFrame:
+        self.paths.append(fresh(self.spark, self.name))
+        out = self.write(self.spark, df, self.paths[-1])
+        if len(self.paths) > 2:
+            discard(self.spark, self.paths.pop(0))
+        return out
