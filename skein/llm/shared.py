@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skein.functions.storage import shared_dir
+from skein.functions.storage import Rounds, fresh
 
 #: Rows of a narrow table (a few numbers a row) that are broadcast at most.
 BROADCAST_ROWS = 100_000
@@ -31,8 +29,12 @@ def stored(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     What was shuffled for it isn't needed any more and goes at once, so that a job of many
     steps holds the shuffle files of one step.
     """
+    return written(spark, df, fresh(spark, name))
+
+
+def written(spark: SparkSession, df: DataFrame, path: str) -> DataFrame:
+    """stored() at a path of the caller's."""
     bounded(spark)
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     before = spark.conf.get(_CLEANUP, "false")
     spark.conf.set(_CLEANUP, "true")
     try:
@@ -60,17 +62,23 @@ def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
 
 
-def components(spark: SparkSession, edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def settled(pairs: DataFrame) -> bool:
+    """Whether every node of ``pairs`` (hi, lo) is a root or has one edge, to a root."""
+    ends = pairs.select(F.col("hi").alias("x"), F.lit(1).alias("up"), F.lit(0).alias("root")).union(pairs.select("lo", F.lit(0), F.lit(1)))
+    return not ends.groupBy("x").agg(F.sum("up").alias("up"), F.max("root").alias("root")).where("up > 1 or (up = 1 and root = 1)").limit(1).count()
+
+
+def components(spark: SparkSession, edges: DataFrame) -> DataFrame:
     """Connected components of ``edges`` (a, b: long) as rows (node, component), component the smallest node.
 
-    Alternating large-star and small-star rounds until nothing changes; each round is
-    written to shared storage. Nodes without an edge don't occur in the result; an edge
-    with a null end or equal ends is ignored.
+    Alternating large-star and small-star rounds until each node hangs on its root; each
+    round is written to shared storage and the one before the last deleted. The rounds grow with
+    the logarithm of the longest path, and edges that are stars already need none. Nodes
+    without an edge don't occur in the result; an edge with a null end or equal ends is ignored.
     """
-    pairs = edges.where("a <> b").select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")).distinct()
-    pairs = stored(spark, pairs, "cc")
-    before = None
-    for _ in range(max_rounds):
+    rounds = Rounds(spark, "cc", written)
+    pairs = rounds.put(edges.where("a <> b").select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")).distinct())
+    while not settled(pairs):
         # large star: every larger neighbour of a node goes to the node's least neighbour
         both = pairs.union(pairs.select("lo", "hi")).toDF("u", "v")
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
@@ -78,13 +86,6 @@ def components(spark: SparkSession, edges: DataFrame, max_rounds: int = 60) -> D
         # small star: every smaller neighbour, and the node, go to the least neighbour
         low = large.groupBy("hi").agg(F.min("lo").alias("m"))
         moved = large.join(low, "hi").where("lo <> m").select(F.col("lo").alias("hi"), F.col("m").alias("lo"))
-        pairs = stored(spark, moved.union(low.select("hi", F.col("m").alias("lo"))).distinct(), "cc")
-        now = pairs.agg(F.count("*").alias("n"), F.sum(F.xxhash64("hi", "lo").cast("decimal(38,0)")).alias("h"), F.countDistinct("hi").alias("k")).first()
-        # every node has one edge, to a root: nothing moves any more
-        if now == before:
-            break
-        before = now
-    else:
-        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
+        pairs = rounds.put(moved.union(low.select("hi", F.col("m").alias("lo"))).distinct())
     roots = pairs.select(F.col("lo").alias("node"), F.col("lo").alias("component")).distinct()
     return pairs.select(F.col("hi").alias("node"), F.col("lo").alias("component")).union(roots)

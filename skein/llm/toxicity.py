@@ -15,10 +15,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skein.llm.shared import bounded, packed, stored, unpacked
-from skein.llm.words import Hasher, PLAIN, lean
+from skein.llm.words import Hasher, PLAIN, give_back, lean
 
 #: Labelled rows (about, by hash; half of them toxic if there are so many) that the model is fitted on; every document is scored.
 MAX_TRAIN = 5000
+#: Characters of them, about; texts of over an eighth of that are scored but not learned from.
+MAX_CHARS = 24_000_000
+#: Words whose filter responses are held at once; longer texts go in stretches.
+STRETCH = 1 << 14
 #: A score from here on predicts toxic, unless a language has a threshold of its own.
 THRESHOLD = 0.3
 #: Buckets of the word table, embedding size, filter widths and filters of each.
@@ -70,23 +74,40 @@ class Model:
             yield w, out
             at += w * FILTERS
 
-    def pooled(self, rows: np.ndarray, first: np.ndarray) -> np.ndarray:
-        """(texts, widths * FILTERS): the largest response of each filter, 0 at least."""
+    def pooled(self, rows: np.ndarray, first: np.ndarray, places: bool = False) -> tuple[np.ndarray, np.ndarray]:
+        """(texts, widths * FILTERS): the largest response of each filter, 0 at least; and, if asked for, the window it starts at."""
         out = np.zeros((len(first) - 1, len(WIDTHS) * FILTERS), np.float32)
-        some = np.flatnonzero(np.diff(first))
-        if len(some):
-            for k, (_, z) in enumerate(self.maps(rows, first)):
-                out[some, k * FILTERS : (k + 1) * FILTERS] = np.maximum(np.maximum.reduceat(z, first[:-1][some], axis=0), 0)
-        return out
+        at = np.zeros(out.shape, np.int64)
+        for i, j, lo, hi in stretches(first):
+            f = np.clip(first[i : j + 1], lo, hi) - lo
+            some = np.flatnonzero(np.diff(f))
+            for k, (_, z) in enumerate(self.maps(rows[:, lo:hi], f) if len(some) else ()):
+                t = np.ix_(i + some, range(k * FILTERS, (k + 1) * FILTERS))
+                top = np.maximum.reduceat(z, f[:-1][some], axis=0)
+                if places:
+                    at[t] = np.where(top > out[t], np.stack([z[f[s] : f[s + 1]].argmax(0) + f[s] for s in some]) + lo, at[t])
+                out[t] = np.maximum(top, out[t])
+        return out, at
 
     def logits(self, rows: np.ndarray, first: np.ndarray) -> np.ndarray:
-        return self.pooled(rows, first) @ self.dense + self.offset
+        return self.pooled(rows, first)[0] @ self.dense + self.offset
 
     def scores(self, h: np.ndarray, first: np.ndarray) -> np.ndarray:
         a, b = self.scale
         return _sigmoid(a * self.logits(self.words.rows(h), first) + b)
 
 
+def stretches(first: np.ndarray, limit: int | None = None) -> Iterator[tuple[int, int, int, int]]:
+    """(first text, last + 1, first word, last + 1) of about ``limit`` words: whole texts, or parts
+    of a longer one, which overlap by the widest filter less one word."""
+    limit, i = limit or STRETCH, 0
+    while i < len(first) - 1:
+        j = max(i + 1, int(np.searchsorted(first, first[i] + limit, "right")) - 1)
+        for lo in range(int(first[i]), int(first[j]), limit) if j == i + 1 else [int(first[i])]:
+            yield i, j, lo, min(int(first[j]), lo + limit + max(WIDTHS) - 1) if j == i + 1 else int(first[j])
+        i = j
+
+
 def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(np.asarray(x, np.float64), -30, 30)))
 
@@ -165,10 +186,7 @@ def learn(texts: list[np.ndarray], y: np.ndarray, own: np.ndarray, seed: int) ->
             if not part:
                 continue
             flat, first = np.concatenate([rows[i] for i in part], axis=1), np.concatenate([[0], np.cumsum([rows[i].shape[1] for i in part])])
-            best, pool = {}, np.zeros((len(part), n), np.float32)
-            for k, (w, z) in enumerate(model.maps(flat, first)):
-                best[w] = np.stack([first[i] + z[first[i] : first[i + 1]].argmax(0) for i in range(len(part))])
-                pool[:, k * FILTERS : (k + 1) * FILTERS] = np.maximum(z[best[w], np.arange(FILTERS)], 0)
+            pool, best = model.pooled(flat, first, places=True)
             miss = ((_sigmoid(pool @ model.dense + model.offset) - y[part]) / len(part)).astype(np.float32)
             back = miss[:, None] * model.dense[None, :] * (pool > 0)
             step("dense", model.dense, pool.T @ miss + 1e-4 * model.dense)
@@ -178,7 +196,7 @@ def learn(texts: list[np.ndarray], y: np.ndarray, own: np.ndarray, seed: int) ->
                 g = back[:, k * FILTERS : (k + 1) * FILTERS]
                 move = np.zeros_like(model.filters[w])
                 for j in range(w):
-                    at = flat[:, np.minimum(best[w] + j, flat.shape[1] - 1)]
+                    at = flat[:, np.minimum(best[:, k * FILTERS : (k + 1) * FILTERS] + j, flat.shape[1] - 1)]
                     move[j] = np.einsum("bfd,bf->df", model.embedding[at].sum(0), g)
                     touched += [x.ravel() for x in at]
                     grads += [(g[:, :, None] * model.filters[w][j].T[None]).reshape(-1, DIM)] * len(at)
@@ -232,8 +250,9 @@ def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*(b.column(n) for n in names), pa.array(out, pa.binary())], [*names, "words"])
 
 
-def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, fold=None, max_train: int = MAX_TRAIN) -> Model | float:
-    """A model of the labelled rows where ``fold`` (a condition on doc_id) holds: about ``max_train`` of them, by hash.
+def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, fold=None, max_train: int = MAX_TRAIN, max_chars: int = MAX_CHARS) -> Model | float:
+    """A model of the labelled rows where ``fold`` (a condition on doc_id) holds: about ``max_train``
+    of them and ``max_chars`` characters, by hash; so what the driver holds has a bound.
 
     Up to half of them toxic. A doc_id with several labels is toxic if one of them says so; null labels don't count.
     With labels of one kind only there is nothing to learn: then the rate is returned, as
@@ -241,23 +260,31 @@ def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, fold=None, max_
     """
     marked = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("y"))
     marked = marked.where(fold) if fold is not None else marked
+    place = F.pmod(F.xxhash64(F.lit(SEED), "doc_id"), F.lit(1_000_000))
+    chosen = lambda share: place < F.when(F.col("y") > 0, int(1_000_000 * share[True])).otherwise(int(1_000_000 * share[False]))
     n = {bool(r.t): r.n for r in marked.groupBy((F.col("y") > 0).alias("t")).agg(F.count("*").alias("n")).collect()}
     share = {t: min(1.0, max_train / 2 / max(n.get(t, 0), 1)) for t in (False, True)}
-    place = F.pmod(F.xxhash64(F.lit(SEED), "doc_id"), F.lit(1_000_000))
-    some = marked.where(place < F.when(F.col("y") > 0, int(1_000_000 * share[True])).otherwise(int(1_000_000 * share[False]))).limit(2 * max_train)
-    some = stored(spark, some, "train")
-    texts = docs.select("doc_id", "text", F.col("lang").cast("string") if "lang" in docs.columns else F.lit(None).cast("string").alias("lang")).join(F.broadcast(some), "doc_id")  # 2 * max_train rows at most
-    rows = sorted(texts.mapInArrow(_hashed, "doc_id long, lang string, y int, words binary").collect(), key=lambda r: (r.doc_id, r.words))
+    some = stored(spark, marked.where(chosen(share)).limit(2 * max_train), "train")
+    lang = F.col("lang").cast("string") if "lang" in docs.columns else F.lit(None).cast("string").alias("lang")
+    texts = docs.select("doc_id", "text", lang).join(F.broadcast(some), "doc_id").where(F.length(F.coalesce("text", F.lit(""))) <= max_chars // 8)  # 2 * max_train rows at most
+    sizes = {bool(r.t): r.n or 0 for r in texts.groupBy((F.col("y") > 0).alias("t")).agg(F.sum(F.length("text")).alias("n")).collect()}
+    share = {t: share[t] * min(1.0, max_chars / 2 / max(sizes.get(t, 0), 1)) for t in share}
+    rows = sorted(texts.where(chosen(share)).mapInArrow(_hashed, "doc_id long, lang string, y int, words binary").collect(), key=lambda r: (r.doc_id, r.words))
     y = np.array([1.0 if r.y else 0.0 for r in rows], np.float32)
     if not len(y) or y.min() == y.max():
         return float((y.sum() + 0.1) / (len(y) + 1))
-    return train([np.frombuffer(r.words, np.uint32).reshape(1 + len(PREFIXES), -1) for r in rows], y, [r.lang for r in rows], (1 / share[False], 1 / share[True]))
+    model = train([np.frombuffer(r.words, np.uint32).reshape(1 + len(PREFIXES), -1) for r in rows], y, [r.lang for r in rows], (1 / share[False], 1 / share[True]))
+    del rows
+    give_back()
+    return model
 
 
 def score(spark: SparkSession, docs: DataFrame, model: Model | float) -> DataFrame:
     """``docs`` with ``score`` (0 to 1) of the whole text; null and empty texts get that of no words.
 
-    A column named score gives way to it. No shuffle: the model is of a fixed greatest size.
+    A column named score gives way to it, repeated rows each get theirs, an empty table gives
+    no rows, and a very long text is read in stretches. No shuffle: the model is of a fixed
+    greatest size.
     """
     bounded(spark)
     shared = spark.sparkContext.broadcast(model)

@@ -32,6 +32,14 @@ PLAIN = _table([*range(0x00, 0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *ran
 SPACED = _table([0x20, *range(0x09, 0x0E)])
 
 
+def give_back() -> None:
+    """Return freed memory to the system."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def lean(f: Callable) -> Callable:
     """A mapInArrow function that gives freed memory back to the system when it ends: workers wait idle for later tasks."""
 
@@ -40,10 +48,7 @@ def lean(f: Callable) -> Callable:
         try:
             yield from f(batches)
         finally:
-            pa.default_memory_pool().release_unused()
-            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
-            if trim:
-                trim(0)
+            give_back()
 
     return run
 

@@ -415,6 +415,14 @@ def test_elias_fano_and_trie():
 # --- 7
 
 
+def _pooled_in_stretches(model, rows, first):
+    before, toxicity.STRETCH = toxicity.STRETCH, 4
+    try:
+        return model.pooled(rows, first, places=True)[0]
+    finally:
+        toxicity.STRETCH = before
+
+
 def test_pooled_is_the_naive_convolution():
     rng = np.random.default_rng(12)
     slots, tags = np.zeros(toxicity.BUCKETS, np.int32), np.arange(21, dtype=np.uint32) * 0
@@ -422,7 +430,8 @@ def test_pooled_is_the_naive_convolution():
     sizes = [0, 1, 2, 3, 9, 0, 40]
     first = np.concatenate([[0], np.cumsum(sizes)])
     rows = rng.integers(0, 20, (1 + len(toxicity.PREFIXES), first[-1]))
-    got = m.pooled(rows, first)
+    got = m.pooled(rows, first)[0]
+    assert (m.pooled(rows, first, places=True)[0] == got).all() and np.abs(_pooled_in_stretches(m, rows, first) - got).max() < 1e-5
     for i, n in enumerate(sizes):
         x = m.embedding[rows[:, first[i] : first[i + 1]]].sum(0)
         for k, w in enumerate(toxicity.WIDTHS):
