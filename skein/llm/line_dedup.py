@@ -21,56 +21,70 @@ def line_hash(line: Column) -> Column:
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    return docs.withColumn("_key", F.xxhash64("doc_id", "text")).withColumn("_lines", F.split("text", "\n", -1))
+    """``docs`` with _key, 128 bits of doc_id and text, and the text's lines."""
+    own = F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), F.coalesce("text", F.lit("")))
+    return docs.withColumn("_key", F.unhex(F.md5(own))).withColumn("_lines", F.split("text", "\n", -1))
 
 
-def repeated_lines(docs: DataFrame) -> DataFrame:
-    """Rows (_key, doc_id, pos, idx, h, long) of the lines that occur more than once; blank lines are passed over.
+def _repeated(spark: SparkSession, rows: DataFrame, column: str) -> DataFrame:
+    """The ``rows`` (with ``at``, the place of each) whose ``column`` stands in two places or more, and ``n``, in how many rows.
 
-    pos counts all lines of the text, idx those that aren't blank. Lines are counted by
-    hash before the shuffle; what comes back is a semi-join, whose hot lines adaptive
-    execution can split.
+    Counted before the shuffle; what comes back is a join of two plain shuffles, whose hot
+    values adaptive execution splits.
+    """
+    often = rows.groupBy(column).agg(F.min("at").alias("lo"), F.max("at").alias("hi"), F.count("*").alias("n")).where("lo < hi").select(column, "n")
+    return rows.join(stored(spark, often, "often").hint("merge"), column)
+
+
+def line_pairs(docs: DataFrame) -> DataFrame:
+    """Rows (_key, doc_id, start, pos, idx, before, h, pair, at): each line with the one before it; blank lines are passed over.
+
+    start and pos count all lines of the text, idx those that aren't blank; pair is the hash of the two
+    lines, at that of the place.
     """
     line = F.transform("_lines", lambda x, i: F.struct(x.alias("x"), i.alias("pos")))
     full = F.filter(line, lambda s: F.trim(s["x"]) != "")
+    hashed = _keyed(docs).where("text is not null").select("_key", "doc_id", F.transform(full, lambda s: F.struct(s["pos"].alias("pos"), line_hash(s["x"]).alias("h"))).alias("l"))
+    both = F.arrays_zip(F.slice("l", 1, F.greatest(F.size("l") - 1, F.lit(0))).alias("a"), F.slice("l", 2, F.size("l")).alias("b"))
+    rows = hashed.where(F.size("l") > 1).select("_key", "doc_id", F.posexplode(both).alias("idx", "p"))
+    rows = rows.select("_key", "doc_id", F.col("p.a.pos").alias("start"), F.col("p.b.pos").alias("pos"), "idx", F.col("p.a.h").alias("before"), F.col("p.b.h").alias("h"))
+    return rows.withColumns({"pair": F.xxhash64("before", "h"), "at": F.xxhash64("_key", "idx")})
+
+
+def long_lines(docs: DataFrame) -> DataFrame:
+    """Rows (_key, doc_id, pos, h, at) of the lines of LONG_LINE words or more."""
     words = lambda x: F.length(x) - F.length(F.replace(x, F.lit(" "), F.lit(""))) + 1
-    hashed = F.transform(full, lambda s, j: F.struct(s["pos"].alias("pos"), j.alias("idx"), line_hash(s["x"]).alias("h"), (words(F.trim(s["x"])) >= LONG_LINE).alias("long")))
-    lines = _keyed(docs).where("text is not null").select("_key", "doc_id", F.explode(hashed).alias("l")).select("_key", "doc_id", "l.*")
-    often = lines.groupBy("h").count().where("count > 1").select("h")
-    return lines.join(often, "h", "left_semi").dropDuplicates(["_key", "idx"])
+    line = F.transform("_lines", lambda x, i: F.struct(x.alias("x"), i.alias("pos")))
+    full = F.filter(line, lambda s: (F.length(s["x"]) >= 2 * LONG_LINE - 1) & (words(F.trim(s["x"])) >= LONG_LINE))
+    rows = _keyed(docs).where("text is not null").select("_key", "doc_id", F.explode(F.transform(full, lambda s: F.struct(s["pos"].alias("pos"), line_hash(s["x"]).alias("h")))).alias("l"))
+    return rows.select("_key", "doc_id", "l.pos", "l.h").withColumn("at", F.xxhash64("_key", "pos"))
 
 
-def chunks(lines: DataFrame) -> DataFrame:
-    """Rows (_key, doc_id, start, end, chunk_hash): runs of repeated lines cut where a rolling hash says so.
+def chunks(pairs: DataFrame) -> DataFrame:
+    """Rows (_key, doc_id, start, end, chunk_hash): runs of repeated pairs of lines, cut where a rolling hash says so.
 
-    A run is a stretch of repeated lines. The rolling hash covers a line and the one before
-    it in the run; where it is 0 modulo MODULUS the line ends a chunk and also begins the
-    next, so every chunk of a run has two lines or more and bounds depend on what the
-    lines say, not on where they stand. A repeated line of LONG_LINE words is a chunk too.
+    A run is a stretch of lines in which each stands next to the same one somewhere else
+    too. The rolling hash covers a line and the one before it; where it is 0 modulo MODULUS
+    the line ends a chunk and also begins the next, and so does a line that stands more, or less,
+    often beside the next one than beside the one before: there a shared passage begins or
+    ends. Every chunk has two lines or more, and bounds depend on what the lines next to
+    them say, not on where they stand; so a passage that is copied whole is cut alike everywhere.
     """
     ordered = Window.partitionBy("_key").orderBy("idx")
     in_run = Window.partitionBy("_key", "run").orderBy("idx")
-    before = in_run.rowsBetween(Window.unboundedPreceding, -1)
-    cut = (F.col("h") % _PRIME + 31 * (F.coalesce(F.col("prev"), F.lit(0)) % _PRIME)) % MODULUS == 0
-    cutting = (
-        lines.withColumn("run", F.col("idx") - F.row_number().over(ordered))
-        .withColumn("prev", F.lag("h").over(in_run))
-        .withColumn("next", F.lead("h").over(in_run))
-        .withColumn("cut", cut & F.col("prev").isNotNull() & F.col("next").isNotNull())
-        .withColumn("chunk", F.coalesce(F.sum(F.col("cut").cast("int")).over(before), F.lit(0)))
-    )
-    opens = F.col("prev").isNull()
-    parts = F.when(F.col("cut"), F.array(F.struct(F.col("chunk").alias("c"), opens.alias("opens")), F.struct((F.col("chunk") + 1).alias("c"), F.lit(True).alias("opens")))).otherwise(F.array(F.struct(F.col("chunk").alias("c"), opens.alias("opens"))))
-    linked = F.when(F.col("p.opens"), F.xxhash64("h")).otherwise(F.xxhash64("prev", "h"))
-    multi = (
-        cutting.withColumn("p", F.explode(parts))
-        .groupBy("_key", "doc_id", "run", F.col("p.c").alias("c"))
-        .agg(F.min("pos").alias("start"), F.max("pos").alias("end"), F.count("*").alias("n"), F.bit_xor(linked).alias("x"))
-        .where("n > 1")
-        .select("_key", "doc_id", "start", "end", F.xxhash64("n", "x").alias("chunk_hash"))
-    )
-    single = lines.where("long").select("_key", "doc_id", F.col("pos").alias("start"), F.col("pos").alias("end"), F.xxhash64(F.lit(1).cast("long"), "h").alias("chunk_hash"))
-    return multi.union(single)
+    cut = (F.col("h") % _PRIME + 31 * (F.col("before") % _PRIME)) % MODULUS == 0
+    opens = F.coalesce(F.lag(cut).over(in_run) | (F.lag("n").over(in_run) != F.col("n")), F.lit(False)).cast("int")
+    once = pairs.repartition("_key").dropDuplicates(["_key", "idx"])  # rows with equal doc_id and text are one
+    cutting = once.withColumn("run", F.col("idx") - F.row_number().over(ordered)).withColumn("opens", opens).withColumn("chunk", F.sum("opens").over(in_run.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    found = cutting.groupBy("_key", "doc_id", "run", "chunk").agg(F.min("start").alias("start"), F.max("pos").alias("end"), F.count("*").alias("n"), F.bit_xor("pair").alias("x"))
+    return found.select("_key", "doc_id", "start", "end", F.xxhash64("n", "x").alias("chunk_hash"))
+
+
+def found_chunks(spark: SparkSession, docs: DataFrame) -> DataFrame:
+    """Chunks of runs, and repeated lines of LONG_LINE words, which are chunks of their own."""
+    single = _repeated(spark, long_lines(docs), "h").dropDuplicates(["_key", "pos"])
+    single = single.select("_key", "doc_id", F.col("pos").alias("start"), F.col("pos").alias("end"), F.xxhash64(F.lit(1).cast("long"), "h").alias("chunk_hash"))
+    return stored(spark, chunks(_repeated(spark, line_pairs(docs), "pair")).union(single), "chunks")
 
 
 def removals(spark: SparkSession, docs: DataFrame) -> DataFrame:
@@ -80,9 +94,9 @@ def removals(spark: SparkSession, docs: DataFrame) -> DataFrame:
     compared byte by byte: they are grouped by their very text. Texts meet their chunks in
     merge joins at every size: rows with arrays have no bound that would let them be broadcast.
     """
-    found = stored(spark, chunks(repeated_lines(docs)), "chunks")
+    found = found_chunks(spark, docs)
     twice = found.groupBy("chunk_hash").count().where("count > 1").select("chunk_hash")
-    wanted = found.join(twice, "chunk_hash", "left_semi").groupBy("_key").agg(F.collect_list(F.struct("start", "end", "chunk_hash")).alias("found"))
+    wanted = found.join(stored(spark, twice, "twice").hint("merge"), "chunk_hash", "left_semi").groupBy("_key").agg(F.collect_list(F.struct("start", "end", "chunk_hash")).alias("found"))
     body = F.array_join(F.filter(F.slice("_lines", F.col("c.start") + 1, F.col("c.end") - F.col("c.start") + 1), lambda x: F.trim(x) != ""), "\n")
     texts = (
         _keyed(docs.select("doc_id", "text")).join(stored(spark, wanted, "wanted").hint("merge"), "_key")
@@ -112,7 +126,8 @@ def dedup(spark: SparkSession, docs: DataFrame) -> DataFrame:
 
     Null texts stay null with 0 lines; an empty text has one (blank) line. A text wholly
     repeated becomes empty. Rows with equal doc_id and text count as one and get the same
-    result. Columns named n_lines or n_removed give way to the new ones.
+    result. Columns named n_lines or n_removed give way to the new ones. An empty table
+    gives no rows; a text, however long, is one row of a task.
     """
     rest = packed(docs, "doc_id", "text")
     joined = _keyed(rest).join(removals(spark, docs).hint("merge"), "_key", "left")
@@ -130,17 +145,17 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLE = f"""
-with d as (select distinct doc_id, text from documents where text is not null),
-l as (select doc_id, text, unnest(string_split(text, chr(10))) as x, unnest(range(len(string_split(text, chr(10))))) as pos from d),
+with d as (select doc_id, text, count(*) as copies from documents where text is not null group by doc_id, text),
+l as (select doc_id, text, copies, unnest(string_split(text, chr(10))) as x, unnest(range(len(string_split(text, chr(10))))) as pos from d),
 b as (select *, row_number() over (partition by doc_id, text order by pos) - 1 as idx, ('0x' || substr(md5(x), 1, 15))::bigint as h from l where trim(x) <> ''),
-o as (select * from b where x in (select x from b group by x having count(*) > 1)),
-r as (select *, idx - row_number() over (partition by doc_id, text order by idx) as run from o),
-p as (select *, lag(h) over w as prev, lead(h) over w as nxt from r window w as (partition by doc_id, text, run order by idx)),
-c as (select *, (h % {_PRIME} + 31 * (coalesce(prev, 0) % {_PRIME})) % {MODULUS} = 0 and prev is not null and nxt is not null as cut from p),
-k as (select *, coalesce(sum(cut::int) over (partition by doc_id, text, run order by idx rows between unbounded preceding and 1 preceding), 0) as chunk from c),
-m as (select doc_id, text, run, chunk, pos, x from k union all select doc_id, text, run, chunk + 1, pos, x from k where cut),
-f as (select doc_id, text, min(pos) as s, max(pos) as e, string_agg(x, chr(10) order by pos) as body from m group by doc_id, text, run, chunk having count(*) > 1
-      union all select doc_id, text, pos, pos, x from o where length(trim(x)) - length(replace(trim(x), ' ', '')) + 1 >= {LONG_LINE}),
+y as (select *, lag(x) over w as px, lag(h) over w as prev, lag(pos) over w as start from b window w as (partition by doc_id, text order by idx)),
+q as (select px, x, sum(copies) as n from y where px is not null group by px, x having count(*) > 1),
+o as (select y.*, q.n, idx - row_number() over (partition by doc_id, text order by idx) as run, (h % {_PRIME} + 31 * (prev % {_PRIME})) % {MODULUS} = 0 as cut from y join q on y.px = q.px and y.x = q.x),
+r as (select *, coalesce(lag(cut) over w or lag(n) over w <> n, false)::int as opens from o window w as (partition by doc_id, text, run order by idx)),
+k as (select *, sum(opens) over (partition by doc_id, text, run order by idx rows unbounded preceding) as chunk from r),
+m as (select doc_id, text, min(start) as s, max(pos) as e, min(idx) - 1 as i, max(idx) as j from k group by doc_id, text, run, chunk),
+f as (select m.doc_id, m.text, s, e, string_agg(x, chr(10) order by b.pos) as body from m join b on m.doc_id is not distinct from b.doc_id and m.text = b.text and b.idx between i and j group by m.doc_id, m.text, s, e
+      union all select doc_id, text, pos, pos, x from b where length(trim(x)) - length(replace(trim(x), ' ', '')) + 1 >= {LONG_LINE} and x in (select x from b group by x having count(*) > 1)),
 n as (select *, row_number() over (partition by body order by doc_id, s) as k from f),
 g as (select distinct doc_id, text, unnest(range(s, e + 1)) as pos from n where k > 1),
 t as (select l.doc_id, l.text, count(*)::bigint as n_lines, count(g.pos)::bigint as n_removed, string_agg(l.x, chr(10) order by l.pos) filter (g.pos is null) as rest

@@ -491,23 +491,23 @@ def brute_line_dedup(docs):
     texts = {(i, t): [x for x in t.split("\n")] for i, t in docs if t is not None}
     full = {k: [(p, x) for p, x in enumerate(ls) if x.strip(" ")] for k, ls in texts.items()}
     df = Counter(x for ls in full.values() for _, x in ls)
+    places = Counter((a, b) for ls in full.values() for (_, a), (_, b) in zip(ls, ls[1:], strict=False))
+    met = Counter((a, b) for i, t in docs if t is not None for (_, a), (_, b) in zip(full[i, t], full[i, t][1:], strict=False))
     chunks = []
     for k, ls in full.items():
-        run = []
-        for p, x in [*ls, (None, None)]:
-            if x is not None and df[x] > 1:
-                run.append((p, x))
-                continue
-            part = []
-            for j, (q, y) in enumerate(run):
-                part.append((q, y))
-                ends = 0 < j < len(run) - 1 and (h(y) % 1_000_003 + 31 * (h(run[j - 1][1]) % 1_000_003)) % line_dedup.MODULUS == 0
-                if ends or j == len(run) - 1:
-                    if len(part) > 1:
-                        chunks.append((k, part[0][0], part[-1][0], "\n".join(y for _, y in part)))
-                    part = [(q, y)]
-            chunks += [(k, q, q, y) for q, y in run if len(y.strip(" ").split(" ")) >= line_dedup.LONG_LINE]
-            run = []
+        part, last = [], None
+        for (p, x), (q, y) in zip(ls, ls[1:], strict=False):
+            linked = places[x, y] > 1
+            if not linked or last != met[x, y]:
+                chunks.append((k, part))
+                part = []
+            if linked:
+                part = [*(part or [(p, x)]), (q, y)]
+            cut = (h(y) % 1_000_003 + 31 * (h(x) % 1_000_003)) % line_dedup.MODULUS == 0
+            last = met[x, y] if linked and not cut else None
+        chunks.append((k, part))
+    chunks = [(k, part[0][0], part[-1][0], "\n".join(y for _, y in part)) for k, part in chunks if len(part) > 1]
+    chunks += [(k, q, q, y) for k, ls in full.items() for q, y in ls if df[y] > 1 and len(y.strip(" ").split(" ")) >= line_dedup.LONG_LINE]
     gone, first = {}, set()
     for k, s, e, body in sorted(chunks, key=lambda c: (c[0][0], c[1])):
         if body in first:
@@ -546,6 +546,17 @@ def test_line_dedup(spark):
     assert sum(long in (r.text or "") for r in got.collect() if r.doc_id) == 0
 
 
+@pytest.mark.parametrize("n", [2, 3, 7])
+def test_line_dedup_of_passages_between_common_lines(spark, n):
+    """The passage stands beside other common lines in each document; all of it goes but once."""
+    rng = random.Random(18 + n)
+    passage = [f"p{k} " + " ".join(rng.choice(VOCAB) for _ in range(40)) for k in range(n)]
+    docs = [(i, "\n".join([f"common {i % 3}", *passage, f"usual {i % 2}", f"own {i}"])) for i in range(6)] + [(10 + i, f"common {i % 3}\nself {i}\nusual {i % 2}") for i in range(6)]
+    got = {r.doc_id: r.text.split("\n") for r in line_dedup.dedup(spark, documents(spark, [(i, t, "s") for i, t in docs])).collect()}
+    assert [i for i, ls in got.items() if set(ls) & set(passage)] == [0] and set(passage) <= set(got[0])
+    assert all(set(t.split("\n")) - set(passage) <= set(got[i]) | {f"common {i % 3}", f"usual {i % 2}"} for i, t in docs)
+
+
 def test_line_dedup_has_no_python_in_its_plan(spark):
     df = documents(spark, [(1, "a\nb\nc", "s"), (2, "a\nb\nd", "s")])
     plan = line_dedup.dedup(spark, df)._jdf.queryExecution().toString()
