@@ -248,7 +248,7 @@ def page_rows():
 def test_warc_round_trip(spark):
     rows = page_rows()
     df = spark.createDataFrame([(i, u, h, "b") for i, u, h in rows], "page_id long, url string, html string, bytes string")
-    chunks = warc.chunk_table(df)
+    chunks = warc.chunk_table(spark, df)
     first, want = {}, []
     for i, _, h in rows:
         raw = (h or "").encode()
@@ -256,7 +256,9 @@ def test_warc_round_trip(spark):
         want.append((i, len(raw), base64.b32encode(hashlib.sha1(raw).digest()).decode(), "response" if f == i else "revisit", None if f == i else f))
     assert rows_of(warc.read_records(chunks), "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to") == sorted(want, key=repr)
     # the bytes are an archive that a plain parser reads
-    parts = sorted(chunks.collect(), key=lambda r: (r.page_id, r.chunk_no))
+    parts = sorted(chunks.collect(), key=lambda r: (r.row, r.chunk_no))
+    done = {r.page_id: r.digest for r in parts if r.last}
+    assert all(done[i] == hashlib.sha1((h or "").encode() if first[(h or "").encode()] == i else b"").hexdigest() for i, _, h in rows)
     assert max(len(r.bytes) for r in parts) < warc.CHUNK + 1500
     data = b"".join(bytes(r.bytes) for r in parts)
     seen = {}
@@ -270,12 +272,16 @@ def test_warc_round_trip(spark):
     assert seen == {i: ("response", (h or "").encode()) if first[(h or "").encode()] == i else ("revisit", b"") for i, _, h in rows}
 
 
-def test_warc_repeated_empty_and_broken(spark):
-    df = spark.createDataFrame([(1, "a", "x"), (1, "b", "y"), (None, "c", "z")], "page_id long, url string, html string")
-    assert [(r.page_id, r.url) for r in warc.read_records(warc.chunk_table(df)).collect()] == [(1, "b")]
-    assert warc.read_records(warc.chunk_table(df.limit(0))).count() == 0
+def test_warc_repeated_ids_empty_and_broken(spark):
+    rows = [(1, "a", "x"), (1, "b", "y"), (None, "c", "z"), (2, "a", "x"), (1, "a", "x"), (None, "d", "y"), (None, "e", "z"), (3, None, None)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    got = rows_of(warc.read_records(warc.stored(spark, warc.chunk_table(spark, df), "warc")), "page_id", "url", "record_type", "refers_to")
+    assert sorted((p, t, r) for p, u, t, r in got if u == "a") == [(1, "response", None), (1, "revisit", 1), (2, "revisit", 1)]
+    assert [(p, t, r) for p, u, t, r in got if u in ("c", "e")] == [(None, "response", None)] * 2
+    assert (None, "d", "revisit", 1) in got and (1, "b", "response", None) in got and (3, "", "response", None) in got and len(got) == len(rows)
+    assert warc.read_records(warc.chunk_table(spark, df.limit(0))).count() == 0
     r = warc.RecordReader()
-    good = b"".join(bytes(x.bytes) for x in warc.chunk_table(df).orderBy("page_id", "chunk_no").collect())
+    good = bytes(warc.chunk_table(spark, df.where("url = 'b'")).first().bytes)
     with pytest.raises(ValueError, match="digest"):
         r.feed(good.replace(b"\r\n\r\ny", b"\r\n\r\nq"), True)
 
