@@ -4,25 +4,74 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
+from skein.llm.shared import small, stored
 
-def _turn_hash(turn: Column) -> Column:
+#: Turns of one window, and of one rendered part, about; only longer conversations take several.
+PART_TURNS = 5000
+
+
+def _turn_hash(role: Column, text: Column) -> Column:
     field = lambda c: F.sha2(F.coalesce(F.concat(F.lit("v"), c), F.lit("n")), 256)  # noqa: E731  null differs from empty
-    return F.concat(field(turn["role"]), field(turn["text"]))
+    return F.concat(field(role), field(text))
+
+
+def parted(spark: SparkSession, turns: DataFrame) -> DataFrame:
+    """(conv_id, part, turn, role, text): long conversations in parts of about PART_TURNS turns, by ranges of ``turn``.
+
+    Equal turn numbers stay in one part. A conversation is long if it has over PART_TURNS
+    rows, which few are; their table is counted before it is broadcast.
+    """
+    own = turns.where("conv_id is not null").select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text")
+    long = own.groupBy("conv_id").agg(F.count("*").alias("n"), F.min("turn").alias("lo"), F.max("turn").alias("hi")).where(F.col("n") > PART_TURNS)
+    width = F.ceil((F.col("hi") - F.col("lo") + 1) / F.ceil(F.col("n") / PART_TURNS))
+    long = stored(spark, long.select("conv_id", "lo", width.alias("width")), "long")
+    part = F.coalesce(F.floor((F.col("turn") - F.col("lo")) / F.col("width")), F.when(F.col("lo").isNotNull(), F.lit(-1)), F.lit(0)).cast("long")
+    return own.join(small(long), "conv_id", "left").select("conv_id", part.alias("part"), "turn", "role", "text")
 
 
-def conversations(turns: DataFrame) -> DataFrame:
-    """One row per conv_id: its turns in order and the rolling hash after each turn.
+def prefixes(spark: SparkSession, parts: DataFrame) -> DataFrame:
+    """(conv_id, k, whole, p, q): two rolling hashes of the first k turns, for each turn; ``whole`` marks the last.
 
-    Hash k is SHA-256 over hash k - 1 and turn k, so equal hashes mean equal prefixes.
-    Turns are ordered by (turn, role, text), nulls first; fully repeated turn rows stay as
-    they are. Rows with a null conv_id are left out.
+    A turn's place and content make a term; a prefix is known by the terms' running exclusive
+    or, in two independent hashes of 64 bits, which rolls along windows of one part and over
+    the parts' totals. Turns are ordered by (turn, role, text), nulls first.
     """
-    own = turns.where("conv_id is not null").select(F.col("conv_id").cast("long").alias("conv_id"), "turn", "role", "text")
-    rows = own.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("turns"))
-    start = F.array(F.lit(""))
-    rolled = F.aggregate("turns", start, lambda acc, t: F.concat(acc, F.array(F.sha2(F.concat(F.element_at(acc, -1), _turn_hash(t)), 256))))
-    return rows.withColumn("prefixes", F.slice(rolled, 2, F.size("turns")))
+    w = Window.partitionBy("conv_id", "part").orderBy("turn", "role", "text")
+    turn = stored(spark, parts.select("conv_id", "part", F.row_number().over(w).cast("long").alias("k"), _turn_hash(F.col("role"), F.col("text")).alias("h")), "turns")
+    sizes = turn.groupBy("conv_id", "part").agg(F.count("*").alias("n"))
+    over = Window.partitionBy("conv_id").orderBy("part")
+    before = over.rowsBetween(Window.unboundedPreceding, -1)
+    many = Window.partitionBy("conv_id")
+    # what stands before a part: only conversations of several parts have any
+    base = sizes.withColumns({"base": F.coalesce(F.sum("n").over(before), F.lit(0)), "parts": F.count("*").over(many)}).where("parts > 1")
+    base = stored(spark, base.select("conv_id", "part", "base"), "bases")
+    placed = turn.join(small(base), ["conv_id", "part"], "left").withColumn("k", F.col("k") + F.coalesce("base", F.lit(0)))
+    terms = placed.select("conv_id", "part", "k", F.xxhash64(F.lit(1), "k", "h").alias("p"), F.xxhash64(F.lit(2), "k", "h").alias("q"))
+    total = terms.join(small(base.select("conv_id").distinct()), "conv_id", "left_semi").groupBy("conv_id", "part").agg(F.bit_xor("p").alias("bp"), F.bit_xor("q").alias("bq"))
+    total = stored(spark, total.select("conv_id", "part", *(F.coalesce(F.bit_xor(c).over(before), F.lit(0)).alias(c) for c in ("bp", "bq"))), "totals")
+    along = Window.partitionBy("conv_id", "part").orderBy("k")
+    run = along.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rolled = terms.join(small(total), ["conv_id", "part"], "left")
+    roll = lambda c: F.bit_xor(c).over(run).bitwiseXOR(F.coalesce(f"b{c}", F.lit(0)))
+    last = F.lead("k").over(along).isNull()
+    out = rolled.select("conv_id", "part", "k", last.alias("ends"), roll("p").alias("p"), roll("q").alias("q"))
+    final = base.groupBy("conv_id").agg(F.max("part").alias("top"))
+    return out.join(small(final), "conv_id", "left").select("conv_id", "k", (F.col("ends") & (F.col("part") == F.coalesce("top", "part"))).alias("whole"), "p", "q")
+
+
+def maximal(spark: SparkSession, parts: DataFrame) -> DataFrame:
+    """(conv_id, n_turns) of the conversations that stay.
+
+    A conversation that is a proper prefix of a longer one goes, and of equal ones the
+    smallest conv_id stays: anti- and semi-joins of narrow rows, counted before the shuffle.
+    """
+    rows = stored(spark, prefixes(spark, parts), "prefixes")
+    whole = rows.where("whole").select("k", "p", "q", "conv_id")
+    proper = rows.where("not whole").select("k", "p", "q").distinct()
+    first = whole.groupBy("k", "p", "q").agg(F.min("conv_id").alias("conv_id"))
+    return stored(spark, first.join(proper, ["k", "p", "q"], "left_anti").select("conv_id", F.col("k").alias("n_turns")), "maximal")
 
 
 def render(turns: Column) -> Column:
@@ -31,31 +80,31 @@ def render(turns: Column) -> Column:
     return F.array_join(F.transform(turns, line), "\n")
 
 
-def collapse(turns: DataFrame) -> DataFrame:
-    """Maximal conversations: (conv_id, n_turns, rendered).
+def collapse(spark: SparkSession, turns: DataFrame) -> DataFrame:
+    """Maximal conversations: (conv_id, part, n_turns, rendered), a row for each part (from 0; -1 has the null turns of a long one).
 
-    A conversation that is a proper prefix of a longer one goes, and of equal ones the
-    smallest conv_id stays. Both are anti-joins on the rolling hash of the whole
-    conversation; the other side has distinct hashes, counted before the shuffle.
+    n_turns counts the whole conversation; the parts of a long one, joined by line ends, are
+    its text. Fully repeated turn rows stay as they are, rows with a null conv_id are
+    left out, a null or empty text is an empty message, other columns are not looked at, and
+    an empty table gives no rows.
     """
-    convs = conversations(turns).withColumn("n_turns", F.size("turns")).withColumn("whole", F.element_at("prefixes", -1))
-    proper = convs.select(F.explode(F.slice("prefixes", 1, F.col("n_turns") - 1)).alias("whole")).distinct()
-    first = convs.groupBy("whole").agg(F.min("conv_id").alias("conv_id"))
-    kept = convs.join(first, ["whole", "conv_id"], "left_semi").join(proper, "whole", "left_anti")
-    return kept.select("conv_id", F.col("n_turns").cast("long").alias("n_turns"), render(F.col("turns")).alias("rendered"))
+    parts = parted(spark, turns)
+    kept = parts.join(maximal(spark, parts), "conv_id")
+    rows = kept.groupBy("conv_id", "part").agg(F.first("n_turns").alias("n_turns"), F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("turns"))
+    return rows.select("conv_id", "part", "n_turns", render(F.col("turns")).alias("rendered"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return collapse(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
-
-
-ORACLE = """
-with t as (select conv_id, row_number() over (partition by conv_id order by turn, role, text) as k, role, text from conversations),
-s as (select conv_id, count(*) as n_turns,
-        string_agg(sha256(coalesce('v' || role, 'n')) || sha256(coalesce('v' || text, 'n')), '' order by k) as whole,
-        string_agg('<|im_start|>' || coalesce(role, 'unknown') || chr(10) || coalesce(text, '') || '<|im_end|>', chr(10) order by k) as rendered
-      from t group by conv_id)
-select a.conv_id, a.n_turns, a.rendered from s a
-where not exists (select 1 from s b where b.n_turns > a.n_turns and starts_with(b.whole, a.whole))
-  and not exists (select 1 from s b where b.whole = a.whole and b.conv_id < a.conv_id)
+    return collapse(spark, spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
+ORACLE = f"""
+with z as (select conv_id, count(*) as n, min(turn) as lo, ceil((max(turn) - min(turn) + 1) / ceil(count(*) / {PART_TURNS})) as width from conversations where conv_id is not null group by conv_id),
+t as (select c.conv_id, case when n <= {PART_TURNS} then 0 else coalesce(floor((turn - lo) / width), -1) end::bigint as part, row_number() over (partition by c.conv_id order by turn nulls first, role nulls first, text nulls first) as k, role, text
+      from conversations c join z using (conv_id)),
+h as (select conv_id, k, sha256(string_agg(coalesce('v' || replace(role, '|', '||'), 'n') || '|r|' || coalesce('v' || replace(text, '|', '||'), 'n') || '|t|', '') over (partition by conv_id order by k)) as h from t),
+s as (select conv_id, max(k) as n_turns, arg_max(h, k) as h from h group by conv_id),
+w as (select min(conv_id) as conv_id, n_turns from s group by h, n_turns having h not in (select h.h from h join s using (conv_id) where k < n_turns))
+select conv_id, part, n_turns, string_agg('<|im_start|>' || coalesce(role, 'unknown') || chr(10) || coalesce(text, '') || '<|im_end|>', chr(10) order by k) as rendered
+from t join w using (conv_id) group by conv_id, part, n_turns
 """

@@ -481,10 +481,39 @@ def test_chat_collapse(spark):
     rows = [(i, k, r, t, "n") for i, ts in convs.items() for k, (r, t) in enumerate(ts)] + [(None, 0, "user", "hi", "n")]
     random.Random(14).shuffle(rows)
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, n_turns string")
-    got = {r.conv_id: r for r in chat.collapse(df).collect()}
+    got = {r.conv_id: r for r in chat.collapse(spark, df).collect()}
     assert set(got) == {2, 5, 6, 7, 8}
     assert got[2].rendered == "<|im_start|>user\nhi<|im_end|>\n<|im_start|>assistant\nyo<|im_end|>\n<|im_start|>user\n<|im_end|>" and got[2].n_turns == 3
-    assert chat.collapse(df.limit(0)).count() == 0
+    assert chat.collapse(spark, df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("size", [5000, 3])
+def test_chat_collapse_in_parts(spark, monkeypatch, size):
+    monkeypatch.setattr(chat, "PART_TURNS", size)
+    rng = random.Random(21)
+    rows, convs = [], {}
+    for i in range(80):
+        ts = [(rng.randrange(-2, 9), rng.choice(["user", None]), rng.choice("ab")) for _ in range(rng.randrange(1, 15))]
+        if i % 3 and i > 9:
+            ts = sorted(convs[rng.randrange(i)], key=lambda t: (t[0], t[1] or "", t[2]))
+            ts = ts[: rng.randrange(1, len(ts) + 1)]
+        convs[i] = ts
+        rows += [(i, *t) for t in ts]
+    convs[99] = [(k, "user", "x" * (k % 5)) for k in range(40)]
+    convs[98] = convs[99][:33]
+    rows += [(i, *t) for i in (98, 99) for t in convs[i]]
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    told = {i: [t[1:] for t in sorted(ts, key=lambda t: (t[0], t[1] or "", t[2]))] for i, ts in convs.items()}
+    want = {i for i, t in told.items() if not any((len(u) > len(t) and u[: len(t)] == t) or (u == t and j < i) for j, u in told.items())}
+    got = {}
+    for r in sorted(chat.collapse(spark, df).collect(), key=lambda r: (r.conv_id, r.part)):
+        got.setdefault(r.conv_id, []).append(r)
+    assert set(got) == want and 99 in want and 98 not in want and len(want) < 80
+    line = lambda t: f"<|im_start|>{t[0] or 'unknown'}\n{t[1]}<|im_end|>"
+    for i, parts in got.items():
+        assert "\n".join(r.rendered for r in parts) == "\n".join(map(line, told[i])) and {r.n_turns for r in parts} == {len(told[i])}
+    assert len(got[99]) == (1 if size > 40 else 14)
 
 
 # --- 9
