@@ -8,7 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skein.llm.shared import components, small, stored
@@ -60,7 +60,7 @@ def _params(trees: int, depth: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _signatures(trees: int, depth: int, shingle: int):
-    """A mapInArrow function: (doc_id, text_key, labels); labels are the prefixes of the sorted tries."""
+    """A mapInArrow function: (doc_id, sign, text_key, labels); labels are the prefixes of the sorted tries."""
     mult, plus = _params(trees, depth)
 
     @lean
@@ -85,7 +85,7 @@ def _signatures(trees: int, depth: int, shingle: int):
                     raw = low[starts[first[i]] : ends[first[i + 1] - 1]].tobytes()
                     keys.append(hashlib.blake2b(b" ".join(x for x in raw.split(b"\xff") if x), digest_size=16).digest())
                     labels.append(lab[i].view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(keys, pa.binary()), pa.array(labels, pa.list_(pa.int64()))], ["doc_id", "text_key", "labels"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("sign"), pa.array(keys, pa.binary()), pa.array(labels, pa.list_(pa.int64()))], ["doc_id", "sign", "text_key", "labels"])
 
     return run
 
@@ -202,42 +202,35 @@ def _edges(rows: list[tuple[int, int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], ["rep", "n", "low"])
 
 
-def similar(spark: SparkSession, docs: DataFrame, threshold: float = THRESHOLD, shingle: int = SHINGLE, trees: int = TREES, recall: float = RECALL) -> DataFrame:
-    """Rows (doc_id, class_id, n_links, component_id, kept), one per document.
+def _sign(text: Column) -> Column:
+    """128 bits of the very text: with the doc_id it tells rows apart that are not wholly equal."""
+    return F.unhex(F.md5(text))
 
-    Words are runs of letters, digits and non-ASCII characters, A-Z lower-cased. Texts with
-    the same words are a class, named by its smallest doc_id. Two texts link if the Jaccard
-    similarity of their sets of ``shingle``-word shingles (a shorter text is one shingle) is
-    at least ``threshold``. n_links counts the other documents linked directly, copies
-    included; component_id is the smallest doc_id reachable by links; kept marks that one.
-
-    1. MinHash signatures of whole texts; classes collapse before anything is paired.
-    2. Texts that share a trie prefix get an edge to the smallest of them (never all pairs);
-       connected texts are a candidate component.
-    3. Components are cut into blocks of about BLOCK texts; each pair of blocks meets in one
-       task, which counts shingle overlaps exactly and returns a row a text.
-    4. Components of the verified links.
 
-    Documents without words (null, empty, punctuation only) link with nothing. A doc_id on
-    several rows is several documents with the same number; rows with a null doc_id come
-    back with nulls and link with nothing. An empty table gives no rows.
-    """
+def _placed(spark: SparkSession, docs: DataFrame, threshold: float, shingle: int, trees: int, recall: float) -> DataFrame:
+    """Rows (doc_id, sign, class_id, n_links, component_id, component), one per document; ``component`` is a number for
+    each component of links, null where the document links with nothing and is no copy."""
     depth = prefix_depth(threshold, trees, recall=recall)
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    signed = stored(spark, own.mapInArrow(_signatures(trees, depth, shingle), "doc_id long, text_key binary, labels array<long>"), "signatures")
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("sign", _sign(F.col("text")))
+    signed = stored(spark, own.mapInArrow(_signatures(trees, depth, shingle), "doc_id long, sign binary, text_key binary, labels array<long>"), "signatures")
     good = signed.where("doc_id is not null and text_key is not null")
-    classes = stored(spark, good.groupBy("text_key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.any_value("labels").alias("labels")), "classes")
+    first = good.groupBy("text_key").agg(F.min(F.struct("doc_id", "sign")).alias("f"), F.count("*").alias("copies"), F.any_value("labels").alias("labels"))
+    # classes have numbers of their own: several texts may have one doc_id
+    classes = stored(spark, first.select(F.monotonically_increasing_id().alias("rep"), "text_key", "f.doc_id", "f.sign", "copies", "labels"), "classes")
 
     spots = classes.select("rep", F.posexplode("labels").alias("tree", "label"))
     shared = spots.groupBy("tree", "label").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).where("low < high").select("tree", "label", "low")
     edges = spots.join(shared, ["tree", "label"]).where("rep <> low").select(F.col("rep").alias("a"), F.col("low").alias("b")).distinct()
     candidates = components(spark, edges)
     sizes = candidates.groupBy("component").agg(F.ceil(F.count("*") / BLOCK).cast("long").alias("blocks"))
-    members = stored(spark, candidates.join(sizes, "component").join(classes.select(F.col("rep").alias("node"), "copies"), "node").select(F.col("node").alias("doc_id"), "component", "blocks", "copies"), "members")
-
-    block = F.pmod(F.xxhash64("doc_id"), F.col("blocks"))
-    one = own.where("text is not null").join(small(members), "doc_id").dropDuplicates(["doc_id"]) if _repeated(own) else own.join(small(members), "doc_id")
-    sets = one.select("text", F.col("component").alias("comp"), block.alias("block"), F.col("doc_id").alias("rep"), "copies", "blocks").mapInArrow(_shingles(shingle), "comp long, block long, rep long, copies long, blocks long, set binary")
+    members = candidates.join(sizes, "component").join(classes.select(F.col("rep").alias("node"), "doc_id", "sign", "copies"), "node")
+    members = stored(spark, members.select("doc_id", "sign", F.col("node").alias("rep"), "component", "blocks", "copies"), "members")
+
+    block = F.pmod(F.xxhash64("rep"), F.col("blocks"))
+    texts = own.where("text is not null").join(small(members), ["doc_id", "sign"])
+    if classes.where("copies > 1").join(small(members.select("rep")), "rep", "left_semi").limit(1).count():
+        texts = texts.dropDuplicates(["rep"])  # wholly equal rows
+    sets = texts.select("text", F.col("component").alias("comp"), block.alias("block"), "rep", "copies", "blocks").mapInArrow(_shingles(shingle), "comp long, block long, rep long, copies long, blocks long, set binary")
     other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other")
     faced = sets.select("comp", "block", "rep", "copies", "set", other).select("comp", F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj"), "block", "rep", "copies", "set")
     verified = faced.repartition("comp", "bi", "bj").sortWithinPartitions("comp", "bi", "bj", "rep").mapInArrow(_verify(threshold), "rep long, n long, low long")
@@ -245,21 +238,57 @@ def similar(spark: SparkSession, docs: DataFrame, threshold: float = THRESHOLD,
 
     links = verified.groupBy("rep").agg(F.sum("n").alias("n"))
     linked = components(spark, verified.select(F.col("rep").alias("a"), F.col("low").alias("b"))).withColumnRenamed("node", "rep")
-    facts = classes.select("text_key", "rep", "copies").join(links, "rep", "left").join(linked, "rep", "left")
-    facts = facts.select("text_key", "rep", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n"), F.coalesce("component", "rep").alias("component"))
-    placed = signed.select("doc_id", F.when(F.col("doc_id").isNotNull(), F.col("text_key")).alias("text_key")).join(facts, "text_key", "left")
-    component = F.coalesce("component", "doc_id")
-    return placed.select("doc_id", F.coalesce("rep", "doc_id").alias("class_id"), F.coalesce("n", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
+    facts = classes.select("text_key", "rep", "doc_id", "copies").join(links, "rep", "left").join(linked, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    facts = stored(spark, facts.select("text_key", F.col("doc_id").alias("class_id"), (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n"), "component"), "facts")
+    least = facts.groupBy("component").agg(F.min("class_id").alias("component_id"))
+    facts = facts.join(least, "component")
+    placed = signed.select("doc_id", "sign", F.when(F.col("doc_id").isNotNull(), F.col("text_key")).alias("text_key")).join(facts, "text_key", "left")
+    return placed.select("doc_id", "sign", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "doc_id").alias("component_id"), "component")
 
 
-def _repeated(docs: DataFrame) -> bool:
-    return docs.groupBy("doc_id").count().where("count > 1").limit(1).count() > 0
+def similar(spark: SparkSession, docs: DataFrame, threshold: float = THRESHOLD, shingle: int = SHINGLE, trees: int = TREES, recall: float = RECALL) -> DataFrame:
+    """Rows (doc_id, class_id, n_links, component_id, kept), one per document.
+
+    Words are runs of letters, digits and non-ASCII characters, A-Z lower-cased. Texts with
+    the same words are a class, named by its smallest doc_id. Two texts link if the Jaccard
+    similarity of their sets of ``shingle``-word shingles (a shorter text is one shingle) is
+    at least ``threshold``. n_links counts the other documents linked directly, copies
+    included; component_id is the smallest doc_id reachable by links; kept marks the rows that have it.
+
+    1. MinHash signatures of whole texts; classes collapse before anything is paired.
+    2. Texts that share a trie prefix get an edge to the smallest of them (never all pairs);
+       connected texts are a candidate component.
+    3. Components are cut into blocks of about BLOCK texts; each pair of blocks meets in one
+       task, which counts shingle overlaps exactly and returns a row a text.
+    4. Components of the verified links.
+
+    Documents without words (null, empty, punctuation only) link with nothing. A doc_id on
+    several rows is several documents, each linked by its own text; rows with a null doc_id
+    come back with nulls and link with nothing. Other columns are not looked at, a text may be of
+    any length, and an empty table gives no rows.
+    """
+    placed = _placed(spark, docs, threshold, shingle, trees, recall)
+    return placed.select("doc_id", "class_id", "n_links", "component_id", F.coalesce(F.col("component_id") == F.col("doc_id"), F.lit(True)).alias("kept"))
 
 
 def dedup(spark: SparkSession, docs: DataFrame, threshold: float = THRESHOLD, shingle: int = SHINGLE) -> DataFrame:
-    """``docs`` with one document, that of the smallest doc_id, of each component of links."""
-    gone = similar(spark, docs, threshold, shingle).where("not kept").select("doc_id").distinct()
-    return docs.join(small(gone), "doc_id", "left_anti").select(*docs.columns)
+    """``docs`` with one document of each component of links: the first by doc_id and, on ties, by the text's MD5.
+
+    Of wholly equal documents (doc_id and text) one row stays. Documents that link with
+    nothing stay, those without words or doc_id too, and all columns.
+    """
+    placed = stored(spark, _placed(spark, docs, threshold, shingle, TREES, RECALL), "placed").where("component is not null")
+    stays = placed.groupBy("component").agg(F.min(F.struct("doc_id", "sign")).alias("s"), F.count("*").alias("n")).where("n > 1")
+    rows = placed.groupBy("component", "doc_id", "sign").agg(F.count("*").alias("n_rows")).join(stays.select("component", "s"), "component")
+    here = (F.col("doc_id") == F.col("s.doc_id")) & (F.col("sign") == F.col("s.sign"))
+    gone = stored(spark, rows.where(~here).select(F.col("doc_id").alias("_id"), F.col("sign").alias("_sign")), "gone")
+    twice = stored(spark, rows.where(here & (F.col("n_rows") > 1)).select(F.col("doc_id").alias("_id"), F.col("sign").alias("_sign")), "twice")
+    own = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col("doc_id").cast("long").alias("_id"), _sign(F.col("text")).alias("_sign"))
+    kept = own.join(small(gone), ["_id", "_sign"], "left_anti")
+    if twice.limit(1).count():
+        again = kept.join(small(twice), ["_id", "_sign"], "left_semi").groupBy("_id", "_sign").agg(F.any_value("row").alias("row"))
+        kept = kept.join(small(twice), ["_id", "_sign"], "left_anti").select("row").union(again.select("row"))
+    return kept.select(*(F.col(f"row.`{c}`") for c in docs.columns))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
