@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skein.llm.shared import components, stored
-from skein.llm.words import lean
+from skein.llm.words import give_back, lean
 
 THRESHOLD = 0.95
 #: Vectors (about, by hash) that the lists and codebooks are fitted on; every vector is indexed.
@@ -20,8 +20,8 @@ SAMPLE = 20_000
 LIST_SIZE = 256
 #: Subspaces and codewords of each.
 SUBSPACES, CODEWORDS = 8, 256
-#: Standard deviations of a neighbour's offset that probes allow for.
-SLACK = 5.0
+#: Share of trial neighbours whose list the probes must take, and trials a sampled vector.
+COVER, TRIALS = 0.9999, 4
 #: Vectors of a list that are held in memory at once.
 BLOCK = 1024
 SEED = 5
@@ -29,10 +29,11 @@ SEED = 5
 
 @dataclass
 class Index:
-    """Centroids (lists x dim), codebooks (subspaces x codewords x width) and blocks of each list."""
+    """Centroids (lists x dim), codebooks (subspaces x codewords x width), how far beyond a border probes go, and blocks of each list."""
 
     centroids: np.ndarray
     codebooks: np.ndarray
+    reach: float
     blocks: np.ndarray
 
     @property
@@ -57,21 +58,19 @@ class Index:
             error += np.maximum(d.min(1), 0)
         return lists, codes, np.sqrt(error)
 
-    def probes(self, x: np.ndarray, radius: float, slack: float) -> tuple[np.ndarray, np.ndarray]:
-        """(vector, list) pairs: the lists over whose border a neighbour within ``radius`` may lie.
-
-        A neighbour is in list j only if it is nearer to that centroid than to the vector's
-        own, that is beyond their bisecting plane. An offset of length ``radius`` reaches
-        over planes up to ``radius`` away; one in no special direction seldom further than
-        ``slack`` of its standard deviations, radius / sqrt(dim), along a plane's normal.
-        """
+    def beyond(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(own list, distance of each vector from the plane between its own list and each other): 0 for its own."""
         dots = x @ self.centroids.T
         own = dots.argmax(1)
-        gap = dots[np.arange(len(x)), own][:, None] - dots
         apart = np.sqrt(np.maximum(2 - 2 * self.centroids @ self.centroids.T, 1e-12))[own]
-        near = gap <= apart * radius * min(1.0, slack / np.sqrt(self.dim)) + 1e-9
-        near[np.arange(len(x)), own] = True
-        return np.nonzero(near)
+        far = (dots[np.arange(len(x)), own][:, None] - dots) / apart
+        far[np.arange(len(x)), own] = 0
+        return own, far
+
+    def probes(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(vector, list) pairs: a neighbour is in another list only if it lies beyond the plane
+        that bisects the two centroids; lists whose plane is within ``reach`` are asked."""
+        return np.nonzero(self.beyond(x)[1] <= self.reach + 1e-9)
 
     def distances(self, x: np.ndarray, which: int, codes: np.ndarray) -> np.ndarray:
         """Asymmetric distances (queries x codes) within one list, from lookup tables."""
@@ -98,7 +97,9 @@ def kmeans(x: np.ndarray, k: int, rounds: int = 8, unit: bool = False, seed: int
 
 
 def unit(raw: list[bytes], dim: int) -> np.ndarray:
-    x = np.frombuffer(b"".join(raw), np.float64).reshape(-1, dim)
+    """Unit vectors in double precision, from bytes of floats or doubles."""
+    kind = np.float32 if raw and len(raw[0]) == 4 * dim else np.float64
+    x = np.frombuffer(b"".join(raw), kind).reshape(-1, dim).astype(np.float64)
     x = x / np.abs(x).max(1, keepdims=True)  # no overflow in the norm
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
@@ -111,29 +112,55 @@ def usable(v: Column) -> Column:
 
 @lean
 def _bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """``v`` (array of doubles, all of one length) as bytes."""
+    """``v`` (array of floats or doubles) as bytes of the same kind."""
     for b in batches:
-        flat = b.column("v").flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-        rows = flat.reshape(b.num_rows, -1) if b.num_rows else flat
+        v = b.column("v")
+        data, at = v.values.to_numpy(zero_copy_only=False), v.offsets.to_numpy()
         names = [n for n in b.schema.names if n != "v"]
-        yield pa.RecordBatch.from_arrays([*(b.column(n) for n in names), pa.array([r.tobytes() for r in rows], pa.binary())], [*names, "v"])
+        yield pa.RecordBatch.from_arrays([*(b.column(n) for n in names), pa.array([data[i:j].tobytes() for i, j in zip(at, at[1:], strict=False)], pa.binary())], [*names, "v"])
 
 
-def fit(reps: DataFrame, n: int, dim: int) -> Index:
+def reach_of(index: Index, x: np.ndarray, threshold: float) -> float:
+    """How far beyond a border probes must go to take the list of COVER of all trial neighbours.
+
+    A trial neighbour of a sampled vector has a cosine of just ``threshold``; its offset points
+    towards another sampled vector or along the difference of two, so that it lies in the space
+    in which the data lie, however flat. No offset is longer than sqrt(2 - 2 * threshold), where no
+    neighbour at all could be lost.
+    """
+    most = float(np.sqrt(2 - 2 * threshold))
+    rng, found = np.random.default_rng(SEED), []
+    for part in np.array_split(x, len(x) // 4096 + 1):
+        own, far = index.beyond(part)
+        for k in range(TRIALS):
+            way = x[rng.integers(0, len(x), len(part))] - (x[rng.integers(0, len(x), len(part))] if k % 2 else 0)
+            way = way - (way * part).sum(1, keepdims=True) * part
+            size = np.linalg.norm(way, axis=1, keepdims=True)
+            y = threshold * part + np.sqrt(1 - threshold**2) * way / np.maximum(size, 1e-12)
+            there = (y @ index.centroids.T).argmax(1)
+            found.append(far[np.arange(len(part)), there][size[:, 0] > 1e-6])
+    found = np.concatenate(found)
+    return min(most, float(np.quantile(found, COVER))) if len(found) else most
+
+
+def fit(reps: DataFrame, n: int, dim: int, threshold: float) -> Index:
     """Lists and codebooks from a sample of about SAMPLE vectors (those of the smallest hashes)."""
     share = min(1.0, SAMPLE / max(n, 1))
     rows = reps.where((F.xxhash64(F.lit(SEED), "rep") / F.lit(2.0**63)).between(-share, share)).select("v").limit(2 * SAMPLE).collect()
     x = unit([bytes(r.v) for r in rows], dim)
+    del rows
     lists = max(1, min(n // LIST_SIZE, len(x) // 8))
     centroids = kmeans(x, lists, unit=True)
     width = -(-dim // SUBSPACES)
-    index = Index(centroids, np.zeros((SUBSPACES, CODEWORDS, width)), np.ones(lists, np.int64))
+    index = Index(centroids, np.zeros((SUBSPACES, CODEWORDS, width)), 0.0, np.ones(lists, np.int64))
     rest = index.pad(x - centroids[(x @ centroids.T).argmax(1)])
     index.codebooks = np.stack([kmeans(rest[:, m], CODEWORDS) for m in range(SUBSPACES)])
+    index.reach = reach_of(index, x, threshold)
+    give_back()
     return index
 
 
-def _assign(shared, radius: float, slack: float, queries: bool):
+def _assign(shared, queries: bool):
     """A mapInArrow function: stored rows (kind 0) of each vector, or its queries (kind 1) to each block it probes."""
 
     @lean
@@ -146,7 +173,7 @@ def _assign(shared, radius: float, slack: float, queries: bool):
                 raw = b.column("v").to_pylist()
                 x = unit(raw, index.dim)
                 if queries:
-                    row, which = index.probes(x, radius, slack)
+                    row, which = index.probes(x)
                     n = index.blocks[which]
                     row, which = np.repeat(row, n), np.repeat(which, n)
                     block = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
@@ -264,7 +291,7 @@ def _links(rows: list[tuple[int, int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], ["rep", "n", "low"])
 
 
-def near_duplicates(spark: SparkSession, vectors: DataFrame, threshold: float = THRESHOLD, slack: float = SLACK) -> DataFrame:
+def near_duplicates(spark: SparkSession, vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """Rows (vec_id, n_links, component_id, kept), one per vector; links are pairs of cosine >= ``threshold``.
 
     Equal vectors are one representative with a count of copies. Representatives are
@@ -274,41 +301,54 @@ def near_duplicates(spark: SparkSession, vectors: DataFrame, threshold: float =
     leave candidates, whose cosine is taken in double precision. A block returns a row for
     each vector with links and a spanning forest, never the pairs.
 
-    Null, empty and zero vectors, and vectors with null or non-finite components, link
-    with nothing, as do vectors of another length than most. Repeated rows are vectors of
-    their own; rows with a null vec_id come back with nulls and link with nothing.
+    Vectors of each length that occurs are linked among themselves, one length after another.
+    Null, empty and zero vectors, and vectors with null or non-finite components, link with
+    nothing. Repeated rows, and several vectors of one vec_id, are vectors of their own, and
+    component_id is the smallest vec_id of a component; rows with a null vec_id come back
+    with nulls and link with nothing. Other columns are not looked at, and an empty table gives no rows.
     """
-    v = F.transform("embedding", lambda x: x.cast("double"))
+    element = vectors.schema["embedding"].dataType.elementType.simpleString()
+    v = F.col("embedding") if element == "float" else F.transform("embedding", lambda x: x.cast("double"))
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), v.alias("v")).withColumn("fine", usable(F.col("v")) & F.col("vec_id").isNotNull())
-    top = rows.where("fine").groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").first()
-    if top is None:
+    key = F.when(F.col("fine"), F.md5(F.array_join(F.transform("v", lambda x: (x + F.lit(0.0)).cast("string")), ",")))  # -0.0 is 0.0
+    keyed = stored(spark, rows.select("vec_id", "v", key.alias("key"), F.size("v").alias("d")), "keyed")
+    classes = keyed.where("key is not null").groupBy("key", "d").agg(F.min("vec_id").alias("vec_id"), F.count("*").alias("copies"), F.any_value("v").alias("v"))
+    # classes have numbers of their own: several vectors may have one vec_id
+    reps = stored(spark, classes.select(F.monotonically_increasing_id().alias("rep"), "*").mapInArrow(_bytes, "rep long, key string, d int, vec_id long, copies long, v binary"), "vectors")
+    facts = None
+    for r in reps.groupBy("d").count().orderBy("d").collect():  # one row a length
+        own = _linked(spark, reps.where(F.col("d") == r.d), r["count"], r.d, threshold)
+        facts = own if facts is None else facts.union(own)
+    if facts is None:
         return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
-    dim = top.d
-    key = F.when(F.col("fine") & (F.size("v") == dim), F.md5(F.array_join(F.transform("v", lambda x: x.cast("string")), ",")))
-    keyed = rows.withColumn("key", key)
-    classes = keyed.where("key is not null").groupBy("key").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"), F.any_value("v").alias("v"))
-    reps = stored(spark, classes.mapInArrow(_bytes, "key string, rep long, copies long, v binary"), "vectors")
-
-    n = reps.count()
-    index = fit(reps, n, dim)
+    facts = stored(spark, facts, "facts")
+    least = facts.groupBy("component").agg(F.min("vec_id").alias("component_id"))
+    facts = facts.join(least, "component").select("key", "n", "component_id")
+    component = F.coalesce("component_id", "vec_id")
+    return keyed.select("vec_id", "key").join(facts, "key", "left").select("vec_id", F.coalesce("n", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(component == F.col("vec_id"), F.lit(True)).alias("kept"))
+
+
+def _linked(spark: SparkSession, reps: DataFrame, n: int, dim: int, threshold: float) -> DataFrame:
+    """(key, vec_id, n, component) of the ``n`` representatives of one length."""
+    index = fit(reps, n, dim, threshold)
     radius = float(np.sqrt(2 - 2 * threshold))
     plain = spark.sparkContext.broadcast(index)
     schema = "list long, block long, kind int, rep long, copies long, codes binary, error double, v binary"
-    lists = reps.select("rep", "copies", "v").mapInArrow(_assign(plain, radius, slack, False), schema).groupBy("list").count().collect()  # one row a list
+    lists = reps.select("rep", "copies", "v").mapInArrow(_assign(plain, False), schema).groupBy("list").count().collect()  # one row a list
     blocks = np.ones(len(index.centroids), np.int64)
     for r in lists:
         blocks[r["list"]] = -(-r["count"] // BLOCK)
-    sized = spark.sparkContext.broadcast(Index(index.centroids, index.codebooks, blocks))
-    both = [reps.select("rep", "copies", "v").mapInArrow(_assign(sized, radius, slack, q), schema) for q in (False, True)]
+    sized = spark.sparkContext.broadcast(Index(index.centroids, index.codebooks, index.reach, blocks))
+    both = [reps.select("rep", "copies", "v").mapInArrow(_assign(sized, q), schema) for q in (False, True)]
     dealt = both[0].union(both[1]).repartition("list", "block").sortWithinPartitions("list", "block", "kind", "rep")
     found = stored(spark, dealt.mapInArrow(_search(sized, threshold, radius), "rep long, n long, low long"), "links")
+    plain.destroy()
+    sized.destroy()
 
     links = found.groupBy("rep").agg(F.sum("n").alias("n"))
     linked = components(spark, found.select(F.col("rep").alias("a"), F.col("low").alias("b"))).withColumnRenamed("node", "rep")
-    facts = reps.select("key", "rep", "copies").join(links, "rep", "left").join(linked, "rep", "left")
-    facts = facts.select("key", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n"), F.coalesce("component", "rep").alias("component"))
-    component = F.coalesce("component", "vec_id")
-    return keyed.select("vec_id", "key").join(facts, "key", "left").select("vec_id", F.coalesce("n", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(component == F.col("vec_id"), F.lit(True)).alias("kept"))
+    facts = reps.select("key", "vec_id", "rep", "copies").join(links, "rep", "left").join(linked, "rep", "left")
+    return facts.select("key", "vec_id", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n"), F.coalesce("component", "rep").alias("component"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -316,9 +356,9 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLE = f"""
-with recursive v as (select vec_id, embedding::double[] as e from embeddings where vec_id is not null and embedding is not null
+with recursive v as (select vec_id, embedding::double[] as e, len(embedding) as d from embeddings where vec_id is not null and embedding is not null
     and len(embedding) > 0 and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0 and len(list_filter(embedding, lambda x: x <> 0)) > 0),
-l as (select a.vec_id as a, b.vec_id as b from v a join v b on a.vec_id <> b.vec_id and list_cosine_similarity(a.e, b.e) >= {THRESHOLD}),
+l as (select a.vec_id as a, b.vec_id as b from v a join v b on a.vec_id <> b.vec_id and a.d = b.d and list_cosine_similarity(a.e, b.e) >= {THRESHOLD}),
 r as (select vec_id as a, vec_id as b from v union select r.a, l.b from r join l on r.b = l.a),
 m as (select a, min(b) as component from r group by a),
 n as (select a, count(*) as n from l group by a)

@@ -165,6 +165,36 @@ def test_embedding_links(spark, monkeypatch, block):
     assert got == sorted(((i, n[i], comp[i], comp[i] == i) for i in range(len(rows))), key=repr)
 
 
+@pytest.mark.parametrize("flat", [64, 6])
+def test_embedding_recall_over_many_lists(spark, monkeypatch, flat):
+    """Planted links in 64 dimensions, of vectors that fill them or lie in a space of 6, over 20 lists and more."""
+    monkeypatch.setattr(pq, "LIST_SIZE", 64)
+    rng = np.random.default_rng(23)
+    basis = np.linalg.qr(rng.normal(size=(64, flat)))[0]
+    x = rng.normal(size=(1500, flat)) @ basis.T
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    way = rng.normal(size=(1000, flat)) @ basis.T
+    way -= (way * x[:1000]).sum(1, keepdims=True) * x[:1000]
+    c = rng.uniform(0.951, 0.97, (1000, 1))
+    x = np.concatenate([x, c * x[:1000] + np.sqrt(1 - c**2) * way / np.linalg.norm(way, axis=1, keepdims=True)]).astype(np.float32)
+    y = x.astype(np.float64)
+    y /= np.linalg.norm(y, axis=1, keepdims=True)
+    want = (y @ y.T >= 0.95).sum(1) - 1
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    got = {r.vec_id: r.n_links for r in pq.near_duplicates(spark, df).collect()}
+    have = np.array([got[i] for i in range(len(x))])
+    assert (have <= want).all() and want.sum() >= 2000 and have.sum() >= 0.999 * want.sum()
+
+
+def test_embedding_of_several_lengths_and_repeated_ids(spark):
+    a, b, c, d = [1.0, 0.0, 0.0], [0.0, 1.0, 0.0], [1.0, 0.1, 0.0], [0.0, 1.0, 0.1]
+    rows = [(1, a), (1, b), (2, c), (3, d), (4, [2.0, 1.0]), (5, [2.0, 1.0]), (6, [1.0, -0.0]), (7, [1.0, 0.0]), (8, [5.0]), (9, [1.0] * 4)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = rows_of(pq.near_duplicates(spark, df), "vec_id", "n_links", "component_id", "kept")
+    want = [(1, 1, 1, True), (1, 1, 1, True), (2, 1, 1, False), (3, 1, 1, False), (4, 1, 4, True), (5, 1, 4, False), (6, 1, 6, True), (7, 1, 6, False), (8, 0, 8, True), (9, 0, 9, True)]
+    assert got == sorted(want, key=repr)
+
+
 def test_embedding_empty(spark):
     df = spark.createDataFrame([], "vec_id long, embedding array<float>")
     assert pq.near_duplicates(spark, df).count() == 0
@@ -229,6 +259,19 @@ def test_jaccard_dedup_keeps_columns(spark):
     assert jaccard.similar(spark, df.limit(0)).count() == 0
 
 
+def test_jaccard_of_repeated_ids(spark):
+    rng = random.Random(22)
+    a, b, c, d = (prose(rng, 60) for _ in range(4))
+    near = a + " more"
+    docs = [(5, a), (5, b), (6, near), (7, c), (7, c), (8, c + " ."), (9, d), (4, d), (3, b), (5, a), (None, d), (2, "")]
+    df = documents(spark, [(i, t, "s") for i, t in docs])
+    got = rows_of(jaccard.similar(spark, df), "doc_id", "class_id", "n_links", "component_id")
+    want = [(5, 5, 2, 5), (5, 3, 1, 3), (6, 6, 2, 5), (7, 7, 2, 7), (7, 7, 2, 7), (8, 7, 2, 7), (9, 4, 1, 4), (4, 4, 1, 4), (3, 3, 1, 3), (5, 5, 2, 5), (None, None, 0, None), (2, 2, 0, 2)]
+    assert got == sorted(want, key=repr)
+    kept = sorted(((r.doc_id, r.text) for r in jaccard.dedup(spark, df).collect()), key=repr)
+    assert kept == sorted([(5, a), (7, c), (4, d), (3, b), (None, d), (2, "")], key=repr)
+
+
 def test_prefixes_are_shortened_until_the_recall():
     for t, trees, recall in ((0.8, 24, 0.999), (0.6, 16, 0.99), (0.95, 4, 0.9)):
         d = jaccard.prefix_depth(t, trees, 12, recall)
