@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from skein.llm.shared import stored
+from skein.llm.shared import packed, stored, unpacked
 
 #: Weights of the sources by code point, null last, repeating.
 WEIGHTS = (5, 2, 1)
@@ -19,8 +19,14 @@ WEIGHTS = (5, 2, 1)
 MAX_REPEAT = 3
 #: Words of a block of the mix; larger where there would be over MAX_BLOCKS blocks.
 BLOCK, MAX_BLOCKS = 4096, 500_000_000
-#: Output shards, and the most sources whose totals the driver plans with.
-SHARDS, MAX_SOURCES = 64, 100_000
+#: Output shards at least, words of one where there are more, and the most of sources times shards: what the driver plans with.
+SHARDS, SHARD_WORDS, MAX_CELLS = 64, 200_000_000, 4_000_000
+#: The most sources whose totals the driver plans with.
+MAX_SOURCES = 100_000
+#: Draws of a shard that are sorted in one task, about.
+PART_DRAWS = 200_000
+#: Rounds of the network that permutes blocks, and steps of a walk back into its range.
+ROUNDS, WALK = 6, 64
 SEED = 17
 #: Documents of a source in one window of the running sum, about.
 BUCKET_DOCS = 2000
@@ -86,7 +92,7 @@ def doc_size(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
 
 
-def plan(sized: DataFrame, shards: int, seed: int) -> tuple[list[SourcePlan], int]:
+def plan(sized: DataFrame, shards: int | None, seed: int) -> tuple[list[SourcePlan], int]:
     """Targets, block quotas and the first permuted block of each shard, for each source; and the block size."""
     rows = sized.groupBy("source").agg(F.sum("size").alias("size"), F.count("*").alias("docs")).limit(MAX_SOURCES + 1).collect()
     if len(rows) > MAX_SOURCES:
@@ -96,6 +102,7 @@ def plan(sized: DataFrame, shards: int, seed: int) -> tuple[list[SourcePlan], in
     block = max(BLOCK, math.ceil(total / MAX_BLOCKS))
     for s, t in zip(sources, targets([s.size for s in sources], [WEIGHTS[i % len(WEIGHTS)] for i in range(len(sources))]) if total else [0.0] * len(sources), strict=True):
         s.target, s.quota = t, math.ceil(int(t) / block)
+    shards = shards or max(1, min(max(SHARDS, total // SHARD_WORDS), MAX_CELLS // max(1, len(sources))))
     if sources:
         starts = np.cumsum(split_quotas([s.quota for s in sources], shards, seed), axis=0)
         for j, s in enumerate(sources):
@@ -106,20 +113,34 @@ def plan(sized: DataFrame, shards: int, seed: int) -> tuple[list[SourcePlan], in
 PLAN_SCHEMA = T.StructType([
     T.StructField("source", T.StringType()), T.StructField("rank", T.IntegerType()), T.StructField("source_size", T.LongType()),
     T.StructField("buckets", T.LongType()), T.StructField("target", T.DoubleType()), T.StructField("words", T.LongType()),
-    T.StructField("quota", T.LongType()), T.StructField("step", T.LongType()), T.StructField("starts", T.ArrayType(T.LongType())),
+    T.StructField("quota", T.LongType()), T.StructField("bits", T.IntegerType()), T.StructField("starts", T.ArrayType(T.LongType())),
 ])
 
 
-def _step(quota: int, seed: int, rank: int) -> int:
-    """A multiplier without a common factor with ``quota``: k -> k * step mod quota permutes the blocks."""
-    step = int(np.random.default_rng([seed, rank]).integers(1, max(2, quota)))
-    while math.gcd(step, max(quota, 1)) != 1:
-        step += 1
-    return step
+def permuted(k: Column, quota: Column, bits: Column, seed: int, rank: Column) -> Column:
+    """The place of block ``k`` in a keyed permutation of 0 .. quota - 1.
 
+    A Feistel-like network permutes the numbers of ``bits`` bits: each round flips the low half
+    by a hash of the rest and rotates. A number beyond the quota is permuted again until it is
+    one of the quota's (the range is less than twice the quota, or of 4 numbers).
+    """
+    low = F.floor(bits / 2).cast("int")
+    left, right = (lambda name: lambda x, n: F.call_function(name, x, n))("shiftleft"), (lambda name: lambda x, n: F.call_function(name, x, n))("shiftright")
+    one = F.lit(1).cast("long")
+
+    def once(x: Column) -> Column:
+        def turn(x: Column, r: Column) -> Column:
+            mask = left(one, low) - 1
+            flipped = x.bitwiseXOR(F.xxhash64(F.lit(seed), rank, r, right(x, low)).bitwiseAND(mask))
+            return left(flipped.bitwiseAND(mask), bits - low).bitwiseOR(right(flipped, low))
+
+        return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), x, turn)
+
+    return F.aggregate(F.sequence(F.lit(1), F.lit(WALK)), once(k), lambda x, _: F.when(x < quota, x).otherwise(once(x)))
 
-def mix(spark: SparkSession, docs: DataFrame, shards: int = SHARDS, seed: int = SEED) -> DataFrame:
-    """Rows (doc_id, source, size, source_size, target, draws), one per document.
+
+def mix(spark: SparkSession, docs: DataFrame, shards: int | None = None, seed: int = SEED) -> DataFrame:
+    """Rows (row, doc_id, source, size, source_size, target, draws), one per document; ``row`` tells them apart.
 
     ``draws`` lists what the mix takes of the document: (shard, block, first_word, n_words,
     order_key); repeats are draws of their own. A source's documents stand in a fixed random
@@ -133,11 +154,16 @@ def mix(spark: SparkSession, docs: DataFrame, shards: int = SHARDS, seed: int =
     Null texts and texts without words have size 0 and no draws; null doc_ids count as the
     empty id; repeated rows are documents of their own. An empty table gives no rows.
     """
-    sized = stored(spark, docs.select("doc_id", "source", doc_size(F.col("text")).alias("size")), "sizes")
+    sized = stored(spark, docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "source", doc_size(F.col("text")).alias("size")), "sizes")
+    return draws(spark, sized, shards, seed)
+
+
+def draws(spark: SparkSession, sized: DataFrame, shards: int | None = None, seed: int = SEED) -> DataFrame:
+    """mix() of a stored table (row, doc_id, source, size)."""
     sources, block = plan(sized, shards, seed)
-    rows = [(s.source, i, s.size, max(1, math.ceil(s.docs / BUCKET_DOCS)), s.target, int(s.target), s.quota, _step(s.quota, seed, i), s.starts) for i, s in enumerate(sources)]
+    rows = [(s.source, i, s.size, max(1, math.ceil(s.docs / BUCKET_DOCS)), s.target, int(s.target), s.quota, max(2, (s.quota - 1).bit_length()), s.starts) for i, s in enumerate(sources)]
     plans = F.broadcast(spark.createDataFrame(rows, PLAN_SCHEMA))  # at most MAX_SOURCES rows
-    short = plans.drop("starts", "step", "quota", "words", "target", "source_size")
+    short = plans.drop("starts", "bits", "quota", "words", "target", "source_size")
     place = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
     placed = (
         sized.withColumn("source", F.col("source").cast("string"))
@@ -146,7 +172,7 @@ def mix(spark: SparkSession, docs: DataFrame, shards: int = SHARDS, seed: int =
         .withColumn("place", place)
         .withColumn("bucket", F.floor(F.conv(F.substring("place", 1, 8), 16, 10).cast("long") * F.col("buckets") / F.lit(2.0**32)))
     )
-    in_bucket = Window.partitionBy("rank", "bucket").orderBy("place", "doc_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    in_bucket = Window.partitionBy("rank", "bucket").orderBy("place", "doc_id", "size", "row").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     before = Window.partitionBy("rank").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     sums = placed.groupBy("rank", "bucket").agg(F.sum("size").alias("s")).select("rank", "bucket", F.coalesce(F.sum("s").over(before), F.lit(0)).alias("base"))
     lined = (
@@ -159,11 +185,11 @@ def mix(spark: SparkSession, docs: DataFrame, shards: int = SHARDS, seed: int =
     epochs = F.transform(F.sequence(F.lit(0).cast("long"), F.lit(MAX_REPEAT - 1).cast("long")), lambda e: e * F.col("source_size") + F.col("begin"))
     parts = F.transform(F.filter(epochs, lambda b: (F.col("size") > 0) & (b < F.col("words"))), lambda b: F.struct(b.alias("b"), F.least(b + F.col("size"), F.col("words")).alias("e")))
 
-    def draws(p: Column) -> Column:
+    def cut(p: Column) -> Column:
         last = F.floor((p["e"] - 1) / block)
 
         def draw(k: Column) -> Column:
-            at = F.pmod(k * F.col("step"), F.greatest(F.col("quota"), F.lit(1)))
+            at = permuted(k, F.col("quota"), F.col("bits"), seed, F.col("rank"))
             lo, hi = F.greatest(p["b"], k * block), F.least(p["e"], (k + 1) * block)
             return F.struct(
                 (F.size(F.filter("starts", lambda s: s <= at)) - 1).alias("shard"),
@@ -175,23 +201,48 @@ def mix(spark: SparkSession, docs: DataFrame, shards: int = SHARDS, seed: int =
 
         return F.transform(F.sequence(F.floor(p["b"] / block), last), draw)
 
-    return lined.select("doc_id", "source", "size", "source_size", "target", F.flatten(F.transform(parts, draws)).alias("draws"))
+    return lined.select("row", "doc_id", "source", "size", "source_size", "target", F.flatten(F.transform(parts, cut)).alias("draws"))
 
 
-def shard_rows(mixed: DataFrame) -> DataFrame:
-    """The mix itself: rows (shard, order_key, source, block, doc_id, first_word, n_words), each shard shuffled by order_key."""
-    rows = mixed.select("doc_id", "source", F.explode("draws").alias("d")).select("d.shard", "d.order_key", "source", "d.block", "doc_id", "d.first_word", "d.n_words")
-    return rows.repartition("shard").sortWithinPartitions("shard", "order_key", "doc_id")
+def shard_rows(spark: SparkSession, mixed: DataFrame) -> DataFrame:
+    """The mix itself: rows (shard, part, order_key, source, block, row, doc_id, first_word, n_words), each shard shuffled by order_key.
 
+    A shard is read part by part; a part has about PART_DRAWS draws, a range of order_key,
+    and is what one task sorts.
+    """
+    rows = mixed.select("row", "doc_id", "source", F.explode("draws").alias("d"))
+    n = rows.agg(F.count("*").alias("n"), F.countDistinct("d.shard").alias("shards")).first()
+    parts = max(1, math.ceil(n.n / max(1, n.shards) / PART_DRAWS))
+    part = F.least(F.floor((F.col("d.order_key") / F.lit(2.0**64) + 0.5) * parts), F.lit(parts - 1)).cast("int")
+    rows = rows.select("d.shard", part.alias("part"), "d.order_key", "source", "d.block", "row", "doc_id", "d.first_word", "d.n_words")
+    return rows.repartition("shard", "part").sortWithinPartitions("shard", "part", "order_key", "row")
+
+
+def with_taken(spark: SparkSession, mixed: DataFrame) -> DataFrame:
+    """``mixed`` with ``taken``: the words that the written mix has of each document, repeats counted."""
+    mixed = stored(spark, mixed, "draws")
+    rows = stored(spark, shard_rows(spark, mixed), "mix")
+    taken = rows.groupBy(F.col("row").alias("_row")).agg(F.sum("n_words").alias("taken"))
+    return mixed.join(taken, F.col("row") == F.col("_row"), "left").drop("_row").withColumn("taken", F.coalesce("taken", F.lit(0)).cast("long"))
 
-def with_taken(mixed: DataFrame) -> DataFrame:
-    """``mixed`` with ``taken``: the words that the mix takes of each document, repeats counted."""
-    return mixed.withColumn("taken", F.aggregate("draws", F.lit(0).cast("long"), lambda a, d: a + d["n_words"]))
+
+def mix_documents(spark: SparkSession, docs: DataFrame, shards: int | None = None, seed: int = SEED) -> DataFrame:
+    """``docs`` with size, source_size, target, taken and draws: the texts and what the mix takes of each.
+
+    Columns of these names give way to the new ones; all rows stay, those of which nothing is taken too.
+    """
+    added = ("size", "source_size", "target", "taken", "draws")
+    base = packed(docs.drop(*added), "text").withColumns({"_row": F.monotonically_increasing_id(), "size": doc_size(F.col("text"))})
+    base = stored(spark, base, "texts")
+    mixed = with_taken(spark, draws(spark, base.select(F.col("_row").alias("row"), "row.doc_id", "row.source", "size"), shards, seed))
+    facts = mixed.select(F.col("row").alias("_row"), "source_size", "target", "taken", "draws")
+    kept = [c for c in docs.columns if c not in added]
+    return unpacked(base.join(facts, "_row"), [*kept, *added], **{c: F.col(c) for c in added})
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source", "text")
-    return with_taken(mix(spark, docs)).select("doc_id", "size", "source_size", "target", "taken")
+    return with_taken(spark, mix(spark, docs)).select("doc_id", "size", "source_size", "target", "taken")
 
 
 ORACLE = rf"""

@@ -373,7 +373,7 @@ def test_mix(spark, monkeypatch):
     rows = [(i, prose(rng, rng.randrange(1, 40)), rng.choice(["a", "a", "a", "b", "ß"])) for i in range(200)]
     rows += [(300, None, "a"), (301, "", "b"), (302, " \t", "c"), (303, prose(rng, 3), "d"), (304, "x", None), (304, "x", None), (None, "y z", "d"), (305, prose(rng, 5000), "b")]
     df = documents(spark, rows)
-    out = mixing.with_taken(mixing.mix(spark, df, shards=5)).collect()
+    out = mixing.with_taken(spark, mixing.mix(spark, df, shards=5)).collect()
     assert len(out) == len(rows)
     by = {}
     for r in out:
@@ -393,8 +393,35 @@ def test_mix(spark, monkeypatch):
         assert sum(r.taken for r in by[s]) == int(t + 1e-9)
         assert len(dict(spans)) == len(set(spans))  # a block goes to one shard
     assert rows_of(mixing.mix(spark, df.repartition(7), shards=5), "doc_id", "draws") == sorted(((r.doc_id, r.draws) for r in out), key=repr)
-    assert mixing.shard_rows(mixing.mix(spark, df, shards=5)).agg(F.sum("n_words")).first()[0] == sum(loads.values())
-    assert mixing.mix(spark, df.limit(0)).count() == 0
+    # the shards have just the blocks that the splitting tree gives them, in an order of their own
+    quotas = [math.ceil(int(t + 1e-9) / 50) for t in want]
+    tree = mixing.split_quotas(quotas, 5)
+    rows = mixing.shard_rows(spark, mixing.mix(spark, df, shards=5)).collect()
+    blocks = {(r.source, r.block): r.shard for r in rows}
+    for j, s in enumerate(order):
+        assert sorted(b for x, b in blocks if x == s) == list(range(quotas[j]))
+        assert [sum(blocks[s, b] == k for b in range(quotas[j])) for k in range(5)] == tree[:, j].tolist()
+    assert Counter({k: sum(r.n_words for r in rows if r.shard == k) for k in range(5)}) == loads
+    for k in range(5):
+        keys = [(r.part, r.order_key) for r in rows if r.shard == k]
+        assert sorted(keys) == sorted(keys, key=lambda x: x[1])
+    texts = mixing.mix_documents(spark, df.withColumnRenamed("score", "taken"), shards=5)
+    assert rows_of(texts, "doc_id", "text", "source", "size", "taken") == sorted(((r.doc_id, t, r.source, r.size, r.taken) for r, (_, t, _) in zip(sorted(out, key=lambda r: r.row), rows_in_order(df), strict=True)), key=repr)
+    assert texts.columns == [c for c in df.columns if c != "score"] + ["size", "source_size", "target", "taken", "draws"]
+    assert mixing.mix(spark, df.limit(0)).count() == 0 and mixing.mix_documents(spark, df.limit(0)).count() == 0
+
+
+def rows_in_order(df):
+    """(doc_id, text, source) in the order of the rows' numbers."""
+    return [(r.doc_id, r.text, r.source) for r in df.withColumn("row", F.monotonically_increasing_id()).orderBy("row").collect()]
+
+
+def test_blocks_are_permuted(spark):
+    for quota in (1, 2, 3, 37, 1000):
+        bits = max(2, (quota - 1).bit_length())
+        k = [r[0] for r in spark.range(quota).select(mixing.permuted(F.col("id"), F.lit(quota), F.lit(bits), 17, F.lit(3))).collect()]
+        assert sorted(k) == list(range(quota))
+        assert quota < 37 or len({(b - a) % quota for a, b in itertools.pairwise(k)}) > quota // 3
 
 
 # --- 6
