@@ -86,7 +86,7 @@ def test_stages(spark, sf):
     assert len(final) < len(single)
 
     mixed = run("mixing").collect()
-    assert sorted(r.doc_id for r in mixed) == sorted(final)
+    assert {r.doc_id: r.text for r in mixed} == final and len(mixed) == len(final)
     by = {}
     for r in mixed:
         by.setdefault(r.source, []).append(r)
@@ -94,6 +94,15 @@ def test_stages(spark, sf):
     assert all(sum(r.taken for r in rows) == int(rows[0].target + 1e-9) for rows in by.values())
 
 
+def test_stages_of_no_rows_and_clashing_names(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").selectExpr("*", "'l' as n_lines", "'r' as n_removed", "'s' as spans", "'c' as score", "'w' as n_words")
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs.limit(0), sf)
+        assert out.count() == 0 and out.columns[: len(docs.columns)] == docs.columns
+        r = stage(spark, docs, sf).first()
+        assert (r.n_lines, r.n_removed, r.spans, r.score, r.n_words) == tuple("lrscw")
+
+
 def test_run_is_the_stages(spark, sf):
     out = corpus_pipeline.run(spark, sf)
     again = spark.read.parquet(f"{sf}/out-mixing.parquet")
