@@ -9,10 +9,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from skein.functions.storage import stored
+from skein.functions.storage import Rounds, stored
 from skein.schemas import ENTITY_KINDS, RELATIONSHIP_KINDS
 
 
+#: Nodes that are broadcast at most.
+MAX_BROADCAST = 100_000
+
+
 @dataclass(frozen=True)
 class GraphFilter:
     """Which entities and relationships take part. The time range is closed at both ends."""
@@ -65,19 +69,19 @@ def degrees(edges: DataFrame) -> DataFrame:
 def top_nodes(nodes: DataFrame, edges: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
     """The ``k`` nodes of the highest degree, ties by id, and the edges among them."""
     ranked = nodes.join(degrees(edges), "id", "left").withColumn("degree", F.coalesce("degree", F.lit(0)).cast("long"))
-    best = ranked.orderBy(F.desc("degree"), "id").limit(k)
-    return best.drop("degree"), induced(best, edges)
+    best = stored(nodes.sparkSession, ranked.orderBy(F.desc("degree"), "id").limit(k).drop("degree"), "top")
+    return best, induced(F.broadcast(best) if k <= MAX_BROADCAST else best, edges)
 
 
 def ego(spark: SparkSession, nodes: DataFrame, edges: DataFrame, center: str, depth: int) -> tuple[DataFrame, DataFrame]:
     """Nodes within ``depth`` steps of ``center`` over the edges, directions aside, and the edges among them."""
-    links = both_ways(edges).distinct()
-    seen = nodes.where(F.col("id") == center).select("id")
-    frontier = seen
+    links = stored(spark, both_ways(edges).distinct(), "links")
+    new, all_seen = Rounds(spark, "frontier"), Rounds(spark, "seen")
+    frontier = seen = all_seen.put(nodes.where(F.col("id") == center).select("id"))
     for _ in range(depth):
         reached = links.join(frontier, "id", "left_semi").select(F.col("neighbor").alias("id")).distinct()
-        frontier = stored(spark, reached.join(seen, "id", "left_anti"), "frontier")
-        seen = stored(spark, seen.union(frontier), "seen")
+        frontier = new.put(reached.join(seen, "id", "left_anti"))
+        seen = all_seen.put(seen.union(frontier))
     kept = nodes.join(seen, "id", "left_semi")
     return kept, induced(kept, edges)
 
@@ -143,12 +147,13 @@ def label_propagation(spark: SparkSession, nodes: DataFrame, edges: DataFrame, r
     Labels are counted by (node, label) before a node's best is taken, so hubs are sums, not groups.
     """
     links = stored(spark, both_ways(edges).groupBy("id", "neighbor").agg(F.count("*").alias("n")), "links")
-    labels = stored(spark, nodes.select("id", F.col("id").alias("label")), "labels")
+    kept = Rounds(spark, "labels")
+    labels = kept.put(nodes.select("id", F.col("id").alias("label")))
     for _ in range(rounds):
         votes = links.join(labels.withColumnRenamed("id", "neighbor"), "neighbor").select("id", "label", "n").union(labels.select("id", "label", F.lit(1).cast("long")))
         tally = votes.groupBy("id", "label").agg(F.sum("n").alias("n"))
         best = tally.groupBy("id").agg(F.min_by("label", F.struct(-F.col("n"), "label")).alias("label"))
-        after = stored(spark, best, "labels")
+        after = kept.put(best)
         changed = after.join(labels.withColumnRenamed("label", "old"), "id").where("label <> old").limit(1).count()
         labels = after
         if not changed:
@@ -167,16 +172,18 @@ def node_sizes(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 def degree_rank(nodes: DataFrame, edges: DataFrame, batches: int = 30) -> DataFrame:
     """(id, degree, rank, batch) by degree, then id; a batch has max(1, ceil(n / batches)) nodes.
 
-    No window over all nodes: ranks start at the number of nodes of higher degree, from a
-    table with a row a degree.
+    No window over nodes: they are dealt to ranges of (degree, id) and numbered within them;
+    a range's first rank follows from the sizes of those before it, a row each.
     """
     ranked = nodes.select("id").join(degrees(edges), "id", "left").withColumn("degree", F.coalesce("degree", F.lit(0)).cast("long"))
-    sizes = ranked.groupBy("degree").agg(F.count("*").alias("n"))
-    above = sizes.select("degree", F.coalesce(F.sum("n").over(Window.orderBy(F.desc("degree")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("above"), F.sum("n").over(Window.partitionBy()).alias("total"))
-    own = F.row_number().over(Window.partitionBy("degree").orderBy("id"))
-    rank = (F.col("above") + own).cast("long")
-    size = F.greatest(F.lit(1), F.ceil(F.col("total") / batches))
-    return ranked.join(above, "degree").select("id", "degree", rank.alias("rank"), F.floor((rank - 1) / size).alias("batch"))
+    dealt = ranked.repartitionByRange(F.desc("degree"), "id").sortWithinPartitions(F.desc("degree"), "id").withColumn("n", F.monotonically_increasing_id())
+    dealt = stored(nodes.sparkSession, dealt, "ranges").select("id", "degree", F.shiftright("n", 33).alias("range"), F.col("n").bitwiseAND((1 << 33) - 1).alias("at"))
+    before = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = dealt.groupBy("range").agg(F.count("*").alias("size"))
+    sizes = sizes.select("range", F.coalesce(F.sum("size").over(before), F.lit(0)).alias("above"), F.sum("size").over(Window.partitionBy()).alias("total"))
+    rank = (F.col("above") + F.col("at") + 1).cast("long")
+    each = F.greatest(F.lit(1), F.ceil(F.col("total") / batches))
+    return dealt.join(F.broadcast(sizes), "range").select("id", "degree", rank.alias("rank"), F.floor((rank - 1) / each).alias("batch"))  # a row a partition
 
 
 def edge_evidence(edges: DataFrame) -> DataFrame:

@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skein.functions.storage import stored
+from skein.functions.storage import Rounds, stored
 from skein.functions.text import normalize_name
 
 #: Candidates from here on are merged at once; co-mentions below MIN_SHARED chunks are no candidates.
 AUTO, MIN_SHARED = 0.8, 3
+#: Entities of a chunk that meet in one group.
+BLOCK = 1000
 
 
 def exact_groups(entities: DataFrame) -> DataFrame:
@@ -61,7 +63,8 @@ def similarity(distance: Column, longest: Column) -> Column:
 def fuzzy_pairs(entities: DataFrame, match_empty: bool = False) -> DataFrame:
     """(a, b, confidence, reason) with a < b: same kind, different names, similar when normalised.
 
-    Names without Latin letters normalise to nothing; they match only if their canonical
+    All ids of two similar names pair up; where names repeat, give the firsts of
+    exact_groups() and keep the groups beside the result. Names without Latin letters normalise to nothing; they match only if their canonical
     names are equal, or all with ``match_empty``.
     """
     e = entities.select("id", "name", "canonical_name", "kind", normalize_name(F.col("name")).alias("key"))
@@ -84,14 +87,20 @@ def alias_pairs(entities: DataFrame, aliases: DataFrame) -> DataFrame:
     return pairs.withColumns({"confidence": F.lit(1.0), "reason": F.lit("alias")})
 
 
-def comention_pairs(mentions: DataFrame) -> DataFrame:
+def comention_pairs(mentions: DataFrame, block: int = BLOCK) -> DataFrame:
     """(a, b, shared) with a < b: chunks that mention both.
 
-    Grows with the square of a chunk's entities; restrict ``mentions`` first, as
-    cooccurrence_pairs does.
+    The result grows with the square of a chunk's entities; the work of one task doesn't: a
+    chunk's entities are dealt to blocks of about ``block``, and each pair of blocks meets on
+    a key of its own. Restrict ``mentions`` first where only some pairs matter, as cooccurrence_pairs does.
     """
     m = mentions.select("entity_id", "meeting_chunk_id").distinct()
-    pairs = m.withColumnRenamed("entity_id", "a").join(m.withColumnRenamed("entity_id", "b"), "meeting_chunk_id").where("a < b")
+    large = m.groupBy("meeting_chunk_id").agg(F.ceil(F.count("*") / block).alias("blocks")).where("blocks > 1")
+    dealt = m.join(large, "meeting_chunk_id", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("own", F.pmod(F.xxhash64("entity_id"), F.col("blocks")))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    met = dealt.select("meeting_chunk_id", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "entity_id")
+    left, right = met.select("meeting_chunk_id", "i", "j", F.col("own").alias("x"), F.col("entity_id").alias("a")), met.select("meeting_chunk_id", "i", "j", F.col("own").alias("y"), F.col("entity_id").alias("b"))
+    pairs = left.join(right, ["meeting_chunk_id", "i", "j"]).where("a < b and (i = j or x <> y)")
     return pairs.groupBy("a", "b").agg(F.count("*").alias("shared"))
 
 
@@ -115,45 +124,50 @@ def candidates(strategies: list[tuple[str, DataFrame]]) -> DataFrame:
     return rows.groupBy("a", "b").agg(best).select("a", "b", "c.*")
 
 
-def resolve(spark: SparkSession, entities: DataFrame, pairs: DataFrame, max_rounds: int = 100) -> DataFrame:
+def deferred(pairs: DataFrame) -> DataFrame:
+    """Candidates that are left for review: those below AUTO."""
+    return pairs.where(F.col("confidence") < AUTO)
+
+
+def resolve(spark: SparkSession, entities: DataFrame, pairs: DataFrame) -> DataFrame:
     """(duplicate_id, primary_id): what going through the entities in order and letting each
     survivor absorb its still unmerged candidates of AUTO confidence would give.
 
     Primaries are the lexicographically first maximal independent set in the order of
     (first_seen_at, id): in each round a node without an undecided earlier neighbour
     becomes one and its later neighbours are merged. A duplicate goes to its earliest
-    adjacent primary.
+    adjacent primary. Rounds go on until all is decided: as many as half the longest chain
+    of candidates in ascending order, a few for names in no special order.
     """
     order = entities.select("id", F.struct("first_seen_at", "id").alias("o"))
     sure = pairs.where(F.col("confidence") >= AUTO).select("a", "b")
     both = sure.union(sure.select("b", "a")).distinct().toDF("id", "other")
     links = both.join(order, "id").join(order.toDF("other", "oo"), "other").where("oo < o")
     links = stored(spark, links.select(F.col("other").alias("early"), F.col("id").alias("late"), F.col("oo").alias("o")), "links")
-    open_nodes = stored(spark, links.select(F.col("early").alias("id")).union(links.select("late")).distinct(), "open")
-    primaries = None
-    for _ in range(max_rounds):
-        if not open_nodes.limit(1).count():
-            break
+    undecided, decided = Rounds(spark, "open"), Rounds(spark, "decided")
+    open_nodes = undecided.put(links.select(F.col("early").alias("id")).union(links.select("late")).distinct())
+    done = decided.put(open_nodes.where("false"))
+    while open_nodes.limit(1).count():
         alive = links.join(open_nodes.withColumnRenamed("id", "early"), "early", "left_semi")
-        new = stored(spark, open_nodes.join(alive.select(F.col("late").alias("id")), "id", "left_anti"), "primaries")
+        new = stored(spark, open_nodes.join(alive.select(F.col("late").alias("id")), "id", "left_anti"), "new")
         gone = new.union(links.join(new.withColumnRenamed("id", "early"), "early", "left_semi").select("late")).distinct()
-        open_nodes = stored(spark, open_nodes.join(gone, "id", "left_anti"), "open")
-        primaries = new if primaries is None else primaries.union(new)
-    else:
-        raise RuntimeError(f"stars did not settle in {max_rounds} rounds")
-    if primaries is None:
-        return links.select(F.col("late").alias("duplicate_id"), F.col("early").alias("primary_id")).where("false")
-    primaries = stored(spark, primaries, "primaries")
-    merged = links.join(primaries.withColumnRenamed("id", "early"), "early", "left_semi").join(primaries.withColumnRenamed("id", "late"), "late", "left_anti")
+        open_nodes = undecided.put(open_nodes.join(gone, "id", "left_anti"))
+        done = decided.put(done.union(new))
+    merged = links.join(done.withColumnRenamed("id", "early"), "early", "left_semi").join(done.withColumnRenamed("id", "late"), "late", "left_anti")
     return merged.groupBy(F.col("late").alias("duplicate_id")).agg(F.min_by("early", "o").alias("primary_id"))
 
 
-def roots(spark: SparkSession, links: DataFrame, max_rounds: int = 60) -> DataFrame:
-    """(id, root) of ``links`` (id, into): chains followed to their end by pointer jumping."""
-    here = stored(spark, links.where("into is not null and id <> into").select("id", F.col("into").alias("root")), "roots")
-    for _ in range(max_rounds):
+def roots(spark: SparkSession, links: DataFrame) -> DataFrame:
+    """(id, root) of ``links`` (id, into): chains followed to their end by pointer jumping.
+
+    A chain of n links is followed after log2(n) rounds; ids that still move after as many rounds
+    as the number of links allows go in a circle, which is an error.
+    """
+    rounds = Rounds(spark, "roots")
+    here = rounds.put(links.where("into is not null and id <> into").select("id", F.col("into").alias("root")))
+    for _ in range(here.count().bit_length() + 2):
         jump = here.select(F.col("id").alias("root"), F.col("root").alias("next"))
-        after = stored(spark, here.join(jump, "root", "left").select("id", F.coalesce("next", "root").alias("root")), "roots")
+        after = rounds.put(here.join(jump, "root", "left").select("id", F.coalesce("next", "root").alias("root")))
         if not after.join(jump, "root", "left_semi").limit(1).count():
             return after
         here = after
@@ -188,31 +202,69 @@ def merge_aliases(aliases: DataFrame, entities: DataFrame, merged: DataFrame) ->
     return rows.groupBy("entity_id", "alias").agg(F.max("source").alias("source"))  # manual before auto
 
 
-def merge_history(merged: DataFrame, entities: DataFrame, aliases: DataFrame, relationships: DataFrame) -> DataFrame:
-    """A row for each merge with what it changes: the duplicate, its aliases and its relationships before relinking."""
-    e = entities.select(F.col("id").alias("duplicate_id"), F.struct("id", "name", "canonical_name", "kind").alias("original_entity"))
-    a = aliases.select(F.col("entity_id").alias("duplicate_id"), F.struct("alias", "source").alias("a")).groupBy("duplicate_id").agg(F.array_sort(F.collect_list("a")).alias("original_aliases"))
-    kept = F.struct("id", "source_entity_id", "target_entity_id", "kind", "weight", "confidence")
+def tombstones(entities: DataFrame, merged: DataFrame) -> DataFrame:
+    """``entities`` with merged_into_id of the duplicates set: graphs and lists pass them over from here on."""
+    into = merged.select(F.col("duplicate_id").alias("id"), F.col("primary_id").alias("_to"))
+    return entities.join(into, "id", "left").withColumn("merged_into_id", F.coalesce("_to", "merged_into_id")).select(*entities.columns)
+
+
+def merge_history(merged: DataFrame, entities: DataFrame, aliases: DataFrame, relationships: DataFrame, at: str) -> DataFrame:
+    """A row for each merge with what it changes, as it was before, in all its columns: the duplicate, its aliases and its relationships.
+
+    The id follows from the duplicate's; ``reason`` is 'strategy: reason' of the candidate where ``merged`` has both.
+    A row holds all relationships of its duplicate; undo() reads them one by one.
+    """
+    own = F.struct(*(F.col(f"`{c}`") for c in entities.columns))
+    e = entities.select(F.col("id").alias("duplicate_id"), own.alias("original_entity"))
+    a = aliases.select(F.col("entity_id").alias("duplicate_id"), F.struct(*(c for c in ("alias", "source") if c in aliases.columns)).alias("a")).groupBy("duplicate_id").agg(F.array_sort(F.collect_list("a")).alias("original_aliases"))
+    kept = F.struct("id", *(F.col(f"`{c}`") for c in relationships.columns if c != "id"))
     ends = relationships.select(F.explode(F.array_distinct(F.array("source_entity_id", "target_entity_id"))).alias("duplicate_id"), kept.alias("r"))
-    r = ends.join(merged.select("duplicate_id"), "duplicate_id", "left_semi").groupBy("duplicate_id").agg(F.array_sort(F.collect_list("r")).alias("original_relationships"))
-    rows = merged.join(e, "duplicate_id").join(a, "duplicate_id", "left").join(r, "duplicate_id", "left")
-    return rows.withColumn("action", F.lit("merge"))
+    r = ends.join(merged.select("duplicate_id"), "duplicate_id", "left_semi").groupBy("duplicate_id").agg(F.array_sort(F.collect_list("r"), lambda x, y: F.when(x["id"] < y["id"], -1).when(x["id"] > y["id"], 1).otherwise(0)).alias("original_relationships"))
+    why = F.concat(F.col("strategy"), F.lit(": "), F.col("reason")) if {"strategy", "reason"} <= set(merged.columns) else F.lit(None).cast("string")
+    rows = merged.select("duplicate_id", "primary_id", why.alias("reason")).join(e, "duplicate_id").join(a, "duplicate_id", "left").join(r, "duplicate_id", "left")
+    stamps = {"id": F.concat(F.lit("merge:"), "duplicate_id"), "action": F.lit("merge"), "performed_at": F.lit(at).cast("timestamp"), "undone_at": F.lit(None).cast("timestamp")}
+    return rows.withColumns(stamps)
 
 
-def undo(history: DataFrame, relationships: DataFrame, entities: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(entities, relationships) with the merges of ``history`` taken back: tombstones cleared, relationships as they were."""
-    back = history.select(F.explode("original_relationships").alias("r")).select("r.*").dropDuplicates(["id"])
+def _taken_back(history: DataFrame, chosen: DataFrame, action: str, at: str) -> DataFrame:
+    """``history`` after taking back its merges of ``chosen`` (id): undone_at set, and a row of ``action`` for each."""
+    now = F.lit(at).cast("timestamp")
+    marked = history.join(chosen.select("id", F.lit(True).alias("_now")).distinct(), "id", "left")
+    hit = F.coalesce(F.col("_now"), F.lit(False)) & (F.col("action") == "merge")
+    rows = marked.withColumn("undone_at", F.when(hit, now).otherwise(F.col("undone_at"))).select(*history.columns)
+    changed = {"id": F.concat(F.lit(f"{action}:"), "duplicate_id"), "action": F.lit(action), "performed_at": now, "undone_at": F.lit(None).cast("timestamp"), "reason": F.lit(None).cast("string")}
+    return rows.unionByName(marked.where(hit).withColumns(changed).select(*history.columns))
+
+
+def _cleared(history: DataFrame, chosen: DataFrame, entities: DataFrame) -> DataFrame:
+    back = history.where("action = 'merge'").join(chosen.select("id"), "id", "left_semi").select(F.col("duplicate_id").alias("id"), F.lit(True).alias("_u")).distinct()
+    return entities.join(back, "id", "left").withColumn("merged_into_id", F.when(F.col("_u").isNull(), F.col("merged_into_id"))).select(*entities.columns)
+
+
+def undo(history: DataFrame, chosen: DataFrame, relationships: DataFrame, entities: DataFrame, at: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(entities, relationships, history) with the merges of ``chosen`` (id) taken back.
+
+    Tombstones are cleared, the merged relationships are as they were in all columns, those that were deleted
+    since come back, undone_at is set and an 'undo' row added. Mentions and aliases stay.
+    """
+    gone = history.where("action = 'merge'").join(chosen.select("id"), "id", "left_semi")
+    back = gone.select(F.explode("original_relationships").alias("r")).select("r.*").dropDuplicates(["id"])
     rest = relationships.join(back.select("id"), "id", "left_anti")
-    cols = [c for c in ("id", "source_entity_id", "target_entity_id", "kind", "weight", "confidence")]
-    cleared = entities.join(history.select(F.col("duplicate_id").alias("id"), F.lit(True).alias("_u")).distinct(), "id", "left")
-    return cleared.withColumn("merged_into_id", F.when(F.col("_u").isNull(), F.col("merged_into_id"))).drop("_u"), rest.select(*cols).union(back.select(*cols))
+    return _cleared(history, chosen, entities), rest.select(*relationships.columns).unionByName(back.select(*relationships.columns)), _taken_back(history, chosen, "undo", at)
+
+
+def split(history: DataFrame, chosen: DataFrame, aliases: DataFrame, entities: DataFrame, at: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(entities, aliases, history): tombstones cleared, the primary's automatic alias of the duplicate's name removed, a 'split' row added; all else stays."""
+    gone = history.where("action = 'merge'").join(chosen.select("id"), "id", "left_semi")
+    names = gone.select(F.col("primary_id").alias("entity_id"), F.col("original_entity.name").alias("alias"), F.lit("auto").alias("source")).distinct()
+    return _cleared(history, chosen, entities), aliases.join(names, ["entity_id", "alias", "source"], "left_anti"), _taken_back(history, chosen, "split", at)
 
 
-def split(history: DataFrame, aliases: DataFrame, entities: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(entities, aliases): tombstones cleared and the primary's automatic alias of the duplicate's name removed; all else stays."""
-    names = history.select(F.col("primary_id").alias("entity_id"), F.col("original_entity.name").alias("alias"), F.lit("auto").alias("source")).distinct()
-    cleared = entities.join(history.select(F.col("duplicate_id").alias("id"), F.lit(True).alias("_u")).distinct(), "id", "left")
-    return cleared.withColumn("merged_into_id", F.when(F.col("_u").isNull(), F.col("merged_into_id"))).drop("_u"), aliases.join(names, ["entity_id", "alias", "source"], "left_anti")
+def rejected_undos(requests: DataFrame, history: DataFrame) -> DataFrame:
+    """Requests (id, history_id) to take a merge back that can't be carried out, with the reason."""
+    known = history.select(F.col("id").alias("history_id"), "action")
+    reason = F.when(F.col("action").isNull(), "unknown history").when(F.col("action") != "merge", "not a merge")
+    return requests.join(known, "history_id", "left").withColumn("reason", reason).where("reason is not null").drop("action")
 
 
 def rejected(requests: DataFrame, entities: DataFrame) -> DataFrame:

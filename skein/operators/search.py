@@ -8,6 +8,8 @@ from pyspark.sql.window import Window
 
 from skein.functions.text import fold_ascii, matches
 
+#: Queries of one batch.
+MAX_QUERIES = 10_000
 #: Rank of a source among equal scores.
 RANK = {"chunk": 0, "meeting": 1, "entity": 2}
 
@@ -55,10 +57,13 @@ def search(chunks: DataFrame, meetings: DataFrame, entities: DataFrame, query: s
 def batch(chunks: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """(query, rank, id): for each of many queries the first ``k`` chunks by id that contain it.
 
-    ``queries`` (query) is the small side; it is a stated query set, not the table against itself.
+    ``queries`` (query) is a stated query set, MAX_QUERIES at most, which is checked; so that it may
+    be broadcast against all chunks. A task keeps its first ``k`` of a query before anything is shuffled.
     """
-    q = F.broadcast(queries.select("query", fold_ascii(F.trim("query")).alias("folded")).where("folded <> ''"))
-    hits = chunks.select("id", fold_ascii(F.col("text")).alias("body")).join(q, F.col("body").contains(F.col("folded"))).select("query", "id")
+    q = queries.select("query", fold_ascii(F.trim("query")).alias("folded")).where("folded <> ''")
+    if q.limit(MAX_QUERIES + 1).count() > MAX_QUERIES:
+        raise ValueError(f"over {MAX_QUERIES} queries; search in several batches")
+    hits = chunks.select("id", fold_ascii(F.col("text")).alias("body")).join(F.broadcast(q), F.col("body").contains(F.col("folded"))).select("query", "id")
     w = Window.partitionBy("query").orderBy("id")
     return hits.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query", "rank", "id")
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import uuid
 from collections.abc import Callable
 
@@ -16,7 +17,7 @@ from skein.sources import views as v
 from skein.streaming import jobs as streams
 
 AS_OF = "2024-06-01 00:00:00"
-SPAN = ("1996-01-01 00:00:00", "1998-06-30 00:00:00")
+SPAN = ("2001-02-01 00:00:00", "2001-09-30 00:00:00")
 FILTER = graph.GraphFilter(entity_kinds=("person", "project", "place"), min_weight=1.0, min_confidence=0.95)
 EGO_CENTER, EGO_DEPTH = "project:1", 2
 NEEDLE = "tion the"
@@ -469,7 +470,7 @@ def match_fuzzy(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def match_alias(spark: SparkSession, sf: str) -> DataFrame:
-    return resolve.alias_pairs(_parts(spark, sf), v.entity_aliases(spark, sf)).select("a", "b", "confidence")
+    return resolve.alias_pairs(v.entities(spark, sf).where("merged_into_id is null"), v.entity_aliases(spark, sf)).select("a", "b", "confidence")
 
 
 @query
@@ -485,6 +486,12 @@ def match_cooccurrence(spark: SparkSession, sf: str) -> DataFrame:
     return resolve.cooccurrence_pairs(_parts(spark, sf), mentions)
 
 
+@query
+def deferred_candidates(spark: SparkSession, sf: str) -> DataFrame:
+    """With co-mentions as the only strategy some namesakes are left for review."""
+    return resolve.deferred(resolve.candidates([("cooccurrence", match_cooccurrence(spark, sf))]))
+
+
 def _strategies(spark: SparkSession, sf: str, e: DataFrame) -> list[tuple[str, DataFrame]]:
     """The four strategies over the entities ``e``; the first of a (name, kind) speaks for its group.
 
@@ -533,7 +540,7 @@ def entity_roots(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def resolution_report(spark: SparkSession, sf: str) -> DataFrame:
     found = resolve.candidates(_strategies(spark, sf, _parts(spark, sf)))
-    return resolve.report(_parts(spark, sf), resolve_exact(spark, sf), found.where(F.col("confidence") < resolve.AUTO))
+    return resolve.report(_parts(spark, sf), resolve_exact(spark, sf), resolve.deferred(found))
 
 
 def _merged(spark: SparkSession, sf: str) -> DataFrame:
@@ -555,29 +562,70 @@ def merge_aliases(spark: SparkSession, sf: str) -> DataFrame:
     return resolve.merge_aliases(v.entity_aliases(spark, sf), v.entities(spark, sf), _merged(spark, sf))
 
 
+@query
+def merge_entities(spark: SparkSession, sf: str) -> DataFrame:
+    return resolve.tombstones(v.entities(spark, sf), _merged(spark, sf)).select("id", "merged_into_id")
+
+
 def _history(spark: SparkSession, sf: str) -> DataFrame:
-    return resolve.merge_history(_merged(spark, sf), v.entities(spark, sf), v.entity_aliases(spark, sf), v.relationships(spark, sf))
+    merged = _merged(spark, sf).withColumns({"strategy": F.lit("exact"), "reason": F.lit("same name")})
+    return resolve.merge_history(merged, v.entities(spark, sf), v.entity_aliases(spark, sf), v.relationships(spark, sf), AS_OF)
+
+
+def _half(history: DataFrame) -> DataFrame:
+    """Merges to be taken back: those into primaries with an even number of digits; the others stay."""
+    return history.where("length(primary_id) % 2 = 0").select("id")
 
 
 @query
 def merge_history(spark: SparkSession, sf: str) -> DataFrame:
-    size = lambda c: F.coalesce(F.size(c), F.lit(0)).cast("long")
-    n = lambda c: F.when(F.col(c).isNull(), F.lit(0).cast("long")).otherwise(size(c))
-    return _history(spark, sf).select("duplicate_id", "primary_id", "action", F.col("original_entity.name").alias("name"), n("original_aliases").alias("n_aliases"), n("original_relationships").alias("n_relationships"))
+    n = lambda c: F.when(F.col(c).isNull(), F.lit(0).cast("long")).otherwise(F.size(c)).cast("long")
+    weight = F.aggregate(F.coalesce("original_relationships", F.array().cast(_history(spark, sf).schema["original_relationships"].dataType)), F.lit(0.0), lambda a, r: a + F.round(r["weight"] * 10))
+    return _history(spark, sf).select("id", "duplicate_id", "primary_id", "action", "reason", F.col("original_entity.name").alias("name"), F.col("original_entity.mention_count").alias("mention_count"), n("original_aliases").alias("n_aliases"), n("original_relationships").alias("n_relationships"), weight.cast("long").alias("tenths"))
+
+
+def _undone(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    h = stored(spark, _history(spark, sf), "history")
+    after = resolve.merge_relationships(v.relationships(spark, sf), _merged(spark, sf))
+    return resolve.undo(h, _half(h), after, resolve.tombstones(v.entities(spark, sf), _merged(spark, sf)), "2024-07-01 00:00:00")
 
 
 @query
 def undo_merges(spark: SparkSession, sf: str) -> DataFrame:
-    h = _history(spark, sf).where("try_cast(substring(duplicate_id, 9) as int) % 2 = 0")
-    after = resolve.merge_relationships(v.relationships(spark, sf), _merged(spark, sf))
-    return _edge_columns(resolve.undo(h, after, v.entities(spark, sf))[1])
+    return _undone(spark, sf)[1].select("id", "source_entity_id", "target_entity_id", "kind", "weight", "confidence", F.to_json("evidence_chunk_refs").alias("refs"))
 
 
 @query
-def split_merges(spark: SparkSession, sf: str) -> DataFrame:
-    h = _history(spark, sf).where("try_cast(substring(duplicate_id, 9) as int) % 2 = 0")
+def undo_entities(spark: SparkSession, sf: str) -> DataFrame:
+    return _undone(spark, sf)[0].select("id", "merged_into_id")
+
+
+@query
+def undo_history(spark: SparkSession, sf: str) -> DataFrame:
+    return _undone(spark, sf)[2].select("id", "duplicate_id", "primary_id", "action", "reason", "performed_at", "undone_at")
+
+
+def _split(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    h = stored(spark, _history(spark, sf), "history")
     after = resolve.merge_aliases(v.entity_aliases(spark, sf), v.entities(spark, sf), _merged(spark, sf))
-    return resolve.split(h, after, v.entities(spark, sf))[1]
+    return resolve.split(h, _half(h), after, resolve.tombstones(v.entities(spark, sf), _merged(spark, sf)), "2024-07-01 00:00:00")
+
+
+@query
+def split_merges(spark: SparkSession, sf: str) -> DataFrame:
+    return _split(spark, sf)[1]
+
+
+@query
+def split_history(spark: SparkSession, sf: str) -> DataFrame:
+    return _split(spark, sf)[2].select("id", "duplicate_id", "primary_id", "action", "reason", "performed_at", "undone_at")
+
+
+@query
+def rejected_undos(spark: SparkSession, sf: str) -> DataFrame:
+    """Requests to undo every merge, every split row and a merge that never was."""
+    asked = v.merges(spark, sf).select("id", F.explode(F.array(F.concat(F.lit("merge:"), "duplicate_id"), F.concat(F.lit("split:"), "duplicate_id"), F.concat(F.lit("merge:"), "primary_id"))).alias("history_id"))
+    return resolve.rejected_undos(asked, _split(spark, sf)[2])
 
 
 @query
@@ -653,8 +701,24 @@ def cascade_delete(spark: SparkSession, sf: str) -> DataFrame:
     tables = {"entities": v.entities(spark, sf), "entity_aliases": v.entity_aliases(spark, sf), "mentions": v.mentions(spark, sf), "relationships": v.relationships(spark, sf)}
     gone = tables["entities"].where("kind = 'project' and try_cast(substring(id, 9) as int) % 3 = 0").select("id")
     left = audit.delete_entities(tables, gone)
-    counts = [df.agg(F.lit(n).alias("table"), F.count("*").alias("n")) for n, df in left.items()]
-    return counts[0].union(counts[1]).union(counts[2]).union(counts[3])
+    return _counts(left)
+
+
+def _counts(tables: dict[str, DataFrame]) -> DataFrame:
+    counts = [df.agg(F.lit(n).alias("table"), F.count("*").alias("n")) for n, df in tables.items()]
+    return functools.reduce(DataFrame.union, counts)
+
+
+@query
+def cascade_delete_meetings(spark: SparkSession, sf: str) -> DataFrame:
+    """Every third conversation goes, with its chunks, runs, and the mentions and relationships found in it."""
+    found, ids, mentions = _linked(spark, sf)
+    known = found.select("meeting_id", "canonical_name", "kind").distinct().join(ids, ["canonical_name", "kind"]).select("meeting_id", "entity_id", "canonical_name", "kind")
+    related = extract.build_relationships(extract.parse_relationships(_relationship_answers(spark, sf)), known).withColumn("extraction_run_id", F.col("meeting_id"))
+    runs = extract.extraction_runs(extract.parse_entities(_answers(spark, sf)), "stub", "v1", "entities").withColumn("id", F.col("meeting_id"))
+    run = F.substring_index("meeting_chunk_id", ":", 1)
+    tables = {"meetings": v.meetings(spark, sf), "meeting_chunks": v.meeting_chunks(spark, sf), "mentions": mentions.withColumn("extraction_run_id", run), "relationships": related, "extraction_runs": runs}
+    return _counts(audit.delete_meetings(tables, tables["meetings"].where("cast(source_id as long) % 3 = 0").select("id")))
 
 
 @query

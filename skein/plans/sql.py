@@ -72,6 +72,12 @@ _ALIASES = """al as (select entity_id, alias, max(source) as source from (
     select coalesce(m.primary_id, a.entity_id) as entity_id, alias, source from entity_aliases a left join merges m on m.duplicate_id = a.entity_id
     union all select m.primary_id, d.name, 'auto' from merges m join entities d on d.id = m.duplicate_id join entities p on p.id = m.primary_id where lower(d.name) <> lower(p.name)) group by entity_id, alias)"""
 _RELINKED = "rm as (select r.id, coalesce(a.primary_id, r.source_entity_id) as source_entity_id, coalesce(b.primary_id, r.target_entity_id) as target_entity_id, kind, weight from relationships r left join merges a on a.duplicate_id = r.source_entity_id left join merges b on b.duplicate_id = r.target_entity_id)"
+_NORMAL = r"trim(regexp_replace(regexp_replace(strip_accents(lower({})), '[^a-z0-9\s]', '', 'g'), '\s+', ' ', 'g'))"
+_UNDONE = "u as (select duplicate_id, primary_id from merges where length(primary_id) % 2 = 0)"
+_TAKEN_BACK = """select 'merge:' || m.duplicate_id as id, m.duplicate_id, m.primary_id, 'merge' as action, 'exact: same name' as reason, timestamp '2024-06-01' as performed_at, case when u.duplicate_id is not null then timestamp '2024-07-01' end as undone_at
+        from merges m left join u on u.duplicate_id = m.duplicate_id union all select '{action}:' || duplicate_id, duplicate_id, primary_id, '{action}', null, timestamp '2024-07-01', null from u"""
+_MET = """mc as (select distinct e.id, e.canonical_name, o_custkey as c from mentions x join orders on 'order:' || o_orderkey = x.meeting_chunk_id join entities e on e.id = x.entity_id where e.kind = 'project' and e.merged_into_id is null),
+        met as (select x.id as a, y.id as b, least(1.0, count(*) / 6)::double as confidence, count(*) || ' chunks in common' as reason from mc x join mc y on x.c = y.c and x.canonical_name = y.canonical_name and x.id < y.id group by all having count(*) >= 3)"""
 _HITS = """hits as (select 'chunk' as type, c.id, substr(text, 1, 200) as snippet, 'Speaker: ' || speaker as context, 1.0::double as score, -epoch(date)::bigint as o from meeting_chunks c join meetings m on m.id = c.meeting_id where contains({t}, '{q}')
   union all select 'meeting', id, coalesce(summary, title), null, 0.9, -epoch(date)::bigint from meetings where contains({title}, '{q}') or contains({summary}, '{q}')
   union all select 'entity', id, name, upper(kind[1]) || lower(kind[2:]), 0.8, -mention_count from entities where contains({name}, '{q}') or contains({canonical}, '{q}'))"""
@@ -87,8 +93,6 @@ def _searched(q: str, limit: int, offset: int) -> str:
     return f"with {_hits(q)}, k as (select *, row_number() over (partition by type order by o, id) as r from hits) select type, id, snippet, context, score from k where r <= {n} order by score desc, o, id limit {limit} offset {offset}"
 
 
-_NORMAL = r"trim(regexp_replace(regexp_replace(strip_accents(lower({})), '[^a-z0-9\s]', '', 'g'), '\s+', ' ', 'g'))"
-
 _BODIES = {
     "ingest_documents": f"with {_PAGES} select page_no, pos, id, title, created_at, updated_at from docs",
     "dedup_pages": f"with {_PAGES}, k as (select *, row_number() over (partition by id order by page_no, pos) as r from docs) select id, page_no, pos, title from k where r = 1",
@@ -163,24 +167,47 @@ _BODIES = {
     "match_fuzzy": f"""with k as (select distinct kind, key from (select p_type as kind, {_NORMAL.format("p_name")} as key from part union all select 'word', {_NORMAL.format("w")} from (select unnest(string_split(text, ' ')) as w from conversations) where regexp_full_match(w, '[A-Z][a-z]+')) where key <> '')
         select a.kind, a.key as x, b.key as y, levenshtein(a.key, b.key) as distance from k a join k b on a.kind = b.kind and (length(a.key) < length(b.key) or (length(a.key) = length(b.key) and a.key < b.key))
         where abs(length(a.key) - length(b.key)) * 5 <= length(b.key) and levenshtein(a.key, b.key) * 5 <= length(b.key)""",
-    "match_alias": f"with {_PARTS} select distinct least(p.id, o.id) as a, greatest(p.id, o.id) as b, 1.0::double as confidence from entity_aliases x join p on p.name = x.alias join p o on o.id = x.entity_id where p.id <> o.id",
+    "match_alias": f"with p as (select * from entities where merged_into_id is null) select distinct least(p.id, o.id) as a, greatest(p.id, o.id) as b, 1.0::double as confidence from entity_aliases x join p on p.name = x.alias join p o on o.id = x.entity_id and o.kind = p.kind where p.id <> o.id",
     "comention_pairs": "with m as (select distinct entity_id, meeting_chunk_id from mentions) select x.entity_id as a, y.entity_id as b, count(*) as shared from m x join m y on x.meeting_chunk_id = y.meeting_chunk_id and x.entity_id < y.entity_id group by all having count(*) > 1",
-    "match_cooccurrence": """with m as (select distinct e.id, e.canonical_name, o_custkey % 50 as c from mentions x join orders on 'order:' || o_orderkey = x.meeting_chunk_id join entities e on e.id = x.entity_id where mention_count > 0 and try_cast(substr(e.id, 9) as int) <= 200)
-        select x.id as a, y.id as b, least(1.0, count(*) / 6)::double as confidence, count(*) || ' chunks in common' as reason from m x join m y on x.c = y.c and x.canonical_name = y.canonical_name and x.id < y.id group by all having count(*) >= 3""",
-    "match_candidates": """with p as (select * from entities where kind = 'project' and try_cast(substr(id, 9) as int) % 4 = 0),
-        x as (select a.id as a, b.id as b, 1 as o from p a join p b on a.name = b.name and a.id < b.id union all select distinct least(p.id, q.id), greatest(p.id, q.id), 2 from entity_aliases l join p on p.name = l.alias join p q on q.id = l.entity_id where p.id <> q.id)
-        select a, b, 1.0::double as confidence, case min(o) when 1 then 'exact' else 'alias' end as strategy, case min(o) when 1 then 'same name' else 'alias' end as reason from x group by a, b""",
+    "match_cooccurrence": f"with {_MET} select * from met",
+    "deferred_candidates": f"with {_MET} select a, b, confidence, 'cooccurrence' as strategy, reason from met where confidence < 0.8",
+    "match_candidates": f"""with ee as (select id, name, canonical_name, kind from entities where merged_into_id is null), g as (select id, min(id) over (partition by name, kind) as first from ee),
+        fi as (select *, {_NORMAL.format("name")} as key from ee where id in (select first from g)),
+        fz as (select x.id as a, y.id as b, levenshtein(x.key, y.key) as d, greatest(length(x.key), length(y.key)) as n from fi x join fi y on x.kind = y.kind and x.id < y.id and x.name <> y.name
+          where abs(length(x.key) - length(y.key)) * 5 <= greatest(length(x.key), length(y.key)) and levenshtein(x.key, y.key) * 5 <= greatest(length(x.key), length(y.key))),
+        al as (select distinct least(n.id, o.id) as a, greatest(n.id, o.id) as b from entity_aliases x join g on g.id = x.entity_id join fi o on o.id = g.first join fi n on n.name = x.alias and n.kind = o.kind where n.id <> o.id),
+        sv as (select canonical_name, kind from ee group by all having min(name) <> max(name)),
+        mm as (select distinct e.id, e.canonical_name, e.kind, meeting_chunk_id as c from mentions x join ee e on e.id = x.entity_id join sv on sv.canonical_name = e.canonical_name and sv.kind = e.kind),
+        mp as (select x.id as p, y.id as q, count(*) as n from mm x join mm y on x.c = y.c and x.canonical_name = y.canonical_name and x.kind = y.kind and x.id < y.id group by all having count(*) >= 3),
+        co as (select least(gx.first, gy.first) as a, greatest(gx.first, gy.first) as b, max(n) as n from mp join g gx on gx.id = p join g gy on gy.id = q where gx.first <> gy.first group by all),
+        un as (select first as a, id as b, 1.0::double as confidence, 'exact' as strategy, 'same name' as reason, 1 as o from g where id <> first
+          union all select a, b, 1 - d / n, 'fuzzy', printf('similar name %.2f', 1 - d / n), 2 from fz union all select a, b, 1.0, 'alias', 'alias', 3 from al
+          union all select a, b, least(1.0, n / 6)::double, 'cooccurrence', n || ' chunks in common', 4 from co)
+        select a, b, confidence, strategy, reason from un qualify row_number() over (partition by a, b order by o) = 1""",
     "resolve_exact": f"with {_PARTS}, f as (select id, min(id) over (partition by name) as first from p) select id as duplicate_id, first as primary_id from f where id <> first",
     "entity_roots": "select c_custkey as id, c_custkey // 8 * 8 + case when c_custkey < 8 then 1 else 0 end as root from customer where c_custkey % 8 <> 0 and c_custkey > 1",
     "resolution_report": f"with {_PARTS}, f as (select id, min(id) over (partition by name) as first from p) select count(*) as entities_before, count(*) filter (id <> first) as merges, 0::bigint as deferred from f",
     "merge_relationships": f"with {_RELINKED} select {_EDGE} from rm",
     "merge_mentions": "select coalesce(primary_id, entity_id) as entity_id, count(*) as mention_count from mentions x left join merges m on m.duplicate_id = x.entity_id group by 1",
     "merge_aliases": f"with {_ALIASES} select entity_id, alias, source from al",
-    "merge_history": """with a as (select entity_id, count(*) as n from entity_aliases group by entity_id), r as (select id, count(*) as n from (select source_entity_id as id from relationships union all select target_entity_id from relationships where source_entity_id <> target_entity_id) group by id)
-        select duplicate_id, primary_id, 'merge' as action, e.name, coalesce(a.n, 0) as n_aliases, coalesce(r.n, 0) as n_relationships from merges m join entities e on e.id = m.duplicate_id left join a on a.entity_id = m.duplicate_id left join r on r.id = m.duplicate_id""",
-    "undo_merges": f"""with {_RELINKED}, u as (select duplicate_id from merges where try_cast(substr(duplicate_id, 9) as int) % 2 = 0), b as (select id, source_entity_id, target_entity_id, kind, weight from relationships where source_entity_id in (select * from u) or target_entity_id in (select * from u))
-        select {_EDGE} from b union all select {_EDGE} from rm where id not in (select id from b)""",
-    "split_merges": f"""with {_ALIASES} select entity_id, alias, source from al where not (source = 'auto' and exists (select 1 from merges m join entities e on e.id = m.duplicate_id where m.primary_id = al.entity_id and e.name = al.alias and try_cast(substr(m.duplicate_id, 9) as int) % 2 = 0))""",
+    "merge_entities": "select e.id, coalesce(m.primary_id, e.merged_into_id) as merged_into_id from entities e left join merges m on m.duplicate_id = e.id",
+    "merge_history": f"""with a as (select entity_id, count(*) as n from entity_aliases group by entity_id),
+        r as (select id, count(*) as n, sum(round(weight * 10))::bigint as tenths from (select source_entity_id as id, weight from relationships union all select target_entity_id, weight from relationships where source_entity_id <> target_entity_id) group by id)
+        select 'merge:' || duplicate_id as id, duplicate_id, primary_id, 'merge' as action, 'exact: same name' as reason, e.name, e.mention_count, coalesce(a.n, 0) as n_aliases, coalesce(r.n, 0) as n_relationships, coalesce(tenths, 0) as tenths
+        from merges m join entities e on e.id = m.duplicate_id left join a on a.entity_id = m.duplicate_id left join r on r.id = m.duplicate_id""",
+    "undo_merges": f"""with {_UNDONE}, {_RELINKED}
+        select r.id, case when s.duplicate_id is null and t.duplicate_id is null then rm.source_entity_id else r.source_entity_id end as source_entity_id,
+          case when s.duplicate_id is null and t.duplicate_id is null then rm.target_entity_id else r.target_entity_id end as target_entity_id, r.kind, r.weight, r.confidence,
+          case when r.evidence_chunk_refs is not null then '[' || r.evidence_chunk_refs[1] || ']' end as refs
+        from relationships r join rm on rm.id = r.id left join u s on s.duplicate_id = r.source_entity_id left join u t on t.duplicate_id = r.target_entity_id""",
+    "undo_entities": f"with {_UNDONE} select e.id, case when u.duplicate_id is null then coalesce(m.primary_id, e.merged_into_id) end as merged_into_id from entities e left join merges m on m.duplicate_id = e.id left join u on u.duplicate_id = e.id",
+    "undo_history": f"with {_UNDONE} {_TAKEN_BACK.format(action='undo')}",
+    "split_merges": f"""with {_UNDONE}, {_ALIASES}, gone as (select distinct u.primary_id as entity_id, e.name as alias from u join entities e on e.id = u.duplicate_id)
+        select al.entity_id, al.alias, al.source from al left join gone on gone.entity_id = al.entity_id and gone.alias = al.alias where al.source <> 'auto' or gone.entity_id is null""",
+    "split_history": f"with {_UNDONE} {_TAKEN_BACK.format(action='split')}",
+    "rejected_undos": f"""with {_UNDONE}, h as (select 'merge:' || duplicate_id as history_id, 'merge' as action from merges union all select 'split:' || duplicate_id, 'split' from u),
+        q as (select id, unnest(['merge:' || duplicate_id, 'split:' || duplicate_id, 'merge:' || primary_id]) as history_id from merges)
+        select id, q.history_id, case when h.action is null then 'unknown history' else 'not a merge' end as reason from q left join h on h.history_id = q.history_id where h.action is null or h.action <> 'merge'""",
     "rejected_requests": "select m.id, primary_id || 'x' as primary_id, duplicate_id, 'unknown primary' as reason from merges m where length(duplicate_id) % 2 = 0",
     "search_chunks": f"with {_hits(NEEDLE)} select type, id, snippet, context, score from hits where type = 'chunk' order by o, id limit 50",
     "search_meetings": f"with {_hits('CONVERSATION 1')} select type, id, snippet, context, score from hits where type = 'meeting' order by o, id limit 50",
@@ -202,6 +229,12 @@ _BODIES = {
         select 'entities' as "table", count(*) as n from entities where id not in (select id from g) union all select 'entity_aliases', count(*) from entity_aliases where entity_id not in (select id from g)
         union all select 'mentions', count(*) from mentions where entity_id not in (select id from g)
         union all select 'relationships', count(*) from relationships where source_entity_id not in (select id from g) and target_entity_id not in (select id from g)""",
+    "cascade_delete_meetings": f"""with {_ANSWERS}, {_RELATED}, gm as (select id from meetings where source_id::bigint % 3 = 0),
+        kw as (select distinct meeting_id, entity_id, lower(canonical_name) as key from ff join ids using (canonical_name, kind)), kf as (select meeting_id, key, min(entity_id) as entity_id from kw group by all),
+        rs as (select rr.meeting_id from rr join kf s on s.meeting_id = rr.meeting_id and s.key = lower(a) join kf t on t.meeting_id = rr.meeting_id and t.key = lower(b) where rr.meeting_id not like '0%')
+        select 'meetings' as "table", count(*) as n from meetings where id not in (select id from gm) union all select 'meeting_chunks', count(*) from meeting_chunks where meeting_id not in (select id from gm)
+        union all select 'mentions', count(*) from mm where meeting_id not in (select id from gm) union all select 'relationships', count(*) from rs where meeting_id not in (select id from gm)
+        union all select 'extraction_runs', count(*) from cc where meeting_id not in (select id from gm)""",
     "audit_domains": """select 'jobs' as "table", 'kind' as "column", kind as value, count(*) as n from jobs where kind not in ('purchase', 'click') group by kind""",
     "entities_by_kind": "select kind, count(*) as n from entities where merged_into_id is null group by kind",
     "entity_card": """with a as (select entity_id as id, string_agg(distinct alias, ', ' order by alias) as aliases from entity_aliases group by entity_id),
