@@ -122,7 +122,8 @@ def permuted(k: Column, quota: Column, bits: Column, seed: int, rank: Column) ->
 
     A Feistel-like network permutes the numbers of ``bits`` bits: each round flips the low half
     by a hash of the rest and rotates. A number beyond the quota is permuted again until it is
-    one of the quota's (the range is less than twice the quota, or of 4 numbers).
+    one of the quota's (the range is less than twice the quota, or of 4 numbers): a few short
+    walks for nearly all, a long one for the rest.
     """
     low = F.floor(bits / 2).cast("int")
     left, right = (lambda name: lambda x, n: F.call_function(name, x, n))("shiftleft"), (lambda name: lambda x, n: F.call_function(name, x, n))("shiftright")
@@ -136,7 +137,11 @@ def permuted(k: Column, quota: Column, bits: Column, seed: int, rank: Column) ->
 
         return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), x, turn)
 
-    return F.aggregate(F.sequence(F.lit(1), F.lit(WALK)), once(k), lambda x, _: F.when(x < quota, x).otherwise(once(x)))
+    def walk(x: Column, steps: int) -> Column:
+        return F.aggregate(F.sequence(F.lit(1), F.lit(steps)), x, lambda x, _: F.when(x < quota, x).otherwise(once(x)))
+
+    more = lambda x, steps: F.when(x < quota, x).otherwise(walk(x, steps))
+    return F.aggregate(F.array(F.lit(2), F.lit(6), F.lit(WALK)), once(k), lambda x, n: F.when(n == 2, more(x, 2)).when(n == 6, more(x, 6)).otherwise(more(x, WALK)))
 
 
 def mix(spark: SparkSession, docs: DataFrame, shards: int | None = None, seed: int = SEED) -> DataFrame:
