@@ -193,8 +193,8 @@ def draws(spark: SparkSession, sized: DataFrame, shards: int | None = None, seed
     def cut(p: Column) -> Column:
         last = F.floor((p["e"] - 1) / block)
 
-        def draw(k: Column) -> Column:
-            at = permuted(k, F.col("quota"), F.col("bits"), seed, F.col("rank"))
+        def draw(placed: Column) -> Column:
+            k, at = placed["k"], placed["at"]
             lo, hi = F.greatest(p["b"], k * block), F.least(p["e"], (k + 1) * block)
             return F.struct(
                 (F.size(F.filter("starts", lambda s: s <= at)) - 1).alias("shard"),
@@ -204,7 +204,8 @@ def draws(spark: SparkSession, sized: DataFrame, shards: int | None = None, seed
                 F.xxhash64(F.lit(seed), F.col("rank"), k, lo).alias("order_key"),
             )
 
-        return F.transform(F.sequence(F.floor(p["b"] / block), last), draw)
+        places = F.transform(F.sequence(F.floor(p["b"] / block), last), lambda k: F.struct(k.alias("k"), permuted(k, F.col("quota"), F.col("bits"), seed, F.col("rank")).alias("at")))
+        return F.transform(places, draw)
 
     return lined.select("row", "doc_id", "source", "size", "source_size", "target", F.flatten(F.transform(parts, cut)).alias("draws"))
 
