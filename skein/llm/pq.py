@@ -14,14 +14,12 @@ from skein.llm.shared import components, stored
 from skein.llm.words import give_back, lean
 
 THRESHOLD = 0.95
-#: Vectors (about, by hash) that the lists and codebooks are fitted on; every vector is indexed.
+#: Vectors of a list, about, and the most lists.
+LIST_SIZE, MAX_LISTS = 256, 16_384
+#: Vectors (about, by hash) that the lists and codebooks are fitted on: so many, or 8 a list; every vector is indexed.
 SAMPLE = 20_000
-#: Vectors of a list, about; lists are at most SAMPLE / 8.
-LIST_SIZE = 256
 #: Subspaces and codewords of each.
 SUBSPACES, CODEWORDS = 8, 256
-#: Share of trial neighbours whose list the probes must take, and trials a sampled vector.
-COVER, TRIALS = 0.9999, 4
 #: Vectors of a list that are held in memory at once.
 BLOCK = 1024
 SEED = 5
@@ -29,11 +27,10 @@ SEED = 5
 
 @dataclass
 class Index:
-    """Centroids (lists x dim), codebooks (subspaces x codewords x width), how far beyond a border probes go, and blocks of each list."""
+    """Centroids (lists x dim), codebooks (subspaces x codewords x width) and blocks of each list."""
 
     centroids: np.ndarray
     codebooks: np.ndarray
-    reach: float
     blocks: np.ndarray
 
     @property
@@ -58,19 +55,24 @@ class Index:
             error += np.maximum(d.min(1), 0)
         return lists, codes, np.sqrt(error)
 
-    def beyond(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(own list, distance of each vector from the plane between its own list and each other): 0 for its own."""
+    def probes(self, x: np.ndarray, radius: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(vector, list) pairs to be asked, and each vector's own list.
+
+        Two neighbours in lists a and b lie on two sides of the plane that bisects the
+        centroids, and their distances from it add up to ``radius`` at most. So one of them is within
+        half of it, and asking the lists whose plane is as near as that loses no neighbours.
+        """
         dots = x @ self.centroids.T
         own = dots.argmax(1)
         apart = np.sqrt(np.maximum(2 - 2 * self.centroids @ self.centroids.T, 1e-12))[own]
-        far = (dots[np.arange(len(x)), own][:, None] - dots) / apart
-        far[np.arange(len(x)), own] = 0
-        return own, far
+        near = (dots[np.arange(len(x)), own][:, None] - dots) / apart <= radius / 2 + 1e-9
+        near[np.arange(len(x)), own] = True
+        return *np.nonzero(near), own
 
-    def probes(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(vector, list) pairs: a neighbour is in another list only if it lies beyond the plane
-        that bisects the two centroids; lists whose plane is within ``reach`` are asked."""
-        return np.nonzero(self.beyond(x)[1] <= self.reach + 1e-9)
+    def beside(self, x: np.ndarray, own: np.ndarray, other: np.ndarray) -> np.ndarray:
+        """Distance of each vector from the plane between its own list and another: row by row, so that it is the same in every task."""
+        way = self.centroids[own] - self.centroids[other]
+        return (x * way).sum(1) / np.sqrt(np.maximum((way * way).sum(1), 1e-12))
 
     def distances(self, x: np.ndarray, which: int, codes: np.ndarray) -> np.ndarray:
         """Asymmetric distances (queries x codes) within one list, from lookup tables."""
@@ -86,7 +88,7 @@ def kmeans(x: np.ndarray, k: int, rounds: int = 8, unit: bool = False, seed: int
     rng = np.random.default_rng(seed)
     c = x[rng.choice(len(x), k, replace=len(x) < k)].copy()
     for _ in range(rounds):
-        near = np.concatenate([(p @ c.T - (0 if unit else (c**2).sum(1) / 2)).argmax(1) for p in np.array_split(x, len(x) // 4096 + 1)])
+        near = np.concatenate([(p @ c.T - (0 if unit else (c**2).sum(1) / 2)).argmax(1) for p in np.array_split(x, len(x) * k // 4_000_000 + 1)])
         order = np.argsort(near, kind="stable")
         ids, at = np.unique(near[order], return_index=True)
         sums = np.add.reduceat(x[order], at)
@@ -120,47 +122,24 @@ def _bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*(b.column(n) for n in names), pa.array([data[i:j].tobytes() for i, j in zip(at, at[1:], strict=False)], pa.binary())], [*names, "v"])
 
 
-def reach_of(index: Index, x: np.ndarray, threshold: float) -> float:
-    """How far beyond a border probes must go to take the list of COVER of all trial neighbours.
-
-    A trial neighbour of a sampled vector has a cosine of just ``threshold``; its offset points
-    towards another sampled vector or along the difference of two, so that it lies in the space
-    in which the data lie, however flat. No offset is longer than sqrt(2 - 2 * threshold), where no
-    neighbour at all could be lost.
-    """
-    most = float(np.sqrt(2 - 2 * threshold))
-    rng, found = np.random.default_rng(SEED), []
-    for part in np.array_split(x, len(x) // 4096 + 1):
-        own, far = index.beyond(part)
-        for k in range(TRIALS):
-            way = x[rng.integers(0, len(x), len(part))] - (x[rng.integers(0, len(x), len(part))] if k % 2 else 0)
-            way = way - (way * part).sum(1, keepdims=True) * part
-            size = np.linalg.norm(way, axis=1, keepdims=True)
-            y = threshold * part + np.sqrt(1 - threshold**2) * way / np.maximum(size, 1e-12)
-            there = (y @ index.centroids.T).argmax(1)
-            found.append(far[np.arange(len(part)), there][size[:, 0] > 1e-6])
-    found = np.concatenate(found)
-    return min(most, float(np.quantile(found, COVER))) if len(found) else most
-
-
-def fit(reps: DataFrame, n: int, dim: int, threshold: float) -> Index:
-    """Lists and codebooks from a sample of about SAMPLE vectors (those of the smallest hashes)."""
-    share = min(1.0, SAMPLE / max(n, 1))
-    rows = reps.where((F.xxhash64(F.lit(SEED), "rep") / F.lit(2.0**63)).between(-share, share)).select("v").limit(2 * SAMPLE).collect()
+def fit(reps: DataFrame, n: int, dim: int) -> Index:
+    """Lists and codebooks from a sample of about SAMPLE vectors, or 8 a list (those of the smallest hashes)."""
+    sample = max(SAMPLE, 8 * min(n // LIST_SIZE, MAX_LISTS))
+    share = min(1.0, sample / max(n, 1))
+    rows = reps.where((F.xxhash64(F.lit(SEED), "rep") / F.lit(2.0**63)).between(-share, share)).select("v").limit(2 * sample).collect()
     x = unit([bytes(r.v) for r in rows], dim)
     del rows
-    lists = max(1, min(n // LIST_SIZE, len(x) // 8))
+    lists = max(1, min(n // LIST_SIZE, MAX_LISTS, len(x) // 8))
     centroids = kmeans(x, lists, unit=True)
     width = -(-dim // SUBSPACES)
-    index = Index(centroids, np.zeros((SUBSPACES, CODEWORDS, width)), 0.0, np.ones(lists, np.int64))
+    index = Index(centroids, np.zeros((SUBSPACES, CODEWORDS, width)), np.ones(lists, np.int64))
     rest = index.pad(x - centroids[(x @ centroids.T).argmax(1)])
     index.codebooks = np.stack([kmeans(rest[:, m], CODEWORDS) for m in range(SUBSPACES)])
-    index.reach = reach_of(index, x, threshold)
     give_back()
     return index
 
 
-def _assign(shared, queries: bool):
+def _assign(shared, radius: float, queries: bool):
     """A mapInArrow function: stored rows (kind 0) of each vector, or its queries (kind 1) to each block it probes."""
 
     @lean
@@ -173,20 +152,20 @@ def _assign(shared, queries: bool):
                 raw = b.column("v").to_pylist()
                 x = unit(raw, index.dim)
                 if queries:
-                    row, which = index.probes(x)
+                    row, which, own = index.probes(x, radius)
                     n = index.blocks[which]
                     row, which = np.repeat(row, n), np.repeat(which, n)
                     block = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
-                    codes, error, kind = [None] * len(row), np.zeros(len(row)), 1
+                    codes, error, kind, home = [None] * len(row), np.zeros(len(row)), 1, own[row]
                 else:
                     which, codes, error = index.encode(x)
                     codes = [c.tobytes() for c in codes]
-                    row, kind = np.arange(len(x)), 0
+                    row, kind, home = np.arange(len(x)), 0, which
                     spread = rep.astype(np.int64).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)
                     block = (spread % index.blocks[which].astype(np.uint64)).astype(np.int64)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(which, pa.int64()), pa.array(block, pa.int64()), pa.array(np.full(len(row), kind, np.int32)), pa.array(rep[row]), pa.array(copies[row]), pa.array(codes, pa.binary()), pa.array(error), pa.array([raw[i] for i in row], pa.binary())],
-                    ["list", "block", "kind", "rep", "copies", "codes", "error", "v"],
+                    [pa.array(which, pa.int64()), pa.array(block, pa.int64()), pa.array(np.full(len(row), kind, np.int32)), pa.array(rep[row]), pa.array(copies[row]), pa.array(codes, pa.binary()), pa.array(error), pa.array(home, pa.int64()), pa.array([raw[i] for i in row], pa.binary())],
+                    ["list", "block", "kind", "rep", "copies", "codes", "error", "home", "v"],
                 )
 
     return run
@@ -215,9 +194,9 @@ class BlockSearch:
         self.rep, self.copies = np.array([r[1] for r in s]), np.array([r[2] for r in s])
         self.codes = np.frombuffer(b"".join(r[3] for r in s), np.uint8).reshape(len(s), SUBSPACES)
         self.error = np.array([r[4] for r in s])
-        self.x = unit([r[5] for r in s], self.index.dim)
+        self.x = unit([r[6] for r in s], self.index.dim)
         self.root = list(range(len(s)))
-        self.linked = np.zeros(len(s), bool)
+        self.linked, self.n = np.zeros(len(s), bool), np.zeros(len(s), np.int64)
         self.ready = True
 
     def top(self, i: int) -> int:
@@ -233,7 +212,8 @@ class BlockSearch:
         if not self.ready:
             self.prepare()
         ids = np.array([r[1] for r in self.asked])
-        x = unit([r[5] for r in self.asked], self.index.dim)
+        copies, home = np.array([r[2] for r in self.asked]), np.array([r[5] for r in self.asked])
+        x = unit([r[6] for r in self.asked], self.index.dim)
         # what the codes stand for is ``error`` away from the vector: nothing within the radius is lost
         near = self.index.distances(x, self.list, self.codes) - self.error[None, :] <= self.radius + 1e-3
         near &= ids[:, None] != self.rep[None, :]
@@ -243,6 +223,15 @@ class BlockSearch:
             part = slice(k, k + 65536)
             good[part] = np.einsum("ij,ij->i", x[q[part]], self.x[s[part]]) >= self.threshold
         q, s = q[good], s[good]
+        # neighbours in two lists: the one nearer to the plane between them asks, and counts for both
+        far = np.flatnonzero(home[q] != self.list)
+        here = np.full(len(far), self.list)
+        a, b = self.index.beside(x[q[far]], home[q[far]], here), self.index.beside(self.x[s[far]], here, home[q[far]])
+        mine = (a < b) | ((a == b) & (ids[q[far]] < self.rep[s[far]]))
+        np.add.at(self.n, s[far[mine]], copies[q[far[mine]]])
+        keep = np.ones(len(q), bool)
+        keep[far[~mine]] = False
+        q, s = q[keep], s[keep]
         self.linked[s] = True
         first = np.searchsorted(q, np.arange(len(ids) + 1))
         for i in np.flatnonzero(np.diff(first)):
@@ -258,7 +247,7 @@ class BlockSearch:
     def close(self) -> list[tuple[int, int, int]]:
         self.search()
         if self.ready:
-            self.out += [(int(self.rep[i]), 0, int(self.rep[self.top(int(i))])) for i in np.flatnonzero(self.linked)]
+            self.out += [(int(self.rep[i]), int(self.n[i]), int(self.rep[self.top(int(i))])) for i in np.flatnonzero(self.linked)]
         return self.out
 
 
@@ -271,7 +260,7 @@ def _search(shared, threshold: float, radius: float):
         for batch in batches:
             out: list[tuple] = []
             place = zip(batch.column("list").to_pylist(), batch.column("block").to_pylist(), strict=True)
-            rows = zip(*(batch.column(c).to_pylist() for c in ("kind", "rep", "copies", "codes", "error", "v")), strict=True)
+            rows = zip(*(batch.column(c).to_pylist() for c in ("kind", "rep", "copies", "codes", "error", "home", "v")), strict=True)
             for key, row in zip(place, rows, strict=True):
                 if key != at:
                     if block:
@@ -296,7 +285,7 @@ def near_duplicates(spark: SparkSession, vectors: DataFrame, threshold: float =
 
     Equal vectors are one representative with a count of copies. Representatives are
     dealt to inverted lists of unit centroids, with codes of the residual; each also asks
-    the lists over whose border a neighbour may lie. A list is cut into blocks of about
+    the lists near whose border it lies, so that of two neighbours at least one asks the other's. A list is cut into blocks of about
     BLOCK vectors, which stream through tasks: table-lookup distances less the coding error
     leave candidates, whose cosine is taken in double precision. A block returns a row for
     each vector with links and a spanning forest, never the pairs.
@@ -330,16 +319,16 @@ def near_duplicates(spark: SparkSession, vectors: DataFrame, threshold: float =
 
 def _linked(spark: SparkSession, reps: DataFrame, n: int, dim: int, threshold: float) -> DataFrame:
     """(key, vec_id, n, component) of the ``n`` representatives of one length."""
-    index = fit(reps, n, dim, threshold)
+    index = fit(reps, n, dim)
     radius = float(np.sqrt(2 - 2 * threshold))
     plain = spark.sparkContext.broadcast(index)
-    schema = "list long, block long, kind int, rep long, copies long, codes binary, error double, v binary"
-    lists = reps.select("rep", "copies", "v").mapInArrow(_assign(plain, False), schema).groupBy("list").count().collect()  # one row a list
+    schema = "list long, block long, kind int, rep long, copies long, codes binary, error double, home long, v binary"
+    lists = reps.select("rep", "copies", "v").mapInArrow(_assign(plain, radius, False), schema).groupBy("list").count().collect()  # one row a list
     blocks = np.ones(len(index.centroids), np.int64)
     for r in lists:
         blocks[r["list"]] = -(-r["count"] // BLOCK)
-    sized = spark.sparkContext.broadcast(Index(index.centroids, index.codebooks, index.reach, blocks))
-    both = [reps.select("rep", "copies", "v").mapInArrow(_assign(sized, q), schema) for q in (False, True)]
+    sized = spark.sparkContext.broadcast(Index(index.centroids, index.codebooks, blocks))
+    both = [reps.select("rep", "copies", "v").mapInArrow(_assign(sized, radius, q), schema) for q in (False, True)]
     dealt = both[0].union(both[1]).repartition("list", "block").sortWithinPartitions("list", "block", "kind", "rep")
     found = stored(spark, dealt.mapInArrow(_search(sized, threshold, radius), "rep long, n long, low long"), "links")
     plain.destroy()

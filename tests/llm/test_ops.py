@@ -183,7 +183,7 @@ def test_embedding_recall_over_many_lists(spark, monkeypatch, flat):
     df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
     got = {r.vec_id: r.n_links for r in pq.near_duplicates(spark, df).collect()}
     have = np.array([got[i] for i in range(len(x))])
-    assert (have <= want).all() and want.sum() >= 2000 and have.sum() >= 0.999 * want.sum()
+    assert want.sum() >= 2000 and (have == want).all()
 
 
 def test_embedding_of_several_lengths_and_repeated_ids(spark):
