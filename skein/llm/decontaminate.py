@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skein.llm.shared import bounded, packed, unpacked
+from skein.llm.shared import bounded, packed, stored, unpacked
 from skein.llm.words import Hasher, PLAIN, lean, plain_words, text_of
 
 #: Words of an item that make a window; a shorter item is one window.
@@ -225,8 +225,9 @@ def _items(benchmark: DataFrame) -> Iterator[list[tuple[int, list[str]]]]:
 def scan(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, clean: bool = False) -> DataFrame:
     """``docs`` with n_words, spans (word ranges inside occurrences of windows), items and longest match.
 
-    One pass over the documents for each block of BLOCK_CHARS benchmark characters (the
-    automaton of one block is broadcast; that bounds its size), without a shuffle. With
+    One pass over the documents for each block of BLOCK_CHARS benchmark characters, without a
+    shuffle. The automaton of one block is broadcast, which bounds its size (a block has one item
+    at least, so a longer item is a block of its own), and each pass is stored before the next. With
     ``clean`` also ``cleaned``: the text without the spans, null where there are none.
     Null and empty texts have no words; repeated rows each get their result; without
     items nothing is hit. An input column named like an added one gives way to it.
@@ -234,7 +235,8 @@ def scan(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, window: int
     added = {"n_words": "bigint", "spans": SPANS, "items": "array<bigint>", "longest": "int"} | ({"cleaned": "string"} if clean else {})
     bounded(spark)
     out = docs.drop(*added)
-    for block in _items(benchmark):
+    for k, block in enumerate(_items(benchmark)):
+        out = stored(spark, out, "scanned") if k else out  # so that a task holds one automaton, whatever the benchmark
         schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in out.schema if f.name not in added)
         schema += "".join(f", {k} {v}" for k, v in added.items())
         out = out.mapInArrow(_scan(spark.sparkContext.broadcast(SuffixAutomaton(block, window)), clean), schema)
@@ -242,7 +244,11 @@ def scan(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, window: int
 
 
 def report(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """Per document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated and the longest match."""
+    """Rows (doc_id, n_words, n_hit, n_items, items_sha256, contaminated), one per document; scan() has the spans and the longest match.
+
+    Null, empty and wordless texts have no words and no hits, repeated rows each get theirs, and
+    an empty table of documents gives no rows, one of items no hits.
+    """
     found = scan(spark, docs.select("doc_id", "text"), benchmark, window)
     n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda a, x: a + x["end"] - x["start"])
     ids = F.array_join(F.array_sort(F.transform("items", lambda x: x.cast("string"))), ",")

@@ -111,7 +111,8 @@ def removals(spark: SparkSession, docs: DataFrame) -> DataFrame:
         .agg(F.count("*").alias("bodies"), F.first("first").alias("first"), F.first("n").alias("n"))
         .where("bodies = 1 and n > 1")
     )
-    again = texts.drop("body").join(first.select("chunk_hash", "sign", "first"), ["chunk_hash", "sign"])
+    first = stored(spark, first.select("chunk_hash", "sign", "first"), "firsts")  # plain shuffles on both sides: hot chunks can be split
+    again = texts.drop("body").join(first.hint("merge"), ["chunk_hash", "sign"])
     again = again.where("not (_key = first._key and start = first.start)").select("_key", "start", "end").distinct()
     # overlapping ranges of a text become one
     upto = Window.partitionBy("_key").orderBy("start", "end").rowsBetween(Window.unboundedPreceding, -1)

@@ -571,7 +571,8 @@ def score_corpus(spark: SparkSession, docs: DataFrame, held_out: Column) -> Data
 
     Returns (doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score). A null
     or empty text is its end alone. Repeated rows count and are scored each; a null doc_id
-    is not held out. With nothing to train on every probability is 1, the base's too.
+    is not held out. With nothing to train on every probability is 1, the base's too. An empty table
+    gives no rows, a very long text is a flush of its own, and other columns are not looked at.
     """
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     model = train(spark, own.where(~F.coalesce(held_out, F.lit(False))), find_common(own))

@@ -90,7 +90,8 @@ def judge(spark: SparkSession, pages: DataFrame, rules: DataFrame, default: str
 
     Null urls and urls without :// have an empty host and path and fit no rule. Equal rules
     with different actions: block wins; hosts are equal in any case of A-Z. Rules with a null or
-    empty host, or a null path, are left out. Repeated pages each keep their row.
+    empty host, or a null path, are left out. Repeated pages each keep their row, other columns
+    are not looked at, no pages give no rows, and without rules every verdict is ``default``.
     """
     listed = (
         rules.where("host <> '' and path is not null")
