@@ -248,7 +248,7 @@ def undo(history: DataFrame, chosen: DataFrame, relationships: DataFrame, entiti
     since come back, undone_at is set and an 'undo' row added. Mentions and aliases stay.
     """
     gone = history.where("action = 'merge'").join(chosen.select("id"), "id", "left_semi")
-    back = gone.select(F.explode("original_relationships").alias("r")).select("r.*").dropDuplicates(["id"])
+    back = gone.select(F.explode("original_relationships").alias("r")).groupBy("r.id").agg(F.min("r").alias("r")).select("r.*")  # both ends may have been merged
     rest = relationships.join(back.select("id"), "id", "left_anti")
     return _cleared(history, chosen, entities), rest.select(*relationships.columns).unionByName(back.select(*relationships.columns)), _taken_back(history, chosen, "undo", at)
 

@@ -195,11 +195,11 @@ _BODIES = {
         r as (select id, count(*) as n, sum(round(weight * 10))::bigint as tenths from (select source_entity_id as id, weight from relationships union all select target_entity_id, weight from relationships where source_entity_id <> target_entity_id) group by id)
         select 'merge:' || duplicate_id as id, duplicate_id, primary_id, 'merge' as action, 'exact: same name' as reason, e.name, e.mention_count, coalesce(a.n, 0) as n_aliases, coalesce(r.n, 0) as n_relationships, coalesce(tenths, 0) as tenths
         from merges m join entities e on e.id = m.duplicate_id left join a on a.entity_id = m.duplicate_id left join r on r.id = m.duplicate_id""",
-    "undo_merges": f"""with {_UNDONE}, {_RELINKED}
-        select r.id, case when s.duplicate_id is null and t.duplicate_id is null then rm.source_entity_id else r.source_entity_id end as source_entity_id,
-          case when s.duplicate_id is null and t.duplicate_id is null then rm.target_entity_id else r.target_entity_id end as target_entity_id, r.kind, r.weight, r.confidence,
-          case when r.evidence_chunk_refs is not null then '[' || r.evidence_chunk_refs[1] || ']' end as refs
-        from relationships r join rm on rm.id = r.id left join u s on s.duplicate_id = r.source_entity_id left join u t on t.duplicate_id = r.target_entity_id""",
+    "undo_merges": f"""with {_UNDONE}, x as (select r.*, s.duplicate_id is not null or t.duplicate_id is not null as undone, a.primary_id as pa, b.primary_id as pb from relationships r
+          left join merges a on a.duplicate_id = r.source_entity_id left join merges b on b.duplicate_id = r.target_entity_id left join u s on s.duplicate_id = r.source_entity_id left join u t on t.duplicate_id = r.target_entity_id)
+        select id, case when undone or pa is null then source_entity_id else pa end as source_entity_id, case when undone or pb is null then target_entity_id else pb end as target_entity_id, kind, weight, confidence,
+          case when evidence_chunk_refs is not null then '[' || evidence_chunk_refs[1] || ']' end as refs from x
+        qualify not undone or row_number() over (partition by id, undone order by source_entity_id, target_entity_id, kind, weight, confidence) = 1""",
     "undo_entities": f"with {_UNDONE} select e.id, case when u.duplicate_id is null then coalesce(m.primary_id, e.merged_into_id) end as merged_into_id from entities e left join merges m on m.duplicate_id = e.id left join u on u.duplicate_id = e.id",
     "undo_history": f"with {_UNDONE} {_TAKEN_BACK.format(action='undo')}",
     "split_merges": f"""with {_UNDONE}, {_ALIASES}, gone as (select distinct u.primary_id as entity_id, e.name as alias from u join entities e on e.id = u.duplicate_id)
