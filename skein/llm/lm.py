@@ -5,8 +5,8 @@ The model interpolates with absolute discounts, which the counts of counts give:
     p(w)     = (c(w) - D(c)) / N + g / (V + 1)                 g: the discounts' sum over N
     p(w | v) = (c(v w) - D(c)) / c(v) + g(v) p(w)
 
-A pair seen once is discounted wholly, so only pairs seen twice or more are stored. A
-text's log10 probability is a sum of parts that need not meet in one place:
+Every pair seen is stored, those seen once too. A text's log10 probability is a sum of
+parts that need not meet in one place:
 
     log p(w), log g(v)                                   from the word's own entry
     gain(v, w) = log(1 + (c(v w) - D) / (c(v) g(v) p(w)))  from the pair's entry
@@ -27,8 +27,9 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from skein.functions.storage import discard, fresh
 from skein.llm.elias_fano import Trie, mapped, pack
-from skein.llm.shared import stored
+from skein.llm.shared import stored, written
 from skein.llm.words import Hasher, SPACED, lean
 
 #: Tokens that a task gathers before it passes them on, and tokens of a shard, about.
@@ -160,6 +161,11 @@ def _unsix(data: bytes) -> np.ndarray:
     return out.view("<u8").ravel()
 
 
+def _narrow(n: np.ndarray) -> np.ndarray:
+    """Counts in four bytes each, or eight where one needs them."""
+    return n.astype(np.uint32 if not len(n) or n.max() < 1 << 32 else np.uint64)
+
+
 BLOB = "shard long, kind int, origin long, a binary, b binary, c binary, d binary, e binary"
 _NAMES = ["shard", "kind", "origin", "a", "b", "c", "d", "e"]
 
@@ -224,7 +230,7 @@ COUNTED = "shard long, words binary, counts binary, once binary, twice binary, m
 
 
 def _count_in(shared):
-    """One row a shard: its words with counts of their followers, its pairs seen twice or more, counts of counts."""
+    """One row a shard: its words with counts of their followers, its pairs, counts of counts."""
 
     @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -245,9 +251,8 @@ def _count_in(shared):
             common = hot.is_hot(words)
             own = sums[0][~common]
             stats = [int((n == k).sum()) for k in (1, 2, 3, 4)] + [int((own == k).sum()) for k in (1, 2, 3, 4)] + [len(own), int(own.sum())]
-            keep = n > 1
             partial = [dict(zip(("a", "c", "n1", "n2", "n3"), (int(words[i].astype(np.int64)), *(int(s[i]) for s in sums)), strict=True)) for i in np.flatnonzero(common)]
-            blobs = [words.tobytes(), sums[0].tobytes(), *(s.astype(np.uint32).tobytes() for s in sums[1:]), place[keep].astype(np.uint32).tobytes(), _six(cur[keep]), n[keep].tobytes()]
+            blobs = [words.tobytes(), sums[0].tobytes(), *(s.astype(np.uint32).tobytes() for s in sums[1:]), place.astype(np.uint32).tobytes(), _six(cur), _narrow(n).tobytes()]
             kinds = [pa.int64(), *[pa.binary()] * 8, pa.list_(pa.int64()), pa.list_(pa.struct([(k, pa.int64()) for k in ("a", "c", "n1", "n2", "n3")]))]
             names = ["shard", "words", "counts", "once", "twice", "more", "place", "next", "n", "stats", "hot"]
             yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip([shard, *blobs, stats, partial], kinds, strict=True)], names)
@@ -255,14 +260,13 @@ def _count_in(shared):
     return run
 
 
-def discounts(n: list[int], first: float | None = None) -> np.ndarray:
+def discounts(n: list[int]) -> np.ndarray:
     """Discounts of counts 1, 2 and above, from the numbers n[0] .. n[3] of things seen 1 to 4 times."""
     d = [0.5, 0.8, 1.0]
     if min(n[:3]) > 0:
         y = n[0] / (n[0] + 2 * n[1])
         d = [1 - 2 * y * n[1] / n[0], 2 - 3 * y * n[2] / n[1], 3 - 4 * y * n[3] / n[2]]
-    d = [min(max(x, 0.05), k + 0.95) for k, x in enumerate(d)]
-    return np.array([first if first is not None else d[0], *d[1:]])
+    return np.array([min(max(x, 0.05), k + 0.95) for k, x in enumerate(d)])
 
 
 @dataclass
@@ -305,7 +309,7 @@ def summarise(counted: DataFrame, hot: Hot, texts: int) -> Stats:
     for r in rows:
         i = place[r.a % (1 << 64)]
         count[i], parts[i] = r.c, (r.n1, r.n2, r.n3)
-    pair = discounts(seen[:4], 1.0)
+    pair = discounts(seen[:4])
     mass = parts @ pair
     backoff = np.log10(np.where(count > 0, mass / np.maximum(count, 1), 1.0))
     count[place[int(START)]], count[place[int(END)]] = 0, texts  # no token, and one a text
@@ -373,7 +377,7 @@ def _build(shared):
                 order = np.argsort(k, kind="stable")
                 k, c = k[order], c[order]
                 parts = mapped(r[3])
-                words, count, place, n = parts["words"], parts["counts"], parts["place"].astype(np.int64), parts["n"]
+                words, count, place, n = parts["words"], parts["counts"], parts["place"].astype(np.int64), parts["n"].astype(np.int64)
                 cur = _unsix(parts["next"].tobytes())
                 at = st.hot_place(words)
                 mass = np.where(at >= 0, st.mass[at], parts["once"] * st.pair[0] + parts["twice"] * st.pair[1] + parts["more"] * st.pair[2])
@@ -403,22 +407,27 @@ def train(spark: SparkSession, docs: DataFrame, hot: Hot) -> Model:
     share = spark.sparkContext.broadcast
     h = share(hot)
     texts = docs.count()
-    counted = stored(spark, _dealt_rows(docs.mapInArrow(_count_out(h), BLOB), hot.shards).mapInArrow(_count_in(h), COUNTED), "counts")
+    path = fresh(spark, "counts")
+    counted = written(spark, _dealt_rows(docs.mapInArrow(_count_out(h), BLOB), hot.shards).mapInArrow(_count_in(h), COUNTED), path)
     st = summarise(counted, hot, texts)
     s = share(st)
     asked = counted.select("shard", "words", "counts", "next").mapInArrow(_ask(s), BLOB)
     answers = _dealt_rows(asked, hot.shards).mapInArrow(_answer, BLOB)
     parts = counted.drop("stats", "hot").mapInArrow(_as_parts, BLOB)
     built = _dealt_rows(answers.union(parts), hot.shards).mapInArrow(_build(s), BLOB)
-    return Model(st, stored(spark, built, "trie"))
+    trie = stored(spark, built, "trie")
+    discard(spark, path)  # the trie has it all
+    return Model(st, trie)
 
 
 @lean
 def _as_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    kinds = {"words": "u8", "counts": "i8", "once": "u4", "twice": "u4", "more": "u4", "place": "u4", "next": "u1", "n": "i8"}
+    kinds = {"words": "u8", "counts": "i8", "once": "u4", "twice": "u4", "more": "u4", "place": "u4", "next": "u1"}
     for b in batches:
         for i in range(b.num_rows):
             arrays = {k: np.frombuffer(b.column(k)[i].as_py(), f"<{t}") for k, t in kinds.items()}
+            n = b.column("n")[i].as_py()
+            arrays["n"] = np.frombuffer(n, "<u4" if len(n) == 4 * len(arrays["place"]) else "<u8")
             shard = b.column("shard")[i].as_py()
             yield _blobs([(shard, 1, shard, pack(arrays), b"", b"", b"", b"")])
 

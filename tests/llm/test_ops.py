@@ -439,7 +439,7 @@ def test_language_model(spark, monkeypatch, size):
     c, pairs = Counter(w for t in train for w in t), Counter(p for t in train for p in zip(["<s>", *t], t, strict=False))
     n, v = sum(c.values()), len(c)
     cc, cp = Counter(c.values()), Counter(pairs.values())
-    d1, d2 = lm.discounts([cc[k] for k in (1, 2, 3, 4)]), lm.discounts([cp[k] for k in (1, 2, 3, 4)], 1.0)
+    d1, d2 = lm.discounts([cc[k] for k in (1, 2, 3, 4)]), lm.discounts([cp[k] for k in (1, 2, 3, 4)])
     ctx, mass = Counter(), Counter()
     for (a, _), m in pairs.items():
         ctx[a] += m
@@ -462,6 +462,17 @@ def test_language_model(spark, monkeypatch, size):
     assert total == pytest.approx(1)
 
 
+def test_language_model_tells_repeats(spark):
+    """A held-out text that stands in the training texts once is likelier than one that doesn't, word for word."""
+    rng = random.Random(31)
+    shared = [prose(rng, 80) for _ in range(20)]
+    docs = [(7 * i, t) for i, t in enumerate(shared)] + [(7 * i + 2, t) for i, t in enumerate(shared)] + [(7 * (i + 50) + 2, prose(rng, 80)) for i in range(20)]
+    docs += [(7 * (i + 100), prose(rng, 80)) for i in range(60)]
+    got = {r.doc_id: (r.score - r.base_score) / r.n_tokens for r in lm.score_corpus(spark, documents(spark, [(i, t, "s") for i, t in docs]), F.col("doc_id") % 7 == 2).collect()}
+    again, new = [got[7 * i + 2] for i in range(20)], [got[7 * (i + 50) + 2] for i in range(20)]
+    assert min(again) > max(new)
+
+
 def test_language_model_without_rows(spark):
     df = documents(spark, [(1, "a b", "s")])
     assert lm.score_corpus(spark, df.limit(0), F.lit(False)).count() == 0
