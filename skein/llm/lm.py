@@ -33,7 +33,7 @@ from skein.llm.shared import stored, written
 from skein.llm.words import Hasher, SPACED, lean
 
 #: Tokens that a task gathers before it passes them on, and tokens of a shard, about.
-FLUSH, SHARD = 1_000_000, 3_000_000
+FLUSH, SHARD = 1_000_000, 2_000_000
 #: A word or pair of twice this share of all is known as common; at most 1 / HOT_SHARE are.
 HOT_SHARE = 1e-4
 #: Stand for the start and the end of a text.
@@ -382,8 +382,8 @@ def _build(shared):
                 at = st.hot_place(words)
                 mass = np.where(at >= 0, st.mass[at], parts["once"] * st.pair[0] + parts["twice"] * st.pair[1] + parts["more"] * st.pair[2])
                 backoff = np.where(at >= 0, st.backoff[at], np.log10(mass / np.maximum(count, 1)))
-                of = c[np.minimum(np.searchsorted(k, cur), len(k) - 1)]
-                gain = np.log10(1 + (n - st.pair[np.clip(n, 1, 3) - 1]) / (mass[place] * 10 ** st.log_p(of)))
+                of = np.minimum(np.searchsorted(k, cur), len(k) - 1)
+                gain = np.log10(1 + (n - st.pair[np.clip(n, 1, 3) - 1]) / (mass[place] * (10 ** st.log_p(c))[of]))
                 trie = Trie.build(words, np.where(at >= 0, 0, count), backoff, place, (cur >> np.uint64(16)) & _32, gain)
                 yield _blobs([(shard, 0, shard, pack(trie), b"", b"", b"", b"")])
 
