@@ -8,7 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from skein.llm.shared import components, small, stored
@@ -18,7 +18,7 @@ from skein.llm.words import Hasher, PLAIN, lean, mix
 SHINGLE, THRESHOLD = 5, 0.8
 #: Prefix tries, hashes of a full signature prefix, and the recall at THRESHOLD to be reached.
 TREES, DEPTH, RECALL = 24, 12, 0.999
-#: Texts of one block of a candidate component; blocks are compared two at a time.
+#: Texts of one block; blocks are compared two at a time. A larger candidate component is cut in the order of a trie.
 BLOCK = 256
 SEED = 11
 
@@ -53,39 +53,52 @@ def shingle_sets(h: np.ndarray, first: np.ndarray, n: int = SHINGLE) -> tuple[np
     return mix(out), at
 
 
-def _params(trees: int, depth: int) -> tuple[np.ndarray, np.ndarray]:
-    rng = np.random.default_rng(SEED)
+def _params(trees: int, depth: int, seed: int = SEED) -> tuple[np.ndarray, np.ndarray]:
+    rng = np.random.default_rng(seed)
     full = np.iinfo(np.uint64).max
     return rng.integers(0, full, (trees, depth), np.uint64) | np.uint64(1), rng.integers(0, full, (trees, depth), np.uint64)
 
 
 def _signatures(trees: int, depth: int, shingle: int):
-    """A mapInArrow function: (doc_id, sign, text_key, labels); labels are the prefixes of the sorted tries."""
+    """A mapInArrow function: (doc_id, sign, text_key, labels, path).
+
+    labels are the prefixes of ``depth`` hashes in each trie; path is the first trie's full
+    prefix of DEPTH hashes, whose byte order is the order of that trie's leaves.
+    """
     mult, plus = _params(trees, depth)
+    further, beyond = _params(1, max(0, DEPTH - depth), SEED + 1)
 
     @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = Hasher(PLAIN, 1 << 19)
         for batch in batches:
-            keys, labels = [], []
+            keys, labels, paths = [], [], []
             for lo, hi, low, starts, ends, first, h in hasher.words(batch.column("text")):
                 s, at = shingle_sets(h, first, shingle)
                 some = np.flatnonzero(np.diff(at))
                 lab = np.zeros((hi - lo, trees), np.uint64)
+                path = np.zeros((hi - lo, max(DEPTH, depth)), ">u4")
+                for d in range(depth, DEPTH if len(some) else 0):
+                    path[some, d] = np.minimum.reduceat(s * further[0, d - depth] + beyond[0, d - depth], at[:-1][some]) >> np.uint64(32)
                 for t in range(trees if len(some) else 0):
                     for d in range(depth):
                         least = np.minimum.reduceat(s * mult[t, d] + plus[t, d], at[:-1][some])
+                        if not t:
+                            path[some, d] = least >> np.uint64(32)
                         lab[some, t] = mix(lab[some, t] * np.uint64(0x9E3779B97F4A7C15) + least + np.uint64(d))
                 # words joined by one blank: the separators become blanks, runs of them one
                 for i in range(hi - lo):
                     if first[i] == first[i + 1]:
                         keys.append(None)
                         labels.append(None)
+                        paths.append(None)
                         continue
                     raw = low[starts[first[i]] : ends[first[i + 1] - 1]].tobytes()
                     keys.append(hashlib.blake2b(b" ".join(x for x in raw.split(b"\xff") if x), digest_size=16).digest())
                     labels.append(lab[i].view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("sign"), pa.array(keys, pa.binary()), pa.array(labels, pa.list_(pa.int64()))], ["doc_id", "sign", "text_key", "labels"])
+                    paths.append(path[i].tobytes())
+            columns = [batch.column("doc_id"), batch.column("sign"), pa.array(keys, pa.binary()), pa.array(labels, pa.list_(pa.int64())), pa.array(paths, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "sign", "text_key", "labels", "path"])
 
     return run
 
@@ -207,32 +220,64 @@ def _sign(text: Column) -> Column:
     return F.unhex(F.md5(text))
 
 
+def _in_order(spark: SparkSession, members: DataFrame) -> DataFrame:
+    """(rep, block): runs of BLOCK texts in the order of (component, path), the leaves of the first trie.
+
+    No window over texts: they are dealt to ranges and numbered within them; a range's first
+    number follows from the sizes of those before it, a row each.
+    """
+    order = ["component", "path", "rep"]
+    dealt = members.select(*order).repartitionByRange(*order).sortWithinPartitions(*order).withColumn("n", F.monotonically_increasing_id())
+    dealt = stored(spark, dealt, "leaves").select("rep", F.shiftright("n", 33).alias("range"), F.col("n").bitwiseAND((1 << 33) - 1).alias("at"))
+    before = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = dealt.groupBy("range").agg(F.count("*").alias("size")).select("range", F.coalesce(F.sum("size").over(before), F.lit(0)).alias("above"))
+    return dealt.join(F.broadcast(sizes), "range").select("rep", F.floor((F.col("above") + F.col("at")) / BLOCK).cast("long").alias("block"))  # a row a partition
+
+
+def _faces(spark: SparkSession, classes: DataFrame, blocks: DataFrame) -> DataFrame:
+    """(block, bi, bj): each pair of blocks with a text each under one prefix of some trie, as a row for either block."""
+    met = classes.join(small(blocks), "rep").select("block", F.posexplode("labels").alias("tree", "label")).distinct()
+    met = stored(spark, met, "met")
+    pairs = met.join(met.withColumnRenamed("block", "other"), ["tree", "label"]).where("block <= other").select(F.col("block").alias("bi"), F.col("other").alias("bj")).distinct()
+    pairs = stored(spark, pairs, "pairs")
+    return pairs.select(F.col("bi").alias("block"), "bi", "bj").union(pairs.where("bi < bj").select("bj", "bi", "bj"))
+
+
 def _placed(spark: SparkSession, docs: DataFrame, threshold: float, shingle: int, trees: int, recall: float) -> DataFrame:
     """Rows (doc_id, sign, class_id, n_links, component_id, component), one per document; ``component`` is a number for
     each component of links, null where the document links with nothing and is no copy."""
     depth = prefix_depth(threshold, trees, recall=recall)
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("sign", _sign(F.col("text")))
-    signed = stored(spark, own.mapInArrow(_signatures(trees, depth, shingle), "doc_id long, sign binary, text_key binary, labels array<long>"), "signatures")
+    signed = stored(spark, own.mapInArrow(_signatures(trees, depth, shingle), "doc_id long, sign binary, text_key binary, labels array<long>, path binary"), "signatures")
     good = signed.where("doc_id is not null and text_key is not null")
-    first = good.groupBy("text_key").agg(F.min(F.struct("doc_id", "sign")).alias("f"), F.count("*").alias("copies"), F.any_value("labels").alias("labels"))
+    first = good.groupBy("text_key").agg(F.min(F.struct("doc_id", "sign")).alias("f"), F.count("*").alias("copies"), F.any_value("labels").alias("labels"), F.any_value("path").alias("path"))
     # classes have numbers of their own: several texts may have one doc_id
-    classes = stored(spark, first.select(F.monotonically_increasing_id().alias("rep"), "text_key", "f.doc_id", "f.sign", "copies", "labels"), "classes")
+    classes = stored(spark, first.select(F.monotonically_increasing_id().alias("rep"), "text_key", "f.doc_id", "f.sign", "copies", "labels", "path"), "classes")
 
-    spots = classes.select("rep", F.posexplode("labels").alias("tree", "label"))
-    shared = spots.groupBy("tree", "label").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).where("low < high").select("tree", "label", "low")
-    edges = spots.join(shared, ["tree", "label"]).where("rep <> low").select(F.col("rep").alias("a"), F.col("low").alias("b")).distinct()
+    under = classes.select("rep", F.posexplode("labels").alias("tree", "label"))
+    shared = under.groupBy("tree", "label").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).where("low < high").select("tree", "label", "low")
+    edges = under.join(shared, ["tree", "label"]).where("rep <> low").select(F.col("rep").alias("a"), F.col("low").alias("b")).distinct()
     candidates = components(spark, edges)
-    sizes = candidates.groupBy("component").agg(F.ceil(F.count("*") / BLOCK).cast("long").alias("blocks"))
-    members = candidates.join(sizes, "component").join(classes.select(F.col("rep").alias("node"), "doc_id", "sign", "copies"), "node")
-    members = stored(spark, members.select("doc_id", "sign", F.col("node").alias("rep"), "component", "blocks", "copies"), "members")
-
-    block = F.pmod(F.xxhash64("rep"), F.col("blocks"))
-    texts = own.where("text is not null").join(small(members), ["doc_id", "sign"])
+    sizes = candidates.groupBy("component").agg((F.count("*") > BLOCK).alias("large"))
+    members = candidates.join(sizes, "component").join(classes.select(F.col("rep").alias("node"), "doc_id", "sign", "copies", "path"), "node")
+    members = stored(spark, members.select("doc_id", "sign", F.col("node").alias("rep"), "component", "large", "copies", "path"), "members")
+
+    # a component of up to BLOCK texts is compared as a whole; of larger ones, blocks that share a prefix. Blocks of -1 or less face none.
+    faces, place = None, F.when(~F.col("large"), F.col("component")).otherwise(-1)
+    spots = members.select("doc_id", "sign", "rep", "copies", place.alias("comp"), (-1 - F.col("rep")).alias("block"))
+    if members.where("large").limit(1).count():
+        blocks = stored(spark, _in_order(spark, members.where("large")), "blocks")
+        faces = _faces(spark, classes, blocks)
+        spots = spots.join(small(blocks.withColumnRenamed("block", "own")), "rep", "left").select("doc_id", "sign", "rep", "copies", "comp", F.coalesce("own", "block").alias("block"))
+    texts = own.where("text is not null").join(small(spots), ["doc_id", "sign"])
     if classes.where("copies > 1").join(small(members.select("rep")), "rep", "left_semi").limit(1).count():
         texts = texts.dropDuplicates(["rep"])  # wholly equal rows
-    sets = texts.select("text", F.col("component").alias("comp"), block.alias("block"), "rep", "copies", "blocks").mapInArrow(_shingles(shingle), "comp long, block long, rep long, copies long, blocks long, set binary")
-    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other")
-    faced = sets.select("comp", "block", "rep", "copies", "set", other).select("comp", F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj"), "block", "rep", "copies", "set")
+    sets = texts.select("text", "comp", "block", "rep", "copies").mapInArrow(_shingles(shingle), "comp long, block long, rep long, copies long, set binary")
+    zero = F.lit(0).cast("long")
+    if faces is None:
+        faced = sets.select("comp", zero.alias("bi"), zero.alias("bj"), zero.alias("block"), "rep", "copies", "set")
+    else:
+        faced = sets.join(small(faces), "block", "left").select("comp", F.coalesce("bi", zero).alias("bi"), F.coalesce("bj", zero).alias("bj"), F.greatest("block", zero).alias("block"), "rep", "copies", "set")
     verified = faced.repartition("comp", "bi", "bj").sortWithinPartitions("comp", "bi", "bj", "rep").mapInArrow(_verify(threshold), "rep long, n long, low long")
     verified = stored(spark, verified, "links")
 
@@ -258,8 +303,9 @@ def similar(spark: SparkSession, docs: DataFrame, threshold: float = THRESHOLD,
     1. MinHash signatures of whole texts; classes collapse before anything is paired.
     2. Texts that share a trie prefix get an edge to the smallest of them (never all pairs);
        connected texts are a candidate component.
-    3. Components are cut into blocks of about BLOCK texts; each pair of blocks meets in one
-       task, which counts shingle overlaps exactly and returns a row a text.
+    3. A component of up to BLOCK texts meets in one task. Larger ones are sorted by a trie's
+       full prefixes and cut into runs of BLOCK leaves; two runs meet in a task only if some
+       trie has a text of each under one prefix. Overlaps of shingles are counted exactly, and a task returns a row a text.
     4. Components of the verified links.
 
     Documents without words (null, empty, punctuation only) link with nothing. A doc_id on
