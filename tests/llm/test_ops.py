@@ -250,6 +250,29 @@ def test_jaccard_links(spark, monkeypatch, block):
     assert got == sorted(((i, first[w] if w else i, n[i], comp[i], comp[i] == i) for i, w, _ in sets), key=repr)
 
 
+def test_jaccard_of_a_loose_component(spark, monkeypatch):
+    """Templates that drift into one another are one candidate component; few of its blocks meet, and links stay."""
+    monkeypatch.setattr(jaccard, "BLOCK", 16)
+    met, faces = [], jaccard._faces
+    monkeypatch.setattr(jaccard, "_faces", lambda *a: met.append(faces(*a)) or met[-1])
+    rng = random.Random(9)
+    docs, w = [], prose(rng, 120).split(" ")
+    for t in range(60):
+        lo = 15 * (t % 8)  # an eighth of the words anew
+        w = w[:lo] + [f"t{t}x{i}" for i in range(15)] + w[lo + 15 :]
+        for i in range(10):
+            v = list(w)
+            v[rng.randrange(5, 115)] = f"new{t}x{i}"
+            docs.append((100 * t + i, " ".join(v)))
+    sets = [(i, {tuple(x[k : k + 5]) for k in range(len(x) - 4)}) for i, x in ((i, plain(t)) for i, t in docs)]
+    links = Counter(x for (a, sa), (b, sb) in itertools.combinations(sets, 2) if len(sa & sb) >= 0.8 * len(sa | sb) - 1e-6 for x in (a, b))
+    got = {r.doc_id: r.n_links for r in jaccard.similar(spark, documents(spark, [(i, t, "s") for i, t in docs])).collect()}
+    assert sum(links.values()) > 3000 and all(n <= links[i] for i, n in got.items())
+    assert sum(got.values()) >= 0.99 * sum(links.values())
+    pairs, blocks = met[0].select("bi", "bj").distinct().count(), met[0].select("block").distinct().count()
+    assert blocks >= 20 and pairs < 0.6 * blocks * (blocks + 1) / 2
+
+
 def test_jaccard_dedup_keeps_columns(spark):
     docs = jaccard_case(random.Random(6))
     df = documents(spark, [(i, t, "s") for i, t in docs])
