@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from skein.llm import chat, decontaminate, jaccard, line_dedup, lm, mixing, pq, toxicity, url_filter, warc
+from skein.llm import chat, decontaminate, jaccard, line_dedup, lm, mixing, pq, prefix_trie, style_tree, toxicity, url_filter, warc, whiten
 
 
 def _op1(spark, sf_dir):
@@ -21,6 +21,9 @@ QUERIES = {
     "op8_chat_collapse": chat.query,
     "op9_line_dedup": line_dedup.query,
     "op10_url_filter": url_filter.query,
+    "op11_whiten": whiten.query,
+    "op12_prefix_trie": prefix_trie.query,
+    "op13_main_text": style_tree.query,
 }
 
 ORACLES = {
@@ -32,4 +35,6 @@ ORACLES = {
     "op8_chat_collapse": chat.ORACLE,
     "op9_line_dedup": line_dedup.ORACLE,
     "op10_url_filter": url_filter.ORACLE,
+    "op12_prefix_trie": prefix_trie.ORACLE,
+    "op13_main_text": style_tree.ORACLE,
 }

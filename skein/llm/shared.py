@@ -44,6 +44,12 @@ def written(spark: SparkSession, df: DataFrame, path: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def in_ranges(rows: DataFrame, *keys: str) -> DataFrame:
+    """``rows`` in order of ``keys``, dealt to tasks by range; even rows of equal keys can lie in several."""
+    tagged = rows.withColumn("_tie", F.monotonically_increasing_id())
+    return tagged.repartitionByRange(*keys, "_tie").sortWithinPartitions(*keys, "_tie").drop("_tie")
+
+
 def packed(docs: DataFrame, *keep: str) -> DataFrame:
     """``keep``, and all columns but the text in a struct ``row``: names in it can't clash with added ones."""
     return docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != "text")).alias("row"), *keep)
