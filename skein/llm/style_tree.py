@@ -79,7 +79,7 @@ class Page(HTMLParser):
         a = dict(attrs)
         names = " ".join(a.get(k) or "" for k in ("class", "id", "role")).lower()
         words = frozenset(w for w in re.split(r"[^a-z]+", names) if w)
-        label = tag + "." + re.sub(r"\d+", "0", ".".join(sorted(names.split())))
+        label = tag + "." + re.sub(r"\d{3,}", "0", ".".join(sorted(names.split())))
         e = Element(tag, label, words | ({"hidden"} if "hidden" in a else frozenset()), self.at)
         self.at.children.append(e)
         if tag == "a" and a.get("href"):
