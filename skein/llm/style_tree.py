@@ -13,7 +13,8 @@ import hashlib
 import re
 from collections import Counter
 from collections.abc import Iterator
-from html.parser import HTMLParser
+from functools import lru_cache
+from html import unescape
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -41,61 +42,98 @@ STOPS = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table
 #: Words of class, id and role that mark what isn't the article.
 MARKED = frozenset(
     "nav navbar navigation menu topbar masthead footer contentinfo sidebar complementary ad ads advert advertisement adsense adslot sponsor sponsored promo banner cookie cookies consent gdpr notice alert popup modal dialog overlay"
-    " newsletter subscribe subscription signup login share sharing social related recommended breadcrumb breadcrumbs pagination pager comment comments disqus respond reply replies widget skip search".split()
+    " newsletter subscribe subscription signup login share sharing social related recommended breadcrumb breadcrumbs pagination pager comment comments disqus respond reply replies widget skip search hidden".split()
 )
 
 
+#: Comments; tags, with quoted attributes or as they come; declarations. Tags that the page's end cuts off, and text.
+TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>"']++|"[^"]*"|'[^']*')*+|[^>]*)>|<[!?/][^>]*(?:>|\Z)|<(?:[A-Za-z][^>]*)?\Z""", re.S)
+ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
+#: Elements whose content isn't marked up.
+RAW = {t: re.compile(f"</{t}[\\s/>]", re.I) for t in ("script", "style", "textarea", "title", "noscript", "iframe")}
+
+
+def _digest(text: str) -> int:
+    return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big", signed=True)
+
+
+@lru_cache(1 << 16)
 def _hash(*parts: object) -> int:
-    return int.from_bytes(hashlib.blake2b("\x00".join(map(str, parts)).encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big", signed=True)
+    return _digest("\x00".join(map(str, parts)))
+
+
+@lru_cache(1 << 14)
+def _named(tag: str, attributes: str) -> tuple[str, frozenset[str], str]:
+    """(label, words of class, id and role, link target) of a start tag."""
+    a: dict[str, str] = {}
+    for m in ATTRIBUTE.finditer(attributes):
+        a.setdefault(m[1].lower(), m[2] or m[3] or m[4] or "")
+    names = " ".join(a.get(k, "") for k in ("class", "id", "role")).lower()
+    words = frozenset(w for w in re.split(r"[^a-z]+", names) if w)
+    label = tag + "." + re.sub(r"\d{3,}", "0", ".".join(sorted(names.split())))
+    return label, words | ({"hidden"} if "hidden" in a else frozenset()), a.get("href", "") if tag == "a" else ""
 
 
 class Element:
-    __slots__ = ("tag", "label", "parent", "children", "words", "texts", "links", "node", "depth")
+    __slots__ = ("tag", "label", "parent", "children", "words", "texts", "links", "node", "depth", "chars", "holds", "part", "gone")
 
     def __init__(self, tag: str, label: str, words: frozenset, parent: Element | None):
         self.tag, self.label, self.words, self.parent = tag, label, words, parent
         self.children: list[Element] = []
         self.texts: list[str] = []
         self.links: list[str] = []
-        self.node, self.depth = 0, 0
+        self.node = self.depth = self.chars = 0
+        self.holds = self.gone = False
+        self.part = ""
 
 
-class Page(HTMLParser):
+class Page:
     """A page as a tree of elements and a list of text pieces with their element, None where a block begins or ends."""
 
     def __init__(self, html: str):
-        super().__init__(convert_charrefs=True)
         self.root = self.at = Element("", "", frozenset(), None)
         self.pieces: list[tuple[Element, str] | None] = []
-        self.feed(re.sub(r"<(?:[A-Za-z/!?][^<>]*)?\Z", "", html))  # a tag that the end of the page cuts off
-        self.close()
-
-    def handle_starttag(self, tag: str, attrs: list) -> None:
+        at = begun = 0  # where to look for a tag, and where the text before it began
+        while (at := html.find("<", at)) >= 0:
+            m = TOKEN.match(html, at)
+            if m is None:
+                at += 1
+                continue
+            if at > begun:
+                self._text(html[begun:at])
+            at = begun = m.end()
+            close, tag, attributes = m.groups()
+            if not tag:
+                continue
+            tag = tag.lower()
+            if close:
+                if tag not in INLINE:
+                    self.pieces.append(None)
+                self._end((tag,), blocks=tag not in INLINE)
+                continue
+            self._start(tag, attributes or "")
+            if tag in RAW:
+                end = RAW[tag].search(html, at)
+                at = end.start() if end else len(html)
+        if begun < len(html):
+            self._text(html[begun:])
+
+    def _start(self, tag: str, attributes: str) -> None:
         if tag not in INLINE:
             self._end(("p",), blocks=False)
             self.pieces.append(None)
         if tag in SIBLINGS:
             self._end(SIBLINGS[tag], STOPS[tag])
-        a = dict(attrs)
-        names = " ".join(a.get(k) or "" for k in ("class", "id", "role")).lower()
-        words = frozenset(w for w in re.split(r"[^a-z]+", names) if w)
-        label = tag + "." + re.sub(r"\d{3,}", "0", ".".join(sorted(names.split())))
-        e = Element(tag, label, words | ({"hidden"} if "hidden" in a else frozenset()), self.at)
+        label, words, link = _named(tag, attributes)
+        e = Element(tag, label, words, self.at)
         self.at.children.append(e)
-        if tag == "a" and a.get("href"):
-            self.at.links.append(a["href"])
+        if link:
+            self.at.links.append(link)
         if tag not in VOID:
             self.at = e
 
-    def handle_startendtag(self, tag: str, attrs: list) -> None:
-        self.handle_starttag(tag, attrs)
-
-    def handle_endtag(self, tag: str) -> None:
-        if tag not in INLINE:
-            self.pieces.append(None)
-        self._end((tag,), blocks=tag not in INLINE)
-
-    def handle_data(self, data: str) -> None:
+    def _text(self, data: str) -> None:
+        data = unescape(data) if "&" in data else data
         self.pieces.append((self.at, data))
         if not data.isspace():
             self.at.texts.append(data)
@@ -124,21 +162,28 @@ class Page(HTMLParser):
 
 def _facts(page: Page, host: str) -> Iterator[tuple]:
     """(node, path, host, token) of each presentation and (node, None, None, token) of each text and link of a page, once each."""
-    order = page.place(host)
-    paths: dict[int, list[int]] = {}
+    paths: dict[int, tuple[int, ...]] = {}
     styles: dict[int, set] = {}
     content: set[tuple[int, int]] = set()
-    for e in order:
-        if e.node not in paths:
-            paths[e.node] = [*(paths[e.parent.node] if e.parent is not None else []), e.node]
-        labels = [c.label for c in e.children if c.tag not in INLINE]
-        styles.setdefault(e.node, set()).add(" ".join(x for x, y in zip(labels, ["", *labels], strict=False) if x != y))
-        content.update((e.node, _hash("text", " ".join(t.split()))) for t in e.texts)
-        content.update((e.node, _hash("link", x)) for x in e.links)
+    for e in page.place(host):
+        node = e.node
+        if node not in paths:
+            paths[node] = (*(paths[e.parent.node] if e.parent is not None else ()), node)
+        if e.tag not in INLINE:
+            last, labels = "", []
+            for c in e.children:
+                if c.label != last and c.tag not in INLINE:
+                    last = c.label
+                    labels.append(last)
+            styles.setdefault(node, set()).add(" ".join(labels))
+        for t in e.texts:
+            content.add((node, "text\x00" + " ".join(t.split())))
+        for x in e.links:
+            content.add((node, "link\x00" + x))
     for node, s in styles.items():
-        yield node, tuple(paths[node]), host, _hash("style", *sorted(s))
-    for node, token in content:
-        yield node, None, None, token
+        yield node, paths[node], host, _hash("style", *sorted(s))
+    for node, what in content:
+        yield node, None, None, _digest(what)
 
 
 _FACTS = pa.schema([("node", pa.int64()), ("path", pa.list_(pa.int64())), ("host", pa.string()), ("token", pa.int64()), ("n", pa.int64())])
@@ -191,28 +236,28 @@ def noise(spark: SparkSession, tree: DataFrame) -> DataFrame:
 def main_text(page: Page, host: str, noisy: frozenset[int]) -> str:
     """The text of a page's article, or of its main part, or of its body, without noise."""
     order = page.place(host)
-    chars: Counter = Counter()
-    holds: set[int] = set()
     for e in reversed(order):
-        chars[id(e)] += sum(len(t) for t in e.texts)
-        if e.tag in ("h1", "article", "main") or "main" in e.words:
-            holds.add(id(e))
+        for t in e.texts:
+            e.chars += len(t)
+        main = e.tag == "main" or "main" in e.words
+        e.part = "article" if e.tag == "article" else "main" if main else ""
+        e.holds = e.holds or main or e.tag in ("h1", "article")
         if e.parent is not None:
-            chars[id(e.parent)] += chars[id(e)]
-            if id(e) in holds:
-                holds.add(id(e.parent))
-    out: dict[int, bool] = {}
-    inside: dict[int, str] = {}
-    for e in order:
-        above = inside.get(id(e.parent), "")
-        nested = e.tag == "article" and above == "article"  # an article in an article is a comment on it
-        kind = "article" if e.tag == "article" else "main" if e.tag == "main" or "main" in e.words else ""
-        inside[id(e)] = above if above == "article" else kind or above
-        named = (e.words & MARKED or "hidden" in e.words) and not (id(e) in holds and not e.words & {"comment", "comments"})
-        gone = e.tag in NOT_TEXT or e.tag in APART or nested or bool(named) or (e.tag == "header" and not above)
-        if e.node in noisy and e.tag not in INLINE and e.parent is not None and 2 * chars[id(e)] <= chars[id(page.root)]:
-            gone = True
-        out[id(e)] = gone or out.get(id(e.parent), False)
+            e.parent.chars += e.chars
+            e.parent.holds = e.parent.holds or e.holds
+    for e in order[1:]:
+        up = e.parent
+        if up.gone:
+            e.gone = True
+            continue
+        if e.tag in INLINE and not e.words:
+            e.part = up.part
+            continue
+        nested = e.part == up.part == "article"  # an article in an article is a comment on it
+        named = not e.words.isdisjoint(MARKED) and not (e.holds and e.words.isdisjoint(("comment", "comments")))
+        repeated = e.node in noisy and e.tag not in INLINE and 2 * e.chars <= page.root.chars
+        e.gone = e.tag in NOT_TEXT or e.tag in APART or nested or named or repeated or (e.tag == "header" and not up.part)
+        e.part = up.part if up.part == "article" else e.part or up.part
     for wanted in (("article",), ("article", "main"), ("article", "main", "")):
         blocks, block = [], []
         for p in (*page.pieces, None):
@@ -220,7 +265,7 @@ def main_text(page: Page, host: str, noisy: frozenset[int]) -> str:
                 if block and (t := " ".join("".join(block).split())):
                     blocks.append(t)
                 block = []
-            elif not out[id(p[0])] and inside[id(p[0])] in wanted:
+            elif not p[0].gone and p[0].part in wanted:
                 block.append(p[1])
         if blocks:
             return " ".join(blocks)
