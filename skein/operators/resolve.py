@@ -1,7 +1,9 @@
-"""Entity resolution: candidate pairs by four strategies, greedy stars in parallel rounds, merges with undo and split."""
+"""Entity resolution: candidate pairs by four strategies, greedy stars in parallel rounds up to a fixed point, merges with undo and split."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,9 +16,9 @@ AUTO, MIN_SHARED = 0.8, 3
 BLOCK = 1000
 
 
-def exact_groups(entities: DataFrame) -> DataFrame:
-    """(id, first): the least id of the same name and kind. Linear in the entities, unlike exact_pairs."""
-    first = entities.groupBy("name", "kind").agg(F.min("id").alias("first"))
+def exact_groups(entities: DataFrame, order: Column | None = None) -> DataFrame:
+    """(id, first): the first id of the same name and kind by ``order``, or the least. Linear in the entities, unlike exact_pairs."""
+    first = entities.groupBy("name", "kind").agg((F.min("id") if order is None else F.min_by("id", order)).alias("first"))
     return entities.select("id", "name", "kind").join(first, ["name", "kind"]).select("id", "first")
 
 
@@ -129,15 +131,33 @@ def deferred(pairs: DataFrame) -> DataFrame:
     return pairs.where(F.col("confidence") < AUTO)
 
 
+def _stretches(spark: SparkSession, forest: DataFrame) -> DataFrame:
+    """``forest`` (id, to, odd, free) with each ``to`` followed to its end: ``odd`` tells whether the steps were odd, ``free`` is the end's.
+
+    An end points to itself. Steps double each round, so a chain of n takes log2(n) rounds.
+    """
+    rounds = Rounds(spark, "stretch")
+    here = rounds.put(forest)
+    while True:
+        ahead = here.where("id <> to").select(F.col("id").alias("to"), F.col("to").alias("next"), F.col("odd").alias("more"))
+        if not here.join(ahead, "to", "left_semi").limit(1).count():
+            break
+        here = rounds.put(here.join(ahead, "to", "left").select("id", F.coalesce("next", "to").alias("to"), (F.col("odd") != F.coalesce("more", F.lit(False))).alias("odd"), "free"))
+    ends = here.where("id = to").select("to", F.col("free").alias("end_free"))
+    return here.join(ends, "to").select("id", "to", "odd", F.col("end_free").alias("free"))
+
+
 def resolve(spark: SparkSession, entities: DataFrame, pairs: DataFrame) -> DataFrame:
     """(duplicate_id, primary_id): what going through the entities in order and letting each
     survivor absorb its still unmerged candidates of AUTO confidence would give.
 
     Primaries are the lexicographically first maximal independent set in the order of
-    (first_seen_at, id): in each round a node without an undecided earlier neighbour
-    becomes one and its later neighbours are merged. A duplicate goes to its earliest
-    adjacent primary. Rounds go on until all is decided: as many as half the longest chain
-    of candidates in ascending order, a few for names in no special order.
+    (first_seen_at, id). In each round a node without an undecided earlier neighbour is
+    a primary; one with a single such neighbour is what that one isn't, so stretches of those are
+    decided at once from where they begin, by pointer doubling; later neighbours of
+    primaries are merged. Chains take as many rounds as their length has bits; what goes on is where nodes with several
+    undecided earlier neighbours hang on each other. A duplicate goes to its earliest adjacent
+    primary. Null and repeated pairs, and pairs of unknown ids, count as none or once.
     """
     order = entities.select("id", F.struct("first_seen_at", "id").alias("o"))
     sure = pairs.where(F.col("confidence") >= AUTO).select("a", "b")
@@ -145,18 +165,77 @@ def resolve(spark: SparkSession, entities: DataFrame, pairs: DataFrame) -> DataF
     links = both.join(order, "id").join(order.toDF("other", "oo"), "other").where("oo < o")
     links = stored(spark, links.select(F.col("other").alias("early"), F.col("id").alias("late"), F.col("oo").alias("o")), "links")
     undecided, decided = Rounds(spark, "open"), Rounds(spark, "decided")
-    open_nodes = undecided.put(links.select(F.col("early").alias("id")).union(links.select("late")).distinct())
-    done = decided.put(open_nodes.where("false"))
-    while open_nodes.limit(1).count():
-        alive = links.join(open_nodes.withColumnRenamed("id", "early"), "early", "left_semi")
-        new = stored(spark, open_nodes.join(alive.select(F.col("late").alias("id")), "id", "left_anti"), "new")
-        gone = new.union(links.join(new.withColumnRenamed("id", "early"), "early", "left_semi").select("late")).distinct()
-        open_nodes = undecided.put(open_nodes.join(gone, "id", "left_anti"))
-        done = decided.put(done.union(new))
-    merged = links.join(done.withColumnRenamed("id", "early"), "early", "left_semi").join(done.withColumnRenamed("id", "late"), "late", "left_anti")
+    alive = undecided.put(links.select("early", "late"))
+    primaries = decided.put(links.select(F.col("early").alias("id")).where("false"))
+    while alive.limit(1).count():
+        before = alive.groupBy(F.col("late").alias("id")).agg(F.count("*").alias("n"), F.min("early").alias("first"))
+        nodes = alive.select(F.col("early").alias("id")).union(alive.select("late")).distinct().join(before, "id", "left")
+        one = F.coalesce(F.col("n") == 1, F.lit(False))
+        forest = nodes.select("id", F.when(one, F.col("first")).otherwise(F.col("id")).alias("to"), one.alias("odd"), F.col("n").isNull().alias("free"))
+        known = stored(spark, _stretches(spark, forest).where("free").select("id", "odd"), "known")
+        new = known.where("not odd").select("id")
+        gone = known.select("id").union(alive.join(new.withColumnRenamed("id", "early"), "early", "left_semi").select("late")).distinct()
+        gone = stored(spark, gone, "gone")
+        primaries = decided.put(primaries.union(new))
+        # a node whose every link is gone, and that isn't merged, is a primary too
+        left = alive.join(gone.withColumnRenamed("id", "early"), "early", "left_anti").join(gone.withColumnRenamed("id", "late"), "late", "left_anti").select("early", "late")
+        after = undecided.put(left)
+        single = nodes.select("id").join(gone, "id", "left_anti").join(after.select(F.col("early").alias("id")), "id", "left_anti").join(after.select(F.col("late").alias("id")), "id", "left_anti")
+        primaries, alive = decided.put(primaries.union(single)), after
+    merged = links.join(primaries.withColumnRenamed("id", "early"), "early", "left_semi").join(primaries.withColumnRenamed("id", "late"), "late", "left_anti")
     return merged.groupBy(F.col("late").alias("duplicate_id")).agg(F.min_by("early", "o").alias("primary_id"))
 
 
+Strategies = Callable[[DataFrame, DataFrame, DataFrame], list[tuple[str, DataFrame]]]
+
+
+def default_strategies(entities: DataFrame, aliases: DataFrame, mentions: DataFrame) -> list[tuple[str, DataFrame]]:
+    """What is asked after exact duplicates are one."""
+    return [("fuzzy", fuzzy_pairs(entities)), ("alias", alias_pairs(entities, aliases)), ("cooccurrence", cooccurrence_pairs(entities, mentions))]
+
+
+def resolve_all(spark: SparkSession, entities: DataFrame, aliases: DataFrame, mentions: DataFrame, strategies: Strategies = default_strategies) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(merges, aliases, deferred): passes over the active ``entities`` until none merges anything.
+
+    A pass makes entities of one name and kind one, the first by (first_seen_at, id), then draws
+    stars over the candidates of ``strategies`` among those left; aliases and mentions go to the primaries, which gain
+    the duplicates' names, before the next pass asks again. ``merges`` is (pass, duplicate_id, primary_id, root_id,
+    strategy, reason): who absorbed it, and where that one itself went in the end. ``deferred`` are the last
+    pass's candidates below AUTO. Every pass but the last merges something, so they end.
+    """
+    order = F.struct("first_seen_at", "id")
+    columns = ["id", "name", "canonical_name", "kind", "first_seen_at"]
+    active = stored(spark, entities.where("merged_into_id is null").select(*columns), "active")
+    aliases, mentions = aliases.select("entity_id", "alias", "source"), mentions.select("entity_id", "meeting_chunk_id")
+    kept, number = [], 0
+
+    def absorbed(merged: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+        moved = stored(spark, merge_aliases(aliases, active, merged), "aliases")
+        heard = stored(spark, merge_mentions(mentions, merged).distinct(), "mentions")
+        return stored(spark, active.join(merged.select(F.col("duplicate_id").alias("id")), "id", "left_anti"), "active"), moved, heard
+
+    while True:
+        number += 1
+        same = exact_groups(active, order).where("id <> first").select(F.col("id").alias("duplicate_id"), F.col("first").alias("primary_id"), F.lit("exact").alias("strategy"), F.lit("same name").alias("reason"))
+        same = stored(spark, same, "same")
+        active, aliases, mentions = absorbed(same)
+        found = stored(spark, candidates(strategies(active, aliases, mentions)), "candidates")
+        star = resolve(spark, active, found)
+        why = found.select(F.col("a"), F.col("b"), "strategy", "reason")
+        star = star.join(why, (F.least("duplicate_id", "primary_id") == F.col("a")) & (F.greatest("duplicate_id", "primary_id") == F.col("b"))).select("duplicate_id", "primary_id", "strategy", "reason")
+        star = stored(spark, star, "stars")
+        active, aliases, mentions = absorbed(star)
+        new = stored(spark, same.union(star).select(F.lit(number).alias("pass"), "*"), "merges")
+        kept.append(new)
+        if not new.limit(1).count():
+            break
+    merges = kept[0]
+    for k in kept[1:]:
+        merges = merges.union(k)
+    ends = roots(spark, merges.select(F.col("duplicate_id").alias("id"), F.col("primary_id").alias("into"))).toDF("duplicate_id", "root_id")
+    return merges.join(ends, "duplicate_id").select("pass", "duplicate_id", "primary_id", "root_id", "strategy", "reason"), aliases, deferred(found)
+
+
 def roots(spark: SparkSession, links: DataFrame) -> DataFrame:
     """(id, root) of ``links`` (id, into): chains followed to their end by pointer jumping.
 
