@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -137,14 +138,13 @@ def _stretches(spark: SparkSession, forest: DataFrame) -> DataFrame:
     An end points to itself. Steps double each round, so a chain of n takes log2(n) rounds.
     """
     rounds = Rounds(spark, "stretch")
-    here = rounds.put(forest)
+    first = here = stored(spark, forest, "forest")
     while True:
         ahead = here.where("id <> to").select(F.col("id").alias("to"), F.col("to").alias("next"), F.col("odd").alias("more"))
         if not here.join(ahead, "to", "left_semi").limit(1).count():
             break
-        here = rounds.put(here.join(ahead, "to", "left").select("id", F.coalesce("next", "to").alias("to"), (F.col("odd") != F.coalesce("more", F.lit(False))).alias("odd"), "free"))
-    ends = here.where("id = to").select("to", F.col("free").alias("end_free"))
-    return here.join(ends, "to").select("id", "to", "odd", F.col("end_free").alias("free"))
+        here = rounds.put(here.join(ahead, "to", "left").select("id", F.coalesce("next", "to").alias("to"), (F.col("odd") != F.coalesce("more", F.lit(False))).alias("odd")))
+    return here.select("id", "to", "odd").join(first.where("id = to").select("to", "free"), "to").select("id", "to", "odd", "free")
 
 
 def resolve(spark: SparkSession, entities: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -164,24 +164,25 @@ def resolve(spark: SparkSession, entities: DataFrame, pairs: DataFrame) -> DataF
     both = sure.union(sure.select("b", "a")).distinct().toDF("id", "other")
     links = both.join(order, "id").join(order.toDF("other", "oo"), "other").where("oo < o")
     links = stored(spark, links.select(F.col("other").alias("early"), F.col("id").alias("late"), F.col("oo").alias("o")), "links")
-    undecided, decided = Rounds(spark, "open"), Rounds(spark, "decided")
-    alive = undecided.put(links.select("early", "late"))
-    primaries = decided.put(links.select(F.col("early").alias("id")).where("false"))
+    undecided = Rounds(spark, "open")
+    alive, found = links.select("early", "late"), [links.select(F.col("early").alias("id")).where("false")]
     while alive.limit(1).count():
         before = alive.groupBy(F.col("late").alias("id")).agg(F.count("*").alias("n"), F.min("early").alias("first"))
-        nodes = alive.select(F.col("early").alias("id")).union(alive.select("late")).distinct().join(before, "id", "left")
+        nodes = alive.select(F.col("early").alias("id")).distinct().join(before, "id", "full")
         one = F.coalesce(F.col("n") == 1, F.lit(False))
         forest = nodes.select("id", F.when(one, F.col("first")).otherwise(F.col("id")).alias("to"), one.alias("odd"), F.col("n").isNull().alias("free"))
-        known = stored(spark, _stretches(spark, forest).where("free").select("id", "odd"), "known")
+        ends = _stretches(spark, forest)
+        known = stored(spark, ends.where("free").select("id", "odd"), "known")
         new = known.where("not odd").select("id")
-        gone = known.select("id").union(alive.join(new.withColumnRenamed("id", "early"), "early", "left_semi").select("late")).distinct()
-        gone = stored(spark, gone, "gone")
-        primaries = decided.put(primaries.union(new))
-        # a node whose every link is gone, and that isn't merged, is a primary too
+        gone = stored(spark, known.select("id").union(alive.join(new.withColumnRenamed("id", "early"), "early", "left_semi").select("late")).distinct(), "gone")
         left = alive.join(gone.withColumnRenamed("id", "early"), "early", "left_anti").join(gone.withColumnRenamed("id", "late"), "late", "left_anti").select("early", "late")
         after = undecided.put(left)
-        single = nodes.select("id").join(gone, "id", "left_anti").join(after.select(F.col("early").alias("id")), "id", "left_anti").join(after.select(F.col("late").alias("id")), "id", "left_anti")
-        primaries, alive = decided.put(primaries.union(single)), after
+        # a node that isn't merged and whose every link is gone is a primary too
+        still = stored(spark, after.select(F.col("early").alias("id")).union(after.select("late")).distinct(), "still")
+        rest = alive.select(F.col("early").alias("id")).union(alive.select("late")).distinct().join(gone, "id", "left_anti").join(still, "id", "left_anti")
+        found.append(stored(spark, new.union(rest), "primaries"))
+        alive = after
+    primaries = functools.reduce(DataFrame.union, found)
     merged = links.join(primaries.withColumnRenamed("id", "early"), "early", "left_semi").join(primaries.withColumnRenamed("id", "late"), "late", "left_anti")
     return merged.groupBy(F.col("late").alias("duplicate_id")).agg(F.min_by("early", "o").alias("primary_id"))
 
@@ -197,8 +198,8 @@ def default_strategies(entities: DataFrame, aliases: DataFrame, mentions: DataFr
 def resolve_all(spark: SparkSession, entities: DataFrame, aliases: DataFrame, mentions: DataFrame, strategies: Strategies = default_strategies) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(merges, aliases, deferred): passes over the active ``entities`` until none merges anything.
 
-    A pass makes entities of one name and kind one, the first by (first_seen_at, id), then draws
-    stars over the candidates of ``strategies`` among those left; aliases and mentions go to the primaries, which gain
+    First entities of one name and kind become one, the first by (first_seen_at, id); names don't change, so that is done
+    once. A pass draws stars over the candidates of ``strategies`` among those left; aliases and mentions go to the primaries, which gain
     the duplicates' names, before the next pass asks again. ``merges`` is (pass, duplicate_id, primary_id, root_id,
     strategy, reason): who absorbed it, and where that one itself went in the end. ``deferred`` are the last
     pass's candidates below AUTO. Every pass but the last merges something, so they end.
@@ -207,31 +208,25 @@ def resolve_all(spark: SparkSession, entities: DataFrame, aliases: DataFrame, me
     columns = ["id", "name", "canonical_name", "kind", "first_seen_at"]
     active = stored(spark, entities.where("merged_into_id is null").select(*columns), "active")
     aliases, mentions = aliases.select("entity_id", "alias", "source"), mentions.select("entity_id", "meeting_chunk_id")
-    kept, number = [], 0
 
     def absorbed(merged: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
         moved = stored(spark, merge_aliases(aliases, active, merged), "aliases")
         heard = stored(spark, merge_mentions(mentions, merged).distinct(), "mentions")
         return stored(spark, active.join(merged.select(F.col("duplicate_id").alias("id")), "id", "left_anti"), "active"), moved, heard
 
+    same = exact_groups(active, order).where("id <> first").select(F.lit(1).alias("pass"), F.col("id").alias("duplicate_id"), F.col("first").alias("primary_id"), F.lit("exact").alias("strategy"), F.lit("same name").alias("reason"))
+    kept, number = [stored(spark, same, "same")], 0
+    active, aliases, mentions = absorbed(kept[0])
     while True:
         number += 1
-        same = exact_groups(active, order).where("id <> first").select(F.col("id").alias("duplicate_id"), F.col("first").alias("primary_id"), F.lit("exact").alias("strategy"), F.lit("same name").alias("reason"))
-        same = stored(spark, same, "same")
-        active, aliases, mentions = absorbed(same)
         found = stored(spark, candidates(strategies(active, aliases, mentions)), "candidates")
-        star = resolve(spark, active, found)
-        why = found.select(F.col("a"), F.col("b"), "strategy", "reason")
-        star = star.join(why, (F.least("duplicate_id", "primary_id") == F.col("a")) & (F.greatest("duplicate_id", "primary_id") == F.col("b"))).select("duplicate_id", "primary_id", "strategy", "reason")
-        star = stored(spark, star, "stars")
-        active, aliases, mentions = absorbed(star)
-        new = stored(spark, same.union(star).select(F.lit(number).alias("pass"), "*"), "merges")
-        kept.append(new)
-        if not new.limit(1).count():
+        if not found.where(F.col("confidence") >= AUTO).limit(1).count():
             break
-    merges = kept[0]
-    for k in kept[1:]:
-        merges = merges.union(k)
+        why = found.select("a", "b", "strategy", "reason")
+        star = resolve(spark, active, found).join(why, (F.least("duplicate_id", "primary_id") == F.col("a")) & (F.greatest("duplicate_id", "primary_id") == F.col("b")))
+        kept.append(stored(spark, star.select(F.lit(number).alias("pass"), "duplicate_id", "primary_id", "strategy", "reason"), "stars"))
+        active, aliases, mentions = absorbed(kept[-1])
+    merges = functools.reduce(DataFrame.union, kept)
     ends = roots(spark, merges.select(F.col("duplicate_id").alias("id"), F.col("primary_id").alias("into"))).toDF("duplicate_id", "root_id")
     return merges.join(ends, "duplicate_id").select("pass", "duplicate_id", "primary_id", "root_id", "strategy", "reason"), aliases, deferred(found)
 
@@ -260,7 +255,7 @@ def report(entities: DataFrame, merges: DataFrame, deferred: DataFrame) -> DataF
 
 
 def _to_root(df: DataFrame, column: str, merged: DataFrame) -> DataFrame:
-    return df.join(merged.select(F.col("duplicate_id").alias(column), F.col("primary_id").alias("_to")), column, "left").withColumn(column, F.coalesce("_to", column)).drop("_to")
+    return df.join(merged.select(F.col("duplicate_id").alias(column), F.col("primary_id").alias("_to")), column, "left").withColumn(column, F.coalesce("_to", column)).select(*df.columns)
 
 
 def merge_relationships(relationships: DataFrame, merged: DataFrame) -> DataFrame:
@@ -287,56 +282,100 @@ def tombstones(entities: DataFrame, merged: DataFrame) -> DataFrame:
     return entities.join(into, "id", "left").withColumn("merged_into_id", F.coalesce("_to", "merged_into_id")).select(*entities.columns)
 
 
-def merge_history(merged: DataFrame, entities: DataFrame, aliases: DataFrame, relationships: DataFrame, at: str) -> DataFrame:
-    """A row for each merge with what it changes, as it was before, in all its columns: the duplicate, its aliases and its relationships.
+def _history_id(sequence: int, duplicate: Column | str = "duplicate_id") -> Column:
+    return F.concat(F.lit(f"merge:{sequence}:"), duplicate)
 
-    The id follows from the duplicate's; ``reason`` is 'strategy: reason' of the candidate where ``merged`` has both.
-    A row holds all relationships of its duplicate; undo() reads them one by one.
+
+def merge_events(merged: DataFrame, relationships: DataFrame, sequence: int = 1) -> DataFrame:
+    """A row for each relationship that the merges change: (relationship_id, sequence, original, and for both ends history, old, new).
+
+    An end that no merge changes has nulls. ``sequence`` numbers the batches of merges; ``original`` is the
+    row as it was, all columns. A hub's relationships are as many rows.
+    """
+    to = lambda end: merged.select(F.col("duplicate_id").alias(f"{end}_old"), F.col("primary_id").alias(f"{end}_new"), _history_id(sequence).alias(f"{end}_history"))
+    own = F.struct(*(F.col(f"`{c}`") for c in relationships.columns)).alias("original")
+    rows = relationships.select(F.col("id").alias("relationship_id"), F.col("source_entity_id").alias("source"), F.col("target_entity_id").alias("target"), own)
+    for end in ("source", "target"):
+        rows = rows.join(to(end), F.col(end) == F.col(f"{end}_old"), "left")
+    columns = [f"{end}_{c}" for end in ("source", "target") for c in ("history", "old", "new")]
+    return rows.where("source_history is not null or target_history is not null").select("relationship_id", F.lit(sequence).alias("sequence"), "original", *columns)
+
+
+def merge_history(merged: DataFrame, entities: DataFrame, aliases: DataFrame, at: str, sequence: int = 1) -> DataFrame:
+    """A row for each merge with what it changes, as it was before: the duplicate in all its columns and its aliases.
+
+    Its relationships are in merge_events(). The id follows from the batch's ``sequence`` and the duplicate, so it
+    doesn't repeat if an entity is merged again after an undo; ``reason`` is 'strategy: reason' of the candidate where ``merged`` has both.
     """
     own = F.struct(*(F.col(f"`{c}`") for c in entities.columns))
     e = entities.select(F.col("id").alias("duplicate_id"), own.alias("original_entity"))
     a = aliases.select(F.col("entity_id").alias("duplicate_id"), F.struct(*(c for c in ("alias", "source") if c in aliases.columns)).alias("a")).groupBy("duplicate_id").agg(F.array_sort(F.collect_list("a")).alias("original_aliases"))
-    kept = F.struct("id", *(F.col(f"`{c}`") for c in relationships.columns if c != "id"))
-    ends = relationships.select(F.explode(F.array_distinct(F.array("source_entity_id", "target_entity_id"))).alias("duplicate_id"), kept.alias("r"))
-    r = ends.join(merged.select("duplicate_id"), "duplicate_id", "left_semi").groupBy("duplicate_id").agg(F.array_sort(F.collect_list("r"), lambda x, y: F.when(x["id"] < y["id"], -1).when(x["id"] > y["id"], 1).otherwise(0)).alias("original_relationships"))
     why = F.concat(F.col("strategy"), F.lit(": "), F.col("reason")) if {"strategy", "reason"} <= set(merged.columns) else F.lit(None).cast("string")
-    rows = merged.select("duplicate_id", "primary_id", why.alias("reason")).join(e, "duplicate_id").join(a, "duplicate_id", "left").join(r, "duplicate_id", "left")
-    stamps = {"id": F.concat(F.lit("merge:"), "duplicate_id"), "action": F.lit("merge"), "performed_at": F.lit(at).cast("timestamp"), "undone_at": F.lit(None).cast("timestamp")}
-    return rows.withColumns(stamps)
+    rows = merged.select("duplicate_id", "primary_id", why.alias("reason")).join(e, "duplicate_id").join(a, "duplicate_id", "left")
+    return rows.withColumns({"id": _history_id(sequence), "action": F.lit("merge"), "performed_at": F.lit(at).cast("timestamp"), "undone_at": F.lit(None).cast("timestamp")})
 
 
-def _taken_back(history: DataFrame, chosen: DataFrame, action: str, at: str) -> DataFrame:
-    """``history`` after taking back its merges of ``chosen`` (id): undone_at set, and a row of ``action`` for each."""
+def _taken_back(history: DataFrame, chosen: DataFrame, action: str, at: str, sequence: int) -> DataFrame:
+    """``history`` after taking back its merges of ``chosen`` (id): undone_at set, and a row of ``action`` for each, with an id of its own."""
     now = F.lit(at).cast("timestamp")
     marked = history.join(chosen.select("id", F.lit(True).alias("_now")).distinct(), "id", "left")
     hit = F.coalesce(F.col("_now"), F.lit(False)) & (F.col("action") == "merge")
     rows = marked.withColumn("undone_at", F.when(hit, now).otherwise(F.col("undone_at"))).select(*history.columns)
-    changed = {"id": F.concat(F.lit(f"{action}:"), "duplicate_id"), "action": F.lit(action), "performed_at": now, "undone_at": F.lit(None).cast("timestamp"), "reason": F.lit(None).cast("string")}
+    changed = {"id": F.concat(F.lit(f"{action}:{sequence}:"), "id"), "action": F.lit(action), "performed_at": now, "undone_at": F.lit(None).cast("timestamp"), "reason": F.lit(None).cast("string")}
     return rows.unionByName(marked.where(hit).withColumns(changed).select(*history.columns))
 
 
 def _cleared(history: DataFrame, chosen: DataFrame, entities: DataFrame) -> DataFrame:
-    back = history.where("action = 'merge'").join(chosen.select("id"), "id", "left_semi").select(F.col("duplicate_id").alias("id"), F.lit(True).alias("_u")).distinct()
-    return entities.join(back, "id", "left").withColumn("merged_into_id", F.when(F.col("_u").isNull(), F.col("merged_into_id"))).select(*entities.columns)
+    """Tombstones of the merges of ``chosen`` cleared, unless the entity has been merged into another one since."""
+    back = history.where("action = 'merge'").join(chosen.select("id"), "id", "left_semi").select(F.col("duplicate_id").alias("id"), F.col("primary_id").alias("merged_into_id"), F.lit(True).alias("_u")).distinct()
+    marked = entities.join(back, ["id", "merged_into_id"], "left")
+    return marked.withColumn("merged_into_id", F.when(F.col("_u").isNull(), F.col("merged_into_id"))).select(*entities.columns)
 
 
-def undo(history: DataFrame, chosen: DataFrame, relationships: DataFrame, entities: DataFrame, at: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(entities, relationships, history) with the merges of ``chosen`` (id) taken back.
+def undo(spark: SparkSession, history: DataFrame, events: DataFrame, chosen: DataFrame, relationships: DataFrame, entities: DataFrame, at: str, sequence: int = 2) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(entities, relationships, history) with the merges of ``chosen`` (id) taken back, whatever their order.
 
-    Tombstones are cleared, the merged relationships are as they were in all columns, those that were deleted
-    since come back, undone_at is set and an 'undo' row added. Mentions and aliases stay.
+    Only the ends that those merges changed are taken back; an end that another merge changed stays where that one
+    put it. Each end is played again from its first value through the events (merge_events(), all batches) of merges that
+    stand, each if it finds the value that it replaced. Relationships that were deleted since come back;
+    rows of one id share their ends. Tombstones are cleared, undone_at is set and an 'undo' row added. Mentions
+    and aliases stay. A merge may be undone twice: the second time changes no relationship and adds a row; number
+    calls by ``sequence``, and the ids differ.
     """
-    gone = history.where("action = 'merge'").join(chosen.select("id"), "id", "left_semi")
-    back = gone.select(F.explode("original_relationships").alias("r")).groupBy("r.id").agg(F.min("r").alias("r")).select("r.*")  # both ends may have been merged
-    rest = relationships.join(back.select("id"), "id", "left_anti")
-    return _cleared(history, chosen, entities), rest.select(*relationships.columns).unionByName(back.select(*relationships.columns)), _taken_back(history, chosen, "undo", at)
-
-
-def split(history: DataFrame, chosen: DataFrame, aliases: DataFrame, entities: DataFrame, at: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    undone = history.where("action = 'merge'").join(chosen.select("id", F.lit(True).alias("now")).distinct(), "id", "left").where("now or undone_at is not null")
+    undone = stored(spark, undone.select("id", F.coalesce("now", F.lit(False)).alias("now")), "undone")
+    rows = events.drop("original")
+    for end in ("source", "target"):
+        rows = rows.join(undone.select(F.col("id").alias(f"{end}_history"), F.col("now").alias(f"{end}_now")), f"{end}_history", "left")
+    step = lambda end: F.struct(F.col(f"{end}_old").alias("old"), F.col(f"{end}_new").alias("new"), F.col(f"{end}_now").isNull().alias("stands"), F.coalesce(f"{end}_now", F.lit(False)).alias("now"))
+    steps = rows.select("relationship_id", "sequence", step("source").alias("source"), step("target").alias("target"))
+    spans = rows.groupBy("relationship_id").agg(F.min("sequence").alias("lo"), F.max("sequence").alias("hi")).where("lo < hi").select("relationship_id")
+    spans = stored(spark, spans, "spans")
+    once = steps.join(spans, "relationship_id", "left_anti").dropDuplicates(["relationship_id"])
+    value = lambda s: F.when(s["stands"], s["new"]).otherwise(s["old"])
+    once = once.where("source.now or target.now").select("relationship_id", value(F.col("source")).alias("source"), value(F.col("target")).alias("target"))
+    many = steps.join(spans, "relationship_id", "left_semi").groupBy("relationship_id").agg(F.array_sort(F.collect_set(F.struct("sequence", "source", "target"))).alias("steps"))
+
+    def played(end: str) -> Column:
+        own = F.filter("steps", lambda s: s[end]["old"].isNotNull())
+        first = F.try_element_at(own, F.lit(1))[end]["old"]
+        return F.aggregate(own, first, lambda at, s: F.when(s[end]["stands"] & (at == s[end]["old"]), s[end]["new"]).otherwise(at))
+
+    many = many.where(F.exists("steps", lambda s: s["source"]["now"] | s["target"]["now"])).select("relationship_id", played("source").alias("source"), played("target").alias("target"))
+    changes = stored(spark, once.union(many).toDF("id", "_source", "_target"), "changes")
+    set_ends = {"source_entity_id": F.coalesce("_source", "source_entity_id"), "target_entity_id": F.coalesce("_target", "target_entity_id")}
+    lost = changes.join(relationships.select("id"), "id", "left_anti")
+    first = events.select(F.col("relationship_id").alias("id"), "sequence", "original").join(lost.select("id"), "id", "left_semi").groupBy("id").agg(F.min_by("original", "sequence").alias("original"))
+    back = lost.join(first, "id").select("_source", "_target", "original.*").withColumns(set_ends).select(*relationships.columns)
+    kept = relationships.join(changes, "id", "left").withColumns(set_ends).select(*relationships.columns)
+    return _cleared(history, chosen, entities), kept.unionByName(back), _taken_back(history, chosen, "undo", at, sequence)
+
+
+def split(history: DataFrame, chosen: DataFrame, aliases: DataFrame, entities: DataFrame, at: str, sequence: int = 2) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(entities, aliases, history): tombstones cleared, the primary's automatic alias of the duplicate's name removed, a 'split' row added; all else stays."""
     gone = history.where("action = 'merge'").join(chosen.select("id"), "id", "left_semi")
     names = gone.select(F.col("primary_id").alias("entity_id"), F.col("original_entity.name").alias("alias"), F.lit("auto").alias("source")).distinct()
-    return _cleared(history, chosen, entities), aliases.join(names, ["entity_id", "alias", "source"], "left_anti"), _taken_back(history, chosen, "split", at)
+    return _cleared(history, chosen, entities), aliases.join(names, ["entity_id", "alias", "source"], "left_anti"), _taken_back(history, chosen, "split", at, sequence)
 
 
 def rejected_undos(requests: DataFrame, history: DataFrame) -> DataFrame:

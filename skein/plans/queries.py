@@ -365,7 +365,8 @@ def prompts_themes(spark: SparkSession, sf: str) -> DataFrame:
 def _linked(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(found, ids, mentions) of the entity answers."""
     found = extract.extracted(extract.parse_entities(_answers(spark, sf)))
-    ids = extract.upsert_entities(found, v.entities(spark, sf))
+    merged = v.entities(spark, sf).where("merged_into_id is not null").select("id", F.col("merged_into_id").alias("into"))
+    ids = extract.upsert_entities(found, v.entities(spark, sf), resolve.roots(spark, merged))
     return found, ids, extract.build_mentions(found, ids, v.meeting_chunks(spark, sf))
 
 
@@ -517,17 +518,25 @@ def match_candidates(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query
-def resolve_entities(spark: SparkSession, sf: str) -> DataFrame:
-    """Exact duplicates are one before fuzzy stars are drawn over the names that are left."""
+def resolve_fuzzy(spark: SparkSession, sf: str) -> DataFrame:
+    """Exact duplicates among parts of one type are one before fuzzy stars are drawn over the names that are left."""
     parts = v.table(spark, sf, "part").select(F.concat(F.lit("project:"), F.col("p_partkey")).alias("id"), F.col("p_name").alias("name"), F.lower("p_name").alias("canonical_name"), F.col("p_type").alias("kind"), F.lit(AS_OF).cast("timestamp").alias("first_seen_at"))
     first = resolve.exact_groups(parts).select("first").distinct().withColumnRenamed("first", "id")
     distinct = parts.join(first, "id", "left_semi")
     return resolve.resolve(spark, distinct, resolve.fuzzy_pairs(distinct))
 
 
+@query
+def resolve_entities(spark: SparkSession, sf: str) -> DataFrame:
+    """All active entities by name and alias, passes up to the fixed point."""
+    by_alias = lambda e, aliases, _: [("alias", resolve.alias_pairs(e, aliases))]
+    merges, _, _ = resolve.resolve_all(spark, v.entities(spark, sf), v.entity_aliases(spark, sf), v.mentions(spark, sf), by_alias)
+    return merges
+
+
 @query
 def resolve_exact(spark: SparkSession, sf: str) -> DataFrame:
-    return resolve.exact_groups(_parts(spark, sf)).where("id <> first").select(F.col("id").alias("duplicate_id"), F.col("first").alias("primary_id"))
+    return resolve.exact_groups(v.entities(spark, sf).where("merged_into_id is null")).where("id <> first").select(F.col("id").alias("duplicate_id"), F.col("first").alias("primary_id"))
 
 
 @query
@@ -540,7 +549,8 @@ def entity_roots(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def resolution_report(spark: SparkSession, sf: str) -> DataFrame:
     found = resolve.candidates(_strategies(spark, sf, _parts(spark, sf)))
-    return resolve.report(_parts(spark, sf), resolve_exact(spark, sf), resolve.deferred(found))
+    merges = resolve.exact_groups(_parts(spark, sf)).where("id <> first")
+    return resolve.report(_parts(spark, sf), merges, resolve.deferred(found))
 
 
 def _merged(spark: SparkSession, sf: str) -> DataFrame:
@@ -567,27 +577,33 @@ def merge_entities(spark: SparkSession, sf: str) -> DataFrame:
     return resolve.tombstones(v.entities(spark, sf), _merged(spark, sf)).select("id", "merged_into_id")
 
 
+def _reasoned(spark: SparkSession, sf: str) -> DataFrame:
+    return _merged(spark, sf).withColumns({"strategy": F.lit("exact"), "reason": F.lit("same name")})
+
+
 def _history(spark: SparkSession, sf: str) -> DataFrame:
-    merged = _merged(spark, sf).withColumns({"strategy": F.lit("exact"), "reason": F.lit("same name")})
-    return resolve.merge_history(merged, v.entities(spark, sf), v.entity_aliases(spark, sf), v.relationships(spark, sf), AS_OF)
+    return resolve.merge_history(_reasoned(spark, sf), v.entities(spark, sf), v.entity_aliases(spark, sf), AS_OF)
 
 
 def _half(history: DataFrame) -> DataFrame:
-    """Merges to be taken back: those into primaries with an even number of digits; the others stay."""
-    return history.where("length(primary_id) % 2 = 0").select("id")
+    """Merges to be taken back: those of duplicates with an even number of digits; the others stay."""
+    return history.where("length(duplicate_id) % 2 = 0").select("id")
 
 
 @query
 def merge_history(spark: SparkSession, sf: str) -> DataFrame:
-    n = lambda c: F.when(F.col(c).isNull(), F.lit(0).cast("long")).otherwise(F.size(c)).cast("long")
-    weight = F.aggregate(F.coalesce("original_relationships", F.array().cast(_history(spark, sf).schema["original_relationships"].dataType)), F.lit(0.0), lambda a, r: a + F.round(r["weight"] * 10))
-    return _history(spark, sf).select("id", "duplicate_id", "primary_id", "action", "reason", F.col("original_entity.name").alias("name"), F.col("original_entity.mention_count").alias("mention_count"), n("original_aliases").alias("n_aliases"), n("original_relationships").alias("n_relationships"), weight.cast("long").alias("tenths"))
+    events = resolve.merge_events(_merged(spark, sf), v.relationships(spark, sf))
+    ends = events.select(F.explode(F.array_distinct(F.array_compact(F.array("source_history", "target_history")))).alias("id"), F.round(F.col("original.weight") * 10).cast("long").alias("tenths"))
+    counts = ends.groupBy("id").agg(F.count("*").alias("n_relationships"), F.sum("tenths").alias("tenths"))
+    own = _history(spark, sf).select("id", "duplicate_id", "primary_id", "action", "reason", F.col("original_entity.name").alias("name"), F.col("original_entity.mention_count").alias("mention_count"), F.when(F.col("original_aliases").isNull(), 0).otherwise(F.size("original_aliases")).cast("long").alias("n_aliases"))
+    return own.join(counts, "id", "left").withColumns({c: F.coalesce(c, F.lit(0)) for c in ("n_relationships", "tenths")})
 
 
 def _undone(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    h = stored(spark, _history(spark, sf), "history")
-    after = resolve.merge_relationships(v.relationships(spark, sf), _merged(spark, sf))
-    return resolve.undo(h, _half(h), after, resolve.tombstones(v.entities(spark, sf), _merged(spark, sf)), "2024-07-01 00:00:00")
+    h, merged = stored(spark, _history(spark, sf), "history"), stored(spark, _merged(spark, sf), "merged")
+    before = stored(spark, v.relationships(spark, sf), "relationships")
+    after, events = resolve.merge_relationships(before, merged), resolve.merge_events(merged, before)
+    return resolve.undo(spark, h, events, _half(h), after, resolve.tombstones(v.entities(spark, sf), merged), "2024-07-01 00:00:00")
 
 
 @query
@@ -624,7 +640,7 @@ def split_history(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def rejected_undos(spark: SparkSession, sf: str) -> DataFrame:
     """Requests to undo every merge, every split row and a merge that never was."""
-    asked = v.merges(spark, sf).select("id", F.explode(F.array(F.concat(F.lit("merge:"), "duplicate_id"), F.concat(F.lit("split:"), "duplicate_id"), F.concat(F.lit("merge:"), "primary_id"))).alias("history_id"))
+    asked = v.merges(spark, sf).select("id", F.explode(F.array(F.concat(F.lit("merge:1:"), "duplicate_id"), F.concat(F.lit("split:2:merge:1:"), "duplicate_id"), F.concat(F.lit("merge:1:"), "primary_id"))).alias("history_id"))
     return resolve.rejected_undos(asked, _split(spark, sf)[2])
 
 

@@ -52,7 +52,7 @@ cc as (select distinct conv_id, substr(sha256(conv_id::varchar), 1, 32) as meeti
 ok as (select * from cc where conv_id % 11 <> 0 and (conv_id % 7 = 0 or conv_id % 13 <> 0)),
 ff as (select meeting_id, conv_id, turn, w as name, lower(w) as canonical_name, ['person', 'organization', 'actionItem', 'other'][(length(w) % 4 + 1)::int] as kind, 0.5 + (turn % 5) / 10 as confidence,
   row_number() over (partition by conv_id order by turn, w) - 1 as pos from ww join ok using (conv_id)),
-hv as (select canonical_name, kind, arg_min(id, (first_seen_at, id)) as have from entities group by canonical_name, kind),
+hv as (select h.canonical_name, h.kind, coalesce(e.merged_into_id, e.id) as have from (select canonical_name, kind, arg_min(id, (first_seen_at, id)) as id from entities group by canonical_name, kind) h join entities e on e.id = h.id),
 ids as (select f.canonical_name, f.kind, coalesce(have, substr(sha256(f.kind || '|' || f.canonical_name), 1, 32)) as entity_id, f.name, have is null as is_new
   from (select canonical_name, kind, arg_min(name, (meeting_id, pos)) as name from ff group by canonical_name, kind) f left join hv on hv.canonical_name = f.canonical_name and hv.kind = f.kind),
 mm as (select entity_id, meeting_id || ':' || turn as meeting_chunk_id, confidence, meeting_id from ff join ids using (canonical_name, kind))"""
@@ -73,9 +73,9 @@ _ALIASES = """al as (select entity_id, alias, max(source) as source from (
     union all select m.primary_id, d.name, 'auto' from merges m join entities d on d.id = m.duplicate_id join entities p on p.id = m.primary_id where lower(d.name) <> lower(p.name)) group by entity_id, alias)"""
 _RELINKED = "rm as (select r.id, coalesce(a.primary_id, r.source_entity_id) as source_entity_id, coalesce(b.primary_id, r.target_entity_id) as target_entity_id, kind, weight from relationships r left join merges a on a.duplicate_id = r.source_entity_id left join merges b on b.duplicate_id = r.target_entity_id)"
 _NORMAL = r"trim(regexp_replace(regexp_replace(strip_accents(lower({})), '[^a-z0-9\s]', '', 'g'), '\s+', ' ', 'g'))"
-_UNDONE = "u as (select duplicate_id, primary_id from merges where length(primary_id) % 2 = 0)"
-_TAKEN_BACK = """select 'merge:' || m.duplicate_id as id, m.duplicate_id, m.primary_id, 'merge' as action, 'exact: same name' as reason, timestamp '2024-06-01' as performed_at, case when u.duplicate_id is not null then timestamp '2024-07-01' end as undone_at
-        from merges m left join u on u.duplicate_id = m.duplicate_id union all select '{action}:' || duplicate_id, duplicate_id, primary_id, '{action}', null, timestamp '2024-07-01', null from u"""
+_UNDONE = "u as (select duplicate_id, primary_id from merges where length(duplicate_id) % 2 = 0)"
+_TAKEN_BACK = """select 'merge:1:' || m.duplicate_id as id, m.duplicate_id, m.primary_id, 'merge' as action, 'exact: same name' as reason, timestamp '2024-06-01' as performed_at, case when u.duplicate_id is not null then timestamp '2024-07-01' end as undone_at
+        from merges m left join u on u.duplicate_id = m.duplicate_id union all select '{action}:2:merge:1:' || duplicate_id, duplicate_id, primary_id, '{action}', null, timestamp '2024-07-01', null from u"""
 _MET = """mc as (select distinct e.id, e.canonical_name, o_custkey as c from mentions x join orders on 'order:' || o_orderkey = x.meeting_chunk_id join entities e on e.id = x.entity_id where e.kind = 'project' and e.merged_into_id is null),
         met as (select x.id as a, y.id as b, least(1.0, count(*) / 6)::double as confidence, count(*) || ' chunks in common' as reason from mc x join mc y on x.c = y.c and x.canonical_name = y.canonical_name and x.id < y.id group by all having count(*) >= 3)"""
 _HITS = """hits as (select 'chunk' as type, c.id, substr(text, 1, 200) as snippet, 'Speaker: ' || speaker as context, 1.0::double as score, -epoch(date)::bigint as o from meeting_chunks c join meetings m on m.id = c.meeting_id where contains({t}, '{q}')
@@ -93,6 +93,31 @@ def _searched(q: str, limit: int, offset: int) -> str:
     return f"with {_hits(q)}, k as (select *, row_number() over (partition by type order by o, id) as r from hits) select type, id, snippet, context, score from k where r <= {n} order by score desc, o, id limit {limit} offset {offset}"
 
 
+def _resolved(passes: int = 6) -> str:
+    """Passes of exact groups and alias stars; those after the fixed point add nothing. f: the survivors in order; s: primaries, from first to last.
+
+    A pass goes through the survivors one by one: each is a primary unless an earlier neighbour is.
+    """
+    out = ["""f0 as (select id, name, kind, first_seen_at from entities where merged_into_id is null), a0 as (select distinct entity_id, alias from entity_aliases), root0 as (select id, id as root from f0 where false)"""]
+    for i in range(passes):
+        j = i + 1
+        out.append(f"""x{i} as materialized (select id, arg_min(id, (first_seen_at, id)) over (partition by name, kind) as p from f{i}),
+        k{i} as materialized (select f.*, row_number() over (order by first_seen_at, f.id) as n from f{i} f join x{i} x on x.id = f.id and x.p = f.id),
+        b{i} as materialized (select distinct coalesce(x.p, a.entity_id) as entity_id, alias from a{i} a left join x{i} x on x.id = a.entity_id),
+        l{i} as materialized (select distinct least(u.n, w.n) as e, greatest(u.n, w.n) as l from b{i} b join k{i} u on u.id = b.entity_id join k{i} w on w.name = b.alias and w.kind = u.kind where u.n <> w.n),
+        g{i} as materialized (select row_number() over (order by l) as step, l, list(e) as es from l{i} group by l),
+        r{i} as (select 0::bigint as step, []::bigint[] as late union all select r.step + 1, case when len(list_filter(g.es, lambda e: not list_contains(r.late, e))) > 0 then list_append(r.late, g.l) else r.late end from r{i} r join g{i} g on g.step = r.step + 1),
+        d{i} as materialized (select unnest(late) as l from (select late from r{i} order by step desc limit 1)),
+        y{i} as materialized (select l.l, min(l.e) as e from l{i} l where l.l in (select l from d{i}) and l.e not in (select l from d{i}) group by l.l),
+        m{i} as materialized (select {j} as pass, x.id as duplicate_id, x.p as primary_id, 'exact' as strategy, 'same name' as reason from x{i} x where id <> p union all select {j}, u.id, w.id, 'alias', 'alias' from y{i} y join k{i} u on u.n = y.l join k{i} w on w.n = y.e),
+        z{i} as materialized (select u.id, w.id as p, u.name, w.name as own from y{i} y join k{i} u on u.n = y.l join k{i} w on w.n = y.e),
+        f{j} as materialized (select id, name, kind, first_seen_at from k{i} where id not in (select id from z{i})),
+        a{j} as materialized (select distinct coalesce(z.p, b.entity_id) as entity_id, alias from b{i} b left join z{i} z on z.id = b.entity_id union select p, name from z{i} where lower(name) <> lower(own))""")
+    union = " union all ".join(f"select * from m{i}" for i in range(passes))
+    out.append(f"mm as materialized ({union}), ch(id, last) as (select duplicate_id, primary_id from mm union all select ch.id, mm.primary_id from ch join mm on mm.duplicate_id = ch.last)")
+    return "with recursive " + ", ".join(out) + " select pass, m.duplicate_id, m.primary_id, ch.last as root_id, strategy, reason from mm m join ch on ch.id = m.duplicate_id where ch.last not in (select duplicate_id from mm)"
+
+
 _BODIES = {
     "ingest_documents": f"with {_PAGES} select page_no, pos, id, title, created_at, updated_at from docs",
     "dedup_pages": f"with {_PAGES}, k as (select *, row_number() over (partition by id order by page_no, pos) as r from docs) select id, page_no, pos, title from k where r = 1",
@@ -184,7 +209,8 @@ _BODIES = {
           union all select a, b, 1 - d / n, 'fuzzy', printf('similar name %.2f', 1 - d / n), 2 from fz union all select a, b, 1.0, 'alias', 'alias', 3 from al
           union all select a, b, least(1.0, n / 6)::double, 'cooccurrence', n || ' chunks in common', 4 from co)
         select a, b, confidence, strategy, reason from un qualify row_number() over (partition by a, b order by o) = 1""",
-    "resolve_exact": f"with {_PARTS}, f as (select id, min(id) over (partition by name) as first from p) select id as duplicate_id, first as primary_id from f where id <> first",
+    "resolve_entities": _resolved(),
+    "resolve_exact": "with f as (select id, min(id) over (partition by name, kind) as first from entities where merged_into_id is null) select id as duplicate_id, first as primary_id from f where id <> first",
     "entity_roots": "select c_custkey as id, c_custkey // 8 * 8 + case when c_custkey < 8 then 1 else 0 end as root from customer where c_custkey % 8 <> 0 and c_custkey > 1",
     "resolution_report": f"with {_PARTS}, f as (select id, min(id) over (partition by name) as first from p) select count(*) as entities_before, count(*) filter (id <> first) as merges, 0::bigint as deferred from f",
     "merge_relationships": f"with {_RELINKED} select {_EDGE} from rm",
@@ -193,20 +219,19 @@ _BODIES = {
     "merge_entities": "select e.id, coalesce(m.primary_id, e.merged_into_id) as merged_into_id from entities e left join merges m on m.duplicate_id = e.id",
     "merge_history": f"""with a as (select entity_id, count(*) as n from entity_aliases group by entity_id),
         r as (select id, count(*) as n, sum(round(weight * 10))::bigint as tenths from (select source_entity_id as id, weight from relationships union all select target_entity_id, weight from relationships where source_entity_id <> target_entity_id) group by id)
-        select 'merge:' || duplicate_id as id, duplicate_id, primary_id, 'merge' as action, 'exact: same name' as reason, e.name, e.mention_count, coalesce(a.n, 0) as n_aliases, coalesce(r.n, 0) as n_relationships, coalesce(tenths, 0) as tenths
+        select 'merge:1:' || duplicate_id as id, duplicate_id, primary_id, 'merge' as action, 'exact: same name' as reason, e.name, e.mention_count, coalesce(a.n, 0) as n_aliases, coalesce(r.n, 0) as n_relationships, coalesce(tenths, 0) as tenths
         from merges m join entities e on e.id = m.duplicate_id left join a on a.entity_id = m.duplicate_id left join r on r.id = m.duplicate_id""",
-    "undo_merges": f"""with {_UNDONE}, x as (select r.*, s.duplicate_id is not null or t.duplicate_id is not null as undone, a.primary_id as pa, b.primary_id as pb from relationships r
-          left join merges a on a.duplicate_id = r.source_entity_id left join merges b on b.duplicate_id = r.target_entity_id left join u s on s.duplicate_id = r.source_entity_id left join u t on t.duplicate_id = r.target_entity_id)
-        select id, case when undone or pa is null then source_entity_id else pa end as source_entity_id, case when undone or pb is null then target_entity_id else pb end as target_entity_id, kind, weight, confidence,
-          case when evidence_chunk_refs is not null then '[' || evidence_chunk_refs[1] || ']' end as refs from x
-        qualify not undone or row_number() over (partition by id, undone order by source_entity_id, target_entity_id, kind, weight, confidence) = 1""",
+    "undo_merges": f"""with {_UNDONE} select r.id, case when s.duplicate_id is null then coalesce(a.primary_id, source_entity_id) else source_entity_id end as source_entity_id,
+          case when t.duplicate_id is null then coalesce(b.primary_id, target_entity_id) else target_entity_id end as target_entity_id, kind, weight, confidence,
+          case when evidence_chunk_refs is not null then '[' || evidence_chunk_refs[1] || ']' end as refs from relationships r
+          left join merges a on a.duplicate_id = r.source_entity_id left join merges b on b.duplicate_id = r.target_entity_id left join u s on s.duplicate_id = r.source_entity_id left join u t on t.duplicate_id = r.target_entity_id""",
     "undo_entities": f"with {_UNDONE} select e.id, case when u.duplicate_id is null then coalesce(m.primary_id, e.merged_into_id) end as merged_into_id from entities e left join merges m on m.duplicate_id = e.id left join u on u.duplicate_id = e.id",
     "undo_history": f"with {_UNDONE} {_TAKEN_BACK.format(action='undo')}",
     "split_merges": f"""with {_UNDONE}, {_ALIASES}, gone as (select distinct u.primary_id as entity_id, e.name as alias from u join entities e on e.id = u.duplicate_id)
         select al.entity_id, al.alias, al.source from al left join gone on gone.entity_id = al.entity_id and gone.alias = al.alias where al.source <> 'auto' or gone.entity_id is null""",
     "split_history": f"with {_UNDONE} {_TAKEN_BACK.format(action='split')}",
-    "rejected_undos": f"""with {_UNDONE}, h as (select 'merge:' || duplicate_id as history_id, 'merge' as action from merges union all select 'split:' || duplicate_id, 'split' from u),
-        q as (select id, unnest(['merge:' || duplicate_id, 'split:' || duplicate_id, 'merge:' || primary_id]) as history_id from merges)
+    "rejected_undos": f"""with {_UNDONE}, h as (select 'merge:1:' || duplicate_id as history_id, 'merge' as action from merges union all select 'split:2:merge:1:' || duplicate_id, 'split' from u),
+        q as (select id, unnest(['merge:1:' || duplicate_id, 'split:2:merge:1:' || duplicate_id, 'merge:1:' || primary_id]) as history_id from merges)
         select id, q.history_id, case when h.action is null then 'unknown history' else 'not a merge' end as reason from q left join h on h.history_id = q.history_id where h.action is null or h.action <> 'merge'""",
     "rejected_requests": "select m.id, primary_id || 'x' as primary_id, duplicate_id, 'unknown primary' as reason from merges m where length(duplicate_id) % 2 = 0",
     "search_chunks": f"with {_hits(NEEDLE)} select type, id, snippet, context, score from hits where type = 'chunk' order by o, id limit 50",
