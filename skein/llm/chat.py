@@ -6,9 +6,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from skein.llm.shared import small, stored
+from skein.llm.shared import in_ranges, small, stored
 
-#: Turns of one window, and of one rendered part, about; only longer conversations take several.
+#: Turns of one window, and of one rendered part; only longer conversations take several.
 PART_TURNS = 5000
 
 
@@ -17,57 +17,63 @@ def _turn_hash(role: Column, text: Column) -> Column:
     return F.concat(field(role), field(text))
 
 
-def parted(spark: SparkSession, turns: DataFrame) -> DataFrame:
-    """(conv_id, part, turn, role, text): long conversations in parts of about PART_TURNS turns, by ranges of ``turn``.
+def parted(spark: SparkSession, turns: DataFrame) -> tuple[DataFrame, bool]:
+    """((conv_id, part, turn, role, text), whether any conversation has several parts): PART_TURNS turns a part, in order, whatever their numbers.
 
-    Equal turn numbers stay in one part. A conversation is long if it has over PART_TURNS
-    rows, which few are; their table is counted before it is broadcast.
+    Only the rows of conversations of over PART_TURNS are numbered: by ranges of (conv_id, turn, role, text),
+    within a range and from the sizes of the ranges before it, so neither a long conversation nor
+    equal turn numbers make one task. Which conversations are long is counted before it is broadcast.
     """
     own = turns.where("conv_id is not null").select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text")
-    long = own.groupBy("conv_id").agg(F.count("*").alias("n"), F.min("turn").alias("lo"), F.max("turn").alias("hi")).where(F.col("n") > PART_TURNS)
-    width = F.ceil((F.col("hi") - F.col("lo") + 1) / F.ceil(F.col("n") / PART_TURNS))
-    long = stored(spark, long.select("conv_id", "lo", width.alias("width")), "long")
-    part = F.coalesce(F.floor((F.col("turn") - F.col("lo")) / F.col("width")), F.when(F.col("lo").isNotNull(), F.lit(-1)), F.lit(0)).cast("long")
-    return own.join(small(long), "conv_id", "left").select("conv_id", part.alias("part"), "turn", "role", "text")
-
-
-def prefixes(spark: SparkSession, parts: DataFrame) -> DataFrame:
+    long = stored(spark, own.groupBy("conv_id").agg(F.count("*").alias("n")).where(F.col("n") > PART_TURNS).select("conv_id"), "long")
+    if not long.limit(1).count():
+        return own.select("conv_id", F.lit(0).cast("long").alias("part"), "turn", "role", "text"), False
+    rows = in_ranges(own.join(small(long), "conv_id", "left_semi"), "conv_id", "turn", "role", "text").withColumn("at", F.monotonically_increasing_id())
+    rows = stored(spark, rows.withColumn("range", F.shiftright("at", 33)), "ranged")
+    before = Window.partitionBy("conv_id").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = rows.groupBy("conv_id", "range").agg(F.count("*").alias("n"), F.min("at").alias("first"))
+    sizes = stored(spark, sizes.select("conv_id", "range", "first", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("above")), "ranges")
+    k = F.col("above") + F.col("at") - F.col("first")
+    cut = rows.join(small(sizes), ["conv_id", "range"]).select("conv_id", F.floor(k / PART_TURNS).alias("part"), "turn", "role", "text")
+    short = own.join(small(long), "conv_id", "left_anti").select("conv_id", F.lit(0).cast("long").alias("part"), "turn", "role", "text")
+    return short.union(cut), True
+
+
+def prefixes(spark: SparkSession, parts: DataFrame, several: bool) -> DataFrame:
     """(conv_id, k, whole, p, q): two rolling hashes of the first k turns, for each turn; ``whole`` marks the last.
 
     A turn's place and content make a term; a prefix is known by the terms' running exclusive
-    or, in two independent hashes of 64 bits, which rolls along windows of one part and over
+    or, in two independent hashes of 64 bits, which rolls along windows of one part and, if there are ``several``, over
     the parts' totals. Turns are ordered by (turn, role, text), nulls first.
     """
     w = Window.partitionBy("conv_id", "part").orderBy("turn", "role", "text")
-    turn = stored(spark, parts.select("conv_id", "part", F.row_number().over(w).cast("long").alias("k"), _turn_hash(F.col("role"), F.col("text")).alias("h")), "turns")
-    sizes = turn.groupBy("conv_id", "part").agg(F.count("*").alias("n"))
-    over = Window.partitionBy("conv_id").orderBy("part")
-    before = over.rowsBetween(Window.unboundedPreceding, -1)
-    many = Window.partitionBy("conv_id")
-    # what stands before a part: only conversations of several parts have any
-    base = sizes.withColumns({"base": F.coalesce(F.sum("n").over(before), F.lit(0)), "parts": F.count("*").over(many)}).where("parts > 1")
-    base = stored(spark, base.select("conv_id", "part", "base"), "bases")
-    placed = turn.join(small(base), ["conv_id", "part"], "left").withColumn("k", F.col("k") + F.coalesce("base", F.lit(0)))
-    terms = placed.select("conv_id", "part", "k", F.xxhash64(F.lit(1), "k", "h").alias("p"), F.xxhash64(F.lit(2), "k", "h").alias("q"))
-    total = terms.join(small(base.select("conv_id").distinct()), "conv_id", "left_semi").groupBy("conv_id", "part").agg(F.bit_xor("p").alias("bp"), F.bit_xor("q").alias("bq"))
-    total = stored(spark, total.select("conv_id", "part", *(F.coalesce(F.bit_xor(c).over(before), F.lit(0)).alias(c) for c in ("bp", "bq"))), "totals")
+    k = F.row_number().over(w).cast("long") + F.col("part") * PART_TURNS
+    turn = parts.select("conv_id", "part", k.alias("k"), _turn_hash(F.col("role"), F.col("text")).alias("h"))
+    terms = turn.select("conv_id", "part", "k", F.xxhash64(F.lit(1), "k", "h").alias("p"), F.xxhash64(F.lit(2), "k", "h").alias("q"))
     along = Window.partitionBy("conv_id", "part").orderBy("k")
     run = along.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    last = F.lead("k").over(along).isNull()
+    if not several:
+        return terms.select("conv_id", "k", last.alias("whole"), F.bit_xor("p").over(run).alias("p"), F.bit_xor("q").over(run).alias("q"))
+    terms = stored(spark, terms, "turns")
+    over = Window.partitionBy("conv_id").orderBy("part")
+    before = over.rowsBetween(Window.unboundedPreceding, -1)
+    total = terms.groupBy("conv_id", "part").agg(F.bit_xor("p").alias("bp"), F.bit_xor("q").alias("bq"))
+    total = total.join(total.where("part > 0").select("conv_id").distinct(), "conv_id", "left_semi")
+    final = F.lead("part").over(over).isNull().alias("final")
+    total = stored(spark, total.select("conv_id", "part", final, *(F.coalesce(F.bit_xor(c).over(before), F.lit(0)).alias(c) for c in ("bp", "bq"))), "totals")
     rolled = terms.join(small(total), ["conv_id", "part"], "left")
     roll = lambda c: F.bit_xor(c).over(run).bitwiseXOR(F.coalesce(f"b{c}", F.lit(0)))
-    last = F.lead("k").over(along).isNull()
-    out = rolled.select("conv_id", "part", "k", last.alias("ends"), roll("p").alias("p"), roll("q").alias("q"))
-    final = base.groupBy("conv_id").agg(F.max("part").alias("top"))
-    return out.join(small(final), "conv_id", "left").select("conv_id", "k", (F.col("ends") & (F.col("part") == F.coalesce("top", "part"))).alias("whole"), "p", "q")
+    return rolled.select("conv_id", "k", (last & F.coalesce("final", F.lit(True))).alias("whole"), roll("p").alias("p"), roll("q").alias("q"))
 
 
-def maximal(spark: SparkSession, parts: DataFrame) -> DataFrame:
+def maximal(spark: SparkSession, parts: DataFrame, several: bool) -> DataFrame:
     """(conv_id, n_turns) of the conversations that stay.
 
     A conversation that is a proper prefix of a longer one goes, and of equal ones the
     smallest conv_id stays: anti- and semi-joins of narrow rows, counted before the shuffle.
     """
-    rows = stored(spark, prefixes(spark, parts), "prefixes")
+    rows = stored(spark, prefixes(spark, parts, several), "prefixes")
     whole = rows.where("whole").select("k", "p", "q", "conv_id")
     proper = rows.where("not whole").select("k", "p", "q").distinct()
     first = whole.groupBy("k", "p", "q").agg(F.min("conv_id").alias("conv_id"))
@@ -81,15 +87,16 @@ def render(turns: Column) -> Column:
 
 
 def collapse(spark: SparkSession, turns: DataFrame) -> DataFrame:
-    """Maximal conversations: (conv_id, part, n_turns, rendered), a row for each part (from 0; -1 has the null turns of a long one).
+    """Maximal conversations: (conv_id, part, n_turns, rendered), a row for each part, from 0.
 
     n_turns counts the whole conversation; the parts of a long one, joined by line ends, are
     its text. Fully repeated turn rows stay as they are, rows with a null conv_id are
     left out, a null or empty text is an empty message, other columns are not looked at, and
-    an empty table gives no rows.
+    an empty table gives no rows. Turn numbers may have gaps, repeat or be of any size. A text may be of any length; a part, which is
+    one row, has PART_TURNS texts at most.
     """
-    parts = parted(spark, turns)
-    kept = parts.join(maximal(spark, parts), "conv_id")
+    parts, several = parted(spark, turns)
+    kept = parts.join(maximal(spark, parts, several), "conv_id")
     rows = kept.groupBy("conv_id", "part").agg(F.first("n_turns").alias("n_turns"), F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("turns"))
     return rows.select("conv_id", "part", "n_turns", render(F.col("turns")).alias("rendered"))
 
@@ -99,9 +106,7 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLE = f"""
-with z as (select conv_id, count(*) as n, min(turn) as lo, ceil((max(turn) - min(turn) + 1) / ceil(count(*) / {PART_TURNS})) as width from conversations where conv_id is not null group by conv_id),
-t as (select c.conv_id, case when n <= {PART_TURNS} then 0 else coalesce(floor((turn - lo) / width), -1) end::bigint as part, row_number() over (partition by c.conv_id order by turn nulls first, role nulls first, text nulls first) as k, role, text
-      from conversations c join z using (conv_id)),
+with t as (select *, (k - 1) // {PART_TURNS} as part from (select conv_id, row_number() over (partition by conv_id order by turn nulls first, role nulls first, text nulls first) as k, role, text from conversations where conv_id is not null)),
 h as (select conv_id, k, sha256(string_agg(coalesce('v' || replace(role, '|', '||'), 'n') || '|r|' || coalesce('v' || replace(text, '|', '||'), 'n') || '|t|', '') over (partition by conv_id order by k)) as h from t),
 s as (select conv_id, max(k) as n_turns, arg_max(h, k) as h from h group by conv_id),
 w as (select min(conv_id) as conv_id, n_turns from s group by h, n_turns having h not in (select h.h from h join s using (conv_id) where k < n_turns))

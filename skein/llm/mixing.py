@@ -3,15 +3,19 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from skein.llm.shared import packed, stored, unpacked
+from skein.llm.words import lean
 
 #: Weights of the sources by code point, null last, repeating.
 WEIGHTS = (5, 2, 1)
@@ -113,7 +117,7 @@ def plan(sized: DataFrame, shards: int | None, seed: int) -> tuple[list[SourcePl
 PLAN_SCHEMA = T.StructType([
     T.StructField("source", T.StringType()), T.StructField("rank", T.IntegerType()), T.StructField("source_size", T.LongType()),
     T.StructField("buckets", T.LongType()), T.StructField("target", T.DoubleType()), T.StructField("words", T.LongType()),
-    T.StructField("quota", T.LongType()), T.StructField("bits", T.IntegerType()), T.StructField("starts", T.ArrayType(T.LongType())),
+    T.StructField("quota", T.LongType()), T.StructField("bits", T.IntegerType()),
 ])
 
 
@@ -166,9 +170,9 @@ def mix(spark: SparkSession, docs: DataFrame, shards: int | None = None, seed: i
 def draws(spark: SparkSession, sized: DataFrame, shards: int | None = None, seed: int = SEED) -> DataFrame:
     """mix() of a stored table (row, doc_id, source, size)."""
     sources, block = plan(sized, shards, seed)
-    rows = [(s.source, i, s.size, max(1, math.ceil(s.docs / BUCKET_DOCS)), s.target, int(s.target), s.quota, max(2, (s.quota - 1).bit_length()), s.starts) for i, s in enumerate(sources)]
+    rows = [(s.source, i, s.size, max(1, math.ceil(s.docs / BUCKET_DOCS)), s.target, int(s.target), s.quota, max(2, (s.quota - 1).bit_length())) for i, s in enumerate(sources)]
     plans = F.broadcast(spark.createDataFrame(rows, PLAN_SCHEMA))  # at most MAX_SOURCES rows
-    short = plans.drop("starts", "bits", "quota", "words", "target", "source_size")
+    short = plans.drop("bits", "quota", "words", "target", "source_size")
     place = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
     placed = (
         sized.withColumn("source", F.col("source").cast("string"))
@@ -197,7 +201,7 @@ def draws(spark: SparkSession, sized: DataFrame, shards: int | None = None, seed
             k, at = placed["k"], placed["at"]
             lo, hi = F.greatest(p["b"], k * block), F.least(p["e"], (k + 1) * block)
             return F.struct(
-                (F.size(F.filter("starts", lambda s: s <= at)) - 1).alias("shard"),
+                at.alias("at"),
                 k.alias("block"),
                 F.pmod(lo - F.col("begin"), F.col("source_size")).alias("first_word"),
                 (hi - lo).alias("n_words"),
@@ -207,7 +211,29 @@ def draws(spark: SparkSession, sized: DataFrame, shards: int | None = None, seed
         places = F.transform(F.sequence(F.floor(p["b"] / block), last), lambda k: F.struct(k.alias("k"), permuted(k, F.col("quota"), F.col("bits"), seed, F.col("rank")).alias("at")))
         return F.transform(places, draw)
 
-    return lined.select("row", "doc_id", "source", "size", "source_size", "target", F.flatten(F.transform(parts, cut)).alias("draws"))
+    # where each source's blocks of a shard begin: MAX_CELLS numbers at most, sent once to each executor
+    starts = spark.sparkContext.broadcast([np.array(s.starts, np.int64) for s in sources])
+
+    fields = ("block", "first_word", "n_words", "order_key")
+
+    @lean
+    def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            lists, rank = b.column("draws"), b.column("rank").to_numpy()
+            n = pc.list_value_length(lists).to_numpy(zero_copy_only=False)
+            flat = lists.flatten()
+            at, of = flat.field("at").to_numpy(), np.repeat(rank, n)
+            shard = np.zeros(len(at), np.int32)
+            for r in np.unique(of):
+                shard[of == r] = np.searchsorted(starts.value[r], at[of == r], "right") - 1
+            draws = pa.StructArray.from_arrays([pa.array(shard), *(flat.field(f) for f in fields)], ["shard", *fields])
+            rows = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32)), draws)
+            yield pa.record_batch([b.column(c) for c in out[:-1]] + [rows], out)
+
+    out = ["row", "doc_id", "source", "size", "source_size", "target", "draws"]
+    drawn = lined.select(*out[:-1], "rank", F.flatten(F.transform(parts, cut)).alias("draws"))
+    schema = T.StructType([drawn.schema[c] for c in out[:-1]]).add("draws", T.ArrayType(T.StructType([T.StructField("shard", T.IntegerType()), *(T.StructField(f, T.LongType()) for f in fields)])))
+    return drawn.mapInArrow(named, schema)
 
 
 def shard_rows(spark: SparkSession, mixed: DataFrame) -> DataFrame:

@@ -14,6 +14,8 @@ from skein.llm.shared import components, stored
 from skein.llm.words import give_back, lean
 
 THRESHOLD = 0.95
+#: Cells of a matrix of vectors by lists that a task holds at a time.
+CELLS = 1 << 21
 #: Vectors of a list, about, and the most lists.
 LIST_SIZE, MAX_LISTS = 256, 16_384
 #: Vectors (about, by hash) that the lists and codebooks are fitted on: so many, or 8 a list; every vector is indexed.
@@ -26,6 +28,8 @@ SEED = 5
 
 
 @dataclass
+
+
 class Index:
     """Centroids (lists x dim), codebooks (subspaces x codewords x width) and blocks of each list."""
 
@@ -62,12 +66,22 @@ class Index:
         centroids, and their distances from it add up to ``radius`` at most. So one of them is within
         half of it, and asking the lists whose plane is as near as that loses no neighbours.
         """
-        dots = x @ self.centroids.T
-        own = dots.argmax(1)
-        apart = np.sqrt(np.maximum(2 - 2 * self.centroids @ self.centroids.T, 1e-12))[own]
-        near = (dots[np.arange(len(x)), own][:, None] - dots) / apart <= radius / 2 + 1e-9
-        near[np.arange(len(x)), own] = True
-        return *np.nonzero(near), own
+        found = []
+        step = max(1, CELLS // len(self.centroids))
+        for at in range(0, len(x), step):
+            part = x[at : at + step]
+            dots = part @ self.centroids.T
+            own = dots.argmax(1)
+            mine, which = np.unique(own, return_inverse=True)
+            apart = 2 - 2 * self.centroids[mine] @ self.centroids.T  # of the slice's own lists only
+            apart = np.sqrt(np.maximum(apart, 1e-12, out=apart), out=apart)
+            rows = np.arange(len(part))
+            dots = dots[rows, own][:, None] - dots
+            near = dots <= (radius / 2 + 1e-9) * apart[which]
+            near[rows, own] = True
+            vector, other = np.nonzero(near)
+            found.append((vector + at, other, own))
+        return tuple(np.concatenate([f[i] for f in found]) if found else np.zeros(0, np.int64) for i in range(3))
 
     def beside(self, x: np.ndarray, own: np.ndarray, other: np.ndarray) -> np.ndarray:
         """Distance of each vector from the plane between its own list and another: row by row, so that it is the same in every task."""

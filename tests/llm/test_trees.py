@@ -11,7 +11,7 @@ from collections import defaultdict
 import numpy as np
 import pytest
 
-from skein.llm import prefix_trie, style_tree, whiten
+from skein.llm import chat, pq, prefix_trie, style_tree, whiten
 
 # --- 11
 
@@ -207,3 +207,34 @@ def test_main_text_by_what_a_host_repeats(spark, monkeypatch, limit):
     assert got[300].endswith("All rights reserved by 9") and "Body 4 1 two." in got[401]
     tree = style_tree.style_tree(spark, spark.createDataFrame([(i, u, h, "t", 1, "h") for i, u, h in rows], PAGES)).where("host = 'site0.com'").collect()
     assert {r.pages for r in tree} == {30} and sum(r.importance is not None and r.importance < style_tree.NOISE for r in tree) == 3
+
+
+# --- 8, 2
+
+
+def test_parts_of_a_conversation_with_gaps_and_one_far_turn(spark, monkeypatch):
+    monkeypatch.setattr(chat, "PART_TURNS", 50)
+    turns = [*range(0, 2000, 2), *[7] * 120, *[None] * 60, 10**9]
+    df = spark.createDataFrame([(1, t, "u", f"{i}") for i, t in enumerate(turns)] + [(2, 1, "u", "x")], "conv_id long, turn long, role string, text string").repartition(3)
+    got = sorted((r.conv_id, r.part, r.rendered.count("<|im_start|>"), r.n_turns) for r in chat.collapse(spark, df).collect())
+    n = len(turns)
+    assert got == [(1, p, min(50, n - 50 * p), n) for p in range(-(-n // 50))] + [(2, 0, 1, 1)]
+
+
+def test_probes_of_many_lists_stay_small():
+    import tracemalloc
+
+    rng = np.random.default_rng(5)
+    unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
+    index = pq.Index(unit(rng.normal(size=(16_384, 16))), np.zeros((8, 256, 2)), np.ones(16_384, np.int64))
+    x = unit(rng.normal(size=(1024, 16)))
+    tracemalloc.start()
+    vector, other, own = index.probes(x, 0.3)
+    assert tracemalloc.get_traced_memory()[1] < 200 << 20
+    tracemalloc.stop()
+    dots = x[:40] @ index.centroids.T
+    assert (own[:40] == dots.argmax(1)).all()
+    apart = np.linalg.norm(index.centroids[own[:40]][:, None] - index.centroids[None], axis=2)
+    near = (dots.max(1)[:, None] - dots) / np.maximum(apart, 1e-6) <= 0.15 + 1e-9
+    near[np.arange(40), own[:40]] = True
+    assert set(zip(*np.nonzero(near), strict=True)) == {(v, o) for v, o in zip(vector.tolist(), other.tolist(), strict=True) if v < 40}
