@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from skein.functions.text import fold_ascii, matches
 
-#: Queries of one batch.
-MAX_QUERIES = 10_000
+#: Characters of the longest grams of the index.
+GRAM = 3
 #: Rank of a source among equal scores.
 RANK = {"chunk": 0, "meeting": 1, "entity": 2}
 
@@ -54,16 +54,48 @@ def search(chunks: DataFrame, meetings: DataFrame, entities: DataFrame, query: s
     return rows.orderBy(F.desc("score"), "_order", "id").limit(limit + offset).offset(offset).drop("_order")
 
 
-def batch(chunks: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """(query, rank, id): for each of many queries the first ``k`` chunks by id that contain it.
+def _grams(folded: Column, lengths: tuple[int, ...]) -> Column:
+    """The stretches of ``lengths`` characters."""
+    some = lambda n: F.when(F.length(folded) >= n, F.transform(F.sequence(F.lit(1), F.length(folded) - (n - 1)), lambda i: F.substring(folded, i, n))).otherwise(F.array().cast("array<string>"))
+    return F.concat(*(some(n) for n in lengths))
 
-    ``queries`` (query) is a stated query set, MAX_QUERIES at most, which is checked; so that it may
-    be broadcast against all chunks. A task keeps its first ``k`` of a query before anything is shuffled.
+
+def gram_index(chunks: DataFrame) -> DataFrame:
+    """Postings (gram, id, tf): every stretch of 1 to GRAM characters of each chunk's text, A-Z lower-cased, and how often it stands there.
+
+    To be stored once, by gram (``write.bucketBy`` or sorted files), and asked by many batches. Null texts have none.
+    """
+    grams = chunks.select("id", F.explode(_grams(fold_ascii(F.col("text")), tuple(range(1, GRAM + 1)))).alias("gram"))
+    return grams.groupBy("gram", "id").agg(F.count("*").alias("tf"))
+
+
+def lookup(postings: DataFrame, chunks: DataFrame, queries: DataFrame) -> DataFrame:
+    """(query, id): chunks that contain each query of ``queries`` (query), by gram_index() ``postings`` of ``chunks``.
+
+    A query of up to GRAM characters is a gram itself, and its postings are its hits. A longer one asks
+    for the rarest of its grams, which all must be there, and what that finds is held against
+    the text. Joins on grams and ids only; queries may be any number. Queries are trimmed and A-Z lower-cased;
+    empty and null ones find nothing, repeated ones count once.
+    """
+    q = queries.select("query").distinct().select("query", fold_ascii(F.trim("query")).alias("folded")).where("folded <> ''")
+    asked = q.select("query", "folded", F.explode(F.when(F.length("folded") <= GRAM, F.array("folded")).otherwise(_grams(F.col("folded"), (GRAM,)))).alias("gram")).distinct()
+    needed = postings.join(asked.select("gram").distinct(), "gram", "left_semi")
+    counts = needed.groupBy("gram").agg(F.count("*").alias("n"))
+    rarest = asked.join(counts, "gram", "left").groupBy("query", "folded").agg(F.min_by("gram", F.struct(F.coalesce("n", F.lit(0)), "gram")).alias("gram"), F.min(F.coalesce("n", F.lit(0))).alias("n")).where("n > 0")
+    found = needed.join(rarest.select("query", "folded", "gram"), "gram").select("query", "folded", "id")
+    texts = chunks.select("id", fold_ascii(F.col("text")).alias("body"))
+    sure = found.where(F.length("folded") <= GRAM).select("query", "id")
+    held = found.where(F.length("folded") > GRAM).join(texts, "id").where(F.col("body").contains(F.col("folded"))).select("query", "id")
+    return sure.union(held)
+
+
+def batch(chunks: DataFrame, queries: DataFrame, k: int, postings: DataFrame | None = None) -> DataFrame:
+    """(query, rank, id): for each of many queries the first ``k`` chunks by id that contain it, through an index of grams.
+
+    ``postings`` is the stored gram_index() of ``chunks``; it is built on the way where it isn't given. A task keeps
+    its first ``k`` of a query before they are shuffled.
     """
-    q = queries.select("query", fold_ascii(F.trim("query")).alias("folded")).where("folded <> ''")
-    if q.limit(MAX_QUERIES + 1).count() > MAX_QUERIES:
-        raise ValueError(f"over {MAX_QUERIES} queries; search in several batches")
-    hits = chunks.select("id", fold_ascii(F.col("text")).alias("body")).join(F.broadcast(q), F.col("body").contains(F.col("folded"))).select("query", "id")
+    hits = lookup(gram_index(chunks) if postings is None else postings, chunks, queries)
     w = Window.partitionBy("query").orderBy("id")
     return hits.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query", "rank", "id")
 

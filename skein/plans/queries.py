@@ -684,8 +684,11 @@ def search_page(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def search_batch(spark: SparkSession, sf: str) -> DataFrame:
-    queries = v.table(spark, sf, "nation").select(F.lower(F.substring("n_name", 1, 4)).alias("query")).distinct()
-    return search.batch(v.meeting_chunks(spark, sf), queries, 5)
+    """Pieces of nations' names, of several lengths, through a stored index of grams."""
+    name = F.lower("n_name")
+    queries = v.table(spark, sf, "nation").select(F.explode(F.array(F.substring(name, 1, 4), F.substring(name, 2, 2), F.substring(name, 1, 1), F.concat(F.substring(name, 1, 1), F.lit("he ")))).alias("query")).distinct()
+    chunks = v.meeting_chunks(spark, sf)
+    return search.batch(chunks, queries, 5, stored(spark, search.gram_index(chunks), "grams"))
 
 
 @query

@@ -239,7 +239,7 @@ _BODIES = {
     "search_entities": f"with {_hits('#00000001')} select type, id, snippet, context, score from hits where type = 'entity' order by o, id limit 50",
     "search_all": _searched(" on ", 50, 0),
     "search_page": _searched("an", 30, 60),
-    "search_batch": f"""with q as (select distinct lower(substr(n_name, 1, 4)) as query from nation), h as (select query, id, row_number() over (partition by query order by id) as rank from meeting_chunks join q on contains({_FOLD.format("text")}, trim(query))) select query, rank::int as rank, id from h where rank <= 5""",
+    "search_batch": f"""with q as (select distinct unnest([substr(x, 1, 4), substr(x, 2, 2), substr(x, 1, 1), substr(x, 1, 1) || 'he ']) as query from (select lower(n_name) as x from nation)), h as (select query, id, row_number() over (partition by query order by id) as rank from meeting_chunks join q on trim(query) <> '' and contains({_FOLD.format("text")}, trim(query))) select query, rank::int as rank, id from h where rank <= 5""",
     "token_index": r"select token, chunk_id, count(*) as tf from (select id as chunk_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')) as token from meeting_chunks) group by all",
     "audit_unique": """select 'meetings' as "table", source_id || '|' || source_adapter as key, count(*) as n from meetings group by all having count(*) > 1
         union all select 'meeting_chunks', meeting_id || '|' || chunk_index, count(*) from meeting_chunks group by all having count(*) > 1
