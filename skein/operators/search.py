@@ -65,7 +65,8 @@ def gram_index(chunks: DataFrame) -> DataFrame:
 
     To be stored once, by gram (``write.bucketBy`` or sorted files), and asked by many batches. Null texts have none.
     """
-    grams = chunks.select("id", F.explode(_grams(fold_ascii(F.col("text")), tuple(range(1, GRAM + 1)))).alias("gram"))
+    bodies = chunks.select("id", fold_ascii(F.col("text")).alias("body"))  # folded once, not once a gram
+    grams = bodies.select("id", F.explode(_grams(F.col("body"), tuple(range(1, GRAM + 1)))).alias("gram"))
     return grams.groupBy("gram", "id").agg(F.count("*").alias("tf"))
 
 
