@@ -160,11 +160,27 @@ def upsert_entities(found: DataFrame, existing: DataFrame, roots: DataFrame | No
     return incoming.join(have, keys, "left").select(*keys, F.coalesce("have", own).alias("entity_id"), "name", F.col("have").isNull().alias("is_new"))
 
 
-def build_mentions(found: DataFrame, ids: DataFrame, chunks: DataFrame) -> DataFrame:
-    """(entity_id, meeting_chunk_id, confidence); ordinals without a chunk are dropped, duplicates kept."""
-    rows = found.select("meeting_id", "canonical_name", "kind", "confidence", F.explode("mentions").alias("m")).withColumn("chunk_index", F.col("m.chunk_ordinal").cast("long"))
+def run_id(meeting_id: Column, pass_name: str, prompt_version: str) -> Column:
+    """The run of a pass over a meeting with a version of its prompt: made from the three, so a rerun has the same."""
+    return F.substring(F.sha2(F.concat_ws("|", meeting_id, F.lit(pass_name), F.lit(prompt_version)), 256), 1, 32)
+
+
+def _row_id(run: Column, *places: Column) -> Column:
+    """The id of what stands at a place of a run's answer."""
+    return F.substring(F.sha2(F.concat_ws("|", run, *(p.cast("string") for p in places)), 256), 1, 32)
+
+
+def build_mentions(found: DataFrame, ids: DataFrame, chunks: DataFrame, prompt_version: str = "v1", pass_name: str = "entities") -> DataFrame:
+    """(id, entity_id, meeting_chunk_id, confidence, extraction_run_id); ordinals without a chunk are dropped, duplicates kept.
+
+    The id follows from the run and the places of the entity and of the mention in its answer.
+    """
+    run = run_id(F.col("meeting_id"), pass_name, prompt_version)
+    rows = found.select("meeting_id", "pos", "canonical_name", "kind", "confidence", F.posexplode("mentions").alias("place", "m"))
+    rows = rows.withColumns({"chunk_index": F.col("m.chunk_ordinal").cast("long"), "extraction_run_id": run}).withColumn("id", _row_id(F.col("extraction_run_id"), F.col("pos"), F.col("place")))
     at = chunks.select("meeting_id", "chunk_index", F.col("id").alias("meeting_chunk_id"))
-    return rows.join(at, ["meeting_id", "chunk_index"]).join(ids.select("canonical_name", "kind", "entity_id"), ["canonical_name", "kind"]).select("entity_id", "meeting_chunk_id", "confidence")
+    linked = rows.join(at, ["meeting_id", "chunk_index"]).join(ids.select("canonical_name", "kind", "entity_id"), ["canonical_name", "kind"])
+    return linked.select("id", "entity_id", "meeting_chunk_id", "confidence", "extraction_run_id")
 
 
 def mention_counts(mentions: DataFrame, chunks: DataFrame, meetings: DataFrame) -> DataFrame:
@@ -173,19 +189,23 @@ def mention_counts(mentions: DataFrame, chunks: DataFrame, meetings: DataFrame)
     return mentions.join(dated, "meeting_chunk_id").groupBy("entity_id").agg(F.count("*").alias("mention_count"), F.min("date").alias("first_seen_at"), F.max("date").alias("last_seen_at"))
 
 
-def build_relationships(parsed: DataFrame, known: DataFrame) -> DataFrame:
-    """(meeting_id, source_entity_id, target_entity_id, kind, weight, evidence_chunk_refs).
+def build_relationships(parsed: DataFrame, known: DataFrame, prompt_version: str = "rel-v1", pass_name: str = "relationships") -> DataFrame:
+    """(id, meeting_id, source_entity_id, target_entity_id, kind, weight, confidence, evidence_chunk_refs, extraction_run_id).
 
     ``known`` is (meeting_id, entity_id, canonical_name, kind). Ends are found by canonical
     name or by "name (kind)", in lower case; of several the least entity_id counts; a
-    relationship with an end that isn't found is dropped. The weight is the confidence.
+    relationship with an end that isn't found is dropped. The weight is the confidence; the id follows from
+    the run and the place in its answer.
     """
     both = known.select("meeting_id", "entity_id", F.lower("canonical_name").alias("key")).union(known.select("meeting_id", "entity_id", F.lower(F.concat("canonical_name", F.lit(" ("), "kind", F.lit(")")))))
     keys = both.groupBy("meeting_id", "key").agg(F.min("entity_id").alias("entity_id"))
-    rows = parsed.where("reason is null").select("meeting_id", F.explode("relationships").alias("r"))
-    rows = rows.select("meeting_id", F.lower("r.from_entity").alias("a"), F.lower("r.to_entity").alias("b"), relationship_kind(F.col("r.type")).alias("kind"), F.col("r.confidence").alias("weight"), evidence_refs(F.col("r.evidence_chunk_ordinals")).alias("evidence_chunk_refs"))
+    rows = parsed.where("reason is null").select("meeting_id", run_id(F.col("meeting_id"), pass_name, prompt_version).alias("extraction_run_id"), F.posexplode("relationships").alias("place", "r"))
+    rows = rows.select(
+        _row_id(F.col("extraction_run_id"), F.col("place")).alias("id"), "extraction_run_id", "meeting_id", F.lower("r.from_entity").alias("a"), F.lower("r.to_entity").alias("b"), relationship_kind(F.col("r.type")).alias("kind"),
+        F.col("r.confidence").alias("weight"), F.col("r.confidence").alias("confidence"), evidence_refs(F.col("r.evidence_chunk_ordinals")).alias("evidence_chunk_refs"),
+    )
     src, dst = keys.toDF("meeting_id", "a", "source_entity_id"), keys.toDF("meeting_id", "b", "target_entity_id")
-    return rows.join(src, ["meeting_id", "a"]).join(dst, ["meeting_id", "b"]).select("meeting_id", "source_entity_id", "target_entity_id", "kind", "weight", "evidence_chunk_refs")
+    return rows.join(src, ["meeting_id", "a"]).join(dst, ["meeting_id", "b"]).select("id", "meeting_id", "source_entity_id", "target_entity_id", "kind", "weight", "confidence", "evidence_chunk_refs", "extraction_run_id")
 
 
 def evidence_refs(ordinals: Column) -> Column:
@@ -193,6 +213,11 @@ def evidence_refs(ordinals: Column) -> Column:
     return F.when(F.size(ordinals) > 0, F.transform(ordinals, lambda x: x.cast("int")))
 
 
-def extraction_runs(parsed: DataFrame, model: str, prompt_version: str, pass_name: str) -> DataFrame:
-    """One audit row for each answer, rejected ones too."""
-    return parsed.select("meeting_id", F.lit(model).alias("model"), F.lit(prompt_version).alias("prompt_version"), F.lit(pass_name).alias("pass_name"), F.when(F.col("reason").isNull(), "completed").otherwise("failed").alias("status"), F.col("reason").alias("error_message"))
+def extraction_runs(parsed: DataFrame, model: str, prompt_version: str, pass_name: str, started_at: str | None = None, completed_at: str | None = None) -> DataFrame:
+    """One audit row for each answer, rejected ones too; a rejected one isn't completed."""
+    at = lambda t: F.lit(t).cast("timestamp")
+    fine = F.col("reason").isNull()
+    return parsed.select(
+        run_id(F.col("meeting_id"), pass_name, prompt_version).alias("id"), "meeting_id", F.lit(model).alias("model"), F.lit(prompt_version).alias("prompt_version"), F.lit(pass_name).alias("pass_name"),
+        at(started_at).alias("started_at"), F.when(fine, at(completed_at)).alias("completed_at"), F.when(fine, "completed").otherwise("failed").alias("status"), F.col("reason").alias("error_message"),
+    )

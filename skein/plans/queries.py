@@ -436,12 +436,12 @@ def build_relationships(spark: SparkSession, sf: str) -> DataFrame:
     found, ids, _ = _linked(spark, sf)
     known = found.select("meeting_id", "canonical_name", "kind").distinct().join(ids, ["canonical_name", "kind"]).select("meeting_id", "entity_id", "canonical_name", "kind")
     rows = extract.build_relationships(extract.parse_relationships(_relationship_answers(spark, sf)), known)
-    return rows.select("meeting_id", "source_entity_id", "target_entity_id", "kind", "weight", F.element_at("evidence_chunk_refs", 1).alias("first_ref"))
+    return rows.select("id", "meeting_id", "source_entity_id", "target_entity_id", "kind", "weight", "confidence", F.element_at("evidence_chunk_refs", 1).alias("first_ref"), "extraction_run_id")
 
 
 @query
 def extraction_runs(spark: SparkSession, sf: str) -> DataFrame:
-    return extract.extraction_runs(extract.parse_entities(_answers(spark, sf)), "stub", "v1", "entities")
+    return extract.extraction_runs(extract.parse_entities(_answers(spark, sf)), "stub", "v1", "entities", AS_OF, AS_OF)
 
 
 # --- resolution
@@ -733,10 +733,10 @@ def cascade_delete_meetings(spark: SparkSession, sf: str) -> DataFrame:
     """Every third conversation goes, with its chunks, runs, and the mentions and relationships found in it."""
     found, ids, mentions = _linked(spark, sf)
     known = found.select("meeting_id", "canonical_name", "kind").distinct().join(ids, ["canonical_name", "kind"]).select("meeting_id", "entity_id", "canonical_name", "kind")
-    related = extract.build_relationships(extract.parse_relationships(_relationship_answers(spark, sf)), known).withColumn("extraction_run_id", F.col("meeting_id"))
-    runs = extract.extraction_runs(extract.parse_entities(_answers(spark, sf)), "stub", "v1", "entities").withColumn("id", F.col("meeting_id"))
-    run = F.substring_index("meeting_chunk_id", ":", 1)
-    tables = {"meetings": v.meetings(spark, sf), "meeting_chunks": v.meeting_chunks(spark, sf), "mentions": mentions.withColumn("extraction_run_id", run), "relationships": related, "extraction_runs": runs}
+    answers = extract.parse_relationships(_relationship_answers(spark, sf))
+    related = extract.build_relationships(answers, known)
+    runs = extract.extraction_runs(extract.parse_entities(_answers(spark, sf)), "stub", "v1", "entities").union(extract.extraction_runs(answers, "stub", "rel-v1", "relationships"))
+    tables = {"meetings": v.meetings(spark, sf), "meeting_chunks": v.meeting_chunks(spark, sf), "mentions": mentions, "relationships": related, "extraction_runs": runs}
     return _counts(audit.delete_meetings(tables, tables["meetings"].where("cast(source_id as long) % 3 = 0").select("id")))
 
 

@@ -55,7 +55,7 @@ ff as (select meeting_id, conv_id, turn, w as name, lower(w) as canonical_name,
 hv as (select h.canonical_name, h.kind, coalesce(e.merged_into_id, e.id) as have from (select canonical_name, kind, arg_min(id, (first_seen_at, id)) as id from entities group by canonical_name, kind) h join entities e on e.id = h.id),
 ids as (select f.canonical_name, f.kind, coalesce(have, substr(sha256(f.kind || '|' || f.canonical_name), 1, 32)) as entity_id, f.name, have is null as is_new
   from (select canonical_name, kind, arg_min(name, (meeting_id, pos)) as name from ff group by canonical_name, kind) f left join hv on hv.canonical_name = f.canonical_name and hv.kind = f.kind),
-mm as (select entity_id, meeting_id || ':' || turn as meeting_chunk_id, confidence, meeting_id from ff join ids using (canonical_name, kind))"""
+mm as (select substr(sha256(substr(sha256(meeting_id || '|entities|v1'), 1, 32) || '|' || pos || '|0'), 1, 32) as id, entity_id, meeting_id || ':' || turn as meeting_chunk_id, confidence, meeting_id, substr(sha256(meeting_id || '|entities|v1'), 1, 32) as extraction_run_id from ff join ids using (canonical_name, kind))"""
 _TRANSCRIPTS = "tr as (select meeting_id, string_agg('[' || chunk_index || '] [' || speaker || '] ' || text, chr(10) order by chunk_index) as transcript from meeting_chunks group by meeting_id)"
 _RELATED = """rl as (select meeting_id, list_sort(list_distinct(list(name))) as names from ff group by meeting_id),
 ra as (select meeting_id, unnest(range(1, len(names))) as i, names from rl where len(names) > 1),
@@ -180,13 +180,14 @@ _BODIES = {
     "map_entity_kind": f"select {_case('string_split(p_name, chr(32))[-1]', ENTITY_TYPES, 'other')} as kind, case when p_size % 2 = 0 then 'organization' else 'blogIdea' end as other, count(*) as n from part group by all",
     "map_relationship_kind": f"select given, {_case('given', RELATIONSHIP_TYPES, 'relatesTo')} as kind, count(*) as n from (select ['worksfor', 'WorksOn', 'works_on', 'PARTOF', 'reports'][(event_id % 5 + 1)::int] as given from events) group by given",
     "upsert_entities": f"with {_ANSWERS} select canonical_name, kind, entity_id, name, is_new from ids",
-    "build_mentions": f"with {_ANSWERS} select entity_id, meeting_chunk_id, confidence from mm",
+    "build_mentions": f"with {_ANSWERS} select id, entity_id, meeting_chunk_id, confidence, extraction_run_id from mm",
     "mention_counts": f"with {_ANSWERS} select entity_id, count(*) as mention_count, min(date) as first_seen_at, max(date) as last_seen_at from mm join meetings m on m.id = mm.meeting_id group by entity_id",
     "build_relationships": f"""with {_ANSWERS}, {_RELATED}, kw as (select distinct meeting_id, entity_id, lower(canonical_name) as key from ff join ids using (canonical_name, kind)), kf as (select meeting_id, key, min(entity_id) as entity_id from kw group by all)
-        select rr.meeting_id, s.entity_id as source_entity_id, t.entity_id as target_entity_id, kind, 0.75::double as weight, i::int as first_ref from rr join kf s on s.meeting_id = rr.meeting_id and s.key = lower(a) join kf t on t.meeting_id = rr.meeting_id and t.key = lower(b)
+        select substr(sha256(substr(sha256(rr.meeting_id || '|relationships|rel-v1'), 1, 32) || '|' || (i - 1)), 1, 32) as id, substr(sha256(rr.meeting_id || '|relationships|rel-v1'), 1, 32) as extraction_run_id,
+        rr.meeting_id, s.entity_id as source_entity_id, t.entity_id as target_entity_id, kind, 0.75::double as weight, 0.75::double as confidence, i::int as first_ref from rr join kf s on s.meeting_id = rr.meeting_id and s.key = lower(a) join kf t on t.meeting_id = rr.meeting_id and t.key = lower(b)
         where rr.meeting_id not like '0%'""",
     "extraction_runs": f"""with {_ANSWERS}, x as (select meeting_id, case when conv_id % 11 = 0 then 'not an entity answer' when conv_id % 7 <> 0 and conv_id % 13 = 0 then 'no entities' end as error_message from cc)
-        select meeting_id, 'stub' as model, 'v1' as prompt_version, 'entities' as pass_name, case when error_message is null then 'completed' else 'failed' end as status, error_message from x""",
+        select substr(sha256(meeting_id || '|entities|v1'), 1, 32) as id, meeting_id, 'stub' as model, 'v1' as prompt_version, 'entities' as pass_name, timestamp '{AS_OF}' as started_at, case when error_message is null then timestamp '{AS_OF}' end as completed_at, case when error_message is null then 'completed' else 'failed' end as status, error_message from x""",
     "match_exact": "select id, min(id) over (partition by name, kind) as first from entities where merged_into_id is null",
     "normalize_names": f"select name, {_NORMAL.format('name')} as key from (select distinct unnest(string_split(text, ' ')) as name from conversations)",
     "match_fuzzy": f"""with k as (select distinct kind, key from (select p_type as kind, {_NORMAL.format("p_name")} as key from part union all select 'word', {_NORMAL.format("w")} from (select unnest(string_split(text, ' ')) as w from conversations) where regexp_full_match(w, '[A-Z][a-z]+')) where key <> '')
@@ -259,7 +260,7 @@ _BODIES = {
         rs as (select rr.meeting_id from rr join kf s on s.meeting_id = rr.meeting_id and s.key = lower(a) join kf t on t.meeting_id = rr.meeting_id and t.key = lower(b) where rr.meeting_id not like '0%')
         select 'meetings' as "table", count(*) as n from meetings where id not in (select id from gm) union all select 'meeting_chunks', count(*) from meeting_chunks where meeting_id not in (select id from gm)
         union all select 'mentions', count(*) from mm where meeting_id not in (select id from gm) union all select 'relationships', count(*) from rs where meeting_id not in (select id from gm)
-        union all select 'extraction_runs', count(*) from cc where meeting_id not in (select id from gm)""",
+        union all select 'extraction_runs', (select count(*) from cc where meeting_id not in (select id from gm)) + (select count(distinct meeting_id) from rr where meeting_id not in (select id from gm))""",
     "audit_domains": """select 'jobs' as "table", 'kind' as "column", kind as value, count(*) as n from jobs where kind not in ('purchase', 'click') group by kind""",
     "entities_by_kind": "select kind, count(*) as n from entities where merged_into_id is null group by kind",
     "entity_card": """with a as (select entity_id as id, string_agg(distinct alias, ', ' order by alias) as aliases from entity_aliases group by entity_id),

@@ -120,3 +120,22 @@ def test_counter_stream(spark, tmp_path):
     seen = {}
     streams.counter_stream(spark.readStream.schema(j.schema).parquet(str(tmp_path / "in")), str(tmp_path / "cp"), lambda df, _: seen.update({r.status: r.n for r in df.collect()})).awaitTermination(120)
     assert seen == {r.status: r.n for r in ledger.counts(j).collect()}
+
+
+def test_mentions_and_relationships_name_their_runs(spark):
+    from skein.operators import extract
+
+    answer = json.dumps({"entities": [{"name": n, "type": "person", "confidence": 0.5, "mentions": [{"surface_form": n, "chunk_ordinal": o} for o in (0, 0, 9)]} for n in ("A", "B")]})
+    links = json.dumps({"relationships": [{"from_entity": "A", "to_entity": b, "type": "owns", "confidence": 0.75, "evidence_chunk_ordinals": [0]} for b in ("B", "B", "nobody")]})
+    answers = lambda text: spark.createDataFrame([("m", text), ("n", text), ("x", "no")], "meeting_id string, answer string")
+    chunks = spark.createDataFrame([("m:0", "m", 0), ("n:0", "n", 0)], "id string, meeting_id string, chunk_index long")
+    known = spark.createDataFrame([(m, n, n.lower(), "person") for m in "mn" for n in "AB"], "meeting_id string, entity_id string, canonical_name string, kind string")
+    ids = known.select("canonical_name", "kind", "entity_id").distinct()
+    parsed = extract.parse_entities(answers(answer))
+    found = extract.build_mentions(extract.extracted(parsed), ids, chunks).collect()
+    assert len(found) == 8 == len({r.id for r in found})  # a chunk that isn't there drops out, duplicates stay
+    assert sorted(map(tuple, found)) == sorted(map(tuple, extract.build_mentions(extract.extracted(parsed), ids, chunks).collect()))
+    runs = {r.id: r for r in extract.extraction_runs(parsed, "m", "v1", "entities", "2024-01-01", "2024-01-02").collect()}
+    assert {runs[r.extraction_run_id].meeting_id for r in found} == {"m", "n"} and sorted(r.completed_at is None for r in runs.values()) == [False, False, True]
+    rels = extract.build_relationships(extract.parse_relationships(answers(links)), known).collect()
+    assert len(rels) == 4 == len({r.id for r in rels}) and {r.confidence for r in rels} == {0.75} and not {r.extraction_run_id for r in rels} & set(runs)
