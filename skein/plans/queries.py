@@ -687,7 +687,7 @@ def search_batch(spark: SparkSession, sf: str) -> DataFrame:
     """Pieces of nations' names, of several lengths, through a stored index of grams."""
     name = F.lower("n_name")
     queries = v.table(spark, sf, "nation").select(F.explode(F.array(F.substring(name, 1, 4), F.substring(name, 2, 2), F.substring(name, 1, 1), F.concat(F.substring(name, 1, 1), F.lit("he ")))).alias("query")).distinct()
-    chunks = v.meeting_chunks(spark, sf)
+    chunks = v.meeting_chunks(spark, sf).repartition(spark.sparkContext.defaultParallelism, "id")  # a text gives a thousand grams: few rows to read, many to make
     return search.batch(chunks, queries, 5, stored(spark, search.gram_index(chunks), "grams"))
 
 
