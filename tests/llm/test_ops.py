@@ -273,6 +273,31 @@ def test_jaccard_of_a_loose_component(spark, monkeypatch):
     assert blocks >= 20 and pairs < 0.6 * blocks * (blocks + 1) / 2
 
 
+def test_jaccard_rule_is_one_for_all_sizes(spark, monkeypatch):
+    """With few tries links are missed; which ones doesn't depend on the size of their component."""
+    rng = random.Random(31)
+    docs = []
+    for t in range(12):
+        base = prose(rng, 100).split(" ")
+        for i in range(4 * t + 2):
+            v = list(base)
+            for _ in range(rng.randrange(3)):
+                v[rng.randrange(100)] = f"n{t}x{i}"
+            docs.append((100 * t + i, " ".join(v), "s"))
+    df, got = documents(spark, docs), {}
+    for block in (4096, 20, 3):
+        monkeypatch.setattr(jaccard, "BLOCK", block)
+        got[block] = rows_of(jaccard.similar(spark, df, trees=2, recall=0.3), "doc_id", "n_links", "component_id")
+    assert got[4096] == got[20] == got[3]
+    full = rows_of(jaccard.similar(spark, df), "doc_id", "n_links")
+    assert 0 < sum(r[1] for r in got[3]) < sum(r[1] for r in full)
+
+
+def test_meeting_asks_each_trie_on_its_own():
+    left, right = [np.array([1, 2, 3]), np.array([9, 9, 9])], [np.array([2, 3, 1]), np.array([7, 2, 8])]
+    assert jaccard.meeting(left, right).tolist() == [[False, True], [False, False]]
+
+
 def test_jaccard_dedup_keeps_columns(spark):
     docs = jaccard_case(random.Random(6))
     df = documents(spark, [(i, t, "s") for i, t in docs])
