@@ -10,11 +10,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skein import schemas
-from skein.functions import text
+from skein.functions import text, versions
 from skein.functions.storage import shared_dir, stored
 from skein.operators import audit, extract, graph, ingest, ledger, resolve, search
 from skein.sources import views as v
 from skein.streaming import jobs as streams
+from skein.streaming import progress
 
 AS_OF = "2024-06-01 00:00:00"
 SPAN = ("2001-02-01 00:00:00", "2001-09-30 00:00:00")
@@ -299,6 +300,29 @@ def stream_sync(spark: SparkSession, sf: str) -> DataFrame:
     return spark.read.schema(remote.schema).parquet(target)
 
 
+@query
+def stream_progress(spark: SparkSession, sf: str) -> DataFrame:
+    """What the batches of an import with a quarantine add up to."""
+    m, have, payloads = _sync(spark, sf)
+    landing, target, rows = _written(spark, "landing"), _written(spark, "meetings"), _written(spark, "progress")
+    progress.seed(have, target)
+    remote = m.join(payloads, "source_id", "left").select(*m.columns, F.col("payload").rlike(r"^\s*\[").alias("is_array"))
+    remote.repartition(3).write.parquet(landing)
+    stream = spark.readStream.schema(remote.schema).option("maxFilesPerTrigger", 1).parquet(landing)
+    progress.sync_with_progress(spark, stream, target, _written(spark, "quarantine"), rows, _written(spark, "checkpoint"), F.col("is_array"), name=f"import-{uuid.uuid4().hex}").awaitTermination()
+    return spark.read.schema(progress.PROGRESS).parquet(rows).agg(*(F.sum(c).alias(c) for c in ("found", "imported", "failed", "skipped")))
+
+
+@query
+def published_changes(spark: SparkSession, sf: str) -> DataFrame:
+    """Meetings of a table's second published version that the first doesn't have."""
+    m, have, _ = _sync(spark, sf)
+    table = _written(spark, "published")
+    first = versions.publish(spark, have, table)
+    second = versions.publish(spark, m, table, expected=first)
+    return versions.read(spark, table, second).join(versions.read(spark, table, first).select("id"), "id", "left_anti")
+
+
 # --- text, prompts and answers
 
 

@@ -159,6 +159,8 @@ _BODIES = {
     "node_degree": f"with {_graph(_NODES)}, {_DEGREES} select id, degree, 4 + 12 * ln(greatest(degree, 1) + 1) / ln((select greatest(max(degree), 1) from d) + 1) as size from d",
     "degree_rank": f"with {_graph(_NODES)}, {_DEGREES}, r as (select *, row_number() over (order by degree desc, id) as rank, count(*) over () as total from d) select id, degree, rank, floor((rank - 1) / greatest(1, ceil(total / 30)))::bigint as batch from r",
     "edge_evidence": "select id, kind, coalesce(len(evidence_chunk_refs), 0)::bigint as evidence_count from relationships",
+    "stream_progress": f"with {_SYNC} select *, found - imported - failed as skipped from (select (select count(*) from meetings) as found, (select count(*) from good) as imported, (select count(*) from fresh) - (select count(*) from good) as failed)",
+    "published_changes": "select id, source_id, title, date, source_adapter from meetings where source_id::bigint % 5 <> 0",
     "stream_job_counts": "select status, count(*) as n from jobs group by status",
     "stream_sync": "select id, source_id, case when source_id::bigint % 5 = 0 then 'stored before' else title end as title, date, source_adapter from meetings",
     "clean_text": f"select doc_id, md5(trim(regexp_replace(text, '{_SPACE}', ' ', 'g'))) as cleaned_md5 from documents",

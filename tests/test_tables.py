@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 import json
+import time
+from concurrent.futures import ThreadPoolExecutor
 
 import pytest
 from pyspark.sql import functions as F
 
+from skein.functions import versions
 from skein.operators import audit, ingest, ledger, search
 from skein.streaming import jobs as streams
+from skein.streaming import progress
 
 M = "id string, source_id string, title string, date timestamp, summary string, source_adapter string"
 
@@ -114,6 +118,91 @@ def test_sync_stream(spark, tmp_path):
     assert sorted(r.id for r in spark.read.parquet(target).collect()) == ["1", "2"] or sorted(r.id for r in spark.read.parquet(target).collect()) == ["1", "2", "3"]
 
 
+def test_sync_with_progress(spark, tmp_path):
+    """Three batches: new, repeated, stored before, unreadable; the listener hears what the table holds."""
+    at = {n: str(tmp_path / n) for n in ("in", "out", "bad", "rows", "cp")}
+    progress.seed(meetings(spark, [("0", "old", None)]), at["out"])
+    heard = []
+    listener = progress.ImportListener(heard.append)
+    spark.streams.addListener(listener)
+
+    def run():
+        stream = spark.readStream.schema(batches[0].schema).parquet(at["in"])
+        progress.sync_with_progress(spark, stream, at["out"], at["bad"], at["rows"], at["cp"], F.col("title") != "?", listener, name="test").awaitTermination(240)
+
+    batches = [meetings(spark, b) for b in ([("0", "new", None), ("1", "a", None), ("1", "a", None), ("2", "?", None)], [("1", "b", None), ("2", None, None), ("3", "c", None)], [("2", "d", None)])]
+    try:
+        for b in batches:
+            b.coalesce(1).write.mode("append").parquet(at["in"])
+            run()
+        until = time.time() + 60
+        while len(heard) < 3 and time.time() < until:
+            time.sleep(0.1)
+    finally:
+        spark.streams.removeListener(listener)
+    want = [(0, 4, 1, 2, 1), (1, 3, 1, 1, 1), (2, 1, 1, 0, 0)]
+    rows = spark.read.schema(progress.PROGRESS).parquet(at["rows"]).select("batch", "found", "imported", "skipped", "failed")
+    assert sorted(map(tuple, rows.collect())) == want
+    assert [tuple(r[c] for c in ("batch", "found", "imported", "skipped", "failed")) for r in heard] == want and heard[0]["rows_per_second"] > 0
+    assert sorted((r.id, r.title) for r in spark.read.parquet(at["out"]).collect()) == [("0", "old"), ("1", "a"), ("2", "d"), ("3", "c")]
+    assert sorted(r.id for r in spark.read.parquet(at["bad"]).collect()) == ["2", "2"]
+
+
+def test_progress_of_a_batch_that_runs_again(spark, tmp_path):
+    """The third batch's commit is lost, as if the driver had died: it runs again and changes nothing."""
+    at = {n: str(tmp_path / n) for n in ("in", "out", "bad", "rows", "cp")}
+    m = meetings(spark, [("1", "a", None), ("2", "?", None)])
+    m.write.parquet(at["in"])
+    for _ in range(2):
+        stream = spark.readStream.schema(m.schema).parquet(at["in"])
+        progress.sync_with_progress(spark, stream, at["out"], at["bad"], at["rows"], at["cp"], F.col("title") != "?", name="again").awaitTermination(240)
+        for f in (tmp_path / "cp" / "commits").glob("*0*"):
+            f.unlink()
+    got = lambda n: spark.read.parquet(at[n]).collect()
+    assert [r.id for r in got("out")] == ["1"] and [r.id for r in got("bad")] == ["2"]
+    assert [(r.found, r.imported, r.skipped, r.failed) for r in got("rows")] == [(2, 1, 0, 1)]
+
+
+def test_published_versions(spark, tmp_path):
+    table = str(tmp_path / "t")
+    rows = lambda *ids: spark.createDataFrame([(i,) for i in ids], "id long")
+    ids = lambda df: sorted(r.id for r in df.collect())
+    assert versions.current(spark, table) == 0 and versions.versions(spark, table) == []
+    with pytest.raises(FileNotFoundError):
+        versions.read(spark, table)
+    assert versions.publish(spark, rows(1), table) == 1
+    first = versions.read(spark, table)
+    assert versions.publish(spark, rows(1, 2), table, expected=1) == 2
+    with pytest.raises(versions.Conflict):
+        versions.publish(spark, rows(9), table, expected=1)
+    assert ids(first) == [1] and ids(versions.read(spark, table)) == [1, 2] and len(list((tmp_path / "t" / "data").iterdir())) == 2
+    with versions.pinned(spark, table, 1) as df:
+        assert versions.publish(spark, rows(), table) == 3  # an empty version
+        assert versions.expire(spark, table, keep=1) == [2] and ids(df) == [1]
+    assert ids(versions.read(spark, table)) == [] and versions.read(spark, table).columns == ["id"]
+    with pytest.raises(FileNotFoundError), versions.pinned(spark, table, 2):
+        pass
+    assert versions.expire(spark, table, keep=1) == [1] and versions.versions(spark, table) == [3]
+    (tmp_path / "t" / "data" / "left-behind").mkdir()
+    assert versions.expire(spark, table, pin_hours=-1) == [] and len(list((tmp_path / "t" / "data").iterdir())) == 1
+
+
+def test_one_of_two_writers_wins(spark, tmp_path):
+    table = str(tmp_path / "t")
+    versions.publish(spark, spark.range(1), table)
+
+    def write(k):
+        try:
+            return versions.publish(spark, spark.range(k), table, expected=1)
+        except versions.Conflict:
+            return None
+
+    with ThreadPoolExecutor(4) as pool:
+        out = list(pool.map(write, (10, 20, 30, 40)))
+    assert sorted(out, key=str) == [2, None, None, None]
+    assert versions.read(spark, table).count() == (10, 20, 30, 40)[out.index(2)]
+
+
 def test_counter_stream(spark, tmp_path):
     j = ledger_case(spark)
     j.write.parquet(str(tmp_path / "in"))
