@@ -30,35 +30,117 @@ def exact_pairs(entities: DataFrame) -> DataFrame:
     return pairs.select("a", "b", F.lit(1.0).alias("confidence"), F.lit("same name").alias("reason"))
 
 
+def _within(length: Column) -> Column:
+    """The distance up to which names of that length are similar."""
+    return F.floor(length / 5).cast("int")
+
+
+def _segment(length: Column, i: Column) -> tuple[Column, Column]:
+    """Where segment ``i`` of a name of that length starts, and its width."""
+    at = lambda j: F.floor(length * j / (_within(length) + 1)).cast("int")
+    return at(i), at(i + 1) - at(i)
+
+
+def _segments(names: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(shorter names' pieces x, own, longer names' segments y), both by (kind, len, i, part); other columns of ``names`` stay.
+
+    If the distance is at most k, one of k + 1 segments of the longer name stands in the
+    shorter one, moved by k places at most; so similar names meet on a segment.
+    """
+    rest = [F.col(c) for c in names.columns if c not in ("kind", "key")]
+    n, size, i = F.length("key"), F.col("len"), F.col("i")
+    start, width = _segment(size, i)
+    long = names.where(n > 0).select("kind", F.col("key").alias("y"), *rest, n.alias("len"), F.explode(F.sequence(F.lit(0), _within(n))).alias("i"))
+    long = long.select("kind", "y", *rest, "len", "i", F.substring("y", start + 1, width).alias("part"))
+    short = names.where(n > 0).select("kind", F.col("key").alias("x"), *rest, n.alias("own"))
+    short = short.withColumn("len", F.explode(F.sequence(F.col("own"), F.floor(F.col("own") * 5 / 4).cast("int")))).where(size - F.col("own") <= _within(size))
+    short = short.withColumn("i", F.explode(F.sequence(F.lit(0), _within(size)))).withColumns({"s": start, "w": width})
+    short = short.withColumn("s", F.explode(F.sequence(F.col("s") - _within(size), F.col("s") + _within(size)))).where("s >= 0 and s + w <= own")
+    return short.select("kind", "x", *rest, "len", "i", F.substring("x", F.col("s") + 1, F.col("w")).alias("part")).distinct(), long
+
+
+_LONGER = "length(x) < len or (length(x) = len and x < y)"
+_DISTANCE = "levenshtein(x, y, cast(floor(len / 5) as int))"
+
+
 def fuzzy_names(names: DataFrame) -> DataFrame:
     """Pairs (kind, x, y, distance, longest) of distinct normalised names with 5 * distance <= longest length.
 
-    ``names`` is (kind, key), distinct. If the distance is at most k, one of k + 1 segments of
-    the longer name stands in the shorter one, moved by k places at most. So equal segments
-    are joined instead of all pairs; nothing within the bound is lost. Names are longer by
-    length, then by text.
+    ``names`` is (kind, key), distinct. Equal segments are joined instead of all pairs; nothing
+    within the bound is lost. Names are longer by length, then by text. The result grows with the square of a
+    group of similar names; near_name_classes() has a row a name instead.
     """
-    n = F.length("key")
-    k = lambda length: F.floor(length / 5).cast("int")
-    at = lambda length, i, parts: F.floor(length * i / parts).cast("int")  # noqa: E731  where segment i starts
-    seg = F.explode(F.sequence(F.lit(0), k(n))).alias("i")
-    long = names.where(n > 0).select("kind", F.col("key").alias("y"), n.alias("len"), seg)
-    start, stop = at(F.col("len"), F.col("i"), k(F.col("len")) + 1), at(F.col("len"), F.col("i") + 1, k(F.col("len")) + 1)
-    long = long.select("kind", "y", "len", "i", F.substring("y", start + 1, stop - start).alias("part"))
-
-    short = names.where(n > 0).select("kind", F.col("key").alias("x"), n.alias("own"))
-    short = short.select("kind", "x", "own", F.explode(F.sequence(F.col("own"), F.floor(F.col("own") * 5 / 4).cast("int"))).alias("len"))
-    short = short.where(F.col("len") - F.col("own") <= k(F.col("len"))).select("kind", "x", "own", "len", F.explode(F.sequence(F.lit(0), k(F.col("len")))).alias("i"))
-    start, stop = at(F.col("len"), F.col("i"), k(F.col("len")) + 1), at(F.col("len"), F.col("i") + 1, k(F.col("len")) + 1)
-    short = short.select("kind", "x", "own", "len", "i", start.alias("s"), (stop - start).alias("w"), F.explode(F.sequence(-k(F.col("len")), k(F.col("len")))).alias("move"))
-    short = short.where((F.col("s") + F.col("move") >= 0) & (F.col("s") + F.col("move") + F.col("w") <= F.col("own")))
-    short = short.select("kind", "x", "len", "i", F.substring("x", F.col("s") + F.col("move") + 1, F.col("w")).alias("part")).distinct()
-    longer = (F.length("x") < F.col("len")) | ((F.length("x") == F.col("len")) & (F.col("x") < F.col("y")))
-    d = F.expr("levenshtein(x, y, cast(floor(len / 5) as int))")
-    near = short.join(long, ["kind", "len", "i", "part"]).where(longer).withColumn("distance", d).where("distance >= 0")
+    short, long = _segments(names.select("kind", "key"))
+    near = short.join(long, ["kind", "len", "i", "part"]).where(_LONGER).withColumn("distance", F.expr(_DISTANCE)).where("distance >= 0")
     return near.select("kind", "x", "y", "distance", F.col("len").alias("longest")).distinct()
 
 
+def _cells(short: DataFrame, long: DataFrame, block: int) -> tuple[DataFrame, DataFrame, list[str]]:
+    """Both sides with the keys on which they meet: a segment that many names share is cut into cells of about ``block`` by ``block`` names."""
+    keys = ["kind", "len", "i", "part"]
+    many = lambda df, name: df.groupBy(*keys).agg(F.ceil(F.count("*") / block).alias(name))
+    hot = stored(short.sparkSession, many(short, "rows").join(many(long, "columns"), keys).where("rows > 1 or columns > 1"), "hot")
+
+    def dealt(df: DataFrame, own: str, mine: str, other: str, place: tuple[str, str]) -> DataFrame:
+        one = F.lit(1).cast("long")
+        cut = df.join(hot, keys, "left").withColumns({c: F.coalesce(c, one) for c in ("rows", "columns")})
+        cut = cut.withColumns({place[0]: F.pmod(F.xxhash64(own), F.col(mine)), place[1]: F.explode(F.sequence(F.lit(0).cast("long"), F.col(other) - 1))})
+        return cut.drop("rows", "columns")
+
+    return dealt(short, "x", "rows", "columns", ("row", "column")), dealt(long, "y", "columns", "rows", ("column", "row")), [*keys, "row", "column"]
+
+
+def _met_before() -> Column:
+    """Whether x and y of segment ``i`` share an earlier segment of y too: some place within its reach in x holds it."""
+    size = F.col("len")
+
+    def held(j: Column) -> Column:
+        start, width = _segment(size, j)
+        low, high = F.greatest(start - _within(size), F.lit(0)), F.least(start + width + _within(size), F.length("x"))
+        return F.contains(F.substring("x", low + 1, high - low), F.substring("y", start + 1, width))
+
+    return F.exists(F.slice(F.sequence(F.lit(0), F.col("i")), F.lit(1), F.col("i")), held)
+
+
+def near_name_classes(spark: SparkSession, names: DataFrame, block: int = BLOCK) -> DataFrame:
+    """(kind, key, representative, members, n_links) for each distinct normalised name: a row a name, whatever the number of pairs.
+
+    ``names`` is (kind, key); repeated rows count once, nulls and empty names are left out. Names are linked as in
+    fuzzy_names(); ``n_links`` counts a name's links, a class is what links connect, its representative the least name.
+    A pair is looked at on the first segment that it shares only, so it counts once and no pair is stored or
+    shuffled: counts and least neighbours are summed up where the pairs arise. Classes grow as a forest: each joins
+    the least class that it is linked with, and pairs within one class are passed over from then on; the number of
+    classes with links outwards halves at least each round. A segment of many names is cut into cells.
+    """
+    nodes = names.where("kind is not null and key <> ''").select("kind", "key").distinct()
+    nodes = stored(spark, nodes.withColumn("id", F.monotonically_increasing_id()), "names")
+    short, long, keys = _cells(*_segments(nodes), block)
+    short, long = stored(spark, short.withColumnRenamed("id", "a"), "short"), stored(spark, long.withColumnRenamed("id", "b"), "long")
+    # few bytes, many comparisons: adaptive execution would put cells together by their bytes
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    classes, links, crossed = nodes.select("id", F.col("id").alias("class")), None, True
+    while crossed:
+        left = short.join(classes.toDF("a", "p"), "a").repartition(tasks, *keys)
+        right = long.join(classes.toDF("b", "q"), "b").repartition(tasks, *keys)
+        near = left.join(right, keys).where(F.expr(_LONGER) & (F.col("p") != F.col("q")) & (F.expr(_DISTANCE) >= 0) & ~_met_before())
+        ends = near.select(F.explode(F.array(F.struct(F.col("a").alias("id"), F.col("p").alias("class"), F.col("q").alias("to")), F.struct(F.col("b").alias("id"), F.col("q").alias("class"), F.col("p").alias("to")))).alias("e")).select("e.*")
+        if links is None:
+            found = stored(spark, ends.groupBy("id").agg(F.min("class").alias("class"), F.min("to").alias("to"), F.count("*").alias("n")), "links")
+            links = found.select("id", "n")
+        else:
+            found = stored(spark, ends.groupBy("class").agg(F.min("to").alias("to")), "joins")
+        crossed = found.limit(1).count() > 0
+        if crossed:
+            into = found.select(F.col("class").alias("id"), F.col("to").alias("into"))
+            # two classes that join each other: the lesser stays; longer circles of least neighbours don't exist
+            mutual = into.join(into.toDF("into", "id"), ["id", "into"], "left_semi").where("id < into").select("id")
+            ends = roots(spark, into.join(mutual, "id", "left_anti"))
+            classes = stored(spark, classes.join(ends.toDF("class", "root"), "class", "left").select("id", F.coalesce("root", "class").alias("class")), "classes")
+    rows = nodes.join(classes, "id").join(links, "id", "left").withColumn("n_links", F.coalesce("n", F.lit(0).cast("long")))
+    groups = rows.groupBy("class").agg(F.min("key").alias("representative"), F.count("*").alias("members"))
+    return rows.join(groups, "class").select("kind", "key", "representative", "members", "n_links")
+
+
 def similarity(distance: Column, longest: Column) -> Column:
     return 1 - distance / longest
 

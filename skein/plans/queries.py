@@ -493,6 +493,12 @@ def match_fuzzy(spark: SparkSession, sf: str) -> DataFrame:
     return resolve.fuzzy_names(parts.union(words).where("key <> ''").distinct()).select("kind", "x", "y", F.col("distance").cast("long").alias("distance"))
 
 
+@query
+def near_name_classes(spark: SparkSession, sf: str) -> DataFrame:
+    names = v.entities(spark, sf).where("merged_into_id is null").select("kind", text.normalize_name(F.col("name")).alias("key"))
+    return resolve.near_name_classes(spark, names)
+
+
 @query
 def match_alias(spark: SparkSession, sf: str) -> DataFrame:
     return resolve.alias_pairs(v.entities(spark, sf).where("merged_into_id is null"), v.entity_aliases(spark, sf)).select("a", "b", "confidence")

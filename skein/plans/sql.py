@@ -195,6 +195,12 @@ _BODIES = {
     "match_fuzzy": f"""with k as (select distinct kind, key from (select p_type as kind, {_NORMAL.format("p_name")} as key from part union all select 'word', {_NORMAL.format("w")} from (select unnest(string_split(text, ' ')) as w from conversations) where regexp_full_match(w, '[A-Z][a-z]+')) where key <> '')
         select a.kind, a.key as x, b.key as y, levenshtein(a.key, b.key) as distance from k a join k b on a.kind = b.kind and (length(a.key) < length(b.key) or (length(a.key) = length(b.key) and a.key < b.key))
         where abs(length(a.key) - length(b.key)) * 5 <= length(b.key) and levenshtein(a.key, b.key) * 5 <= length(b.key)""",
+    "near_name_classes": f"""with recursive k as (select distinct kind, key from (select kind, {_NORMAL.format("name")} as key from entities where merged_into_id is null) where key <> ''),
+        near as materialized (select a.kind, a.key as x, b.key as y from k a join k b on a.kind = b.kind and a.key <> b.key
+          where abs(length(a.key) - length(b.key)) * 5 <= greatest(length(a.key), length(b.key)) and levenshtein(a.key, b.key) * 5 <= greatest(length(a.key), length(b.key))),
+        r as (select 0 as step, kind, key, key as label from k union all select step + 1, r.kind, x, min(label) from r join (select * from near union all select kind, key, key from k) n on n.kind = r.kind and n.y = r.key where step < 40 group by all),
+        c as (select kind, key, label from r where step = 40)
+        select c.kind, c.key, label as representative, count(*) over (partition by c.kind, label) as members, coalesce(n, 0)::bigint as n_links from c left join (select kind, x, count(*) as n from near group by all) d on d.kind = c.kind and d.x = c.key""",
     "match_alias": f"with p as (select * from entities where merged_into_id is null) select distinct least(p.id, o.id) as a, greatest(p.id, o.id) as b, 1.0::double as confidence from entity_aliases x join p on p.name = x.alias join p o on o.id = x.entity_id and o.kind = p.kind where p.id <> o.id",
     "comention_pairs": "with m as (select distinct entity_id, meeting_chunk_id from mentions) select x.entity_id as a, y.entity_id as b, count(*) as shared from m x join m y on x.meeting_chunk_id = y.meeting_chunk_id and x.entity_id < y.entity_id group by all having count(*) > 1",
     "match_cooccurrence": f"with {_MET} select * from met",
