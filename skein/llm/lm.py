@@ -60,14 +60,16 @@ class Pairs:
 
 def pairs_of(tokens: np.ndarray, sizes: np.ndarray, with_docs: bool) -> Pairs:
     table, ids = np.unique(np.concatenate([[START], tokens]), return_inverse=True)
-    start, ids = ids[0], ids[1:].astype(np.int64)
-    before = np.concatenate([[start], ids[:-1]])
-    before[np.concatenate([[0], np.cumsum(sizes)[:-1]])] = start
-    code = before * len(table) + ids
+    code = ids[:-1].astype(np.int64)
+    code[np.concatenate([[0], np.cumsum(sizes)[:-1]])] = ids[0]
+    code *= len(table)
+    code += ids[1:]
+    del ids
     docs = None
     if with_docs:
         order = np.argsort(code, kind="stable")
-        code, docs = code[order], np.repeat(np.arange(len(sizes)), sizes)[order]
+        code, docs = code[order], np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)[order]
+        del order
         at = np.flatnonzero(np.concatenate([[True], code[1:] != code[:-1]]))
         code, count = code[at], np.diff(np.append(at, len(code)))
     else:
@@ -88,8 +90,9 @@ def flushes(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[tuple[np
                 ids += names[lo:hi]
                 n += len(t)
                 if n >= FLUSH:
-                    yield np.concatenate(held), np.concatenate(sizes), ids
-                    held, sizes, ids, n = [], [], [], 0
+                    whole = np.concatenate(held), np.concatenate(sizes), ids
+                    held, sizes, ids, n = [], [], [], 0  # the parts go before the whole is worked on
+                    yield whole
     if n:
         yield np.concatenate(held), np.concatenate(sizes), ids
 
@@ -456,7 +459,6 @@ def _score_out(shared, shared_pairs):
         for k, (tokens, sizes, ids) in enumerate(flushes(batches, "doc_id")):
             origin, n = (part << 20) + k, len(sizes)
             p = pairs_of(tokens, sizes, True)
-            event = np.repeat(np.arange(len(p.count)), p.count)
             where = st.hot_place(p.table)
             a = where[p.prev]
             known = a >= 0
@@ -470,7 +472,8 @@ def _score_out(shared, shared_pairs):
             done = (hp.codes[at] == code) if len(hp.codes) else np.zeros(len(code), bool)
             if len(hp.codes):
                 here = here + np.where(done, hp.gains[at], 0)
-            n_known, base, score = _sums(p.docs, n, seen[event], base[event], here[event])
+            n_known, base, score = (_sums(p.docs, n, np.repeat(x, p.count))[0] for x in (seen, base, here))  # a number an event, for one sum at a time
+            del a, b, known, real, count, here, seen, code, at
             n_known, base, score = n_known + (st.texts > 0), base + st.log_base(end), score + st.log_p(end)
             rows = [(origin, -1, 0, pack({"ids": np.array([x if x is not None else 0 for x in ids], np.int64), "null": np.array([x is None for x in ids], np.uint8), "sizes": sizes.astype(np.int64), "known": n_known, "base": base, "score": score}), b"", b"", b"", b"")]
             starts = np.concatenate([[0], np.cumsum(p.count)])

@@ -238,3 +238,18 @@ def test_probes_of_many_lists_stay_small():
     near = (dots.max(1)[:, None] - dots) / np.maximum(apart, 1e-6) <= 0.15 + 1e-9
     near[np.arange(40), own[:40]] = True
     assert set(zip(*np.nonzero(near), strict=True)) == {(v, o) for v, o in zip(vector.tolist(), other.tolist(), strict=True) if v < 40}
+
+
+def test_counting_pairs_holds_few_bytes_a_token():
+    import tracemalloc
+
+    import numpy as np
+
+    from skein.llm import lm
+
+    tokens = np.random.default_rng(1).zipf(1.2, 1_000_000).astype(np.uint64) * np.uint64(2654435761)
+    tracemalloc.start()
+    pairs = lm.pairs_of(tokens, np.full(5000, 200), True)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 54 * len(tokens) and pairs.count.sum() == len(tokens) == len(pairs.docs)
