@@ -11,7 +11,7 @@ parts that need not meet in one place:
     log p(w), log g(v)                                   from the word's own entry
     gain(v, w) = log(1 + (c(v w) - D) / (c(v) g(v) p(w)))  from the pair's entry
 
-Entries live in shards by word hash. Very common words and pairs (over HOT_SHARE of all,
+Entries live in shards by word hash; what a task holds at a time is a flush or a shard, whatever the input. Very common words and pairs (over HOT_SHARE of all,
 so a bounded number) are broadcast; pairs of a very common first word are dealt by both.
 """
 
@@ -29,11 +29,15 @@ from pyspark.sql import functions as F
 
 from skein.functions.storage import discard, fresh
 from skein.llm.elias_fano import Trie, mapped, pack
-from skein.llm.shared import stored, written
+from skein.llm.shared import bounded, stored, written
 from skein.llm.words import Hasher, SPACED, lean
 
 #: Tokens that a task gathers before it passes them on, and tokens of a shard, about.
-FLUSH, SHARD = 1_000_000, 2_000_000
+FLUSH, SHARD = 1_000_000, 500_000
+#: Neighbouring shards that make a group: texts are scored, and counts are asked for, by group, so that rows stay few.
+GROUP = 4
+#: Bytes of rows that a task passes on at a time, about.
+PASS = 1 << 20
 #: A word or pair of twice this share of all is known as common; at most 1 / HOT_SHARE are.
 HOT_SHARE = 1e-4
 #: Stand for the start and the end of a text.
@@ -125,6 +129,10 @@ class Hot:
     pairs: np.ndarray  # (n, 2)
     shards: int
 
+    @property
+    def groups(self) -> int:
+        return -(-self.shards // GROUP)
+
     def is_hot(self, words: np.ndarray) -> np.ndarray:
         at = np.minimum(np.searchsorted(self.words, words), len(self.words) - 1)
         return self.words[at] == words
@@ -178,12 +186,27 @@ def _blobs(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], _NAMES)
 
 
-def _dealt(p: Pairs, hot: Hot) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(order of the pairs by shard, their shards, whether the first word is common)."""
-    known = hot.is_hot(p.table)[p.prev]
-    shard = hot.shard(p.table[p.prev], known, p.table[p.cur])
+def _passed(rows: Iterator[tuple]) -> Iterator[pa.RecordBatch]:
+    """Rows of blobs in batches of about PASS bytes, formed as they go."""
+    held, size = [], 0
+    for r in rows:
+        held.append(r)
+        size += sum(map(len, r[3:]))
+        if size >= PASS:
+            yield _blobs(held)
+            held, size = [], 0
+    if held:
+        yield _blobs(held)
+
+
+def _dealt(p: Pairs, hot: Hot) -> tuple[np.ndarray, np.ndarray]:
+    """(order of the pairs by shard, their shards)."""
+    known, shard = hot.is_hot(p.table), np.empty(len(p.prev), np.int32)
+    for at in range(0, len(shard), 1 << 17):  # few temporary copies
+        prev, cur = p.prev[at : at + (1 << 17)], p.cur[at : at + (1 << 17)]
+        shard[at : at + (1 << 17)] = hot.shard(p.table[prev], known[prev], p.table[cur])
     order = np.argsort(shard, kind="stable")
-    return order, shard[order], known[order]
+    return order, shard[order]
 
 
 def _grouped(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -199,13 +222,13 @@ def _count_out(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hot: Hot = shared.value
         for tokens, sizes, _ in flushes(batches, "doc_id"):
-            p = pairs_of(tokens, sizes, False)
-            order, shard, _ = _dealt(p, hot)
-            rows = []
-            for s, at in _cut(shard):
-                ids, n = _grouped(p.prev[order[at]])
-                rows.append((s, 0, 0, p.table[ids].tobytes(), n.astype(np.uint32).tobytes(), _six(p.table[p.cur[order[at]]]), p.count[order[at]].astype(np.uint32).tobytes(), b""))
-            yield _blobs(rows)
+            yield from _passed(rows(pairs_of(tokens, sizes, False), hot))
+
+    def rows(p: Pairs, hot: Hot) -> Iterator[tuple]:
+        order, shard = _dealt(p, hot)
+        for s, at in _cut(shard):
+            ids, n = _grouped(p.prev[order[at]])
+            yield s, 0, 0, p.table[ids].tobytes(), n.astype(np.uint32).tobytes(), _six(p.table[p.cur[order[at]]]), p.count[order[at]].astype(np.uint32).tobytes(), b""
 
     return run
 
@@ -325,7 +348,7 @@ def summarise(counted: DataFrame, hot: Hot, texts: int) -> Stats:
 
 
 def _ask(shared):
-    """From counted shards: their word counts (kind 0) and, for each other shard, the words whose counts they need (kind 1)."""
+    """From counted shards: their word counts (kind 0) and, for each group of shards, the words whose counts they need (kind 1)."""
 
     @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -335,24 +358,25 @@ def _ask(shared):
             for shard, words, counts, nxt in zip(*(b.column(c).to_pylist() for c in ("shard", "words", "counts", "next")), strict=True):
                 w = np.frombuffer(words, np.uint64)
                 cold = ~st.hot.is_hot(w)
-                rows = [(shard, 0, shard, w[cold].tobytes(), np.frombuffer(counts, np.int64)[cold].tobytes(), b"", b"", b"")]
+                rows = [(shard // GROUP, 0, shard, w[cold].tobytes(), np.frombuffer(counts, np.int64)[cold].tobytes(), b"", b"", b"")]
                 need = np.unique(_unsix(nxt))
                 need = need[~np.isin(need, hot48)]
-                to = (need % np.uint64(st.hot.shards)).astype(np.int64)
+                to = (need % np.uint64(st.hot.shards)).astype(np.int64) // GROUP
                 order = np.argsort(to, kind="stable")
                 rows += [(s, 1, shard, need[order[at]].tobytes(), b"", b"", b"", b"") for s, at in _cut(to[order])]
-                yield _blobs(rows)
+                yield from _passed(rows)
 
     return run
 
 
 @lean
 def _answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for shard, rows in _by_shard(batches):
+    """From a group's word counts: what was asked of it, back to the shard that asked."""
+    for group, rows in _by_shard(batches):
         keys, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
         for r in rows:
             if r[1] == 0:
-                keys, counts = np.frombuffer(r[3], np.uint64) & _48, np.frombuffer(r[4], np.int64)
+                keys, counts = np.concatenate([keys, np.frombuffer(r[3], np.uint64) & _48]), np.concatenate([counts, np.frombuffer(r[4], np.int64)])
                 order = np.argsort(keys, kind="stable")
                 keys, counts = keys[order], counts[order]
                 continue
@@ -360,7 +384,7 @@ def _answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if len(keys):
                 at = np.minimum(np.searchsorted(keys, need), len(keys) - 1)
                 got = np.where(keys[at] == need, counts[at], 0)
-            yield _blobs([(r[2], 0, shard, r[3], got.tobytes(), b"", b"", b"")])
+            yield _blobs([(r[2], 0, group, r[3], got.tobytes(), b"", b"", b"")])
 
 
 def _build(shared):
@@ -401,8 +425,9 @@ class Model:
     shards: DataFrame
 
 
-def _dealt_rows(rows: DataFrame, shards: int) -> DataFrame:
-    return rows.repartition(max(1, min(shards, 100_000)), "shard").sortWithinPartitions("shard", "kind", "origin")
+def _dealt_rows(rows: DataFrame, groups: int) -> DataFrame:
+    """A task for each group of shards, about; it takes one shard or group after the other."""
+    return rows.repartition(max(1, min(groups, 100_000)), "shard").sortWithinPartitions("shard", "kind", "origin")
 
 
 def train(spark: SparkSession, docs: DataFrame, hot: Hot) -> Model:
@@ -411,13 +436,13 @@ def train(spark: SparkSession, docs: DataFrame, hot: Hot) -> Model:
     h = share(hot)
     texts = docs.count()
     path = fresh(spark, "counts")
-    counted = written(spark, _dealt_rows(docs.mapInArrow(_count_out(h), BLOB), hot.shards).mapInArrow(_count_in(h), COUNTED), path)
+    counted = written(spark, _dealt_rows(docs.mapInArrow(_count_out(h), BLOB), hot.groups).mapInArrow(_count_in(h), COUNTED), path)
     st = summarise(counted, hot, texts)
     s = share(st)
     asked = counted.select("shard", "words", "counts", "next").mapInArrow(_ask(s), BLOB)
-    answers = _dealt_rows(asked, hot.shards).mapInArrow(_answer, BLOB)
+    answers = _dealt_rows(asked, hot.groups).mapInArrow(_answer, BLOB)
     parts = counted.drop("stats", "hot").mapInArrow(_as_parts, BLOB)
-    built = _dealt_rows(answers.union(parts), hot.shards).mapInArrow(_build(s), BLOB)
+    built = _dealt_rows(answers.union(parts), hot.groups).mapInArrow(_build(s), BLOB)
     trie = stored(spark, built, "trie")
     discard(spark, path)  # the trie has it all
     return Model(st, trie)
@@ -448,7 +473,7 @@ class HotPairs:
 
 
 def _score_out(shared, shared_pairs):
-    """Of each flush: what common words and pairs add (kind -1), and one row a shard with the other pairs and their texts."""
+    """Of each flush: what common words and pairs add (kind -1), and one row a group of shards with the other pairs and their texts."""
 
     @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -475,50 +500,73 @@ def _score_out(shared, shared_pairs):
             n_known, base, score = (_sums(p.docs, n, np.repeat(x, p.count))[0] for x in (seen, base, here))  # a number an event, for one sum at a time
             del a, b, known, real, count, here, seen, code, at
             n_known, base, score = n_known + (st.texts > 0), base + st.log_base(end), score + st.log_p(end)
-            rows = [(origin, -1, 0, pack({"ids": np.array([x if x is not None else 0 for x in ids], np.int64), "null": np.array([x is None for x in ids], np.uint8), "sizes": sizes.astype(np.int64), "known": n_known, "base": base, "score": score}), b"", b"", b"", b"")]
-            starts = np.concatenate([[0], np.cumsum(p.count)])
-            order, shard, hot_first = _dealt(p, st.hot)
-            left = ~done[order]
-            order, shard, hot_first = order[left], shard[left], hot_first[left]
-            kind = "u2" if n <= 1 << 16 else "u4"
-            for s, cut in _cut(shard):
-                o = order[cut]
-                w, m = _grouped(p.prev[o])
-                many = p.count[o]
-                pick = np.repeat(starts[o] - np.concatenate([[0], np.cumsum(many)[:-1]]), many) + np.arange(many.sum())
-                rows.append((s, 1, origin, p.table[w].tobytes(), m.astype(np.uint32).tobytes(), ((p.table[p.cur[o]] >> np.uint64(16)) & _32).astype(np.uint32).tobytes(), many.astype(np.uint32).tobytes(), p.docs[pick].astype(kind).tobytes()))
-            for i in range(0, len(rows), 64):
-                yield _blobs(rows[i : i + 64])
+            yield _blobs([(origin, -1, 0, pack({"ids": np.array([x if x is not None else 0 for x in ids], np.int64), "null": np.array([x is None for x in ids], np.uint8), "sizes": sizes.astype(np.int64), "known": n_known, "base": base, "score": score}), b"", b"", b"", b"")])
+            yield from _passed(rows(p, st.hot, done, origin, n))
+
+    def rows(p: Pairs, hot: Hot, done: np.ndarray, origin: int, n: int) -> Iterator[tuple]:
+        starts = np.concatenate([[0], np.cumsum(p.count)])
+        order, shard = _dealt(p, hot)
+        left = ~done[order]
+        order, shard = order[left], shard[left]
+        kind = "u2" if n <= 1 << 16 else "u4"
+        for s, cut in _cut(shard // GROUP):
+            o = order[cut]
+            w, m = _grouped((shard[cut] % GROUP) * np.int64(len(p.table)) + p.prev[o])
+            runs = np.bincount(w // len(p.table), minlength=GROUP)  # first words of each shard, which follow each other
+            many = p.count[o]
+            pick = np.repeat(starts[o] - np.concatenate([[0], np.cumsum(many)[:-1]]), many) + np.arange(many.sum())
+            yield s, 1, origin, p.table[w % len(p.table)].tobytes(), np.append(m, runs).astype(np.uint32).tobytes(), ((p.table[p.cur[o]] >> np.uint64(16)) & _32).astype(np.uint32).tobytes(), many.astype(np.uint32).tobytes(), p.docs[pick].astype(kind).tobytes()
 
     return run
 
 
+def _added(rows: list[tuple], tries: dict[int, Trie], st: Stats) -> Iterator[tuple]:
+    """What each of a group's rows of pairs adds to its texts; all are looked up at once."""
+    numbers = [np.frombuffer(r[4], np.uint32) for r in rows]
+    words, m = np.concatenate([np.frombuffer(r[3], np.uint64) for r in rows]), np.concatenate([x[:-GROUP] for x in numbers])
+    nxt = np.concatenate([np.frombuffer(r[5], np.uint32) for r in rows])
+    home = np.concatenate([np.repeat(r[0] * GROUP + np.arange(GROUP), x[-GROUP:]) for r, x in zip(rows, numbers, strict=True)])
+    of, place = np.repeat(np.arange(len(words)), m), np.full(len(words), -1)
+    count, backoff, gain = np.zeros(len(words), np.int64), np.zeros(len(words)), np.zeros(len(nxt))
+    for shard, trie in tries.items():
+        mine, pairs = np.flatnonzero(home == shard), np.flatnonzero(home[of] == shard)
+        place[mine], count[mine], backoff[mine] = trie.lookup(words[mine])
+        gain[pairs] = trie.gain_of(place[of[pairs]], nxt[pairs])
+    cold = ~st.hot.is_hot(words)
+    known, base, own = (cold & (count > 0))[of], np.where(cold, st.log_base(count), 0)[of], np.where(cold, st.log_p(count) + backoff, 0)[of] + gain
+    lo = 0
+    for r in rows:
+        many = np.frombuffer(r[6], np.uint32)
+        hi = lo + len(many)
+        docs = np.frombuffer(r[7], "u2" if len(r[7]) == 2 * int(many.sum()) else "u4").astype(np.int64)
+        ids, at = np.unique(docs, return_inverse=True)
+        k, b, s = _sums(at, len(ids), *(np.repeat(x[lo:hi], many) for x in (known, base, own)))
+        yield r[2], 1, r[0], ids.astype(np.uint32).tobytes(), k.astype(np.uint32).tobytes(), b.tobytes(), s.tobytes(), b""
+        lo = hi
+
+
 def _score_in(shared):
-    """In each shard the trie (kind 0), then flushes' pairs (kind 1): rows of what each adds to its texts. Kind -1 passes."""
+    """In each group the shards' tries (kind 0), then flushes' pairs (kind 1): rows of what each adds to its texts. Kind -1 passes."""
 
     @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         st: Stats = shared.value
         for _, rows in _by_shard(batches):
-            trie = None
+            tries, held, size = {}, [], 0  # tries are mapped from files
             for r in rows:
                 if r[1] == -1:
                     yield _blobs([r])
                     continue
                 if r[1] == 0:
-                    trie = Trie(mapped(r[3]))
+                    tries[r[2]] = Trie(mapped(r[3]))
                     continue
-                words, m = np.frombuffer(r[3], np.uint64), np.frombuffer(r[4], np.uint32)
-                nxt, many = np.frombuffer(r[5], np.uint32), np.frombuffer(r[6], np.uint32)
-                docs = np.frombuffer(r[7], "u2" if len(r[7]) == 2 * int(many.sum()) else "u4").astype(np.int64)
-                cold = ~st.hot.is_hot(words)
-                place, count, backoff = trie.lookup(words) if trie else (np.full(len(words), -1), np.zeros(len(words), np.int64), np.zeros(len(words)))
-                gain = trie.gain_of(np.repeat(place, m), nxt) if trie else np.zeros(len(nxt))
-                own = np.where(cold, st.log_p(count) + backoff, 0)
-                per_word = np.repeat(np.repeat(np.arange(len(words)), m), many)
-                ids, at = np.unique(docs, return_inverse=True)
-                known, base, score = _sums(at, len(ids), (cold & (count > 0))[per_word], np.where(cold, st.log_base(count), 0)[per_word], own[per_word] + np.repeat(gain, many))
-                yield _blobs([(r[2], 1, r[0], ids.astype(np.uint32).tobytes(), known.astype(np.uint32).tobytes(), base.tobytes(), score.tobytes(), b"")])
+                held.append(r)
+                size += sum(map(len, r[3:]))
+                if size >= PASS:
+                    yield from _passed(_added(held, tries, st))
+                    held, size = [], 0
+            if held:
+                yield from _passed(_added(held, tries, st))
 
     return run
 
@@ -573,8 +621,9 @@ def score(spark: SparkSession, docs: DataFrame, model: Model) -> DataFrame:
     order = np.argsort(codes)
     pairs = HotPairs(codes[order], np.array([r.g for r in rows], np.float64)[order])
     events = docs.mapInArrow(_score_out(s, share(pairs)), BLOB)
-    n = max(st.hot.shards, 1)
-    added = _dealt_rows(events.union(model.shards), n).mapInArrow(_score_in(s), BLOB)
+    n = st.hot.groups
+    tries = model.shards.withColumn("shard", F.floor(F.col("shard") / GROUP))
+    added = _dealt_rows(events.union(tries), n).mapInArrow(_score_in(s), BLOB)
     return _dealt_rows(added, n).mapInArrow(_gather, "doc_id long, n_tokens long, n_known long, base_score double, score double")
 
 
@@ -586,6 +635,7 @@ def score_corpus(spark: SparkSession, docs: DataFrame, held_out: Column) -> Data
     is not held out. With nothing to train on every probability is 1, the base's too. An empty table
     gives no rows, a very long text is a flush of its own, and other columns are not looked at.
     """
+    bounded(spark)
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     model = train(spark, own.where(~F.coalesce(held_out, F.lit(False))), find_common(own))
     out = score(spark, own, model)

@@ -9,6 +9,7 @@ import math
 import random
 import re
 from collections import Counter
+from types import SimpleNamespace
 
 import numpy as np
 import pyarrow as pa
@@ -521,6 +522,30 @@ def test_language_model_tells_repeats(spark):
     assert min(again) > max(new)
 
 
+@pytest.mark.parametrize("group", [1, 4])
+def test_language_model_in_groups_of_shards(spark, monkeypatch, group):
+    """Few common words and many shards give what one shard gives."""
+    rng = random.Random(12)
+    docs = documents(spark, [(i, " ".join(rng.choice(VOCAB) + str(rng.randrange(1 + i % 9)) for _ in range(60)), "s") for i in range(60)])
+    scored = lambda: sorted(map(tuple, lm.score_corpus(spark, docs, F.col("doc_id") % 7 == 2).collect()))
+    monkeypatch.setattr(lm, "HOT_SHARE", 0.02)
+    want = scored()
+    for k, v in (("SHARD", 300), ("FLUSH", 700), ("GROUP", group), ("PASS", 1000)):
+        monkeypatch.setattr(lm, k, v)
+    for r, w in zip(scored(), want, strict=True):
+        assert r[:5] == w[:5] and r[5:] == pytest.approx(w[5:], abs=0.5)
+
+
+def test_language_model_passes_a_flush_on_in_small_batches():
+    """The pairs of a million tokens leave a task in batches of about a MB; a shard has half a million tokens at most."""
+    words, hot = [f"w{i}" for i in range(300_000)], lm.Hot(np.array([lm.END, lm.START], np.uint64), np.zeros((0, 2), np.uint64), 40)
+    texts = pa.RecordBatch.from_arrays([pa.array(range(300)), pa.array([" ".join(words[i : i + 1000]) for i in range(0, 300_000, 1000)])], ["doc_id", "text"])
+    out = list(lm._count_out(SimpleNamespace(value=hot))(iter([texts])))
+    assert max(b.nbytes for b in out) < 2 << 20
+    assert sum(np.frombuffer(x, np.uint32).sum() for b in out for x in b.column("d").to_pylist()) == 300_300
+    assert lm.SHARD <= 500_000
+
+
 def test_language_model_without_rows(spark):
     df = documents(spark, [(1, "a b", "s")])
     assert lm.score_corpus(spark, df.limit(0), F.lit(False)).count() == 0
